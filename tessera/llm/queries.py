@@ -121,7 +121,7 @@ l as (select rid, source, unnest(range(1, len(parts) + 1)) i, unnest(parts) line
 s as (select *, regexp_replace(line, '^{_SPACE}|{_SPACE}$', '', 'g') bare from l),
 n as (select source, bare, count(distinct rid) n from s where bare <> '' group by all),
 h as (select source, count(*) total from d group by all),
-bad as (select source, bare from n join h on n.source is not distinct from h.source where n >= 3 and n > 0.1 * total),
+bad as (select n.source, bare from n join h on n.source is not distinct from h.source where n >= 3 and n > 0.1 * total),
 k as (select rid, count(bad.bare) n_dropped, string_agg(line, chr(10) order by i) filter (where bad.bare is null) kept
   from s left join bad on s.source is not distinct from bad.source and s.bare = bad.bare group by rid)
 select doc_id, source, case when text is null then null else coalesce(kept, '') end as text, coalesce(n_dropped, 0)::int n_dropped from d left join k using (rid)"""
