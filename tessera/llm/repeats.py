@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, bucketed, cut, mix, polynomial, texts_of, word_hashes, words_of
@@ -141,15 +141,17 @@ def _pieces(texts: DataFrame, u: Units, as_hashes: bool) -> DataFrame:
 def counted(pieces: DataFrame, u: Units, hot: bool) -> DataFrame:
     """(k1, begin, end): spans of windows that occur twice or more, by counting their hashes under each anchor."""
     if hot:
-        each = pieces.select("anchor", "k1", F.posexplode("windows").alias("i", "h"), "begin").select("anchor", "h", "k1", (F.col("begin") + F.col("i")).alias("begin"))
-        often = each.groupBy("anchor", "h").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "h")
-        found = each.join(often, ["anchor", "h"])
-    else:
-        from pyspark.sql import Window
-
-        there = pieces.repartition("anchor")
-        each = there.select("anchor", "k1", F.posexplode("windows").alias("i", "h"), "begin").select("anchor", "h", "k1", (F.col("begin") + F.col("i")).alias("begin"))
-        found = each.withColumn("n", F.count("*").over(Window.partitionBy("anchor", "h"))).where("n > 1")
+        # Runs that equal another run are repeated as a whole; only the others compare windows, with one of each kind.
+        marked = pieces.withColumn("run", F.xxhash64("windows"))
+        kinds = marked.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.first("windows").alias("w"), F.min(F.struct("k1", "begin")).alias("at"))
+        same = marked.join(kinds.where("n > 1").select("anchor", "run"), ["anchor", "run"]).select("k1", "begin", (F.col("begin") + F.size("windows") - 1 + u.window).alias("end"))
+        each = kinds.select("anchor", "n", "at", F.posexplode("w").alias("i", "h"))
+        often = each.groupBy("anchor", "h").agg(F.count("*").alias("m")).where("m > 1").select("anchor", "h")
+        rest = each.where("n = 1").join(often, ["anchor", "h"]).select("at.k1", (F.col("at.begin") + F.col("i")).alias("begin"))
+        return same.unionByName(rest.select("k1", "begin", (F.col("begin") + u.window).alias("end")))
+    there = pieces.repartition("anchor")
+    each = there.select("anchor", "k1", F.posexplode("windows").alias("i", "h"), "begin").select("anchor", "h", "k1", (F.col("begin") + F.col("i")).alias("begin"))
+    found = each.withColumn("n", F.count("*").over(Window.partitionBy("anchor", "h"))).where("n > 1")
     return found.select("k1", "begin", (F.col("begin") + u.window).alias("end"))
 
 
