@@ -30,7 +30,7 @@ def merge_batches(batches: DataFrame) -> DataFrame:
 def evidence_rank(merged: DataFrame) -> DataFrame:
     score = F.col("best_score") + 0.025 * F.least(F.col("hits") - 1, F.lit(3)) + 0.0125 * F.least(F.col("rr"), F.lit(2.0)) + F.when(F.col("original_hit"), 0.025).otherwise(0.0)
     order = Window.partitionBy("question_id").orderBy(F.desc("rank_score"), F.desc("best_score"), F.desc("original_hit"), "best_rank", "chunk_id")
-    return merged.withColumn("rank_score", F.round(score, 5)).withColumn("position", F.row_number().over(order))
+    return merged.withColumn("rank_score", F.floor(score * 1e6 + 0.5) / 1e6).withColumn("position", F.row_number().over(order))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -121,7 +121,7 @@ ORACLES: dict[str, str] = {
           from f join ev on ev.user_id = f.user_id and ev.n = f.n + 1)
         select user_id library_id, l library_rev, t text_rev, c chunk_rev, e embedding_rev, e <> l needs_update from f qualify row_number() over (partition by user_id order by n desc) = 1""",
     "batch_merge": f"with {_BATCHES} select * from merged",
-    "evidence_rank": f"""with {_BATCHES}, r as (select *, round(best_score + 0.025 * least(hits - 1, 3) + 0.0125 * least(rr, 2.0) + case when original_hit then 0.025 else 0.0 end, 5) rank_score from merged)
+    "evidence_rank": f"""with {_BATCHES}, r as (select *, floor((best_score + 0.025::double * least(hits - 1, 3) + 0.0125::double * least(rr, 2.0::double) + case when original_hit then 0.025::double else 0.0::double end) * 1e6::double + 0.5::double) / 1e6::double rank_score from merged)
         select question_id, chunk_id, rank_score, row_number() over (partition by question_id order by rank_score desc, best_score desc, original_hit desc, best_rank, chunk_id)::int as position from r""",
     "near_duplicates": f"""with {_TURNS}, w as (select question_id, path, chunk_id, list_distinct(list_transform(regexp_extract_all(text, '{_TOKEN}'), lambda x: lower(x))) w from turns),
         p as (select a.question_id, a.chunk_id a, b.chunk_id b, round(coalesce(len(list_intersect(a.w, b.w))::double / nullif(least(len(a.w), len(b.w)), 0), 0), 6) as overlap from w a join w b on a.question_id = b.question_id and a.path = b.path and a.chunk_id < b.chunk_id) select * from p where overlap >= 0.5""",
