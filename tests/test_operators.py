@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessera.functions import chunking, text
-from tessera.operators import evidence, incremental, inventory, rules
+from tessera.operators import evidence, incremental, inventory, retrieval, rules
 from tessera.streaming.state import after, kb_state_stream
 
 
@@ -115,6 +115,21 @@ def test_greedy_selection_matches_loop(spark):
     assert {(r.question_id, r.chunk_id) for r in got.collect()} == expected
 
 
+def _retrieval_case(spark):
+    body = ["Nothing of note is said on this page about the weather.", "The silver dragon guards the old bridge at night. It sleeps by day.", "Rule: a silver dragon may be bribed with carried gold.", "Farmers talk of rain and of little else in these parts."]
+    chunks = spark.createDataFrame([(f"c{i}", "p", i, 0, t) for i, t in enumerate(body)], "id string, path string, page int, ordinal int, text string")
+    return chunks, spark.createDataFrame([(1, "silver dragon bridge"), (2, "bribed dragon")], "query_id int, query string")
+
+
+def test_split_passages_score_like_the_text_function(spark):
+    chunks, queries = _retrieval_case(spark)
+    asked = retrieval.prepared(queries)
+    pairs = spark.createDataFrame([(q, f"c{i}") for q in (1, 2) for i in range(4)], "query_id int, chunk_id string")
+    got = {(r.query_id, r.chunk_id): (r.passage_score, r.rule_label_score) for r in retrieval._scored_text(pairs, chunks, asked).collect()}
+    each = pairs.join(asked, "query_id").join(chunks, F.col("id") == F.col("chunk_id")).select("query_id", "id", F.round(text.best_passage_score(F.col("tokens"), F.col("phrases"), F.col("text")), 6).alias("s"), F.round(text.rule_label_score(F.col("tokens"), F.col("phrases"), F.col("text")), 6).alias("l"))
+    assert got == {(r.query_id, r.id): (r.s, r.l) for r in each.collect()} and got[2, "c2"][1] > 0.35
+
+
 def test_effects_limits_and_modifiers(spark):
     value = lambda start, *ops: F.get(F.transform(F.array(F.lit(start)), lambda v: rules.apply_effects(v, F.array(*[F.struct(F.lit(o).alias("op"), F.lit(float(x)).alias("value")) for o, x in ops]))), F.lit(0))
     assert tuple(spark.range(1).select(value(4, ("multiply", 2)), value(10, ("add", 2), ("subtract", 1)), value(5, ("override", 12))).first()) == (8.0, 11.0, 12.0)
