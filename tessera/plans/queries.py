@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import chunking, text
 from ..operators import citations, evidence, incremental, inventory, retrieval, rules, search
 from ..sources import corpus
+from ..sources.shared import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,8 +162,8 @@ def rrf_fused(spark, d):
 
 def _scored(spark, d):
     q, c = queries_of(spark, d), chunks_of(spark, d)
-    features = retrieval.lexical_features(q, c).persist()
-    return retrieval.evidence_score(retrieval.rrf_fuse(retrieval.lexical_topk(features), retrieval.semantic_topk(*vectors_of(spark, d))), features, c, q).persist()
+    features = written(retrieval.lexical_features(q, c))
+    return written(retrieval.evidence_score(retrieval.rrf_fuse(retrieval.lexical_topk(features), retrieval.semantic_topk(*vectors_of(spark, d))), features, c, q))
 
 
 def evidence_ranked(spark, d):
