@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import IS_PLAIN, blocks, broadcast_if_small, cut, logistic_fit, lowered, mix, texts_of
 
-#: Longest n-gram, orders from here down share their counts between the classes, entries of a table.
+#: Longest n-gram, orders from here down share their counts between the classes, entries of a table (a power of two).
 ORDER, SHARED, SLOTS = 6, 2, 1 << 19
 #: Discount in counts of the smaller class, and for shared orders.
 DISCOUNT, DISCOUNT_SHARED = 4.0, 0.75
@@ -47,7 +47,7 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _slot(gram: np.ndarray) -> np.ndarray:
-    return (mix(gram.astype(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)
+    return (mix(gram.astype(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 def gram_counts(labelled: DataFrame, text: str) -> DataFrame:
@@ -69,7 +69,7 @@ def gram_counts(labelled: DataFrame, text: str) -> DataFrame:
 def _to_slots(batches):
     for batch in batches:
         slot = _slot(batch.column(1).to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slot.astype(np.int32)), batch.column(2)], names=["toxic", "slot", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slot.astype(np.int32)), batch.column(2), batch.column(3)], names=["toxic", "slot", "v", "own"])
 
 
 class Models:
@@ -88,9 +88,10 @@ class Models:
             contexts = tagged.groupBy("toxic", "x").agg(F.sum("c").alias("all"), F.sum(F.least(F.col("c").cast("double"), F.col("d"))).alias("cut"))
             rest = contexts.where(F.col("cut") < F.col("all"))
             own = tagged.where("c > d").join(rest, ["toxic", "x"]).select("toxic", "g", ((F.col("c") - F.col("d")) / F.col("all")).alias("v"))
-            self.own[n] = self._table(own, F.sum, 0.0)
-            self.back[n] = self._table(rest.select("toxic", "x", (F.col("cut") / F.col("all")).alias("v")), F.min, 1.0)
-            level = level.groupBy("toxic", F.expr(f"g & {(1 << 8 * (n - 1)) - 1}L").alias("g")).agg(F.count("*").alias("c"))
+            back = rest.select("toxic", F.col("x").alias("g"), (F.col("cut") / F.col("all")).alias("v"))
+            self.own[n], self.back[n] = self._tables(own, back)
+            # Every order is counted once: the next one and its totals start from what is written here.
+            level = cut(level.groupBy("toxic", F.expr(f"g & {(1 << 8 * (n - 1)) - 1}L").alias("g")).agg(F.count("*").alias("c")))
         pairs = np.zeros(1 << 16)
         for r in level.groupBy("g").agg(F.sum("c").alias("c")).collect():  # at most 2^16 rows
             pairs[r.g] = r.c
@@ -102,21 +103,31 @@ class Models:
         self.shared = (np.maximum(grid - DISCOUNT_SHARED, 0) / np.maximum(mass, 1) + left * one).reshape(-1).astype(np.float32)
 
     @staticmethod
-    def _table(entries: DataFrame, join, empty: float) -> np.ndarray:
-        names = dict(zip(entries.columns, ("toxic", "g", "v"), strict=True))
-        rows = entries.withColumnsRenamed(names).mapInArrow(_to_slots, "toxic int, slot int, v double").groupBy("toxic", "slot").agg(join("v").alias("v")).toPandas()
-        out = np.full((2, SLOTS), empty, np.float32)
-        out[rows.toxic.to_numpy(int), rows.slot.to_numpy(int)] = rows.v.to_numpy(float)
+    def _tables(own: DataFrame, back: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Entries (toxic, g, v) as arrays by class and slot. Equal slots add up in own and take the least in back."""
+        entries = own.withColumn("own", F.lit(True)).unionByName(back.withColumn("own", F.lit(False)))
+        slots = entries.mapInArrow(_to_slots, "toxic int, slot int, v double, own boolean").groupBy("own", "toxic", "slot").agg(F.when(F.col("own"), F.sum("v")).otherwise(F.min("v")).alias("v"))
+        rows = slots.toArrow()  # at most four rows for each slot
+        mine, toxic, slot, v = (rows.column(c).to_numpy() for c in ("own", "toxic", "slot", "v"))
+        out = np.zeros((2, SLOTS), np.float32), np.ones((2, SLOTS), np.float32)
+        for table, here in zip(out, (mine, ~mine), strict=True):
+            table[toxic[here], slot[here]] = v[here]
         return out
 
-    def evidence(self, gram: np.ndarray) -> np.ndarray:
-        """Log-likelihood difference at each position."""
+    def evidence(self, gram: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Log-likelihood difference at each position.
+
+        The context of an n-gram is the (n-1)-gram one position before, whose slot is known, but at a text's start."""
+        start = first[:-1][np.diff(first) > 0]
         p = [self.shared[gram & 0xFFFF]] * 2
+        before = _slot(gram & ((1 << 8 * SHARED) - 1))
         for n in range(SHARED + 1, ORDER + 1):
-            slot = _slot(gram & ((1 << 8 * n) - 1))
-            context = _slot(gram >> 8 & ((1 << 8 * (n - 1)) - 1))
-            p = [self.own[n][k][slot] + self.back[n][k][context] * p[k] for k in (0, 1)]
-        return np.log(p[1]) - np.log(p[0])
+            context = np.empty_like(before)
+            context[1:] = before[:-1]
+            context[start] = _slot(gram[start] >> 8 & ((1 << 8 * (n - 1)) - 1))
+            before = _slot(gram & ((1 << 8 * n) - 1))
+            p = [self.own[n][k][before] + self.back[n][k][context] * p[k] for k in (0, 1)]
+        return np.log(p[1] / p[0])
 
 
 def evidence(docs: DataFrame, models, text: str = "text") -> DataFrame:
@@ -131,7 +142,7 @@ def evidence(docs: DataFrame, models, text: str = "text") -> DataFrame:
             out = np.zeros(len(offsets) - 1)
             for x, y in blocks(offsets, 1 << 20):
                 gram, first = _grams(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
-                total = np.concatenate(([0.0], np.cumsum(m.evidence(gram), dtype=np.float64)))
+                total = np.concatenate(([0.0], np.cumsum(m.evidence(gram, first), dtype=np.float64)))
                 out[x:y] = (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(np.round(out, 9))], names=[*keep, "x"])
 
