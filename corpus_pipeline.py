@@ -1,6 +1,6 @@
 """A corpus from the documents table: five stages, each written as Parquet and read again as the next one's input.
 
-Language ID drops what has no language, line dedup takes boilerplate lines out, SimHash keeps one document of each
+Language ID drops what has no language, line dedup takes boilerplate lines out, near-dedup keeps one document of each
 group of near-duplicates, decontamination drops documents that contain benchmark phrases, mixing repeats documents
 to target weights and shuffles them. All stages but the last return the columns of documents.
 """
@@ -34,7 +34,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates, on five-word shingles."""
+    """One document of each group of near-duplicates: a Jaccard similarity of 0.8 or more on five-word shingles, verified."""
     return simhash.keep_one(docs, width=5)
 
 

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import blocks, cut, texts_of
 from .components import components
 
@@ -90,10 +91,10 @@ def hex_digits(fp):
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """docs without the rows that are not the first of their group: one row of each group stays, the one
-    with the smallest id (of rows with equal id and group, the one with the least text and source key stays)."""
+    """docs without the rows that are not the first of their group of near copies (a Jaccard similarity of 0.8 or more,
+    which 64 bits at radius 3 mostly miss; see near_copies): one row of each group stays, the one with the smallest id (of rows with equal id and group, the one with the least text and source key stays)."""
     marked = docs.withColumn("_key", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    found = near_duplicates(docs.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("k")).alias("_id"), F.col(text)), "_id", text, width)
+    found = near_copies.groups(docs.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("k")).alias("_id"), F.col(text)), "_id", text, width)
     first = found.where(F.col("_id") == F.col("component_id")).select(F.col("_id.k").alias("_key")).distinct()
     kept = marked.join(first, "_key", "left_semi")
     return kept.dropDuplicates(["_key"]).select(docs.columns)

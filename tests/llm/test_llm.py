@@ -8,7 +8,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, language_id, line_dedup, mixing, quality, repeats, run_index_dedup, simhash, substring_dedup, toxicity, url_filter
+import corpus_pipeline
+from tessera.llm import decontam, language_id, line_dedup, mixing, near_copies, quality, repeats, run_index_dedup, simhash, substring_dedup, toxicity, url_filter
 from tessera.llm.common import table
 from tessera.llm.queries import remainder
 
@@ -101,6 +102,40 @@ def test_multi_index_finds_every_link(spark):
     assert got == expected
 
 
+@pytest.mark.parametrize("crowd", [16, 2])
+def test_pipeline_near_dedup_keeps_one_of_each_jaccard_group(spark, monkeypatch, crowd):
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    rng = random.Random(11)
+    made = []
+    passage = " ".join(f"p{i}" for i in range(40))
+    for g in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(30, 200))]
+        for _ in range(rng.randint(1, 9) if g else 40):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 60))):
+                w[rng.randrange(len(w))] = f"E{rng.randrange(10**6)}"
+            made.append(" ".join(w) + (" " + passage if g % 3 == 0 else ""))
+    texts = [*(r.text for r in table(spark, D, "documents").select("text").collect()), *made, *(passage + f" tail{i} " * 3 for i in range(20)), *(t for t in HARD if t != "")]
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 9 * len(a & sets[j]) >= 4 * (len(a) + len(sets[j])) > 0:
+                lo, hi = sorted((find(i), find(j)))
+                root[hi] = lo
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, D).collect()} == {i for i in range(len(sets)) if find(i) == i}
+
+
 def test_url_rules(spark):
     urls = [None, "", "nothing", "http://A.Example.NET/en/x?q#f", "http://example.net/de/", "http://x.example.com/de/1", "https://h.org/fr/", "https://h.org/en/", "http://notnet/"]
     docs = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
