@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, terms
+from ..sources.shared import written
 
 OVERLAP = 0.82
 # Words of the domain that say nothing about a passage.
@@ -49,18 +50,30 @@ def near_duplicates(rows: DataFrame, limit: float = OVERLAP) -> DataFrame:
 def greedy(rows: DataFrame, limit: int, group: str = "question_id", order: str = "position", most: int = 500) -> DataFrame:
     """Takes rows of each group in order, skips near-duplicates of taken ones, and fills up with skipped ones.
 
-    rows(group, order, chunk_id, path, words). Groups come from capped retrieval lists, so a group's array is small;
-    `most` states the largest that is taken, by order."""
-    capped = rows.where(F.col(order) <= most)
-    lists = capped.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "chunk_id", "path", "words"))).alias("l"))
+    rows(group, order, chunk_id, path, words). A list is walked in blocks of `most` orders; what is kept goes on to
+    the next block, until the limit is filled or the group ends."""
     kind = "array<struct<o:int,chunk_id:string,path:string,words:array<string>>>"
-    start = F.struct(F.array().cast(kind).alias("kept"), F.array().cast(kind).alias("late"))
+    none = F.array().cast(kind)
     def step(s: Column, x: Column) -> Column:
         same = F.exists(s.kept, lambda k: (k.path == x.path) & (overlap(k.words, x.words) >= OVERLAP))
         room = F.size(s.kept) < limit
-        return F.struct(F.when(room & ~same, F.concat(s.kept, F.array(x))).otherwise(s.kept).alias("kept"), F.when(room & same, F.concat(s.late, F.array(x))).otherwise(s.late).alias("late"))
-    picked = lists.select(group, F.aggregate(F.col("l").cast(kind), start, step).alias("s"))
-    filled = picked.select(group, F.concat("s.kept", F.slice("s.late", F.lit(1), F.greatest(F.lit(limit) - F.size("s.kept"), F.lit(0)))).alias("l"))
+        return F.struct(F.when(room & ~same, F.concat(s.kept, F.array(x))).otherwise(s.kept).alias("kept"), F.when(room & same & (F.size(s.late) < limit), F.concat(s.late, F.array(x))).otherwise(s.late).alias("late"))
+    def walked(part: DataFrame, state: DataFrame | None) -> DataFrame:
+        lists = part.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("int").alias("o"), "chunk_id", "path", "words"))).cast(kind).alias("l"))
+        before = lists.select(group, "l", F.struct(none.alias("kept"), none.alias("late")).alias("s")) if state is None else state.join(lists, group, "full").select(group, F.coalesce("l", none).alias("l"), F.coalesce("s", F.struct(none.alias("kept"), none.alias("late"))).alias("s"))
+        return written(before.select(group, F.aggregate("l", "s", step).alias("s")))
+    rows = written(rows.select(group, order, "chunk_id", "path", "words"))
+    edges = rows.agg(F.min(order), F.max(order)).first()
+    start, state = edges[0] or 0, None
+    while state is None or start <= edges[1]:
+        if state is not None:
+            least = rows.where(F.col(order) >= start).join(state.where(F.size("s.kept") >= limit).select(group), group, "left_anti").agg(F.min(order)).first()[0]
+            if least is None:
+                break
+            start = least
+        state = walked(rows.where((F.col(order) >= start) & (F.col(order) < start + most)), state)
+        start += most
+    filled = state.select(group, F.concat("s.kept", F.slice("s.late", F.lit(1), F.greatest(F.lit(limit) - F.size("s.kept"), F.lit(0)))).alias("l"))
     return filled.select(group, F.explode("l").alias("x")).select(group, F.col("x.chunk_id").alias("chunk_id"), F.col("x.o").alias(order))
 
 

@@ -115,6 +115,12 @@ def test_greedy_selection_matches_loop(spark):
     assert {(r.question_id, r.chunk_id) for r in got.collect()} == expected
 
 
+def test_greedy_selection_goes_beyond_a_block_of_copies(spark):
+    rows = [(1, o, f"c{o}", "p", ["same", "old", "text"]) for o in range(1, 601)] + [(1, 600 + o, f"d{o}", "p", [f"new{o}"]) for o in (1, 2)] + [(2, 1, "e1", "p", ["one"]), (3, 900, "f1", "p", ["far"])]
+    got = evidence.greedy(spark.createDataFrame(rows, "question_id int, position int, chunk_id string, path string, words array<string>"), 4)
+    assert {(r.question_id, r.chunk_id) for r in got.collect()} == {(1, "c1"), (1, "d1"), (1, "d2"), (1, "c2"), (2, "e1"), (3, "f1")}
+
+
 def _retrieval_case(spark):
     body = ["Nothing of note is said on this page about the weather.", "The silver dragon guards the old bridge at night. It sleeps by day.", "Rule: a silver dragon may be bribed with carried gold.", "Farmers talk of rain and of little else in these parts."]
     chunks = spark.createDataFrame([(f"c{i}", "p", i, 0, t) for i, t in enumerate(body)], "id string, path string, page int, ordinal int, text string")
