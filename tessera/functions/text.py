@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9'_-]*"
 # Words without search value.
-STOPWORDS = (
-    "a an and are as at be been being but by can could did do does for from had has have he her hers him his how i if in "
-    "into is it its me my of on or our she should so some that the their them then there they this to was we were what when "
-    "where which who why will with would you your").split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "been", "being", "but", "by", "can", "could", "did", "do", "does", "for", "from", "had", "has", "have",
+    "he", "her", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "me", "my", "of", "on", "or", "our", "she", "should", "so",
+    "some", "that", "the", "their", "them", "then", "there", "they", "this", "to", "was", "we", "were", "what", "when", "where", "which", "who",
+    "why", "will", "with", "would", "you", "your",
+]
 # Terms that a query term also searches for.
 EXPANSIONS = {
     "skill": ["ability", "abilities"], "skills": ["ability", "abilities"], "try": ["attempt", "roll", "check"], "tries": ["attempt", "roll", "check"],

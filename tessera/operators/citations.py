@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, bind
+from ..sources.shared import written
 
 MARK = r"\[(\d{1,2})\]"
 
@@ -41,8 +42,11 @@ def citation_score(claim: Column, passage: Column) -> Column:
 
 def citation_excerpts(claims: DataFrame, sources: DataFrame, least: float = 0.20) -> DataFrame:
     """sources(answer_id, source_no, text) with the best passage for its claims, or the start of its text."""
-    cited = claims.join(sources, ["answer_id", "source_no"]).select("answer_id", "source_no", "line_no", citation_tokens(F.col("claim")).alias("c"), F.posexplode(candidate_passages(F.col("text"))).alias("i", "passage"))
-    scored = cited.withColumn("score", F.round(citation_score(F.col("c"), citation_tokens(F.col("passage"))), 6)).where("score > 0")
+    # Each source is split and tokenised once; its claims meet the passages that it gave.
+    split = sources.join(claims.select("answer_id", "source_no").distinct(), ["answer_id", "source_no"], "left_semi").select("answer_id", "source_no", F.posexplode(candidate_passages(F.col("text"))).alias("i", "passage"))
+    held = written(split.withColumn("p", citation_tokens(F.col("passage"))))
+    asked = claims.select("answer_id", "source_no", "line_no", citation_tokens(F.col("claim")).alias("c"))
+    scored = held.join(asked, ["answer_id", "source_no"]).withColumn("score", F.round(citation_score(F.col("c"), F.col("p")), 6)).where("score > 0")
     best = scored.groupBy("answer_id", "source_no").agg(F.max("score").alias("score"), F.max_by("passage", F.struct("score", -F.col("line_no"), -F.col("i"))).alias("passage"))
     out = sources.join(best, ["answer_id", "source_no"], "left")
     return out.select("answer_id", "source_no", F.coalesce("score", F.lit(0.0)).alias("score"), F.when(F.col("score") >= least, F.substring("passage", 1, 700)).otherwise(F.substring(F.trim("text"), 1, 520)).alias("citation_excerpt"))

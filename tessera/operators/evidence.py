@@ -9,8 +9,10 @@ from ..functions.text import fold, terms
 from ..sources.shared import written
 
 OVERLAP = 0.82
-# Words of the domain that say nothing about a passage.
-CONTENT_STOP = "shadowrun anarchy character characters rule rules using use does doesnt have has able even though when the and for with from this that what are is can her she his their into other".split()
+# Words that say nothing about a passage; callers add names of their own by `stop`.
+CONTENT_STOP = [
+    "character", "characters", "rule", "rules", "using", "use", "does", "doesnt", "have", "has", "able", "even", "though", "when", "the", "and", "for", "with", "from", "this", "that", "what", "are", "is", "can", "her", "she", "his", "their", "into", "other",
+]
 # Phrases of procedures, strong and medium.
 STRONG = ("if a player wishes to", "a player may", "a character may", "you can buy", "can buy", "may buy", "buy a new", "can add", "may add", "wishes to add", "add a shadow amp", "cannot", "may not", "must", "requires", "required", "provided", "unless", "cost would reduce", "essence cost")
 MEDIUM = ("purchase", "purchasing", "acquire", "acquiring", "install", "prerequisite", "limit", "maximum", "minimum", "cost", "allowed", "permitted", "spend", "pay", "reduce")
@@ -47,8 +49,8 @@ def near_duplicates(rows: DataFrame, limit: float = OVERLAP) -> DataFrame:
     return both.where(F.col("overlap") >= limit).select("question_id", F.col("chunk_id").alias("a"), "b", "overlap")
 
 
-def greedy(rows: DataFrame, limit: int, group: str = "question_id", order: str = "position", most: int = 500) -> DataFrame:
-    """Takes rows of each group in order, skips near-duplicates of taken ones, and fills up with skipped ones.
+def greedy(rows: DataFrame, limit: int, group: str = "question_id", order: str = "position", most: int = 500, fill: bool = True) -> DataFrame:
+    """Takes rows of each group in order, skips near-duplicates of taken ones, and fills up with skipped ones if asked to.
 
     rows(group, order, chunk_id, path, words). A list is walked in blocks of `most` orders; what is kept goes on to
     the next block, until the limit is filled or the group ends."""
@@ -73,19 +75,34 @@ def greedy(rows: DataFrame, limit: int, group: str = "question_id", order: str =
             start = least
         state = walked(rows.where((F.col(order) >= start) & (F.col(order) < start + most)), state)
         start += most
+    if not fill:
+        return state.select(group, F.explode("s.kept").alias("x")).select(group, F.col("x.chunk_id").alias("chunk_id"), F.col("x.o").alias(order))
     filled = state.select(group, F.concat("s.kept", F.slice("s.late", F.lit(1), F.greatest(F.lit(limit) - F.size("s.kept"), F.lit(0)))).alias("l"))
     return filled.select(group, F.explode("l").alias("x")).select(group, F.col("x.chunk_id").alias("chunk_id"), F.col("x.o").alias(order))
 
 
-def select_evidence(ranked: DataFrame, texts: DataFrame, limit: int = 12, reserve: int = 3) -> DataFrame:
-    """Up to `reserve` of the original query's best hits, then the ranked rest, without near-duplicates while others are left."""
-    own = Window.partitionBy("question_id").orderBy(F.desc("original_score"), "original_rank", "chunk_id")
-    first = ranked.withColumn("_o", F.when(F.col("original_hit"), F.row_number().over(own)))
-    turn = F.row_number().over(Window.partitionBy("question_id").orderBy(F.when(F.col("original_hit") & (F.col("_o") <= reserve), F.col("_o")).otherwise(1000), "position"))
+def _worded(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows with path and word set of their chunk; a chunk without a text is like no other."""
     words = texts.select("chunk_id", "path", F.array_distinct(terms(F.col("text"))).alias("words"))
-    rows = first.withColumn("turn", turn).join(words, "chunk_id")
-    kept = greedy(rows, limit, order="turn").select("question_id", "chunk_id")
-    return ranked.join(kept, ["question_id", "chunk_id"], "left_semi")
+    return rows.join(words, "chunk_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+
+
+def select_evidence(ranked: DataFrame, texts: DataFrame, limit: int = 12, reserve: int = 3) -> DataFrame:
+    """Up to `reserve` distinct ones of the original query's best hits, then the ranked rest, without near-duplicates while others are left.
+
+    The original hits are walked until `reserve` distinct ones are found; those passed over on the way are the first to fill up."""
+    by = ["question_id", "chunk_id"]
+    own = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("original_score"), "original_rank", "chunk_id"))
+    rows = written(_worded(ranked.select(*by, "position", "original_hit", "original_score", "original_rank"), texts))
+    hits = written(rows.where("original_hit").withColumn("o", own))
+    first = greedy(hits, min(reserve, limit), order="o", fill=False).select(*by, F.lit(True).alias("kept"))
+    walk = hits.select(*by, "o").join(first, by, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    whole = Window.partitionBy("question_id")
+    walk = walk.withColumns({"n": F.count_if("kept").over(whole), "last": F.max(F.when(F.col("kept"), F.col("o"))).over(whole)})
+    walk = walk.select(*by, "o", F.when(F.col("kept"), 0).when((F.col("n") < min(reserve, limit)) | (F.col("o") < F.col("last")), 1).otherwise(2).alias("part"))
+    turn = F.row_number().over(Window.partitionBy("question_id").orderBy("part", F.when(F.col("part") < 2, F.col("o")), "position"))
+    every = rows.join(walk, by, "left").withColumn("part", F.coalesce("part", F.lit(2))).withColumn("turn", turn)
+    return ranked.join(greedy(every, limit, order="turn").select(*by), by, "left_semi")
 
 
 def content_terms(c: Column, stop=()) -> Column:
@@ -93,11 +110,12 @@ def content_terms(c: Column, stop=()) -> Column:
 
 
 def query_aware_rank(merged: DataFrame, asked: DataFrame, texts: DataFrame, stop=()) -> DataFrame:
-    """merged with pipeline_score: the best share of any of the question's queries' terms that the text holds."""
+    """merged with pipeline_score: best score, the best share of any of the question's queries' terms that the text holds, and passage_score if there is one."""
     lists = asked.groupBy("question_id").agg(F.collect_list(content_terms(F.col("query"), stop)).alias("queries"))
     rows = merged.join(lists, "question_id").join(texts.select("chunk_id", content_terms(F.col("text"), stop).alias("t")), "chunk_id")
     share = F.array_max(F.transform("queries", lambda q: F.coalesce(F.size(F.array_intersect(q, F.col("t"))) / F.nullif(F.size(q), F.lit(0)), F.lit(0.0))))
-    out = rows.withColumn("pipeline_score", F.round(F.col("best_score") + 0.030 * share, 6)).drop("queries", "t")
+    passage = F.coalesce("passage_score", F.lit(0.0)) if "passage_score" in merged.columns else F.lit(0.0)
+    out = rows.withColumn("pipeline_score", F.round(F.col("best_score") + 0.030 * share + 0.010 * passage, 6)).drop("queries", "t")
     order = Window.partitionBy("question_id").orderBy(F.desc("pipeline_score"), F.desc("best_score"), "best_rank", "chunk_id")
     return out.withColumn("position", F.row_number().over(order))
 
@@ -107,8 +125,7 @@ def guarded_select(ranked: DataFrame, batches: DataFrame, chosen: DataFrame, tex
     best = batches.where(F.col("query_ord") <= anchors).groupBy("question_id", "query_ord").agg(F.min_by("chunk_id", F.struct("rank", "chunk_id")).alias("chunk_id")).groupBy("question_id", "chunk_id").agg(F.min("query_ord").alias("_a"))
     rows = ranked.join(best, ["question_id", "chunk_id"], "left").join(chosen.select("question_id", "chunk_id", F.col("ord").alias("_c")), ["question_id", "chunk_id"], "left")
     turn = F.row_number().over(Window.partitionBy("question_id").orderBy(F.coalesce("_a", F.lit(1000)), F.coalesce("_c", F.lit(1000)), "position"))
-    words = texts.select("chunk_id", "path", F.array_distinct(terms(F.col("text"))).alias("words"))
-    return greedy(rows.withColumn("turn", turn).join(words, "chunk_id"), limit, order="turn")
+    return greedy(_worded(rows.withColumn("turn", turn), texts), limit, order="turn")
 
 
 def procedural_anchor(candidates: DataFrame) -> DataFrame:
@@ -132,5 +149,4 @@ def rescue_merge(selected: DataFrame, rescue: DataFrame, decisions: DataFrame, t
     new = rescue.where(F.col("position") <= most).join(open_, "question_id", "left_semi").select("question_id", "chunk_id", "position")
     rows = new.unionByName(late).groupBy("question_id", "chunk_id").agg(F.min("position").alias("p"))
     turn = F.row_number().over(Window.partitionBy("question_id").orderBy("p", "chunk_id"))
-    words = texts.select("chunk_id", "path", F.array_distinct(terms(F.col("text"))).alias("words"))
-    return greedy(rows.withColumn("turn", turn).join(words, "chunk_id"), limit, order="turn")
+    return greedy(_worded(rows.withColumn("turn", turn), texts), limit, order="turn")

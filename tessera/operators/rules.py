@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
+from ..sources.shared import small, written
 
-def rule_levels(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(rule_id, level) from edges(rule_id, dep): dependency depth; level -1 marks rules on or behind a cycle."""
-    edges.createOrReplaceTempView("tessera_edges")
-    n = edges.select("rule_id").distinct().count() + 1  # the rules table is small by nature
-    return spark.sql(f"""
-        with recursive walk(rule_id, dep, depth) as (
-          select rule_id, dep, 1 from tessera_edges
-          union all select w.rule_id, e.dep, w.depth + 1 from walk w join tessera_edges e on w.dep = e.rule_id where w.depth <= {n} and e.dep is not null)
-        select rule_id, if(max(depth) > {n}, -1, max(if(dep is null, 0, depth))) as level from walk group by rule_id""")
 
+def rule_levels(edges: DataFrame) -> DataFrame:
+    """(rule_id, level) from edges(rule_id, dep): dependency depth; level -1 marks rules on or behind a cycle.
 
-def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(rule_id, ancestor): every name that a rule depends on, directly or not."""
-    edges.createOrReplaceTempView("tessera_edges")
-    n = edges.select("rule_id").distinct().count() + 1
-    return spark.sql(f"""
-        with recursive walk(rule_id, ancestor, depth) as (
-          select rule_id, dep, 1 from tessera_edges where dep is not null
-          union all select w.rule_id, e.dep, w.depth + 1 from walk w join tessera_edges e on w.ancestor = e.rule_id where w.depth <= {n} and e.dep is not null)
-        select distinct rule_id, ancestor from walk""")
+    A rule gets its level when all it depends on have one, so there are as many rounds as levels, whatever the
+    number of rules. A null dep is none; one that no rule defines is an input of level 0."""
+    rules_ = written(edges.select("rule_id").where("rule_id is not null").distinct())
+    known = rules_.select(F.col("rule_id").alias("dep"), F.lit(True).alias("inside"))
+    left = written(edges.where("rule_id is not null and dep is not null").distinct().join(known, "dep", "left").select("rule_id", "dep", "inside"))
+    done = written(rules_.join(left, "rule_id", "left_anti").withColumn("level", F.lit(0)))
+    while True:
+        level = F.when(F.col("inside"), F.col("level")).otherwise(0)
+        deps = left.join(done.withColumnRenamed("rule_id", "dep"), "dep", "left").withColumn("level", level)
+        ready = written(deps.groupBy("rule_id").agg(F.count("*").alias("n"), F.count("level").alias("m"), (F.max("level") + 1).alias("level")).where("n = m").select("rule_id", "level"))
+        if ready.isEmpty():
+            return rules_.join(done, "rule_id", "left").select("rule_id", F.coalesce("level", F.lit(-1)).alias("level"))
+        done = written(done.unionByName(ready))
+        left = written(left.join(ready, "rule_id", "left_anti"))
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(rule_id, ancestor): every name that a rule depends on, directly or not; paths double in each round."""
+    reach = written(edges.where("rule_id is not null and dep is not null").select("rule_id", F.col("dep").alias("ancestor")).distinct())
+    n = -1
+    while reach.count() != n:
+        n = reach.count()
+        further = reach.join(reach.select(F.col("rule_id").alias("ancestor"), F.col("ancestor").alias("far")), "ancestor").select("rule_id", F.col("far").alias("ancestor"))
+        reach = written(reach.unionByName(further).distinct())
+    return reach
 
 
 def fill_defaults(records: DataFrame, defaults: dict[str, object]) -> DataFrame:
@@ -46,14 +58,42 @@ def dangling(selections: DataFrame, entities: DataFrame) -> DataFrame:
     return selections.join(entities.select("entity_type", "entity_id").distinct(), ["entity_type", "entity_id"], "left_anti")
 
 
+@contextmanager
+def nulls_for_failures(spark: SparkSession):
+    """What is analysed inside gives null where it would fail at run time: a division by zero, a cast, a lookup, an overflow."""
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+
+
+def tested(rows: DataFrame, texts: list[str]) -> DataFrame:
+    """rows with `known`, a map from each SQL condition to whether it holds; one that is null or fails in any way does not.
+
+    Each text is analysed on its own first, so an unknown name or bad syntax switches off that condition alone."""
+    def boolean(t: str) -> bool:
+        try:
+            return rows.select(F.expr(t)).schema[0].dataType == BooleanType()
+        except (AnalysisException, ParseException):
+            return False
+
+    with nulls_for_failures(rows.sparkSession):
+        parts = [x for t in texts for x in (F.lit(t), F.coalesce(F.expr(t), F.lit(False)) if boolean(t) else F.lit(False))]
+        return rows.withColumn("known", F.create_map(*parts) if parts else F.create_map().cast("map<string,boolean>"))
+
+
 def resolve_modifiers(records: DataFrame, selections: DataFrame, effects: DataFrame, modifiers: list[tuple[str, float, str]]) -> DataFrame:
     """(record_id, one column for each modifier). modifiers: (name, default, sum|max|min); effects(entity_type, entity_id,
-    modifier, value, when): `when` is a SQL condition over record and row, and one that fails or is null switches the
-    effect off. Partial sums combine before the shuffle; the default takes part in every aggregate."""
-    conditions = [r.when for r in effects.where("when is not null").select("when").distinct().collect()]
-    joined = selections.join(F.broadcast(effects), ["entity_type", "entity_id"]).join(records, "record_id")
-    holds = reduce(lambda a, c: F.when(F.col("when") == c, F.coalesce(F.expr(c), F.lit(False))).otherwise(a), conditions, F.lit(True))
-    active = joined.where(holds & F.col("value").isNotNull())
+    modifier, value, when): `when` is a SQL condition over record and row, where the row's columns come before the record's; one
+    that fails or is null switches the effect off. Effects are joined, broadcast only if counted to be few; their distinct
+    condition texts, part of the rules and not of the data, are compiled into the plan. Partial sums combine before the shuffle; the
+    default takes part in every aggregate."""
+    own = [c for c in records.columns if c == "record_id" or c not in {*selections.columns, *effects.columns}]
+    joined = selections.join(small(effects), ["entity_type", "entity_id"]).join(records.select(own), "record_id")
+    texts = [r.when for r in effects.where("when is not null").select("when").distinct().orderBy("when").collect()]
+    active = tested(joined, texts).where((F.col("when").isNull() | F.try_element_at("known", F.col("when"))) & F.col("value").isNotNull())
     how = {"sum": F.sum, "max": F.max, "min": F.min}
     aggregated = active.groupBy("record_id").agg(*[how[a](F.when(F.col("modifier") == m, F.col("value"))).alias(m) for m, _, a in modifiers])
     out = records.select("record_id").join(aggregated, "record_id", "left")
@@ -63,7 +103,7 @@ def resolve_modifiers(records: DataFrame, selections: DataFrame, effects: DataFr
 
 def modifier_sources(selections: DataFrame, effects: DataFrame, entities: DataFrame) -> DataFrame:
     """(record_id, modifier, seq, value, source_name, condition): where a modifier's value comes from, in row order."""
-    rows = selections.join(F.broadcast(effects), ["entity_type", "entity_id"]).join(F.broadcast(entities), ["entity_type", "entity_id"])
+    rows = selections.join(small(effects), ["entity_type", "entity_id"]).join(small(entities), ["entity_type", "entity_id"])
     seq = F.row_number().over(Window.partitionBy("record_id", "modifier").orderBy("field", "row_no", "entity_id", "value"))
     return rows.select("record_id", "modifier", seq.alias("seq"), "value", F.coalesce("label", "name").alias("source_name"), F.col("when").alias("condition"))
 
@@ -84,12 +124,12 @@ def apply_effects(value: Column, rows: Column) -> Column:
 
 
 def eligibility(records: DataFrame, entities: DataFrame) -> DataFrame:
-    """(record_id, entity_id, eligible) from entities(entity_id, rule): each distinct rule is evaluated once for a record,
-    and every record meets every entity only through the broadcast of the small entity table."""
+    """(record_id, entity_id, eligible) from entities(entity_id, rule): a rule that is null or holds opens the entity, one that
+    fails does not. Each distinct rule text is evaluated once for a record; the answer is a row for every record and entity, so
+    records meet the list of entities as an array, not by a join of pairs."""
     texts = [r.rule for r in entities.where("rule is not null").select("rule").distinct().orderBy("rule").collect()]
-    known = F.create_map(*[x for t in texts for x in (F.lit(t), F.coalesce(F.expr(t), F.lit(False)))]) if texts else F.create_map().cast("map<string,boolean>")
-    small = F.array(*[F.struct(F.lit(r.entity_id).alias("entity_id"), F.lit(r.rule).cast("string").alias("rule")) for r in entities.select("entity_id", "rule").collect()])
-    rows = records.select("record_id", known.alias("known"), F.explode(small).alias("e"))
+    every = entities.agg(F.collect_list(F.struct("entity_id", F.col("rule").cast("string").alias("rule"))).alias("l"))
+    rows = tested(records, texts).withColumn("_e", every.scalar()).select("record_id", "known", F.explode("_e").alias("e"))
     return rows.select("record_id", F.col("e.entity_id").alias("entity_id"), F.coalesce(F.when(F.col("e.rule").isNull(), True).otherwise(F.try_element_at("known", F.col("e.rule"))), F.lit(False)).alias("eligible"))
 
 
@@ -106,7 +146,7 @@ def influence_map(effects: DataFrame, ancestors: DataFrame) -> DataFrame:
     """(record_id, field, sources): the directly affected fields that a field depends on, itself included."""
     own = effects.select("record_id", F.col("field").alias("source")).distinct()
     reach = ancestors.select(F.col("rule_id").alias("field"), F.col("ancestor").alias("source"))
-    far = own.join(F.broadcast(reach), "source").select("record_id", "field", "source")
+    far = own.join(small(reach), "source").select("record_id", "field", "source")
     return far.unionByName(own.select("record_id", F.col("source").alias("field"), "source")).groupBy("record_id", "field").agg(F.sort_array(F.collect_set("source")).alias("sources"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import EXPANSIONS, STOPWORDS
+from ..operators.evidence import CONTENT_STOP, MEDIUM, OVERLAP, STRONG
 from ..operators.inventory import TYPES
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -51,11 +52,29 @@ _SEMANTIC = """v_ as (select vec_id, 'c' || lpad(cast(vec_id as varchar), 10, '0
 sem as (select q.vec_id // 100 query_id, v.chunk_id, round(list_dot_product(q.e, v.e), 6) semantic_score from v_ q, v_ v where q.vec_id % 100 = 0),
 stop as (select *, row_number() over (partition by query_id order by semantic_score desc, chunk_id)::int semantic_rank from sem qualify semantic_rank <= 100)"""
 _FILES = """files as (select doc_id, 'doc/' || doc_id path, n_chars size, doc_id % 1000 mtime, doc_id % 13 <> 0 available, (['PDF', 'Text', 'Markdown', 'CBZ', 'Image'])[doc_id % 5 + 1] as type, doc_id % 3 = 0 scanned, doc_id % 4 = 0 ocr_current, 'Name ' || (doc_id % 100) display_name from documents)"""
-_BATCHES = """b0 as (select l_orderkey % 200 question_id, l_linenumber query_ord, 'c' || (l_partkey % 50) chunk_id, round(l_discount * l_quantity, 4) evidence_score, l_orderkey, l_extendedprice from lineitem),
-batches as (select *, row_number() over (partition by question_id, query_ord order by l_extendedprice desc, l_orderkey, chunk_id)::int rank from b0 qualify rank <= 100),
+_BATCHES = """b0 as (select o_custkey question_id, l_linenumber query_ord, 'c' || (l_partkey // 2) chunk_id, round(l_discount * l_quantity, 4) evidence_score, l_orderkey, l_extendedprice from lineitem join orders on l_orderkey = o_orderkey),
+batches as (select *, row_number() over (partition by question_id, query_ord order by l_extendedprice desc, l_orderkey, chunk_id)::int rank from b0),
 once as (select question_id, query_ord, chunk_id, min(rank) rank, arg_min(evidence_score, rank) evidence_score from batches group by all),
 merged as (select question_id, chunk_id, count(*) hits, round(sum(1.0::double / rank), 9) rr, min(rank) best_rank, max(evidence_score) best_score, bool_or(query_ord = 1) original_hit,
   max(rank) filter (where query_ord = 1) original_rank, max(evidence_score) filter (where query_ord = 1) original_score from once group by all)"""
+_RANKED = f"""{_BATCHES}, r_ as (select *, floor((best_score + 0.025::double * least(hits - 1, 3) + 0.0125::double * least(rr, 2.0::double) + case when original_hit then 0.025::double else 0.0::double end) * 1e6::double + 0.5::double) / 1e6::double rank_score from merged),
+ranked as (select *, row_number() over (partition by question_id order by rank_score desc, best_score desc, original_hit desc, best_rank, chunk_id)::int as position from r_)"""
+_CONTENT = ", ".join(f"'{w}'" for w in CONTENT_STOP)
+_HAS = lambda words: " + ".join(f"contains(low, '{w}')::int" for w in words)
+_LIKE = f"k.path = path and k.w <> [] and w <> [] and len(list_intersect(k.w, w))::double / least(len(k.w), len(w)) >= {OVERLAP}"
+
+
+def _walk(name: str, rows: str, limit: int) -> str:
+    """Greedy selection of rows(question_id, n, chunk_id, path, w) as a recursive table with kept and late ones at each n."""
+    same = f"len(list_filter(kept, lambda k: {_LIKE})) > 0"
+    this = "{'c': r.chunk_id, 'path': r.path, 'w': r.w}"
+    return f"""{name}(question_id, n, kept, late) as (
+      select question_id, 0::bigint, [{{'c': '', 'path': '', 'w': ['']}}][1:0], [''][1:0] from (select distinct question_id from {rows})
+      union all select question_id, n, case when room and not same then list_append(kept, this) else kept end, case when room and same and len(late) < {limit} then list_append(late, this.c) else late end from (
+        select s.question_id, r.n, kept, late, {this} this, r.path, r.w, len(kept) < {limit} room, {same} same from {name} s join {rows} r on r.question_id = s.question_id and r.n = s.n + 1)),
+    {name}_end as (select * from {name} qualify row_number() over (partition by question_id order by n desc) = 1)"""
+
+
 _TURNS = "turns as (select conv_id question_id, 'conv/' || conv_id path, 't' || turn chunk_id, turn, role, text from conversations)"
 _RECORDS = """records as (select c_custkey record_id, c_name as name, c_custkey % 12 as level, case when c_custkey % 9 <> 0 then c_mktsegment end archetype, c_acctbal balance, c_nationkey nation, c_custkey % 1000 updated_at, c_custkey % 4 <> 0 has_archetype from customer),
 sel as (select o_custkey record_id, l_partkey entity_id, l_orderkey * 10 + l_linenumber row_no, l_quantity quantity, l_returnflag = 'R' equipped from lineitem join orders on l_orderkey = o_orderkey),
@@ -65,13 +84,24 @@ pw as (select record_id, sum(size % 7) p from sel join ent using (entity_id) joi
 be as (select record_id, max(size) b from act group by 1),
 mods as (select record_id, 1.0 + coalesce(p, 0)::double as power, greatest(5.0, b)::double as best from records left join pw using (record_id) left join be using (record_id))"""
 
+_ROWS = """chars as (select c_custkey record_id, c_name as name, c_custkey % 12 as level, c_acctbal balance, case when c_custkey % 5 <> 0 then cast(c_nationkey as varchar) end home, c_custkey % 30 hp from customer),
+inv as (select o_custkey record_id, row_number() over (partition by o_custkey order by l_orderkey, l_linenumber, l_quantity, l_partkey, l_returnflag = 'R') - 1 row_no, case when l_linenumber < 6 then cast(l_partkey as varchar) end item, l_quantity quantity, l_returnflag = 'R' equipped, case when l_linenumber = 7 then l_linestatus end custom_name, case when l_linenumber % 2 = 0 then ' ' else l_returnflag end notes from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey),
+picks as (select record_id, 'nation' entity_type, home entity_id, 'home' field, null::int row_no, null::double quantity, null::boolean equipped from chars where home is not null
+  union all select record_id, 'part', cast(record_id % 190 + 1 as varchar), 'skills', 0, null, null from chars union all select record_id, 'part', cast(record_id * 7 % 190 + 1 as varchar), 'skills', 1, null, null from chars
+  union all select record_id, 'part', item, 'inventory', row_no, quantity, equipped from inv where item is not null)"""
+_ENTITIES = """ents as (select cast(p_partkey as varchar) entity_id, p_name as name, p_brand brand, p_size as size, string_split(p_type, ' ') tags from part)"""
+
+
+def _cited(c: str) -> str:
+    return f"list_filter(list_distinct(list_transform(regexp_extract_all({c}, '[A-Za-z0-9][A-Za-z0-9''_.+-]*'), lambda x: lower(x))), lambda x: length(x) >= 2 and x not in ({_STOP}))"
+
+
 _CASE_TYPES = "case ext " + " ".join(f"when '{k}' then '{v}'" for k, v in TYPES.items()) + " end"
 
 ORACLES: dict[str, str] = {
     "visible_documents": f"with {_PAGES} select doc_id, path, folder_name, visibility from seen",
     "scoped_documents": f"with {_PAGES} select doc_id, path, folder_name from pages_ where folder_name = 'src1' and doc_id in (select doc_id from labels where quality = 1)",
-    "keyword_search": f"""with {_PAGES}, q as (select item_id query_id, list_transform(regexp_extract_all(text, '{_TOKEN}'), lambda x: lower(x))[2:3] terms from benchmark), asked as (select query_id, terms, array_to_string(terms, ' ') phrase from q where len(terms) > 0),
-        hits as (select query_id, path, display_name, terms, phrase, lower(text) body from seen, asked where len(list_filter(terms, lambda t: not contains(lower(text), t))) = 0),
+    "keyword_search": f"""with {_PAGES}, asked as (select item_id query_id, text q, list_transform(regexp_extract_all(text, '{_TOKEN}'), lambda x: lower(x)) terms, lower(trim(text)) phrase from benchmark where len(regexp_extract_all(text, '{_TOKEN}')) > 0), hits as (select query_id, path, display_name, text, q, terms, phrase, lower(text) body from seen, asked where len(list_filter(terms, lambda t: not contains(lower(text), t))) = 0),
         s as (select *, 20 * ((length(body) - length(replace(body, phrase, ''))) // length(phrase)) + list_sum(list_transform(terms, lambda t: 3 * ((length(body) - length(replace(body, t, ''))) // length(t))))
           + case when list_max(list_transform(terms, lambda t: strpos(body, t))) - list_min(list_transform(terms, lambda t: strpos(body, t))) <= 250 then 10 else 0 end score from hits)
         select query_id, path, 1 page, score::bigint score, row_number() over (partition by query_id order by score desc, lower(display_name), path)::int rank from s qualify rank <= 100""",
@@ -93,9 +123,11 @@ ORACLES: dict[str, str] = {
     "lexical_top100": f"with {_LEXICAL} select * from ltop",
     "semantic_top100": f"with {_SEMANTIC} select * from stop",
     "rrf_fused": f"""with {_LEXICAL}, {_SEMANTIC} select query_id, chunk_id, lexical_rank, semantic_rank, round(coalesce(0.48::double / (60 + lexical_rank), 0) + coalesce(0.52::double / (60 + semantic_rank), 0), 9) hybrid_score from ltop full join stop using (query_id, chunk_id)""",
-    "vocabulary": """with e as (select 0 o, p_partkey k, p_brand v from part union all select 1, p_partkey, p_type from part) select o, k, v from (select *, row_number() over (partition by lower(v) order by o, k) n from e) where n = 1 order by o, k limit 280""",
-    "expand_queries": """with h as (select item_id, list_slice(list_sort(list(distinct n_name)), 1, 18) h from benchmark, nation where contains(lower(text), lower(substr(n_name, 1, 2))) group by 1)
-        select b.item_id query_id, text || coalesce(' ' || array_to_string(h, ' '), '') expanded from benchmark b left join h on b.item_id = h.item_id""",
+    "vocabulary": """with e as (select 0 s, p_partkey ord, trim(p_brand) v from part union all select 1, p_partkey, trim(p_type) from part), n as (select *, row_number() over (partition by lower(v) order by s, ord, v) n from e) select s, ord, v as "value" from n where n = 1 order by s, ord limit 280""",
+    "expand_queries": """with q as (select conv_id * 1000 + turn query_id, conv_id % 25 record_id, text q, ' ' || trim(regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) || ' ' said from conversations),
+        h as (select n_nationkey record_id, l, n_name || ' ' || l term, trim(regexp_replace(lower(n_name || ' ' || l), '[^a-z0-9]+', ' ', 'g')) plain from nation, (values ('the'), ('and'), ('of'), ('ing'), ('to')) v(l)),
+        m as (select query_id, string_agg(term, ' ' order by l, term) t from q join h using (record_id) where contains(said, ' ' || l || ' ') and not contains(said, ' ' || plain || ' ') group by 1)
+        select query_id, trim(q || coalesce(' ' || t, '')) expanded from q left join m using (query_id)""",
     "document_records": f"""with f as (select source, lower((['pdf', 'TXT', 'md', 'exe', 'cbz', 'webp'])[doc_id % 6 + 1]) ext, 'file ' || doc_id || '.' || (['pdf', 'TXT', 'md', 'exe', 'cbz', 'webp'])[doc_id % 6 + 1] filename, 'file ' || doc_id display_name from documents), p as (select *, 'lib/' || source || '/' || filename path, {_CASE_TYPES} kind from f)
         select source folder, path, filename, display_name, kind as type, substr(sha256(path), 1, 24) doc_key, case when path = 'lib/src2/file 2.md' then 'players' when source = 'src2' then 'gm' else 'players' end visibility, case when path = 'lib/src2/file 2.md' then 'players' else 'inherit' end visibility_override from p where kind is not null""",
     "dedupe_documents": """with d as (select 'Folder' || (doc_id % 7) folder, 'p' || (doc_id // 3) path, doc_id source_ord from documents), a as (select * from d qualify row_number() over (partition by folder, path order by source_ord desc) = 1)
@@ -121,14 +153,13 @@ ORACLES: dict[str, str] = {
           from f join ev on ev.user_id = f.user_id and ev.n = f.n + 1)
         select user_id library_id, l library_rev, t text_rev, c chunk_rev, e embedding_rev, e <> l needs_update from f qualify row_number() over (partition by user_id order by n desc) = 1""",
     "batch_merge": f"with {_BATCHES} select * from merged",
-    "evidence_rank": f"""with {_BATCHES}, r as (select *, floor((best_score + 0.025::double * least(hits - 1, 3) + 0.0125::double * least(rr, 2.0::double) + case when original_hit then 0.025::double else 0.0::double end) * 1e6::double + 0.5::double) / 1e6::double rank_score from merged)
-        select question_id, chunk_id, rank_score, row_number() over (partition by question_id order by rank_score desc, best_score desc, original_hit desc, best_rank, chunk_id)::int as position from r""",
+    "evidence_rank": f"with {_RANKED} select question_id, chunk_id, rank_score, position from ranked",
     "near_duplicates": f"""with {_TURNS}, w as (select question_id, path, chunk_id, list_distinct(list_transform(regexp_extract_all(text, '{_TOKEN}'), lambda x: lower(x))) w from turns),
         p as (select a.question_id, a.chunk_id a, b.chunk_id b, round(coalesce(len(list_intersect(a.w, b.w))::double / nullif(least(len(a.w), len(b.w)), 0), 0), 6) as overlap from w a join w b on a.question_id = b.question_id and a.path = b.path and a.chunk_id < b.chunk_id) select * from p where overlap >= 0.5""",
     "decisions": r"""with t as (select conv_id, turn, upper(regexp_replace(regexp_replace((['**Yes**, ', 'no - ', 'Nothing ', ''])[turn % 4 + 1] || text, '[^A-Za-z_ ]+', ' ', 'g'), '^\s+|\s+$', '', 'g')) p from conversations) select conv_id, turn, case when regexp_matches(p, '^YES\b') then 'YES' when regexp_matches(p, '^NO\b') then 'NO' else 'CANNOT_DETERMINE' end decision from t""",
     "answer_claims": r"""with a as (select conv_id * 1000 + turn answer_id, replace(text, '. ', ' [' || (turn % 3 + 1) || '].' || chr(10)) t from conversations where role = 'assistant'), l as (select answer_id, unnest(ls) line, generate_subscripts(ls, 1) - 1 line_no from (select answer_id, string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10)) ls from a)),
         c as (select answer_id, line_no, line, trim(regexp_replace(regexp_replace(regexp_replace(line, '\[(\d{1,2})\]', ' ', 'g'), '[*_`#>]+', ' ', 'g'), '\s+', ' ', 'g')) claim from l) select answer_id, line_no::int line_no, unnest(regexp_extract_all(line, '\[(\d{1,2})\]', 1))::int source_no, claim from c where claim <> ''""",
-    "numbered_sources": """with n as (select conv_id question_id, turn, row_number() over (partition by conv_id order by turn, 't' || turn) n, role, substr(text, 1, 80) b from conversations)
+    "numbered_sources": """with n as (select conv_id question_id, turn, row_number() over (partition by conv_id order by turn, 't' || turn) n, role, text b from conversations)
         select question_id, string_agg('[' || n || '] Turn of ' || role || case when turn > 0 then ', page ' || turn else '' end || chr(10) || b, chr(10) || chr(10) order by n) prompt from n group by 1""",
     "record_defaults": f"with {_RECORDS} select record_id, level, case when has_archetype then archetype else 'Adventurer' end archetype from records",
     "record_issues": f"""with {_RECORDS} select record_id, 'level_range' rule_id, 'error' severity, 'level out of range' message from records where level < 1 or level > 10
@@ -149,16 +180,75 @@ ORACLES: dict[str, str] = {
     "migrate_records": f"with {_RECORDS} select record_id, name, level::double as level, case when balance = floor(balance) then balance::bigint else 0 end balance, 'migrated' note, case when balance <> floor(balance) then 'balance: reset|' else '' end || 'archetype: removed' warnings from records",
     "rule_audit": """with e as (select 'r' || p_partkey rule_id, 'r' || (p_partkey + p_size * 100) dep from part), k as (select 'f' || (p_partkey % 150) as name from part)
         select distinct rule_id, 'unknown_reference' problem, dep as name from e where dep not in (select rule_id from e) union all select name, 'duplicate_id', name from k group by name having count(*) > 1""",
-    "rule_levels": """with recursive e as (select cast(p_partkey as varchar) rule_id, case when p_partkey > 1 then cast(p_partkey // 2 as varchar) end dep from part where p_partkey <= 500), w as (select rule_id, dep, 1 depth from e union all select w.rule_id, e.dep, depth + 1 from w join e on w.dep = e.rule_id)
+    "rule_levels": """with recursive e as (select cast(p_partkey as varchar) rule_id, case when p_partkey > 1 then cast(p_partkey // 2 as varchar) end dep from part), w as (select rule_id, dep, 1 depth from e union all select w.rule_id, e.dep, depth + 1 from w join e on w.dep = e.rule_id)
         select rule_id, max(case when dep is null then 0 else depth end)::int as level from w group by 1""",
-    "influence_map": """with recursive e as (select cast(p_partkey as varchar) rule_id, cast(p_partkey // 2 as varchar) dep from part where p_partkey between 2 and 80), w as (select rule_id, dep from e union select w.rule_id, e.dep from w join e on w.dep = e.rule_id),
-        own as (select distinct user_id record_id, cast(event_id % 40 + 1 as varchar) f from events), a as (select record_id, rule_id field, f from own join w on w.dep = f union select record_id, f, f from own) select record_id, field, string_agg(f, ',' order by f) sources from a group by all""",
-    "coerced": "select event_id, try_cast(props->>'$.k' as bigint) k, nullif(trim(event_type), '') kind, cast(null as double) bad from events",
+    "influence_map": """with recursive e as (select cast(p_partkey as varchar) rule_id, cast(p_partkey // 2 as varchar) dep from part where p_partkey >= 2), w as (select rule_id, dep from e union select w.rule_id, e.dep from w join e on w.dep = e.rule_id),
+        own as (select distinct user_id record_id, cast(event_id * 7919 % (select count(*) from part) + 1 as varchar) f from events), a as (select record_id, rule_id field, f from own join w on w.dep = f union select record_id, f, f from own) select record_id, field, string_agg(f, ',' order by f) sources from a group by all""",
+    "coerced": "with forms as (select c_custkey record_id, case when c_custkey % 3 <> 0 then c_name end as name, case when c_custkey % 4 = 0 then ' ' when c_custkey % 7 = 0 then '7a' else cast(c_custkey % 20 as varchar) end as level, c_custkey % 6 = 0 bad, c_acctbal balance, c_custkey % 2 = 0 active, c_mktsegment || '|' || c_name skills, (c_custkey % 9)::double hp, case when c_custkey % 5 <> 0 then 10.0::double end hp_max from customer) select record_id, coalesce(name, '') as name, try_cast(nullif(trim(level), '') as bigint) as level, case when not bad then balance end balance, active, skills, hp, hp_max from forms",
     "entities_issues": r"""with r as (select 'part' entity_type, case when p_partkey % 40 = 0 then 'Bad ' else 'p' end || (p_partkey % 1500) id, case when p_partkey % 33 <> 0 then p_name end as name, p_partkey ord from part), n as (select *, row_number() over (partition by entity_type, id order by ord) n from r)
         select entity_type, id, ord, case when id like 'Bad %' then 'bad id' when coalesce(trim(name), '') = '' then 'empty name' else 'duplicate id' end problem from n where id like 'Bad %' or coalesce(trim(name), '') = '' or n > 1""",
     "import_records": "select c_mktsegment as owner, cast(c_custkey as varchar) record_id, case when c_custkey % 3 = 0 then 0.0 else c_acctbal end::double balance from customer where c_custkey % 3 = 0 or c_custkey % 2 = 0",
-    "records_for": """with n as (select *, n_nationkey = min(n_nationkey) over (partition by n_regionkey) gm from nation) select v.n_nationkey viewer, count(*) records, count(*) filter (where v.n_nationkey = c_nationkey) own_records from customer join nation o on c_nationkey = o.n_nationkey join n v on v.n_regionkey = o.n_regionkey where gm or v.n_nationkey = c_nationkey group by 1""",
-    "autofill": f"with {_RECORDS} select l_orderkey, l_linenumber, l_partkey, coalesce(case when l_linenumber > 2 then l_returnflag end, brand) note from lineitem left join ent on entity_id = l_partkey",
-    "search_hints": f"with {_RECORDS}, m as (select record_id, ent.name, min(row_no) f from sel join ent using (entity_id) group by all) select record_id, row_number() over (partition by record_id order by f, name)::int n, name from m qualify n <= 24",
-    "rendered_records": f"""with {_RECORDS} select record_id, 'Name: ' || name || chr(10) || 'Level: ' || level || chr(10) || 'Nation: ' || n_name || coalesce(chr(10) || 'Archetype: ' || archetype, '') as text from records join nation on n_nationkey = nation""",
+    "records_for": """with n as (select *, n_nationkey = min(n_nationkey) over (partition by n_regionkey) gm from nation) select v.n_nationkey viewer, v.n_nationkey = c_nationkey own, c_custkey from customer join nation o on c_nationkey = o.n_nationkey join n v on v.n_regionkey = o.n_regionkey where gm or v.n_nationkey = c_nationkey""",
+    "autofill": "select l_orderkey, l_linenumber, l_partkey, coalesce(case when l_linenumber > 2 then nullif(trim(l_returnflag), '') end, case when p_partkey % 17 <> 0 then p_brand end) note from lineitem left join part on p_partkey = l_partkey",
+    "search_hints": f"""with {_ROWS}, {_ENTITIES}, m as (select record_id, field, lower(trim(name)) l, min({{'r': coalesce(row_no, -1), 'n': name}}) f from picks join ents using (entity_id) where entity_type = 'part' group by all)
+        select record_id, field, row_number() over (partition by record_id, field order by f.r, f.n)::int n, trim(f.n) as name from m qualify n <= 24""",
+    "rendered_records": f"""with {_ROWS}, i as (select record_id, string_agg(chr(10) || '  - ' || concat_ws(', ', 'item: ' || item, 'quantity: ' || quantity, 'equipped: ' || equipped, 'custom_name: ' || custom_name, 'notes: ' || notes), '' order by row_no) t from inv group by 1)
+        select record_id, concat_ws(chr(10), 'Name: ' || name, 'Level: ' || level, 'Home: ' || n_name, 'Skills: ' || (record_id % 190 + 1) || ', ' || (record_id * 7 % 190 + 1), 'Hit points: ' || hp::double || '/' || (hp + 2)::double, 'Inventory:' || t) as text from chars left join nation on cast(n_nationkey as varchar) = home left join i using (record_id)""",
+    "snippet_search": f"""with {_PAGES}, asked as (select item_id query_id, text q, list_transform(regexp_extract_all(text, '{_TOKEN}'), lambda x: lower(x)) terms, lower(trim(text)) phrase from benchmark where len(regexp_extract_all(text, '{_TOKEN}')) > 0), hits as (select query_id, path, display_name, text, q, terms, phrase, lower(text) body from pages_, asked where len(list_filter(terms, lambda t: not contains(lower(text), t))) = 0),
+        s as (select *, 20 * ((length(body) - length(replace(body, phrase, ''))) // length(phrase)) + list_sum(list_transform(terms, lambda t: 3 * ((length(body) - length(replace(body, t, ''))) // length(t))))
+          + case when list_max(list_transform(terms, lambda t: strpos(body, t))) - list_min(list_transform(terms, lambda t: strpos(body, t))) <= 250 then 10 else 0 end score from hits),
+        at_ as (select *, row_number() over (partition by query_id order by score desc, lower(display_name), path)::int rank, case when strpos(body, phrase) > 0 then strpos(body, phrase) - 1 else coalesce(list_min(list_filter(list_transform(terms, lambda t: strpos(body, t)), lambda i: i > 0)) - 1, 0) end at_ from s),
+        ab as (select *, greatest(0, at_ - 180) a, least(length(text), at_ + length(trim(q)) + 180) b from at_ where rank <= 10)
+        select query_id, path, rank, case when a > 0 then '…' else '' end || trim(regexp_replace(substr(text, a + 1, b - a), '\\s+', ' ', 'g')) || case when b < length(text) then '…' else '' end snippet from ab""",
+    "evidence_select": f"""with recursive {_RANKED}, t as (select 'c' || doc_id chunk_id, concat_ws('/', source, lang) path, list_distinct(list_transform(regexp_extract_all(text, '{_TOKEN}'), lambda x: lower(x))) w from documents),
+        rw as (select ranked.*, path, coalesce(w, []) w from ranked left join t using (chunk_id)), own as (select *, row_number() over (partition by question_id order by original_score desc, original_rank, chunk_id) n from rw where original_hit),
+        {_walk("g1", "own", 3)}, kept1 as (select question_id, unnest(kept).c chunk_id from g1_end),
+        o as (select own.question_id, own.chunk_id, n, k.chunk_id is not null kept from own left join kept1 k on k.question_id = own.question_id and k.chunk_id = own.chunk_id),
+        p as (select *, case when kept then 0 when count(*) filter (where kept) over q < 3 or n < max(n) filter (where kept) over q then 1 else 2 end part from o window q as (partition by question_id)),
+        rows_ as (select rw.question_id, rw.chunk_id, rw.path, rw.w, row_number() over (partition by rw.question_id order by coalesce(part, 2), case when coalesce(part, 2) < 2 then p.n end, position) n from rw left join p on p.question_id = rw.question_id and p.chunk_id = rw.chunk_id),
+        {_walk("g2", "rows_", 12)}, chosen as (select question_id, unnest(list_concat(list_transform(kept, lambda k: k.c), late[1 : 12 - len(kept)])) chunk_id from g2_end)
+        select question_id, chunk_id, rank_score from ranked join chosen using (question_id, chunk_id)""",
+    "query_aware_rank": f"""with c as (select conv_id question_id, 'conv/' || conv_id || '/t' || turn chunk_id, turn, role, round(length(text) / 10000.0::double, 6) best_score, length(text) % 10 / 10.0::double passage, list_filter(list_distinct(list_transform(regexp_extract_all(text, '{_TOKEN}'), lambda x: lower(x))), lambda x: length(x) >= 3 and x not in ({_CONTENT})) w from conversations),
+        q as (select question_id, w q from c where role = 'user'), s as (select c.question_id, c.chunk_id, max(coalesce(len(list_intersect(q, w))::double / nullif(len(q), 0), 0)) share from c join q using (question_id) group by all),
+        p as (select question_id, chunk_id, turn, best_score, round(best_score + 0.030::double * share + 0.010::double * passage, 6) pipeline_score from c join s using (question_id, chunk_id))
+        select question_id, chunk_id, pipeline_score, row_number() over (partition by question_id order by pipeline_score desc, best_score desc, turn, chunk_id)::int as position from p""",
+    "procedural_anchor": f"""with c as (select source || '/' || (doc_id % 50) question_id, lpad(cast(doc_id as varchar), 10, '0') chunk_id, n_chars score, regexp_replace(lower(coalesce(text, '') || (['', ' You can buy it.', ' A player may  pay the cost.', ' This must not exceed the maximum', ' Unless required, it is allowed.', '', ''])[doc_id % 7 + 1]), '\\s+', ' ', 'g') low from documents),
+        h as (select *, {_HAS(STRONG)} strong, {_HAS(MEDIUM)} medium from c) select question_id, chunk_id, (strong * 4 + medium)::int total, strong::int strong, medium::int medium from h where strong + medium > 0
+        qualify row_number() over (partition by question_id order by strong * 4 + medium desc, strong desc, medium desc, score desc, chunk_id) = 1""",
+    "citation_excerpts": f"""with raw as (select conv_id * 1000 + turn answer_id, text, role, turn from conversations), a as (select answer_id, replace(text, '. ', ' [' || (turn % 3 + 1) || '].' || chr(10)) t from raw where role = 'assistant'),
+        l as (select answer_id, unnest(ls) line, generate_subscripts(ls, 1) - 1 line_no from (select answer_id, string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10)) ls from a)),
+        c as (select answer_id, line_no, unnest(regexp_extract_all(line, '\\[(\\d{{1,2}})\\]', 1))::int source_no, trim(regexp_replace(regexp_replace(regexp_replace(line, '\\[(\\d{{1,2}})\\]', ' ', 'g'), '[*_`#>]+', ' ', 'g'), '\\s+', ' ', 'g')) claim from l),
+        ct as (select answer_id, line_no, source_no, {_cited('claim')} c from c where claim <> ''), src as (select answer_id, unnest([1, 2, 3]) source_no, text from raw),
+        ps as (select answer_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+|' || chr(1)), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: length(p) >= 20) ps from raw where answer_id in (select answer_id from ct)),
+        pw as (select answer_id, i, k, array_to_string(ps[i : i + k], ' ') p from (select answer_id, ps, unnest(range(1, len(ps) + 1)) i from ps), (values (0), (1), (2)) v(k) where i + k <= len(ps)),
+        pt as (select answer_id, i, k, p, {_cited('p')} t from pw where length(p) <= 700),
+        sc as (select ct.answer_id, source_no, line_no, i, k, p, len(list_intersect(c, t))::double b, len(c) nc, len(t) nt, list_filter(c, lambda x: length(x) >= 5 or regexp_matches(x, '\\d')) sp, t from ct join pt on ct.answer_id = pt.answer_id),
+        s2 as (select *, round(b / nc * 0.82 + b / nt * 0.18 + coalesce(0.25 * len(list_intersect(sp, t)) / nullif(len(sp), 0), 0), 6) score from sc where b > 0),
+        best as (select answer_id, source_no, score, p from s2 where score > 0 qualify row_number() over (partition by answer_id, source_no order by score desc, line_no, i, k) = 1)
+        select src.answer_id, src.source_no, coalesce(score, 0.0)::double score, case when score >= 0.2 then substr(p, 1, 700) else substr(trim(text), 1, 520) end citation_excerpt from src left join best on best.answer_id = src.answer_id and best.source_no = src.source_no""",
+    "html_pages": r"""with a as (select page_id, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<!--.*?-->', ' ', 'g') t from pages), b as (select page_id, regexp_replace(regexp_replace(t, '(?i)</(p|div|li|tr|h[1-6]|ul|nav|table)>|<br\s*/?>', chr(10), 'g'), '<[^>]*>', ' ', 'g') t from a),
+        c as (select page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') t from b)
+        select page_id, trim(regexp_replace(regexp_replace(t, '[ \t\r\f]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g')) as text from c""",
+    "coerce_issues": "with forms as (select c_custkey record_id, case when c_custkey % 3 <> 0 then c_name end as name, case when c_custkey % 4 = 0 then ' ' when c_custkey % 7 = 0 then '7a' else cast(c_custkey % 20 as varchar) end as level, c_custkey % 6 = 0 bad, c_acctbal balance, c_custkey % 2 = 0 active, c_mktsegment || '|' || c_name skills, (c_custkey % 9)::double hp, case when c_custkey % 5 <> 0 then 10.0::double end hp_max from customer) select record_id, 'level' field, 'not a number of kind integer' message from forms where level = '7a' union all select record_id, 'balance', 'not a number of kind decimal' from forms where bad",
+    "selections": f"with {_ROWS} select record_id, entity_type, entity_id, field, row_no::int row_no, quantity, equipped from picks",
+    "record_functions": f"""with {_ROWS}, s as (select record_id, round(sum(quantity), 4) quantity, round(sum(quantity) filter (where equipped), 4) worn, count(*) filter (where equipped) n_worn, count(*) filter (where trim(notes) <> '') noted, count(*) filter (where equipped and trim(notes) <> '') worn_noted from inv group by 1)
+        select record_id, round_even(level / 2.0::double, 0)::bigint half, 2 skills, length(name)::int letters, 0 "none", coalesce(quantity, 0.0)::double quantity, 0.0::double no_number, coalesce(worn, 0.0)::double worn, coalesce(n_worn, 0)::int n_worn, coalesce(noted, 0)::int noted, coalesce(worn_noted, 0)::int worn_noted, (hp + 2)::double "most" from chars left join s using (record_id)""",
+    "explanations": f"""with {_MODIFIERS}, q as (select record_id, round(sum(quantity), 4) load from sel group by 1), x as (select record_id, level, power, coalesce(load, 0) load, level * 2 + power - coalesce(load, 0) ps from records join mods using (record_id) left join q using (record_id)),
+        src as (select record_id, count(*) n, arg_min(case when size % 2 = 0 then 'Size ' || size else name end, row_no * 10000000 + entity_id) f from sel join ent using (entity_id) group by 1)
+        select record_id, 'power_score' rule_id, 0 term_no, 'Level * 2' as label, (level * 2)::double as "value", 0 n_sources, null::varchar first_source from x union all select record_id, 'power_score', 1, 'Power', power, coalesce(n, 0)::int, f from x left join src using (record_id)
+        union all select record_id, 'power_score', 2, 'Load', -load::double, 0, null from x union all select record_id, 'rank', 0, 'Power Score / Level', round(ps / nullif(level, 0), 6)::double, 0, null from x""",
+    "explanation_inputs": f"""with {_MODIFIERS}, x as (select record_id, level, power, (level * 2 + power)::bigint ps from records join mods using (record_id))
+        select record_id, 'power_score' rule_id, 0 input_no, 'level' id, 'Level' as label, 'field' kind, level::double as "value" from x union all select record_id, 'power_score', 1, 'power', 'Power', 'modifier', power from x union all select record_id, 'rank', 0, 'power_score', 'Power Score', 'calculated', ps::double from x""",
+    "selected_ineligible": f"""with {_ROWS}, {_ENTITIES}, x as (select p.record_id, field, entity_id, e.name, size, level from picks p join ents e using (entity_id) join chars c on c.record_id = p.record_id where entity_type = 'part' and field = 'skills' and size % 4 <> 3)
+        select record_id, field, entity_id, 'error' severity, name || ' is not eligible. ' || case when size % 3 = 0 then 'Too early.' else 'Requirements are not met.' end message from x where not coalesce(case size % 4 when 0 then level >= 6 when 1 then 100.0::double / nullif(level, 0) > 20 else false end, false)""",
+    "limits_where": f"""with {_ROWS}, {_ENTITIES}, c as (select record_id, count(*) n from picks join ents using (entity_id) where field = 'inventory' and list_contains(tags, 'BRASS') and brand = 'Brand#11' group by 1), m as (select record_id, coalesce(n, 0) n, (1 + floor(level / 4))::bigint m from chars left join c using (record_id))
+        select record_id, 'brass' limit_id, n as count, m maximum, greatest(m - n, 0) remaining, greatest(n - m, 0) over_by, case when n > m then 'error' when m - n between 1 and 1 then 'warning' end severity from m""",
+    "final_changes": f"with {_RECORDS}, a as (select record_id, balance, case when level % 2 = 0 then level // 2 + 1 end as level from records) select record_id, level, round(balance + level, 2) balance from a",
+    "rules_in_scope": """with recursive e as (select p_partkey k, case when p_partkey > 1 then p_partkey // 2 end dep from part), st as (select p_partkey k, p_size % 6 step from part where p_partkey between 8 and 64), c as (select * from e where dep is not null and k not in (select k from st)),
+        w as (select k, dep from c union select w.k, c.dep from w join c on w.dep = c.k), n as (select w.k, max(step) s from w join st on st.k = w.dep group by 1)
+        select p_partkey % 10 record_id, cast(p_partkey as varchar) rule_id, p_name message from part left join n on n.k = p_partkey where coalesce(s, 2) <= 2""",
+    "placeholder_rows": f"""with {_ROWS}, l as (select record_id, count(*) n, count(*) filter (where coalesce(item, '') <> '' or coalesce(trim(custom_name), '') <> '' or not coalesce(quantity = 1, true) or coalesce(equipped, false) or coalesce(notes, '') <> '') k from inv group by 1) select record_id, coalesce(k, -1)::int "left", coalesce(n, -1)::int all_rows from chars left join l using (record_id)""",
+    "effective_values": """with recursive o as (select o_custkey r, (['add', 'multiply', 'subtract'])[o_orderkey % 3 + 1] op, (o_orderkey % 4)::double v, row_number() over (partition by o_custkey order by o_orderkey) n from orders qualify n <= 3),
+        f as (select c_custkey r, 0::bigint n, (c_custkey % 12 * 2)::double x from customer union all select f.r, o.n, case op when 'add' then x + v when 'subtract' then x - v else x * v end from f join o on o.r = f.r and o.n = f.n + 1)
+        select r record_id, x base, x + 10 total from f qualify row_number() over (partition by r order by n desc) = 1""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunking, text
-from ..operators import citations, evidence, incremental, inventory, retrieval, rules, search
+from ..operators import citations, evidence, incremental, inventory, records, retrieval, rules, search
 from ..sources import corpus
 from ..sources.shared import written
 
@@ -46,10 +46,16 @@ def files_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batches_of(spark: SparkSession, d: str) -> DataFrame:
-    """lineitem as retrieval batches: a customer-sized question, line numbers as its queries."""
-    li = table(spark, d, "lineitem").select((F.col("l_orderkey") % 200).alias("question_id"), F.col("l_linenumber").alias("query_ord"), F.concat(F.lit("c"), (F.col("l_partkey") % 50).cast("string")).alias("chunk_id"), F.round(F.col("l_discount") * F.col("l_quantity"), 4).alias("evidence_score"), "l_orderkey", "l_extendedprice")
+    """lineitem as retrieval batches: a customer's question, line numbers as its queries, two parts to a chunk."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("question_id"))
+    li = table(spark, d, "lineitem").join(o, "l_orderkey").select("question_id", F.col("l_linenumber").alias("query_ord"), F.concat(F.lit("c"), F.expr("l_partkey div 2").cast("string")).alias("chunk_id"), F.round(F.col("l_discount") * F.col("l_quantity"), 4).alias("evidence_score"), "l_orderkey", "l_extendedprice")
     rank = F.row_number().over(Window.partitionBy("question_id", "query_ord").orderBy(F.desc("l_extendedprice"), "l_orderkey", "chunk_id"))
-    return li.withColumn("rank", rank).where("rank <= 100").select("question_id", "query_ord", (F.col("query_ord") == 1).alias("is_original"), "rank", "chunk_id", "evidence_score")
+    return li.withColumn("rank", rank).select("question_id", "query_ord", (F.col("query_ord") == 1).alias("is_original"), "rank", "chunk_id", "evidence_score")
+
+
+def texts_of(spark: SparkSession, d: str) -> DataFrame:
+    """documents as the texts of chunks, those of a source and language under one path."""
+    return table(spark, d, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.concat_ws("/", "source", "lang").alias("path"), "text")
 
 
 def turns_of(spark: SparkSession, d: str) -> DataFrame:
@@ -80,6 +86,21 @@ def effects_of(spark: SparkSession, d: str) -> DataFrame:
     return power.unionByName(best)
 
 
+SLOTS = [("home", "reference", "nation", None), ("skills", "multi_reference", "part", None), ("inventory", "collection", "part", "item")]
+
+
+def characters_of(spark: SparkSession, d: str) -> DataFrame:
+    """customers as records with a reference, a list and a collection: order lines are their inventory, by order and line."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("record_id"))
+    row = F.struct("l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), "l_partkey", F.when(F.col("l_linenumber") < 6, F.col("l_partkey").cast("string")).alias("item"), (F.col("l_returnflag") == "R").alias("equipped"), F.when(F.col("l_linenumber") == 7, F.col("l_linestatus")).alias("custom_name"), F.when(F.col("l_linenumber") % 2 == 0, F.lit(" ")).otherwise(F.col("l_returnflag")).alias("notes"))
+    rows = table(spark, d, "lineitem").join(o, "l_orderkey").groupBy("record_id").agg(F.sort_array(F.collect_list(row)).alias("l"))
+    items = F.transform("l", lambda r: F.struct(r.item.alias("item"), r.quantity.alias("quantity"), r.equipped.alias("equipped"), r.custom_name.alias("custom_name"), r.notes.alias("notes")))
+    key = F.col("c_custkey")
+    c = table(spark, d, "customer").join(rows, F.col("c_custkey") == F.col("record_id"), "left")
+    return c.select(key.alias("record_id"), F.col("c_name").alias("name"), (key % 12).alias("level"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("archetype"), F.when(key % 5 != 0, F.col("c_nationkey").cast("string")).alias("home"),
+                    F.array((key % 190 + 1).cast("string"), (key * 7 % 190 + 1).cast("string")).alias("skills"), records.resource(key % 30, key % 30 + 2).alias("hit_points"), items.alias("inventory"))
+
+
 # ---- queries --------------------------------------------------------------------------------------
 
 def visible_documents(spark, d):
@@ -92,13 +113,11 @@ def scoped_documents(spark, d):
 
 
 def keyword_search(spark, d):
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(text.terms(F.col("text")), 2, 2), " ").alias("query"))
-    return search.keyword_search(search.visible(pages_of(spark, d), "players"), asked).select("query_id", "path", "page", "score", "rank")
+    return search.keyword_search(search.visible(pages_of(spark, d), "players"), queries_of(spark, d)).select("query_id", "path", "page", "score", "rank")
 
 
 def snippet_search(spark, d):
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(text.terms(F.col("text")), 2, 2), " ").alias("query"))
-    return search.keyword_search(pages_of(spark, d), asked, 10).select("query_id", "path", "rank", "snippet")
+    return search.keyword_search(pages_of(spark, d), queries_of(spark, d), 10).select("query_id", "path", "rank", "snippet")
 
 
 def doc_terms_top(spark, d):
@@ -180,22 +199,21 @@ def retrieve(spark, d):
 
 
 def retrieval_report(spark, d):
-    return evidence_ranked(spark, d).groupBy("query_id").agg(F.count("*").alias("hits"), F.max("evidence_score").alias("best"), F.round(F.avg("passage_score"), 6).alias("mean_passage"))
+    return records.retrieval_diagnostics(retrieval.final_rank(_scored(spark, d)))
 
 
 def vocabulary(spark, d):
     p = table(spark, d, "part")
-    every = p.select(F.lit(0).alias("o"), F.col("p_partkey").alias("k"), F.col("p_brand").alias("v")).union(p.select(F.lit(1), "p_partkey", "p_type"))
-    first = F.row_number().over(Window.partitionBy(F.lower("v")).orderBy("o", "k"))
-    return every.withColumn("n", first).where("n = 1").orderBy("o", "k").limit(280).select("o", "k", "v")
+    return records.vocabulary([p.select(F.col("p_partkey").alias("ord"), F.col(c).alias("value")) for c in ("p_brand", "p_type")])
 
 
 def expand_queries(spark, d):
-    """Questions with the names of the languages' documents: a hint is added where its label occurs in the question."""
-    hints = table(spark, d, "nation").select(F.lower(F.substring("n_name", 1, 2)).alias("label"), F.col("n_name").alias("hint"))
-    q = queries_of(spark, d)
-    hit = q.join(F.broadcast(hints), F.lower("query").contains(F.col("label"))).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set("hint")), 1, 18).alias("hints"))
-    return q.join(hit, "query_id", "left").select("query_id", F.concat_ws(" ", "query", F.array_join("hints", " ")).alias("expanded"))
+    """Conversations as questions of a record: the source's documents lend their languages as terms."""
+    q = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), (F.col("conv_id") % 25).alias("record_id"), F.col("text").alias("query"))
+    n = table(spark, d, "nation")
+    words = F.array(*[F.lit(w) for w in ("the", "and", "of", "ing", "to")])
+    hints = n.select(F.col("n_nationkey").alias("record_id"), F.explode(F.transform(words, lambda w: F.struct(w.alias("label"), F.concat(F.col("n_name"), F.lit(" "), w).alias("term")))).alias("x")).select("record_id", "x.*")
+    return records.expand_query_with_record(q, hints).select("query_id", "expanded")
 
 
 def document_records(spark, d):
@@ -293,20 +311,22 @@ def near_duplicates(spark, d):
 
 
 def evidence_select(spark, d):
-    texts = table(spark, d, "documents").where("doc_id < 50").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.lit("p").alias("path"), "text")
-    return evidence.select_evidence(evidence.evidence_rank(evidence.merge_batches(batches_of(spark, d))), texts).select("question_id", "chunk_id", "rank_score")
+    ranked = evidence.evidence_rank(evidence.merge_batches(batches_of(spark, d)))
+    return evidence.select_evidence(ranked, texts_of(spark, d)).select("question_id", "chunk_id", "rank_score")
 
 
 def query_aware_rank(spark, d):
     """Conversations as questions: user turns ask, all turns are candidates."""
     t = turns_of(spark, d)
     texts = t.select(F.concat_ws("/", "path", "chunk_id").alias("chunk_id"), "path", "text")
-    merged = t.select("question_id", F.concat_ws("/", "path", "chunk_id").alias("chunk_id"), F.round(F.length("text") / 10000, 6).alias("best_score"), F.col("turn").alias("best_rank"))
+    merged = t.select("question_id", F.concat_ws("/", "path", "chunk_id").alias("chunk_id"), F.round(F.length("text") / 10000, 6).alias("best_score"), F.col("turn").alias("best_rank"), (F.length("text") % 10 / 10).alias("passage_score"))
     return evidence.query_aware_rank(merged, t.where("role = 'user'").select("question_id", F.col("text").alias("query")), texts).select("question_id", "chunk_id", "pipeline_score", "position")
 
 
 def procedural_anchor(spark, d):
-    c = table(spark, d, "documents").select(F.col("source").alias("question_id"), F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("chunk_id"), F.col("n_chars").alias("score"), "text")
+    """documents of a source as candidates; by their number some end with a clause of a procedure."""
+    clause = F.element_at(F.array(*[F.lit(x) for x in ("", " You can buy it.", " A player may  pay the cost.", " This must not exceed the maximum", " Unless required, it is allowed.", "", "")]), (F.col("doc_id") % 7 + 1).cast("int"))
+    c = table(spark, d, "documents").select(F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")).alias("question_id"), F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("chunk_id"), F.col("n_chars").alias("score"), F.concat(F.coalesce("text", F.lit("")), clause).alias("text"))
     return evidence.procedural_anchor(c).select("question_id", "chunk_id", "total", "strong", "medium")
 
 
@@ -330,7 +350,7 @@ def citation_excerpts(spark, d):
 
 
 def numbered_sources(spark, d):
-    return citations.numbered_sources(turns_of(spark, d).select("question_id", "chunk_id", F.col("turn").alias("rank"), F.col("turn").alias("page"), F.concat(F.lit("Turn of "), "role").alias("display_name"), F.substring("text", 1, 80).alias("text")))
+    return citations.numbered_sources(turns_of(spark, d).select("question_id", "chunk_id", F.col("turn").alias("rank"), F.col("turn").alias("page"), F.concat(F.lit("Turn of "), "role").alias("display_name"), "text"))
 
 
 def record_defaults(spark, d):
@@ -376,17 +396,18 @@ def temporary_effects(spark, d):
 
 
 def _edges(spark, d):
-    """part keys as rules that depend on the part of half the number."""
-    return table(spark, d, "part").where("p_partkey <= 500").select(F.col("p_partkey").cast("string").alias("rule_id"), F.when(F.col("p_partkey") > 1, F.expr("p_partkey div 2").cast("string")).alias("dep"))
+    """parts as rules that depend on the part of half the number."""
+    return table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("rule_id"), F.when(F.col("p_partkey") > 1, F.expr("p_partkey div 2").cast("string")).alias("dep"))
 
 
 def rule_levels(spark, d):
-    return rules.rule_levels(spark, _edges(spark, d))
+    return rules.rule_levels(_edges(spark, d))
 
 
 def influence_map(spark, d):
-    effects = table(spark, d, "events").select(F.col("user_id").alias("record_id"), (F.col("event_id") % 40 + 1).cast("string").alias("field")).distinct()
-    return rules.influence_map(effects, rules.closure(spark, _edges(spark, d).where("cast(rule_id as int) <= 80"))).select("record_id", "field", F.array_join("sources", ",").alias("sources"))
+    parts = table(spark, d, "part").agg(F.count("*").alias("n"))
+    effects = table(spark, d, "events").withColumn("n", parts.scalar()).select(F.col("user_id").alias("record_id"), (F.col("event_id") * 7919 % F.col("n") + 1).cast("string").alias("field")).distinct()
+    return rules.influence_map(effects, rules.closure(_edges(spark, d))).select("record_id", "field", F.array_join("sources", ",").alias("sources"))
 
 
 def advancement(spark, d):
@@ -410,13 +431,26 @@ def rule_audit(spark, d):
     return rules.rule_audit(edges, p.select(F.concat(F.lit("f"), (F.col("p_partkey") % 150).cast("string")).alias("name")))
 
 
+def _forms(spark, d):
+    c, key = table(spark, d, "customer"), F.col("c_custkey")
+    return c.select(key.alias("record_id"), F.when(key % 3 != 0, F.col("c_name")).alias("name"), F.when(key % 4 == 0, F.lit(" ")).when(key % 7 == 0, F.lit("7a")).otherwise((key % 20).cast("string")).alias("level"), F.when(key % 6 == 0, F.lit("x")).otherwise(F.col("c_acctbal").cast("string")).alias("balance"),
+                    F.when(key % 2 == 0, F.lit("on")).alias("active"), F.concat_ws(",", "c_mktsegment", F.lit(""), "c_name").alias("skills"), (key % 9).cast("string").alias("hp__current"), F.when(key % 5 != 0, F.lit("10")).alias("hp__max"))
+
+
+FORM = {"name": "text", "level": "integer", "balance": "decimal", "active": "boolean", "skills": "multi_reference", "hp": "resource"}
+
+
 def coerced(spark, d):
-    e = table(spark, d, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), F.nullif(F.trim("event_type"), F.lit("")).alias("kind"), F.concat(F.col("event_type"), F.lit("1")).try_cast("double").alias("bad"))
+    out = records.coerce(_forms(spark, d), FORM)[0]
+    return out.select("record_id", "name", "level", "balance", "active", F.array_join("skills", "|").alias("skills"), F.col("hp.current").alias("hp"), F.col("hp.max").alias("hp_max"))
+
+
+def coerce_issues(spark, d):
+    return records.coerce(_forms(spark, d), FORM)[1]
 
 
 def html_pages(spark, d):
-    return table(spark, d, "pages").select("page_id", F.length(corpus.html_text(F.col("html"))).alias("chars"), corpus.html_text(F.col("html")).contains("<").alias("markup"))
+    return table(spark, d, "pages").select("page_id", corpus.html_text(F.col("html")).alias("text"))
 
 
 def entities_issues(spark, d):
@@ -431,30 +465,94 @@ def import_records(spark, d):
 
 
 def records_for(spark, d):
-    """Records that each nation's keeper sees: their own first, then the rest of their region for the first of each region."""
-    n = table(spark, d, "nation").withColumn("gm", F.col("n_nationkey") == F.min("n_nationkey").over(Window.partitionBy("n_regionkey")))
-    c = table(spark, d, "customer").join(F.broadcast(n.select(F.col("n_nationkey").alias("owner"), F.col("n_regionkey").alias("region"))), F.col("c_nationkey") == F.col("owner"))
-    v = n.select(F.col("n_nationkey").alias("viewer"), F.col("n_regionkey").alias("region"), "gm")
-    seen = c.join(F.broadcast(v), "region").where("gm or viewer = owner").withColumn("own", F.col("viewer") == F.col("owner"))
-    return seen.groupBy("viewer").agg(F.count("*").alias("records"), F.count_if("own").alias("own_records"))
+    """Records that each nation's keeper sees: their own, and all of the region for its first nation."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("viewer"), F.col("n_regionkey").alias("group"), (F.col("n_nationkey") == F.min("n_nationkey").over(Window.partitionBy("n_regionkey"))).alias("sees_all"))
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("owner")).join(F.broadcast(n.select(F.col("viewer").alias("owner"), "group")), "owner")
+    return records.records_for(c, n).select("viewer", "own", "c_custkey")
 
 
 def autofill(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_linenumber") > 2, F.col("l_returnflag")).alias("note"))
-    e = entities_of(spark, d).select(F.col("entity_id").alias("l_partkey"), "brand")
-    return rows.join(e, "l_partkey", "left").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce("note", "brand").alias("note"))
+    return records.autofill_row(rows, entities_of(spark, d), "l_partkey", {"note": "brand"})
+
+
+def selections(spark, d):
+    return records.selections(characters_of(spark, d), SLOTS, {"quantity": "double", "equipped": "boolean"})
+
+
+def _entities(spark, d):
+    parts = table(spark, d, "part").select(F.lit("part").alias("entity_type"), F.col("p_partkey").cast("string").alias("entity_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.split("p_type", " ").alias("tags"),
+                                            F.when(F.col("p_size") % 4 == 0, F.lit("level >= 6")).when(F.col("p_size") % 4 == 1, F.lit("100 / level > 20")).when(F.col("p_size") % 4 == 2, F.lit("nobody = 1")).alias("rule"), F.when(F.col("p_size") % 3 == 0, F.lit("Too early.")).alias("message"))
+    return parts
 
 
 def search_hints(spark, d):
-    named = selections_of(spark, d).join(entities_of(spark, d), ["entity_type", "entity_id"]).groupBy("record_id", "name").agg(F.min("row_no").alias("first"))
-    n = F.row_number().over(Window.partitionBy("record_id").orderBy("first", "name"))
-    return named.withColumn("n", n).where("n <= 24").select("record_id", "n", "name")
+    return records.search_hints(records.selections(characters_of(spark, d), SLOTS), _entities(spark, d))
 
 
 def rendered_records(spark, d):
-    n = table(spark, d, "nation")
-    r = records_of(spark, d).join(F.broadcast(n), F.col("nation") == F.col("n_nationkey"))
-    return r.select("record_id", F.concat_ws("\n", F.concat(F.lit("Name: "), "name"), F.concat(F.lit("Level: "), F.col("level").cast("string")), F.concat(F.lit("Nation: "), "n_name"), F.concat(F.lit("Archetype: "), "archetype")).alias("text"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("entity_id"), F.col("n_name").alias("name"))
+    fields = [("name", "text", "Name"), ("level", "integer", "Level"), ("home", "reference", "Home"), ("skills", "multi_reference", "Skills"), ("hit_points", "resource", "Hit points"), ("inventory", "collection", "Inventory")]
+    return records.render(characters_of(spark, d), fields, n)
+
+
+def record_functions(spark, d):
+    c = characters_of(spark, d)
+    return c.select("record_id", records.half_even(F.col("level") / 2).cast("long").alias("half"), records.count(c, "skills").alias("skills"), records.count(c, "name").alias("letters"), records.count(c, "level").alias("none"),
+                    F.round(records.rowsum(c, "inventory", "quantity"), 4).alias("quantity"), records.rowsum(c, "inventory", "notes").alias("no_number"), F.round(records.rowsum_where(c, "inventory", "quantity", "equipped", True), 4).alias("worn"),
+                    records.rowcount(c, "inventory", "equipped", True).alias("n_worn"), records.nonempty_count(c, "inventory", "notes").alias("noted"), records.nonempty_count_where(c, "inventory", "notes", "equipped", True).alias("worn_noted"), records.resource_max(F.col("hit_points")).alias("most"))
+
+
+def explanations(spark, d):
+    c = characters_of(spark, d)
+    c = c.join(modifiers(spark, d), "record_id").withColumn("load", F.round(records.rowsum(c, "inventory", "quantity"), 4))
+    rows = rules.calculate(c, [("power_score", "level * 2 + power - load", 0)])
+    sources = rules.modifier_sources(selections_of(spark, d), effects_of(spark, d), entities_of(spark, d))
+    terms = [("power_score", 0, 1, "level * 2", "Level * 2"), ("power_score", 1, 1, "power", "Power"), ("power_score", 2, -1, "load", "Load"), ("rank", 0, 1, "power_score / level", "Power Score / Level")]
+    out = records.explain_terms(rows, terms, sources)
+    return out.select("record_id", "rule_id", "term_no", "label", F.round("value", 6).alias("value"), F.size("sources").alias("n_sources"), F.get("sources", F.lit(0)).source_name.alias("first_source"))
+
+
+def explanation_inputs(spark, d):
+    c = rules.calculate(characters_of(spark, d).join(modifiers(spark, d), "record_id"), [("power_score", "cast(level * 2 + power as bigint)", 0)])
+    return records.explain_inputs(c, [("power_score", 0, "level"), ("power_score", 1, "power"), ("rank", 0, "power_score")], {"power", "best"}, {"power_score"}).withColumn("value", F.col("value").cast("double"))
+
+
+def selected_ineligible(spark, d):
+    c = characters_of(spark, d)
+    return records.selected_ineligible(c.select("record_id", "level"), records.selections(c.select("record_id", "home", "skills"), SLOTS[:2]), _entities(spark, d))
+
+
+def limits_where(spark, d):
+    c = characters_of(spark, d)
+    return records.limits_where(c.select("record_id", "level"), records.selections(c.select("record_id", "inventory"), SLOTS[2:]), _entities(spark, d), "brass", "1 + floor(level / 4)", ("BRASS",), {"brand": "Brand#11"}, 1)
+
+
+def final_changes(spark, d):
+    return records.final_changes(records_of(spark, d).select("record_id", "level", "balance"), [("level", "level / 2 + 1"), ("balance", "round(balance + level, 2)")], ("level",))
+
+
+def rules_in_scope(spark, d):
+    """Issues of parts as rules, where the parts up to number 64 are filled in at the step of their size."""
+    p = table(spark, d, "part")
+    issues = p.select((F.col("p_partkey") % 10).alias("record_id"), F.col("p_partkey").cast("string").alias("rule_id"), F.col("p_name").alias("message"))
+    steps = p.where("p_partkey between 8 and 64").select(F.col("p_partkey").cast("string").alias("field"), (F.col("p_size") % 6).alias("step"))
+    return records.rules_in_scope(issues, _edges(spark, d), steps, 2)
+
+
+def placeholder_rows(spark, d):
+    c = characters_of(spark, d)
+    left = records.drop_placeholder_rows(c, "inventory", ("item",), {"quantity": 1.0})
+    return c.select("record_id", F.coalesce(F.size(left), F.lit(-1)).alias("left"), F.coalesce(F.size("inventory"), F.lit(-1)).alias("all_rows"))
+
+
+def effective_values(spark, d):
+    """A calculated value and the one above it after temporary effects on both."""
+    ops = F.element_at(F.array(*[F.lit(x) for x in ("add", "multiply", "subtract")]), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("record_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", ops.alias("op"), (F.col("o_orderkey") % 4).cast("double").alias("value")))), lambda x: F.struct(x.op.alias("op"), x.value.alias("value"))).alias("effects"))
+    r = records_of(spark, d).select("record_id", "level").join(rows.withColumn("effects", F.slice("effects", 1, 3)), "record_id", "left")
+    out = rules.calculate(r, [("base", "level * 2", 0), ("total", "base + 10", 1)], {"base": F.col("effects")})
+    return out.select("record_id", F.col("base").cast("double").alias("base"), F.col("total").cast("double").alias("total"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -462,4 +560,4 @@ QUERIES = {f.__name__: f for f in (
     doc_frequency, rare_tokens, lexical_top100, semantic_top100, rrf_fused, evidence_ranked, neighbor_rescue, retrieve, retrieval_report, vocabulary, expand_queries, document_records, dedupe_documents, snapshot_diff,
     confirm_removed, extraction_status, artifact_gc, prune_text, text_status, ocr_backlog, upload_names, natural_sort, incremental_chunks, vector_reuse, kb_state, batch_merge, evidence_rank, near_duplicates,
     evidence_select, query_aware_rank, procedural_anchor, decisions, answer_claims, citation_excerpts, numbered_sources, record_defaults, record_issues, dangling_references, modifiers, modifier_provenance, calculated,
-    limits, eligibility, temporary_effects, rule_levels, influence_map, advancement, apply_conflicts, migrate_records, rule_audit, coerced, html_pages, entities_issues, import_records, records_for, autofill, search_hints, rendered_records)}
+    limits, eligibility, temporary_effects, rule_levels, influence_map, advancement, apply_conflicts, migrate_records, rule_audit, coerced, coerce_issues, html_pages, selections, record_functions, explanations, explanation_inputs, selected_ineligible, limits_where, final_changes, rules_in_scope, placeholder_rows, effective_values, entities_issues, import_records, records_for, autofill, search_hints, rendered_records)}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """(source, path, size, mtime): every directory below root is a source of its direct files; contents are not read."""
@@ -58,5 +60,16 @@ def import_records(incoming: DataFrame, existing: DataFrame, mode: str = "copy")
     fresh = incoming.join(existing.select(*key), key, "left_anti")
     if mode == "replace":
         return existing.join(incoming.select(*key), key, "left_anti").unionByName(incoming)
-    renamed = clash.withColumn("record_id", F.substring(F.sha2(F.concat_ws("\0", F.lit("copy"), "owner", F.col("record_id").cast("string")), 256), 1, 32).cast(incoming.schema["record_id"].dataType))
+    # The n-th copy of a record takes the n-th name, so that importing it again never meets an earlier copy.
+    name = lambda n: F.substring(F.sha2(F.concat_ws("\0", F.lit("copy"), "owner", F.col("record_id").cast("string"), n.cast("string")), 256), 1, 32).cast(incoming.schema["record_id"].dataType)
+    taken = existing.select(F.col("owner").alias("o"), F.col("record_id").alias("r"))
+    turn = F.row_number().over(Window.partitionBy("owner", "record_id").orderBy(F.xxhash64(*incoming.columns)))
+    open_, renamed, start = clash.withColumn("_n", turn), None, 0
+    while renamed is None or not open_.isEmpty():
+        tried = written(open_.withColumn("_new", name(F.col("_n") + start)))
+        free = tried.join(taken, (F.col("owner") == F.col("o")) & (F.col("_new") == F.col("r")), "left_anti")
+        done = free.drop("record_id", "_n").withColumnRenamed("_new", "record_id").select(incoming.columns)
+        renamed = done if renamed is None else renamed.unionByName(done)
+        open_ = written(tried.join(taken, (F.col("owner") == F.col("o")) & (F.col("_new") == F.col("r")), "left_semi").drop("_new"))
+        start += 1_000
     return existing.unionByName(fresh).unionByName(renamed)

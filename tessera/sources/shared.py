@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
     """df written as Parquet and read again: what follows plans from its columns alone, and lost executors cost no recomputation.
 
-    The folder is the one spark.checkpoint.dir names; only where the session names none is one set here."""
+    The folder is the one spark.checkpoint.dir names; only a local session without that setting gets one of its own."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master or ""):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     path = f"{context._jsc.sc().getCheckpointDir().get()}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Marks df for broadcasting only if it was counted to have at most so many (narrow) rows; otherwise joins with it shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

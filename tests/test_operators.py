@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import chunking, text
 from tessera.operators import evidence, incremental, inventory, retrieval, rules
+from tessera.sources import corpus
 from tessera.streaming.state import after, kb_state_stream
 
 
@@ -150,4 +151,68 @@ def test_effects_limits_and_modifiers(spark):
 
 def test_cycle_is_reported(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "rule_id string, dep string")
-    assert {r.rule_id: r.level for r in rules.rule_levels(spark, edges).collect()} == {"a": -1, "b": -1, "c": 0}
+    assert {r.rule_id: r.level for r in rules.rule_levels(edges).collect()} == {"a": -1, "b": -1, "c": 0}
+
+
+def test_reserved_turns_go_on_to_distinct_hits(spark):
+    """Of four original hits the first two are alike: the third distinct one still gets its reserved turn."""
+    rows = [(1, f"o{i}", i, True, 1.0 - i / 10, i) for i in (1, 2, 3, 4)] + [(1, "n1", 0, False, None, None)]
+    ranked = spark.createDataFrame([(q, c, p + 1, h, s, r) for q, c, p, h, s, r in rows], "question_id int, chunk_id string, position int, original_hit boolean, original_score double, original_rank int")
+    texts = spark.createDataFrame([("o1", "p", "red dragon"), ("o2", "p", "red dragon"), ("o3", "p", "blue bird"), ("o4", "p", "old oak"), ("n1", "p", "new nest")], "chunk_id string, path string, text string")
+    pick = lambda n: {r.chunk_id for r in evidence.select_evidence(ranked, texts, n).collect()}
+    assert pick(3) == {"o1", "o3", "o4"} and pick(4) == {"o1", "o3", "o4", "n1"} and pick(5) == {"o1", "o2", "o3", "o4", "n1"}
+
+
+def test_guarded_selection_and_rescue(spark):
+    texts = spark.createDataFrame([(f"c{i}", "p", f"word{i} only{i}") for i in range(6)], "chunk_id string, path string, text string")
+    ranked = spark.createDataFrame([(1, f"c{i}", i + 1) for i in range(6)], "question_id int, chunk_id string, position int")
+    batches = spark.createDataFrame([(1, 1, 1, "c5"), (1, 2, 1, "c4"), (1, 2, 2, "c0")], "question_id int, query_ord int, rank int, chunk_id string")
+    chosen = spark.createDataFrame([(1, "c3", 0)], "question_id int, chunk_id string, ord int")
+    got = evidence.guarded_select(ranked, batches, chosen, texts, limit=4).orderBy("turn").collect()
+    assert [r.chunk_id for r in got] == ["c5", "c4", "c3", "c0"]
+    rescue = spark.createDataFrame([(1, "c2", 1), (1, "c0", 2), (1, "c1", 9)], "question_id int, chunk_id string, position int")
+    verdict = spark.createDataFrame([(1, "CANNOT_DETERMINE"), (2, "YES")], "question_id int, decision string")
+    got = evidence.rescue_merge(ranked.where("position > 3"), rescue, verdict, texts, limit=4).orderBy("turn").collect()
+    assert [r.chunk_id for r in got] == ["c2", "c0", "c3", "c4"]
+
+
+def test_conditions_that_fail_switch_off(spark):
+    """A division by zero, an unknown name, bad syntax and a text that is no condition hold for nobody; others are not touched."""
+    records_ = spark.createDataFrame([(1, 0), (2, 4)], "record_id int, level int")
+    chosen = spark.createDataFrame([(1, "s", "a", 9), (2, "s", "a", 9)], "record_id int, entity_type string, entity_id string, level int")
+    effects = spark.createDataFrame([("s", "a", "power", 1.0, "10 / record_id > 5"), ("s", "a", "power", 2.0, "10 / (record_id - 1) > 2"), ("s", "a", "power", 4.0, "nobody > 1"), ("s", "a", "power", 8.0, "level >"), ("s", "a", "power", 16.0, "level"), ("s", "a", "power", 32.0, "level = 9")], "entity_type string, entity_id string, modifier string, value double, when string")
+    got = dict(rules.resolve_modifiers(records_, chosen, effects, [("power", 0.0, "sum")]).collect())
+    assert got == {1: 33.0, 2: 34.0}
+    entities = spark.createDataFrame([("x", "10 / level > 2"), ("y", None), ("z", "nobody = 1"), ("w", "cast('a' as int) = 1")], "entity_id string, rule string")
+    assert {(r.record_id, r.entity_id) for r in rules.eligibility(records_, entities).where("eligible").collect()} == {(1, "y"), (2, "x"), (2, "y")}
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_copies_of_imported_records_stay_apart(spark):
+    stored = spark.createDataFrame([("a", "1", 1)], "owner string, record_id string, v int")
+    once = spark.createDataFrame(corpus.import_records(stored, stored).collect(), stored.schema)
+    twice = corpus.import_records(stored, once).collect()
+    assert len(twice) == 3 and len({(r.owner, r.record_id) for r in twice}) == 3
+
+
+def test_sources_round_trip(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.txt").write_text("one\ntwo ")
+    (tmp_path / "in" / "deep" / "b.txt").write_text("three")
+    files = {(r.source.rpartition("/")[2], r.path.rpartition("/")[2], r.size) for r in corpus.list_files(spark, str(tmp_path / "in")).collect()}
+    assert files == {("in", "a.txt", 8), ("deep", "b.txt", 5)}
+    pages = corpus.read_text_documents(spark, [str(tmp_path / "in" / "a.txt"), str(tmp_path / "in" / "deep")])
+    assert {(r.page, r.text) for r in pages.collect()} == {(1, "one\ntwo "), (1, "three")}
+    corpus.write_corpus(pages.select("page", "text"), str(tmp_path / "c"), 3)
+    assert corpus.read_corpus(spark, str(tmp_path / "c"), 3).count() == 2 and corpus.read_corpus(spark, str(tmp_path / "c"), 2).count() == 0
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "1.json").write_text('{"owner": "a", "level": 2}')
+    (tmp_path / "r" / "2.json").write_text("{broken")
+    got = corpus.read_records(spark, str(tmp_path / "r"), "owner string, level int", "a").collect()
+    assert [(r.owner, r.level, r.file.rpartition("/")[2]) for r in got] == [("a", 2, "1.json")]
+
+
+def test_small_text_functions(spark):
+    row = spark.createDataFrame([(["  Red  fox", "red fox", "", "blue", "green"], 'said {"a": 1} so', '{"a": 2}', "none")], "v array<string>, x string, y string, z string").select(
+        text.distinct_fold(F.col("v"), 2, 40).alias("v"), *[F.to_json(text.parse_model_json(F.col(n))).alias(n) for n in "xyz"]).first()
+    assert row.v == ["Red fox", "blue"] and row.x == '{"a":1}' and row.y == '{"a":2}' and row.z is None
