@@ -21,31 +21,43 @@ LEAST_LANGUAGE = 0.3
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no letter, or no language that stands out."""
+    """Without documents that have no letter, or no language that stands out.
+
+    The network learns from all rows with a language but the held-out quarter of op4. A null text has no letter; null ids and
+    repeated rows are rows like any other; without any labelled row there is no language to find, and nothing stays."""
     net = language_id.train(docs, F.coalesce(remainder(4) != 2, F.lit(True)))
     found = language_id.identify(docs, net)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines on more than a tenth of a source's documents; n_chars follows the text."""
+    """Without lines on more than a tenth of a source's documents; n_chars follows the text where it changed.
+
+    Every row stays, also one left without text; a null source is a source of its own, a null text stays null."""
     out = line_dedup.drop_boilerplate(docs, "source")
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: a Jaccard similarity of 0.8 or more on five-word shingles, verified."""
+    """One document of each group of near-duplicates: a Jaccard similarity of 0.8 or more on five-word shingles, verified.
+
+    Candidates come from SimHash segments wide enough for that similarity (llm/near_copies.py). The smallest id stays, a null id
+    only in a group without any other; texts without words are one group."""
     return simhash.keep_one(docs, width=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that contain ten consecutive words of a benchmark item."""
+    """Without documents that contain ten consecutive words of a benchmark item, or a shorter item as a whole.
+
+    A null text contains nothing; items without words or id match nothing."""
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that sources weigh by the square root of their size, in a global random order."""
+    """Documents repeated so that sources weigh by the square root of their size, in a global random order.
+
+    A null source is a source of its own; rows with equal ids draw the same number; an empty table stays empty. copy_no is added."""
     return mixing.mix(docs)
 
 
