@@ -69,5 +69,16 @@ def kb_state(events: DataFrame) -> DataFrame:
     return state.select("library_id", F.col("s.library").alias("library_rev"), F.col("s.text").alias("text_rev"), F.col("s.chunk").alias("chunk_rev"), F.col("s.embedding").alias("embedding_rev"), (F.col("s.embedding") != F.col("s.library")).alias("needs_update"))
 
 
-def corpus_status(chunks: DataFrame) -> DataFrame:
-    return chunks.agg(F.countDistinct("path").alias("documents"), F.countDistinct("path", "page").alias("pages"), F.sum(F.length("text")).alias("characters"), F.count("*").alias("chunks"))
+def corpus_status(chunks: DataFrame, vectors: DataFrame | None = None, model: str | None = None) -> DataFrame:
+    """One row: documents, pages, characters and bytes of text, chunks; with vectors(chunk_id, model, embedding) also vectors of
+    `model` (any without one), their least and most dimensions, and whether every chunk has exactly one."""
+    text = chunks.agg(F.countDistinct("path").alias("documents"), F.countDistinct("path", "page").alias("pages"), F.sum(F.length("text")).alias("characters"), F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("chunks"))
+    if vectors is None:
+        return text
+    own = vectors if model is None else vectors.where(F.col("model") == model)
+    found = own.agg(F.count("*").alias("vectors"), F.min(F.size("embedding")).alias("least_dimensions"), F.max(F.size("embedding")).alias("most_dimensions"))
+    per = own.groupBy("chunk_id").agg(F.count("*").alias("n"))
+    odd = chunks.select(F.col("id").alias("chunk_id")).distinct().join(per, "chunk_id", "full").where("n is null or n <> 1").agg(F.count("*").alias("odd"))
+    extra = per.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti").agg(F.count("*").alias("extra"))
+    one = text.select("*", *[found.select(c).scalar().alias(c) for c in found.columns])
+    return one.withColumn("current", (odd.scalar() + extra.scalar()) == 0)

@@ -165,16 +165,37 @@ def apply_drafts(records: DataFrame, drafts: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("_there").isNull(), "missing").when(F.col("_u").eqNullSafe(F.col("base_updated_at")), "applied").otherwise("conflict")).drop("_u", "_there")
 
 
-def migrate(records: DataFrame, old: dict[str, str], new: dict[str, tuple[str, object]]) -> DataFrame:
+def migrate(records: DataFrame, old: dict[str, str], new: dict[str, tuple[str, object]], enums: dict[str, list[str]] | None = None, references: dict[str, DataFrame] | None = None) -> DataFrame:
     """records on a new schema: equal types and interchangeable texts are copied, integers widen, whole decimals narrow,
-    everything else takes the default; `warnings` names fields that were reset or removed."""
+    everything else takes the default; `warnings` names fields that were reset or removed, and references that were dropped.
+
+    enums: the options of enum fields, a value that is none of them is reset. references: for reference and multi_reference fields the
+    ids (entity_id) that exist; others are dropped, a reference becomes null and a list is filtered."""
     texts = {"text", "notes", "reference"}
     cols, warnings = [], []
     keep = [c for c in records.columns if c not in old]
+    for i, (name, ids) in enumerate((references or {}).items()):
+        if name not in new or name not in old:
+            continue
+        known = small(ids.select(F.col("entity_id").alias(f"_id{i}")).where("entity_id is not null").distinct())
+        if new[name][0] == "reference":
+            records = records.join(known, F.col(name) == F.col(f"_id{i}"), "left").withColumn(f"_gone{i}", F.col(name).isNotNull() & (F.col(name) != "") & F.col(f"_id{i}").isNull()).drop(f"_id{i}")
+            records = records.withColumn(name, F.when(~F.col(f"_gone{i}"), F.col(name)))
+        else:
+            keyed = records.withColumn("_row", F.struct(*records.columns)).withColumn("_k", F.xxhash64("_row"))
+            held = keyed.select("_k", F.explode(F.array_distinct(name)).alias("_v")).join(known, F.col("_v") == F.col(f"_id{i}")).groupBy("_k").agg(F.collect_set("_v").alias("_there"))
+            joined = keyed.join(held, "_k", "left").withColumn("_there", F.coalesce("_there", F.array().cast(records.schema[name].dataType)))
+            left = F.filter(name, lambda x: F.array_contains(F.col("_there"), x))
+            records = joined.withColumn(f"_gone{i}", F.coalesce(F.size(left) < F.size(name), F.lit(False))).withColumn(name, left).drop("_row", "_k", "_there")
+        warnings.append(F.when(F.col(f"_gone{i}"), F.lit(f"{name}: reference dropped")))
     for name, (kind, default) in new.items():
         was = old.get(name)
         if was is None:
             cols.append(F.lit(default).alias(name))
+        elif was == kind == "enum" and enums and name in enums:
+            fits = F.col(name).isNull() | F.col(name).isin(enums[name])
+            cols.append(F.when(fits, F.col(name)).otherwise(F.lit(default)).alias(name))
+            warnings.append(F.when(~fits, F.lit(f"{name}: reset")))
         elif was == kind or {was, kind} <= texts or (was, kind) == ("integer", "decimal"):
             cols.append((F.col(name).cast("double") if kind == "decimal" else F.col(name)).alias(name))
         elif (was, kind) == ("decimal", "integer"):
@@ -189,9 +210,25 @@ def migrate(records: DataFrame, old: dict[str, str], new: dict[str, tuple[str, o
     return records.select(*keep, *cols, noted.alias("warnings"))
 
 
-def rule_audit(edges: DataFrame, known: DataFrame) -> DataFrame:
-    """(rule_id, problem, name): names that no field or rule defines, and rule ids defined more than once."""
+def rule_audit(edges: DataFrame, known: DataFrame, effects: DataFrame | None = None, modifiers: DataFrame | None = None, entities: DataFrame | None = None, severities: DataFrame | None = None) -> DataFrame:
+    """(rule_id, problem, name) of what is wrong with rules(edges: rule_id, dep) and known(name) fields.
+
+    unknown_reference: a name that no field or rule defines; duplicate_id: a name defined more than once; cycle: a rule on or behind one. With
+    effects(entity_type, entity_id, modifier): unknown_modifier against modifiers(name, aggregate), unknown_entity against entities. Modifiers:
+    bad_aggregate, and name_collision with a field or rule. severities(rule_id, severity): bad_severity."""
     names = known.select("name").union(edges.select("rule_id")).distinct()
     unknown = edges.where("dep is not null").join(names, edges.dep == names.name, "left_anti").select("rule_id", F.lit("unknown_reference").alias("problem"), F.col("dep").alias("name"))
     twice = known.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select(F.col("name").alias("rule_id"), F.lit("duplicate_id").alias("problem"), "name")
-    return unknown.distinct().unionByName(twice)
+    cycles = rule_levels(edges).where("level = -1").select("rule_id", F.lit("cycle").alias("problem"), F.col("rule_id").alias("name"))
+    out = unknown.distinct().unionByName(twice).unionByName(cycles)
+    if effects is not None and modifiers is not None:
+        out = out.unionByName(effects.join(modifiers.select(F.col("name").alias("modifier")), "modifier", "left_anti").select(F.col("entity_id").cast("string").alias("rule_id"), F.lit("unknown_modifier").alias("problem"), F.col("modifier").alias("name")).distinct())
+    if effects is not None and entities is not None:
+        out = out.unionByName(effects.join(entities.select("entity_type", "entity_id").distinct(), ["entity_type", "entity_id"], "left_anti").select(F.col("entity_id").cast("string").alias("rule_id"), F.lit("unknown_entity").alias("problem"), F.col("entity_type").alias("name")).distinct())
+    if modifiers is not None:
+        bad = modifiers.where(~F.coalesce(F.col("aggregate").isin("sum", "max", "min"), F.lit(False))).select(F.col("name").alias("rule_id"), F.lit("bad_aggregate").alias("problem"), F.col("aggregate").alias("name"))
+        same = modifiers.select("name").join(names, "name", "left_semi").distinct().select(F.col("name").alias("rule_id"), F.lit("name_collision").alias("problem"), "name")
+        out = out.unionByName(bad).unionByName(same)
+    if severities is not None:
+        out = out.unionByName(severities.where(~F.coalesce(F.col("severity").isin("error", "warning", "info"), F.lit(False))).select("rule_id", F.lit("bad_severity").alias("problem"), F.col("severity").alias("name")))
+    return out

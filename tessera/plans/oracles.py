@@ -117,7 +117,7 @@ ORACLES: dict[str, str] = {
         a as (select doc_id, p from w union all select doc_id, regexp_replace(t, '^\s+|\s+$', '', 'g') from d where doc_id not in (select doc_id from w) and trim(t, chr(10) || chr(9) || ' ') <> '')
         select doc_id, count(*) n, sum(length(p))::bigint chars, max(length(p))::int longest from a group by 1""",
     "revision_signals": r"""select doc_id, regexp_matches(regexp_replace(lower(text), '\s+', ' ', 'g'), '\bnow (?:is|are|uses?|calculated|determined|equals?|requires?)\b|\brevised\b|\bupdated\b|\bchanged\b|\breplaces?\b|\binstead\b|\bnew rule\b|\bno longer\b') revised, 0.0::double rule_label from documents""",
-    "corpus_status": f"with {_CHUNKS} select count(distinct path) documents, count(distinct path) pages, sum(length(text))::bigint characters, count(*) chunks from chunks_",
+    "corpus_status": f"with {_CHUNKS} select count(distinct path) documents, count(distinct path) pages, sum(length(text))::bigint characters, sum(octet_length(encode(text)))::bigint bytes, count(*) chunks from chunks_",
     "doc_frequency": f"with {_DF} select token, df from df",
     "rare_tokens": f"with {_DF} select token, df from df where df <= greatest(3, ceil((select count(*) from chunks_) * 0.01))",
     "lexical_top100": f"with {_LEXICAL} select * from ltop",
@@ -251,4 +251,15 @@ ORACLES: dict[str, str] = {
     "effective_values": """with recursive o as (select o_custkey r, (['add', 'multiply', 'subtract'])[o_orderkey % 3 + 1] op, (o_orderkey % 4)::double v, row_number() over (partition by o_custkey order by o_orderkey) n from orders qualify n <= 3),
         f as (select c_custkey r, 0::bigint n, (c_custkey % 12 * 2)::double x from customer union all select f.r, o.n, case op when 'add' then x + v when 'subtract' then x - v else x * v end from f join o on o.r = f.r and o.n = f.n + 1)
         select r record_id, x base, x + 10 total from f qualify row_number() over (partition by r order by n desc) = 1""",
+    "migrate_references": """with c as (select c_custkey k, cast(c_custkey % 190 + 1 as varchar) a, cast(c_custkey * 7 % 230 + 1 as varchar) b, cast(c_nationkey as varchar) home, c_mktsegment seg from customer), p as (select cast(p_partkey as varchar) id from part where p_size % 5 <> 0), n as (select cast(n_nationkey as varchar) id from nation where n_regionkey <> 1),
+        x as (select *, list_filter([case when a in (select id from p) then a end, case when b in (select id from p) then b end], lambda v: v is not null) l, home in (select id from n) ok from c)
+        select k record_id, array_to_string(l, ',') skills, case when ok then home end home, case when seg in ('BUILDING', 'MACHINERY') then seg else 'OTHER' end archetype,
+          array_to_string(list_filter([case when len(l) < 2 then 'skills: reference dropped' end, case when not ok then 'home: reference dropped' end, case when seg not in ('BUILDING', 'MACHINERY') then 'archetype: reset' end], lambda v: v is not null), '|') warnings from x""",
+    "audit_effects": """with e as (select p_partkey * 2 id, 'm' || (p_size % 9) m from part) select 'loop' || i rule_id, 'cycle' problem, 'loop' || i as name from range(4) t(i) union all select distinct cast(id as varchar), 'unknown_modifier', m from e where m in ('m7', 'm8')
+        union all select distinct cast(id as varchar), 'unknown_entity', 'part' from e where id not in (select p_partkey from part) union all select m, 'bad_aggregate', 'mean' from (values ('m2'), ('m5')) v(m) union all select distinct p_name, 'bad_severity', 'fatal' from part where p_size % 10 = 0""",
+    "corpus_totals": f"""with {_CHUNKS}, v as (select 'c' || lpad(cast(vec_id as varchar), 10, '0') id, len(embedding) n from embeddings where label < 5)
+        select count(distinct path) documents, count(distinct path) pages, sum(length(text))::bigint characters, sum(octet_length(encode(text)))::bigint bytes, count(*) chunks, (select count(*) from v) vectors, (select min(n)::int from v) least_dimensions, (select max(n)::int from v) most_dimensions,
+          not exists (select 1 from chunks_ where id not in (select id from v)) and not exists (select 1 from v where id not in (select id from chunks_)) "current" from chunks_""",
+    "envelope_checks": """select c_custkey record_id, case when c_custkey % 11 = 0 then 'unknown format' when c_custkey % 7 = 0 then 'unsupported version' else 'missing ' || concat_ws(', ', case when c_custkey % 5 = 0 then 'owner' end, case when c_custkey % 3 = 0 then 'system_id' end) end problem
+        from customer where c_custkey % 11 = 0 or c_custkey % 7 = 0 or c_custkey % 5 = 0 or c_custkey % 3 = 0""",
 }

@@ -555,9 +555,43 @@ def effective_values(spark, d):
     return out.select("record_id", F.col("base").cast("double").alias("base"), F.col("total").cast("double").alias("total"))
 
 
+def migrate_references(spark, d):
+    """Customers whose list of parts, home and segment are checked against what the new system has."""
+    c = table(spark, d, "customer")
+    key = F.col("c_custkey")
+    r = c.select(key.alias("record_id"), F.array((key % 190 + 1).cast("string"), (key * 7 % 230 + 1).cast("string")).alias("skills"), F.col("c_nationkey").cast("string").alias("home"), F.col("c_mktsegment").alias("archetype"))
+    parts = table(spark, d, "part").where("p_size % 5 <> 0").select(F.col("p_partkey").cast("string").alias("entity_id"))
+    homes = table(spark, d, "nation").where("n_regionkey <> 1").select(F.col("n_nationkey").cast("string").alias("entity_id"))
+    out = rules.migrate(r, {"skills": "multi_reference", "home": "reference", "archetype": "enum"}, {"skills": ("multi_reference", None), "home": ("reference", ""), "archetype": ("enum", "OTHER")}, {"archetype": ["BUILDING", "MACHINERY"]}, {"skills": parts, "home": homes})
+    return out.select("record_id", F.array_join("skills", ",").alias("skills"), "home", "archetype", F.array_join("warnings", "|").alias("warnings"))
+
+
+def audit_effects(spark, d):
+    """Rules that loop, effects of unknown parts and modifiers, modifiers with odd aggregates."""
+    p = table(spark, d, "part")
+    edges = p.select(F.col("p_name").alias("rule_id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("dep")).union(p.select(F.concat(F.lit("loop"), (F.col("p_partkey") % 4).cast("string")), F.concat(F.lit("loop"), ((F.col("p_partkey") + 1) % 4).cast("string"))))
+    effects = p.select(F.lit("part").alias("entity_type"), (F.col("p_partkey") * 2).alias("entity_id"), F.concat(F.lit("m"), (F.col("p_size") % 9).cast("string")).alias("modifier"))
+    modifiers = spark.range(7).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("name"), F.when(F.col("id") % 3 == 0, "sum").when(F.col("id") % 3 == 1, "max").otherwise("mean").alias("aggregate"))
+    entities = p.select(F.lit("part").alias("entity_type"), F.col("p_partkey").alias("entity_id"))
+    severities = p.select(F.col("p_name").alias("rule_id"), F.when(F.col("p_size") % 10 == 0, "fatal").otherwise("error").alias("severity")).distinct()
+    return rules.rule_audit(edges, p.select(F.col("p_brand").alias("name")).distinct(), effects, modifiers, entities, severities)
+
+
+def corpus_totals(spark, d):
+    """documents as chunks and the vectors of the same numbers, one model to each label."""
+    v = table(spark, d, "embeddings").select(F.concat(F.lit("c"), F.lpad(F.col("vec_id").cast("string"), 10, "0")).alias("chunk_id"), F.when(F.col("label") < 5, "small").otherwise("large").alias("model"), "embedding")
+    return incremental.corpus_status(chunks_of(spark, d), v, "small")
+
+
+def envelope_checks(spark, d):
+    c, key = table(spark, d, "customer"), F.col("c_custkey")
+    rows = c.select(F.when(key % 11 == 0, "other").otherwise("record").alias("format"), F.when(key % 7 != 0, F.lit(1)).otherwise(F.lit(2)).alias("format_version"), F.when(key % 5 == 0, F.lit(" ")).otherwise(F.col("c_mktsegment")).alias("owner"), key.alias("record_id"), F.when(key % 3 != 0, F.lit("core")).alias("system_id"))
+    return corpus.check_envelopes(rows, "record", 1)[1].select("record_id", "problem")
+
+
 QUERIES = {f.__name__: f for f in (
     visible_documents, scoped_documents, keyword_search, snippet_search, doc_terms_top, stem_frequency, token_frequency, query_phrases, passages, revision_signals, chunk_documents, chunk_stats, corpus_status,
     doc_frequency, rare_tokens, lexical_top100, semantic_top100, rrf_fused, evidence_ranked, neighbor_rescue, retrieve, retrieval_report, vocabulary, expand_queries, document_records, dedupe_documents, snapshot_diff,
     confirm_removed, extraction_status, artifact_gc, prune_text, text_status, ocr_backlog, upload_names, natural_sort, incremental_chunks, vector_reuse, kb_state, batch_merge, evidence_rank, near_duplicates,
     evidence_select, query_aware_rank, procedural_anchor, decisions, answer_claims, citation_excerpts, numbered_sources, record_defaults, record_issues, dangling_references, modifiers, modifier_provenance, calculated,
-    limits, eligibility, temporary_effects, rule_levels, influence_map, advancement, apply_conflicts, migrate_records, rule_audit, coerced, coerce_issues, html_pages, selections, record_functions, explanations, explanation_inputs, selected_ineligible, limits_where, final_changes, rules_in_scope, placeholder_rows, effective_values, entities_issues, import_records, records_for, autofill, search_hints, rendered_records)}
+    limits, eligibility, temporary_effects, rule_levels, influence_map, advancement, apply_conflicts, migrate_records, rule_audit, coerced, coerce_issues, html_pages, selections, record_functions, explanations, explanation_inputs, selected_ineligible, limits_where, final_changes, rules_in_scope, placeholder_rows, effective_values, migrate_references, audit_effects, corpus_totals, envelope_checks, entities_issues, import_records, records_for, autofill, search_hints, rendered_records)}

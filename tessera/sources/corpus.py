@@ -53,6 +53,17 @@ def read_records(spark: SparkSession, path: str, schema: str, owner: str | None
     return rows if owner is None else rows.where(F.col("owner") == owner)
 
 
+def check_envelopes(rows: DataFrame, format_name: str, version: int, required: tuple[str, ...] = ("owner", "record_id", "system_id")) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) of exported records(format, format_version, ...): rejected ones have a `problem`.
+
+    The format and its version must be the given ones, and the required keys must not be blank."""
+    blank = F.filter(F.array(*[F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(c)) for c in required]), lambda x: x.isNotNull())
+    problem = (F.when(~F.col("format").eqNullSafe(F.lit(format_name)), F.lit("unknown format")).when(~F.col("format_version").eqNullSafe(F.lit(version)), F.lit("unsupported version"))
+               .when(F.size(blank) > 0, F.concat(F.lit("missing "), F.array_join(blank, ", "))))
+    checked = rows.withColumn("problem", problem)
+    return checked.where("problem is null").drop("problem"), checked.where("problem is not null")
+
+
 def import_records(incoming: DataFrame, existing: DataFrame, mode: str = "copy") -> DataFrame:
     """existing and incoming(owner, record_id, ...): a clashing id gets a new id (copy) or replaces the stored record (replace)."""
     key = ["owner", "record_id"]

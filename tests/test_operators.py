@@ -216,3 +216,9 @@ def test_small_text_functions(spark):
     row = spark.createDataFrame([(["  Red  fox", "red fox", "", "blue", "green"], 'said {"a": 1} so', '{"a": 2}', "none")], "v array<string>, x string, y string, z string").select(
         text.distinct_fold(F.col("v"), 2, 40).alias("v"), *[F.to_json(text.parse_model_json(F.col(n))).alias(n) for n in "xyz"]).first()
     assert row.v == ["Red fox", "blue"] and row.x == '{"a":1}' and row.y == '{"a":2}' and row.z is None
+
+
+def test_encoding_in_batches(spark):
+    rows = spark.createDataFrame([(f"c{i}", "x" * i) for i in range(1, 40)], "id string, text string")
+    got = {r.chunk_id: list(r.embedding) for r in incremental.encode(rows, lambda texts: [[3.0 * len(t), 4.0 * len(t)] for t in texts], 7).collect()}
+    assert len(got) == 39 and all(abs(v[0] - 0.6) < 1e-6 and abs(v[1] - 0.8) < 1e-6 for v in got.values())
