@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import EXPANSIONS, STOPWORDS
+from ..functions.text import EXPANSIONS, RULE_LABEL, STOPWORDS
 from ..operators.evidence import CONTENT_STOP, MEDIUM, OVERLAP, STRONG
 from ..operators.inventory import TYPES
 
@@ -98,6 +98,33 @@ def _cited(c: str) -> str:
 
 _CASE_TYPES = "case ext " + " ".join(f"when '{k}' then '{v}'" for k, v in TYPES.items()) + " end"
 
+_SPLIT = r"""sq_ as (select chunk_id, i, trim(regexp_replace(p, '\s+', ' ', 'g')) p from (select id chunk_id, unnest(parts) p, generate_subscripts(parts, 1) i from (select id, regexp_split_to_array(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n\s*\n+|\n+') parts from chunks_))),
+sp_ as (select chunk_id, i, unnest(ss) p, generate_subscripts(ss, 1) j from (select chunk_id, i, case when length(p) <= 700 then [p] else string_split(regexp_replace(p, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) end ss from sq_)),
+pt_ as (select chunk_id, p, lead(p) over w p2, lead(p, 2) over w p3 from sp_ where length(p) >= 25 window w as (partition by chunk_id order by i, j)),
+w_p as (select chunk_id, p from pt_ union all select chunk_id, p || ' ' || p2 from pt_ where p2 is not null and length(p || ' ' || p2) <= 900 union all select chunk_id, p || ' ' || p2 || ' ' || p3 from pt_ where p3 is not null and length(p || ' ' || p2 || ' ' || p3) <= 1100),
+all_p as (select chunk_id, p from w_p union all select id, regexp_replace(text, '^\s+|\s+$', '', 'g') from chunks_ where id not in (select chunk_id from w_p) and trim(text, chr(10) || chr(9) || ' ') <> '')"""
+_PIECES = f"""{_SPLIT}, ruled_ as (select id chunk_id, regexp_matches(text, '{RULE_LABEL.replace("'", "''")}') ruled from chunks_),
+pieces_ as (select chunk_id, regexp_replace(lower(p), '\\s+', ' ', 'g') f, list_distinct(flatten(list_transform(list_distinct(list_transform(regexp_extract_all(p, '{_TOKEN}'), lambda x: lower(x))), lambda t: {_VARIANTS}))) have, ruled and regexp_matches(p, '{RULE_LABEL.replace("'", "''")}') labelled from all_p join ruled_ using (chunk_id)),
+lists_ as (select query_id, toks, coalesce(phs, []) phs from (select query_id, list(token) toks from asked group by 1) left join (select query_id, list(phrase) phs from phrases group by 1) using (query_id))"""
+
+
+def _texts(name: str, pairs: str) -> str:
+    """Passage and rule label scores of pairs(query_id, chunk_id)."""
+    return f"""{name}_e as (select query_id, chunk_id, labelled, len(list_intersect(toks, have))::double b, len(toks) nt, len(have) nh, coalesce(list_sum(list_transform(list_filter(phs, lambda x: contains(f, x)), lambda x: least(0.35::double, 0.08::double * len(string_split(x, ' '))))), 0) bonus from {pairs} join pieces_ using (chunk_id) join lists_ using (query_id)),
+{name}_s as (select *, case when b > 0 then b / nt * 0.82::double + b / nh * 0.18::double + bonus else 0.0::double end s from {name}_e),
+{name} as (select query_id, chunk_id, round(max(s), 6) passage_score, round(case when any_value(ruled) then least(1.0::double, 0.35::double + coalesce(max(s) filter (where labelled), 0)) else 0.0::double end, 6) label from {name}_s join ruled_ using (chunk_id) group by all)"""
+
+
+_SCORED = f"""{_LEXICAL}, {_SEMANTIC}, {_PIECES},
+fused as (select query_id, chunk_id, lexical_score, lexical_rank, semantic_rank, round(coalesce(0.48::double / (60 + lexical_rank), 0) + coalesce(0.52::double / (60 + semantic_rank), 0), 9) hybrid from ltop full join stop using (query_id, chunk_id)),
+{_texts("ts", "fused")},
+lw as (select query_id, chunk_id, max(len(string_split(phrase, ' '))) lw from fused join phrases using (query_id) join folded using (chunk_id) where contains(body, phrase) group by all),
+feats as (select query_id, chunk_id, round(lex.coverage, 6) coverage, round(lex.rare_coverage, 6) rare_coverage, lex.phrase_hits, greatest(coalesce(lw, 0), case when contains(body, fq) then len(string_split(fq, ' ')) else 0 end) lw from fused join lex using (query_id, chunk_id) join folded using (chunk_id) join fq using (query_id) left join lw using (query_id, chunk_id)),
+parts_ as (select fused.*, coalesce(ts.passage_score, 0) passage_score, coalesce(label, 0) label, coalesce(coverage, 0) coverage, coalesce(rare_coverage, 0) rare_coverage, coalesce(lexical_score / max(lexical_score) over (partition by fused.query_id), 0) strength,
+  case when coalesce(phrase_hits, 0) > 0 then least(1.0::double, 0.35::double + 0.18::double * phrase_hits + 0.08::double * greatest(0, lw - 1)) else 0.0::double end phrase_anchor from fused left join ts using (query_id, chunk_id) left join feats using (query_id, chunk_id)),
+scored as (select *, round(hybrid + 0.0045::double * strength + 0.0050::double * coverage + 0.0090::double * phrase_anchor + 0.0060::double * rare_coverage + 0.0100::double * passage_score + 0.0110::double * label, 6) evidence_score from parts_)"""
+_FINAL = f"""{_SCORED}, final_ as (select *, row_number() over (partition by query_id order by evidence_score desc, coalesce(semantic_rank, 9999), coalesce(lexical_rank, 9999), chunk_id)::int rank from scored qualify rank <= 8)"""
+
 ORACLES: dict[str, str] = {
     "visible_documents": f"with {_PAGES} select doc_id, path, folder_name, visibility from seen",
     "scoped_documents": f"with {_PAGES} select doc_id, path, folder_name from pages_ where folder_name = 'src1' and doc_id in (select doc_id from labels where quality = 1)",
@@ -262,4 +289,12 @@ ORACLES: dict[str, str] = {
           not exists (select 1 from chunks_ where id not in (select id from v)) and not exists (select 1 from v where id not in (select id from chunks_)) "current" from chunks_""",
     "envelope_checks": """select c_custkey record_id, case when c_custkey % 11 = 0 then 'unknown format' when c_custkey % 7 = 0 then 'unsupported version' else 'missing ' || concat_ws(', ', case when c_custkey % 5 = 0 then 'owner' end, case when c_custkey % 3 = 0 then 'system_id' end) end problem
         from customer where c_custkey % 11 = 0 or c_custkey % 7 = 0 or c_custkey % 5 = 0 or c_custkey % 3 = 0""",
+    "evidence_ranked": f"with {_FINAL} select query_id, chunk_id, evidence_score, passage_score, phrase_anchor, rank from final_",
+    "retrieval_report": f"""with {_FINAL} select query_id, count(*) hits, max(evidence_score) best, round(avg(passage_score), 6) mean_passage, count(*) filter (where lexical_rank is not null and semantic_rank is null) lexical_only,
+        count(*) filter (where lexical_rank is null and semantic_rank is not null) semantic_only, count(*) filter (where lexical_rank is not null and semantic_rank is not null) "both" from final_ group by 1""",
+    "neighbor_rescue": f"""with {_SCORED}, pos as (select id chunk_id, path, row_number() over (partition by path order by ordinal) pos from chunks_),
+        par as (select query_id, chunk_id, evidence_score parent from scored qualify row_number() over (partition by query_id order by evidence_score desc, chunk_id) <= 40),
+        near as (select query_id, b.chunk_id, max(parent * 0.55::double * case when abs(b.pos - a.pos) = 1 then 1.0::double else 0.72::double end) base from par join pos a using (chunk_id) join pos b on a.path = b.path and b.pos between a.pos - 2 and a.pos + 2 and a.pos <> b.pos group by all),
+        {_texts("tn", "near")}, res as (select query_id, chunk_id, round(base + 0.0120::double * passage_score + 0.0140::double * label, 6) rescue from near join tn using (query_id, chunk_id) where passage_score > 0 or label > 0)
+        select query_id, chunk_id, greatest(evidence_score, rescue) evidence_score, rescue is not null neighbor_rescued from scored full join res using (query_id, chunk_id)""",
 }
