@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import sys
+import tempfile
 import uuid
+from collections.abc import Callable
+from types import TracebackType
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,15 @@ def key_columns(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit(7), *cols).alias("k2")]
 
 
+def packed(df: DataFrame, without: tuple[str, ...] = (), name: str = "row") -> tuple[Column, Callable[[str], list[Column]]]:
+    """The columns of df but `without` as one structure column, and a function that gives them back from it.
+
+    An operator works on it beside columns of its own, so no input column clashes with one of these, or is lost."""
+    kept = [c for c in df.columns if c not in without]
+    row = (F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("none"))).alias(name)
+    return row, lambda at=name: [F.col(at).getField(c).alias(c) for c in kept]
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks df for broadcasting only if it was counted to be small; otherwise joins with it shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -39,10 +52,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    One is set here only where the session names none (local runs and tests)."""
+    Only a local session, whose executors are this process, gets one of its own where the setting is missing."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", spark.sparkContext.master or ""):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir().get()
 
 
@@ -56,12 +72,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
-    """df as a table in the shared folder, bucketed by key so that joins on it move only their other side."""
-    spark = df.sparkSession
-    name, n = f"tessera_{uuid.uuid4().hex}", partitions(spark)
-    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name), name
+class Scratch:
+    """Tables written in the shared folder for as long as a job needs them; they go when it ends or fails."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.tables = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind: type | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        for name in self.tables:
+            self.spark.sql(f"drop table if exists {name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df as written once and read again: later steps neither repeat it nor carry its lineage."""
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, *keys: str) -> DataFrame:
+        """df, which was grouped by the keys, as a table bucketed by them: joins on them move only their other side.
+
+        Rows are written as the grouping has dealt them out, without another shuffle."""
+        name, n = f"tessera_{uuid.uuid4().hex}", partitions(self.spark)
+        self.tables.append(name)
+        df.write.bucketBy(n, *keys).option("path", f"{self.folder}/{name}").saveAsTable(name)
+        return self.spark.table(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,8 +118,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
-    a = column.cast(pa.large_string()).fill_null("")
+    """Bytes of a string or binary column and the offsets of its rows; null counts as empty."""
+    a = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
     data = np.frombuffer(a.buffers()[2], np.uint8) if a.buffers()[2] is not None and a.buffers()[2].size else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -102,10 +141,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers of base modulo 2^64; those that whole blocks need are kept for the next block."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        have = np.full(n, base, np.uint64)
+        have[:1] = 1
+        have = np.multiply.accumulate(have)
+        if 1 << 12 <= n <= BLOCK:
+            _POWERS[base] = have
+    return have[:n]
 
 
 def polynomial(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Long repeated byte strings by a run-length compressed Burrows-Wheeler index.
 
-Runs of candidate windows meet under their anchor (see repeats.py). Of each anchor's distinct pieces an index
+Candidate pieces meet under their anchor (see repeats.py); of all the different pieces of an anchor an index
 is built: suffix order by prefix doubling, Burrows-Wheeler transform, its equal-letter runs, and for the first and
 last row of each run a sample of the row's text position with its match length to the neighbouring row outside
 the run. Inside a run, and only there, the match length falls by one from a text position to the next, so
@@ -15,43 +15,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts_of
-from .repeats import Units, attach, covered, repeated_spans, spans_of
+from .common import Scratch, cut, texts_of
+from .repeats import TEXT, Units, attach, covered, repeated_spans, spans_of
 
 WINDOW, GRAM = 400, 64
-#: Bytes of distinct pieces in one index; an anchor's pieces stay together, at most HOT of under twice the window.
-INDEX = 1 << 19
+#: Bytes of pieces in one index, about; an anchor's pieces stay together.
+INDEX = 1 << 18
+#: Letters packed into the first sort key, of 9 bits each.
+PACKED = 7
 
 
 class RunIndex:
     """The run-length index of several pieces, each ended by a separator of its own."""
 
     def __init__(self, pieces: list[bytes]):
-        m = len(pieces)
         sizes = np.array([len(p) for p in pieces], np.int64)
         self.first = np.concatenate(([0], np.cumsum(sizes + 1)))
         n = int(self.first[-1])
-        symbols = np.zeros(n, np.int64)
+        last = self.first[1:] - 1
         inside = np.ones(n, bool)
-        inside[self.first[1:] - 1] = False
-        symbols[inside] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64) + m + 1
-        symbols[~inside] = np.arange(1, m + 1)
+        inside[last] = False
+        #: Letters from 1 on; all separators are 0 here, the earlier one is the lesser.
+        self.text = np.zeros(n + PACKED, np.int64)
+        self.text[:n][inside] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64) + 1
+        key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
+        for k in range(PACKED):
+            key |= np.where(open_, self.text[k : k + n], 0) << (9 * (PACKED - 1 - k))
+            open_ &= self.text[k : k + n] > 0
+        # Keys that hold a separator are different from all others; their order is that of their places.
+        order = np.argsort(key)
+        closed = np.flatnonzero(~open_)
+        order[np.flatnonzero(~open_[order])] = closed[np.lexsort((closed, key[closed]))]
+        new = np.concatenate(([True], (key[order[1:]] != key[order[:-1]]) | ~open_[order[1:]]))
+        rank, width = np.empty(n, np.int64), PACKED
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         self.levels: list[tuple[int, np.ndarray]] = []
-        rank, width = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1, 1
+        tied = order[~(new & np.append(new[1:], True))]
         while True:
             self.levels.append((width, rank.astype(np.int32)))
-            if rank.max() == n:
+            if not len(tied):
                 break
-            key = rank * (n + 1)
-            key[: n - width] += rank[width:]
-            order = np.argsort(key)
-            sorted_ = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate(([1], (sorted_[1:] != sorted_[:-1]).astype(np.int64))))
+            # Only suffixes that share their rank are sorted on; a rank is the first row of those that share it.
+            key = rank[tied] * (n + 1) + rank[tied + width]
+            tied = tied[np.argsort(key)]
+            group, after = rank[tied], rank[tied + width]
+            fresh = np.concatenate(([True], group[1:] != group[:-1]))
+            start = np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))
+            new = fresh | np.concatenate(([True], after[1:] != after[:-1]))
+            place = np.maximum.accumulate(np.where(new, group + np.arange(len(tied)) - start, 0))
+            rank = rank.copy()
+            rank[tied] = place
+            tied = tied[~(new & np.append(new[1:], True))]
             width *= 2
         rows = np.empty(n, np.int64)
-        rows[rank - 1] = np.arange(n)
-        letters = symbols[rows - 1]
+        rows[rank] = np.arange(n)
+        # Each separator is a letter of its own.
+        letters = np.where(inside, self.text[:n], -np.searchsorted(last, np.arange(n)))[rows - 1]
         change = letters[1:] != letters[:-1]
         heads, tails = np.flatnonzero(np.concatenate(([True], change))), np.flatnonzero(np.concatenate((change, [True])))
         #: The transform as runs: letter and length.
@@ -64,14 +83,17 @@ class RunIndex:
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at x and y; separators never match."""
         x, y, out = x.copy(), y.copy(), np.zeros(len(x), np.int64)
+        differ, n = x != y, len(self.levels[0][1])
         for width, rank in reversed(self.levels):
-            ok = (x < len(rank)) & (y < len(rank))
-            same = np.zeros(len(x), bool)
-            same[ok] = rank[x[ok]] == rank[y[ok]]
-            same &= x != y
+            same = differ & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
             out[same] += width
             x[same] += width
             y[same] += width
+        for _ in range(PACKED - 1):
+            differ = differ & (self.text[x] == self.text[y]) & (self.text[x] > 0)
+            out[differ] += 1
+            x[differ] += 1
+            y[differ] += 1
         return out
 
     def matching_statistics(self) -> np.ndarray:
@@ -94,50 +116,40 @@ def repeated_starts(pieces: list[bytes], window: int) -> list[np.ndarray]:
     return [hits[a:b] - f for a, b, f in zip(cuts, cuts[1:], index.first, strict=False)]
 
 
-def compare(cold: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(k1, begin, end) in bytes from runs (anchor, k1, begin, piece) that were dealt out by anchor."""
-
-    def solve(held: dict[bytes, list[tuple[int, int]]], groups: list[list[bytes]]):
-        out = []
-        several = [p for g in groups if len(g) > 1 for p in g]
-        starts = dict(zip(several, repeated_starts(several, window), strict=True)) if several else {}
-        for piece, places in held.items():
-            if len(places) > 1:
-                spans = [(0, len(piece))]
-            else:
-                s = starts.get(piece, np.zeros(0, np.int64))
-                if not len(s):
-                    continue
-                gap = np.flatnonzero(np.diff(s) > 1)
-                spans = zip(s[np.concatenate(([0], gap + 1))].tolist(), (s[np.concatenate((gap, [len(s) - 1]))] + window).tolist(), strict=True)
-            for a, b in spans:
-                out += [(k, begin + a, begin + b) for k, begin in places]
-        k, a, b = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["k1", "begin", "end"])
+def compare(kinds: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(k1, k2, begin, end) in bytes: windows of kinds of one place that also occur in other kinds of their anchor, or again in their own."""
+
+    def solve(pieces: list[bytes], single: list[tuple[int, int, int] | None]):
+        k1, k2, begins, ends = [], [], [], []
+        for s, place in zip(repeated_starts(pieces, window), single, strict=True):
+            if place is None or not len(s):
+                continue
+            gap = np.flatnonzero(np.diff(s) > 1)
+            for a, b in zip(s[np.concatenate(([0], gap + 1))].tolist(), (s[np.concatenate((gap, [len(s) - 1]))] + window).tolist(), strict=True):
+                k1.append(place[0])
+                k2.append(place[1])
+                begins.append(place[2] + a)
+                ends.append(place[2] + b)
+        return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], names=[*TEXT, "begin", "end"])
 
     def work(batches):
-        held: dict[bytes, list[tuple[int, int]]] = {}
-        groups: list[list[bytes]] = []
+        pieces: list[bytes] = []
+        single: list[tuple[int, int, int] | None] = []
         last, size = None, 0
         for batch in batches:
-            for anchor, k, begin, piece in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if anchor != last:
-                    if size > INDEX:
-                        yield solve(held, groups)
-                        held, groups, size = {}, [], 0
-                    last = anchor
-                    groups.append([])
-                if piece in held:
-                    held[piece].append((k, begin))
-                else:
-                    held[piece] = [(k, begin)]
-                    groups[-1].append(piece)
-                    size += len(piece)
-        if held:
-            yield solve(held, groups)
-
-    dealt = cold.select("anchor", "k1", "begin", "piece").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(work, "k1 long, begin int, end int")
+            for anchor, n, piece, *place in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if anchor != last and size > INDEX:
+                    yield solve(pieces, single)
+                    pieces, single, size = [], [], 0
+                last = anchor
+                pieces.append(piece)
+                single.append(tuple(place) if n == 1 else None)
+                size += len(piece)
+        if pieces:
+            yield solve(pieces, single)
+
+    dealt = kinds.select("anchor", "n", "piece", "k1", "k2", "begin").repartition("anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(work, "k1 long, k2 long, begin int, end int")
 
 
 def kept_bytes(docs: DataFrame, text: str = "text", window: int = WINDOW, project=None) -> DataFrame:
@@ -146,7 +158,6 @@ def kept_bytes(docs: DataFrame, text: str = "text", window: int = WINDOW, projec
     begins and ends are the maximal removed runs of bytes. `project` narrows the result before it is written.
     """
     u = Units(words=False, window=window, gram=max(1, min(GRAM, window // 2)))
-    found, drop = repeated_spans(docs, u, lambda cold: compare(cold, window), text)
 
     def work(batches):
         for batch in batches:
@@ -164,10 +175,10 @@ def kept_bytes(docs: DataFrame, text: str = "text", window: int = WINDOW, projec
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.binary())],
                                              names=["k1", "k2", "n_bytes", "n_removed", "begins", "ends", "kept"])
 
-    out = found.select("k1", "k2", "text", "copies", "begins", "ends").mapInArrow(work, "k1 long, k2 long, n_bytes long, n_removed long, begins array<int>, ends array<int>, kept binary")
-    out = cut(out.select("k1", "k2", *project) if project else out)
-    drop()
-    return out
+    with Scratch(docs.sparkSession) as scratch:
+        found = repeated_spans(docs, u, scratch, lambda kinds: compare(kinds, window), text)
+        out = found.select("k1", "k2", "text", "copies", "begins", "ends").mapInArrow(work, "k1 long, k2 long, n_bytes long, n_removed long, begins array<int>, ends array<int>, kept binary")
+        return cut(out.select("k1", "k2", *project) if project else out)
 
 
 def remove_long_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import cut, texts_of
+from .common import Scratch, cut, texts_of
 from .repeats import Units, attach, covered, repeated_spans, spans_of
 
 WINDOW, GRAM = 35, 16
@@ -23,7 +24,6 @@ def kept_texts(docs: DataFrame, text: str = "text", window: int = WINDOW, projec
     `project` (a list of column expressions) narrows the result before it is written to the shared folder.
     """
     u = Units(words=True, window=window, gram=max(1, min(GRAM, window // 2)))
-    found, drop = repeated_spans(docs, u, text=text)
 
     def work(batches):
         for batch in batches:
@@ -43,10 +43,10 @@ def kept_texts(docs: DataFrame, text: str = "text", window: int = WINDOW, projec
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.string())],
                                              names=["k1", "k2", "n_words", "n_removed", "begins", "ends", "kept"])
 
-    out = found.select("k1", "k2", "text", "copies", "begins", "ends").mapInArrow(work, "k1 long, k2 long, n_words long, n_removed long, begins array<int>, ends array<int>, kept string")
-    out = cut(out.select("k1", "k2", *project) if project else out)
-    drop()
-    return out
+    with Scratch(docs.sparkSession) as scratch:
+        found = repeated_spans(docs, u, scratch, text=text)
+        out = found.select("k1", "k2", "text", "copies", "begins", "ends").mapInArrow(work, "k1 long, k2 long, n_words long, n_removed long, begins array<int>, ends array<int>, kept string")
+        return cut(out.select("k1", "k2", *project) if project else out)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -56,7 +56,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     space becomes single spaces. Every row counts, so a repeated row of enough words loses all of them. Input
     columns named n_words or n_removed are replaced, other columns are kept.
     """
-    from pyspark.sql import functions as F
-
     out = attach(docs, kept_texts(docs, text, window, ["n_words", "n_removed", "kept"]), ["n_words", "n_removed", "kept"], text)
     return out.withColumns({"n_words": F.coalesce("n_words", F.lit(0).cast("long")), "n_removed": F.coalesce("n_removed", F.lit(0).cast("long"))}).withColumnRenamed("kept", text)
