@@ -1,24 +1,33 @@
-"""Groups of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, without losses.
-
-Of two sets that similar, the first fifth of each (plus one), in any one order of all shingles, has a shingle in
-common. That is asked twice: by hash order over all texts, which leaves the texts that share anything, and among
-these by rising frequency, so that common passages come last and texts meet under their rare shingles. The
-similarity of every pair that meets is verified on the whole sets.
-Equal sets are one node. Where many nodes meet under one shingle, they are compared with one of them first, and
-then only pairs that are not yet connected, so a large group of near copies is not paired with itself.
+"""Groups of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, by SimHash and multi-index hashing.
+
+At that similarity 64 bits differ in about ten, too many for a ball of a few bits, so a text gets a wide fingerprint of
+`SEGMENTS` independent segments of `BITS` bits (each bit the majority over the hashes of its distinct shingles). A bit of two
+texts at similarity 0.8 differs with probability 0.15, two segments are at most one bit apart with 0.18, and
+any of 16 pairs of segments with 0.95; more similar texts are found more often. Every text probes the table of each
+segment with the ball of radius 1 around its own, half of it, as the side with a 0 in a differing bit is enough;
+the distance of 64 bits is verified in the join, that of all bits after it, and then the similarity itself on the whole sets.
+Random meetings grow with the number of texts over 2^BITS: on larger corpora wider segments (and more of them) keep them rare.
+
+Equal sets are one node. A large group of near copies is not paired with itself: where many nodes share a segment they
+are compared with one of them first, and afterwards nodes of a group that is already known to be large only meet nodes of others.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, broadcast_if_small, cut, lowered, mix, powers, texts_of, word_hashes, words_of
+from .common import Scratch, blocks, broadcast_if_small, cut, lowered, mix, powers, texts_of, word_hashes, words_of
 from .components import components
 
-#: Nodes under one shingle beyond which they are compared with one of them before they are paired, and how often.
+SEGMENTS, BITS = 16, 20
+WORDS = -(-SEGMENTS * BITS // 64)
+#: Bits that may differ before sets are compared, of the first 64 and of all: at similarity 0.8 it is 10 and 48 on average, more than 18 or
+#: 70 in one pair of 500 or less.
+FAR, FAR_ALL = 18, 70
+#: Nodes in one segment's place beyond which they are compared with one of them before they are paired, and how often.
 CROWD, ROUNDS = 16, 3
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -45,96 +54,137 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return h, np.searchsorted(row, np.arange(len(n) + 1))
 
 
-def prefix(n):
-    """How many of n shingles, in any common order, hold one of every set that is similar enough."""
-    return n - (4 * n + 4) // 5 + 1
+def bit_counts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(rows, 64): how many of each row's hashes h[at[i]:at[i + 1]] have each bit, for rows that are not empty.
 
+    Eight counters of a byte are added at once, over at most 255 hashes; these sums then add up to rows."""
+    size = np.diff(at)
+    parts = -(-size // 255)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts = np.repeat(at[:-1], parts) + 255 * nth
+    out = np.zeros((len(starts), 8, 8), np.int64)
+    for k in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0101010101010101), starts)
+        out[:, :, k] = lanes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.add.reduceat(out.reshape(-1, 64), np.cumsum(parts) - parts, axis=0)
 
-def _sets(docs: DataFrame, id_col: str, text: str, width: int, whole: bool) -> DataFrame:
-    """(id, node, n, hashes): the key of the shingle set, its size, and all its hashes or the prefix in hash order."""
+
+def wide_bits(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(rows, WORDS * 64) booleans: bits that are set in over half of a row's shingle hashes; none for an empty row."""
+    out, full = np.zeros((len(at) - 1, WORDS * 64), bool), np.flatnonzero(np.diff(at))
+    if len(full):
+        n = np.diff(at)[full]
+        for j in range(WORDS):
+            own = mix(h.view(np.uint64) + np.uint64((j * _FACTOR + 1) & (2**64 - 1)))
+            out[full, 64 * j : 64 * j + 64] = bit_counts(own, np.append(at[:-1][full], at[-1])) * 2 > n[:, None]
+    return out
+
+
+def _prints(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """(id, node, check, prints, segments): the key of the shingle set, its first 64 bits, all bits, and all segments as numbers."""
 
     def work(batches):
+        weight = 1 << np.arange(BITS - 1, -1, -1)
         for batch in batches:
             data, offsets = texts_of(batch.column(1))
-            nodes, sizes, lists, ends = [], [], [], [np.zeros(1, np.int64)]
             for a, b in blocks(offsets):
                 h, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-                n = np.diff(at)
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h.view(np.uint64) + np.uint64(_FACTOR)), dtype=np.uint64)))
-                nodes.append(mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64)).view(np.int64))
-                take = n if whole else np.where(n > 0, prefix(n), 0)
-                lists.append(h[np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(take, n)])
-                sizes.append(n)
-                ends.append(ends[-1][-1] + np.cumsum(take))
-            if nodes:
-                hashes = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(lists), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes), pa.int32()), hashes], names=[id_col, "node", "n", "hashes"])
-
-    schema = docs.select(id_col, F.lit(0).cast("long").alias("node"), F.lit(0).alias("n"), F.array(F.lit(0).cast("long")).alias("hashes")).schema
+                node = mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
+                bits = wide_bits(h, at)
+                words = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+                parts = (bits[:, : SEGMENTS * BITS].reshape(-1, SEGMENTS, BITS) @ weight).astype(np.int32)
+                prints = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, WORDS, dtype=np.int32)), pa.array(words.reshape(-1)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, SEGMENTS, dtype=np.int32)), pa.array(parts.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(node), pa.array(np.ascontiguousarray(words[:, 0])), prints, lists], names=["id", "node", "check", "prints", "segments"])
+
+    schema = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("check"), F.array(F.lit(0).cast("long")).alias("prints"), F.array(F.lit(0)).alias("segments")).schema
     return docs.select(id_col, text).mapInArrow(work, schema)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose sets are similar enough."""
-    one, two = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
-    common, both = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
-    return pairs.join(one, "a").join(two, "b").where(9 * common >= 4 * both).select("a", "b")
+def _sets(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """(id, hashes): the distinct shingle hashes of each row."""
 
+    def work(batches):
+        for batch in batches:
+            data, offsets = texts_of(batch.column(1))
+            for a, b in blocks(offsets):
+                h, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h))], names=["id", "hashes"])
+
+    schema = docs.select(F.col(id_col).alias("id"), F.array(F.lit(0).cast("long")).alias("hashes")).schema
+    return docs.select(id_col, text).mapInArrow(work, schema)
 
-def _meeting(every: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, h): the rarest shingles under which sets of every(node, h) may meet similar ones, where any do.
 
-    A shingle occurs once in a text, so one shingle holds a small share of the rows."""
-    often = every.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
-    lists = often.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("l"))
-    # What occurs once comes first in the order and meets nothing.
-    size = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1
-    left = (size - (F.col("n") - F.size("l"))).cast("int")
-    met = cut(lists.join(nodes.select("node", "n"), "node").where(left > 0).select("node", "n", F.explode(F.slice("l", F.lit(1), left)).alias("x")).select("node", "n", "x.h"))
-    return cut(met.join(met.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "h", "left_semi").select("node", "n", "h"))
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, scratch: Scratch) -> DataFrame:
+    """Those of pairs(a, b) of nodes whose sets are similar enough; only the texts of these nodes are split again."""
+    every = nodes.select("node", "prints")
+    both = scratch.keep(pairs.distinct()).join(every.toDF("a", "pa"), "a").join(every.toDF("b", "pb"), "b")
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = scratch.keep(both.where(apart <= FAR_ALL).select("a", "b"))
+    chosen = scratch.keep(nodes.select("node", "least").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(broadcast_if_small(chosen.select(F.col("least").alias("id"))), "id", "left_semi")
+    # A row of docs that is repeated as it is, id and all, gives its set again.
+    sets = scratch.keep(chosen.join(_sets(texts, "id", "text", width), F.col("least") == F.col("id")).groupBy("node").agg(F.first("hashes").alias("hashes")))
+    one, two = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
+    common, both = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
+    return scratch.keep(pairs.join(one, "a").join(two, "b").where(9 * common >= 4 * both).select("a", "b"))
+
 
+def links(nodes: DataFrame, verify, scratch: Scratch) -> DataFrame:
+    """(node, root) of those of nodes(node, check, segments) that similar pairs connect; verify(pairs) keeps the similar ones of pairs(a, b)."""
+    place = lambda i, v: F.shiftleft(i, BITS).bitwiseOR(v)
+    own = scratch.keep(nodes.select("node", "check", F.posexplode("segments").alias("i", "v")).select("node", "check", place(F.col("i"), F.col("v")).alias("h")))
+    near = F.bit_count(F.col("check").bitwiseXOR(F.col("check_b"))) <= FAR
+    apart = (F.col("root") != F.col("root_b")) & near
+    pair = [F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")]
+    other = lambda df: df.select("h", *[F.col(c).alias(f"{c}_b") for c in ("node", "check", "root")])
 
-def links(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) of the nodes of met(node, n, h) that similar pairs connect; sets(node, hashes) holds their sets."""
-    fits = (4 * F.col("n") <= 5 * F.col("m")) & (4 * F.col("m") <= 5 * F.col("n"))
-    state = met.withColumn("root", F.col("node"))
-    found = None
+    def rooted(df: DataFrame, roots: DataFrame | None) -> DataFrame:
+        if roots is None:
+            return df.withColumns({"root": F.col("node"), "large": F.lit(False)})
+        return df.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").drop("of").withColumns({"root": F.coalesce("root", "node"), "large": F.coalesce("large", F.lit(False))})
 
-    def joined(pairs: DataFrame) -> DataFrame:
-        new = _verified(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), sets)
-        return cut(new if found is None else found.unionByName(new))
+    def grouped(found: DataFrame) -> DataFrame:
+        roots = components(found)
+        sizes = roots.groupBy("root").agg((F.count("*") > CROWD).alias("large"))
+        return scratch.keep(roots.join(scratch.keep(sizes), "root").select("node", "root", "large"))
 
+    found = roots = None
     for k in range(ROUNDS):
-        crowds = state.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("r"), F.max("root").alias("s"), F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(k))).alias("p"))
-        pivots = crowds.where((F.col("c") > CROWD) & (F.col("r") != F.col("s"))).select("h", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.root").alias("of"))
-        pivots = cut(pivots)
+        state = rooted(own, roots)
+        crowds = state.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("r"), F.max("root").alias("s"), F.min_by(F.struct("node", "check", "root"), F.xxhash64("node", F.lit(k))).alias("p"))
+        pivots = scratch.keep(crowds.where((F.col("c") > CROWD) & (F.col("r") != F.col("s"))).select("h", "p.node", "p.check", "p.root"))
         if pivots.isEmpty():
             break
-        found = joined(state.join(pivots, "h").where(fits & (F.col("root") != F.col("of"))))
-        roots = components(found).withColumnRenamed("root", "to")
-        state = cut(met.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "n", "h", F.coalesce("to", "node").alias("root")))
-    open_ = state.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
-    rest = state.join(open_, "h")
-    twin = rest.select("h", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("of"))
-    return components(joined(rest.join(twin, "h").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("of")) & fits)))
+        new = verify(state.join(other(pivots), "h").where(apart).select(*pair))
+        found = new if found is None else found.unionByName(new)
+        roots = grouped(found)
+    # The ball: each 0 of a segment set to 1. Nodes of large groups meet only nodes of other groups.
+    flipped = lambda i, v: F.transform(F.filter(F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda k: F.call_function("shiftleft", F.lit(1), k)), lambda b: v.bitwiseAND(b) == 0), lambda b: place(i, v.bitwiseOR(b)))
+    ball = F.flatten(F.transform("segments", lambda v, i: F.concat(F.array(place(i, v)), flipped(i, v))))
+    probes = rooted(nodes, roots).select("node", "check", "root", "large", F.explode(ball).alias("h"))
+    table = rooted(own, roots)
+    pairs = probes.where("not large").join(other(table), "h").where(apart).select(*pair)
+    if roots is not None:
+        pairs = pairs.unionByName(probes.where("large").join(other(table.where("not large")), "h").where(apart).select(*pair))
+        # Two large groups in one place: first which groups meet, then their nodes.
+        left, right = (scratch.keep(x.where("large").select("h", "node", "check", "root")) for x in (probes, table))
+        meet = left.select("h", "root").distinct().join(right.select("h", F.col("root").alias("root_b")).distinct(), "h").where("root <> root_b")
+        pairs = pairs.unionByName(left.join(scratch.keep(meet), ["h", "root"]).join(other(right), ["h", "root_b"]).where(near).select(*pair))
+    new = verify(pairs)
+    return components(new if found is None else found.unionByName(new))
 
 
 def groups(docs: DataFrame, id_col: str, text: str = "text", width: int = 5) -> DataFrame:
     """(id, component_id) for each row of docs: the smallest id that similar pairs reach. Ids must be comparable;
     texts without words are equal to each other."""
-    rows = cut(_sets(docs, id_col, text, width, False))
-    nodes = rows.groupBy("node").agg(F.min(id_col).alias("least"), F.min("n").alias("n"))
-    firsts = rows.select("node", F.explode("hashes").alias("h"))
-    key = Window.partitionBy("h")
-    meeting = firsts.select("node", (F.min("node").over(key) != F.max("node").over(key)).alias("shared")).where("shared").select("node").distinct()
-
-    def sets_of(some: DataFrame) -> DataFrame:
-        chosen = cut(nodes.join(some, "node").select(F.col("least").alias(id_col)))
-        return _sets(docs.join(broadcast_if_small(chosen), id_col, "left_semi"), id_col, text, width, True)
-
-    met = _meeting(sets_of(meeting).select("node", F.explode("hashes").alias("h")), nodes)
-    # A row of docs that is repeated as it is, id and all, gives its set again; so its pairs may come twice.
-    roots = links(met, cut(sets_of(met.select("node").distinct()).select("node", "hashes")))
-    of = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = of.groupBy("root").agg(F.min("least").alias("component_id")).join(of.select("root", "node"), "root")
-    return rows.select(id_col, "node").join(named, "node").select(id_col, "component_id")
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(_prints(docs, id_col, text, width))
+        nodes = scratch.keep(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("check").alias("check"), F.first("prints").alias("prints"), F.first("segments").alias("segments")))
+        roots = links(nodes, lambda pairs: verified(pairs, nodes, docs, id_col, text, width, scratch), scratch)
+        of = nodes.select("node", "least").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+        of = scratch.keep(of)
+        named = of.groupBy("root").agg(F.min("least").alias("component_id"))
+        of = scratch.keep(of.join(scratch.keep(named), "root").select("node", "component_id"))
+        return cut(rows.select("id", "node").join(of, "node").select(F.col("id").alias(id_col), "component_id"))

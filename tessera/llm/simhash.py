@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import blocks, cut, texts_of
+from .common import blocks, cut, packed, texts_of
 from .components import components
 
 DISTANCE = 3
@@ -91,10 +91,13 @@ def hex_digits(fp):
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """docs without the rows that are not the first of their group of near copies (a Jaccard similarity of 0.8 or more,
-    which 64 bits at radius 3 mostly miss; see near_copies): one row of each group stays, the one with the smallest id (of rows with equal id and group, the one with the least text and source key stays)."""
-    marked = docs.withColumn("_key", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    found = near_copies.groups(docs.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("k")).alias("_id"), F.col(text)), "_id", text, width)
-    first = found.where(F.col("_id") == F.col("component_id")).select(F.col("_id.k").alias("_key")).distinct()
-    kept = marked.join(first, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select(docs.columns)
+    """docs with one row of each group of near copies: a Jaccard similarity of 0.8 or more on word shingles (see near_copies).
+
+    The row with the smallest id stays, one with a null id only if the group has no other; of rows with equal ids the one with the least
+    hash of all its columns, and of rows that are equal in all columns one. Texts without words are copies of each other."""
+    row, columns = packed(docs)
+    marked = docs.select(row, F.xxhash64(*[F.col(c) for c in docs.columns]).alias("key"), F.xxhash64(F.lit(7), *[F.col(c) for c in docs.columns]).alias("key2"))
+    name = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("k"), F.xxhash64(F.lit(7), *[F.col(c) for c in docs.columns]).alias("k2"))
+    found = near_copies.groups(docs.select(name.alias("id"), F.col(text).alias("text")), "id", "text", width)
+    first = found.where(F.col("id") == F.col("component_id")).select(F.col("id.k").alias("key"), F.col("id.k2").alias("key2")).distinct()
+    return marked.join(first, ["key", "key2"], "left_semi").dropDuplicates(["key", "key2"]).select(*columns())
