@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import packed, texts_of
 
-#: Documents of each language in the training sample, about; windows taken from each; bytes in a window.
+#: Texts of each language in the training sample, at most; windows taken from each; bytes in a window.
 SAMPLE, WINDOWS, LENGTH = 300, 12, 64
 HIDDEN, STEPS, BATCH, RATE = 12, 260, 192, 0.02
 #: Windows that a task runs at once.
@@ -34,13 +34,19 @@ class Network:
 
     def step(self, d: str, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         n = self.h
-        a, u = self.p[f"{d}x"][x], h @ self.p[f"{d}u"]
-        g = np.tanh((a[:, : 2 * n] + u[:, : 2 * n]) * np.float32(0.5))
-        g += 1
-        g *= np.float32(0.5)
-        z, r = g[:, :n], g[:, n:]
-        c = np.tanh(a[:, 2 * n :] + r * u[:, 2 * n :])
-        return c + z * (h - c), z, r, c, u[:, 2 * n :]
+        a, u = np.take(self.p[f"{d}x"], x, axis=0, mode="clip"), h @ self.p[f"{d}u"]
+        g = _sigmoid(a[:, : 2 * n] + u[:, : 2 * n])
+        z, r, un = g[:, :n], g[:, n:], u[:, 2 * n :]
+        c = r * un
+        c += a[:, 2 * n :]
+        c *= 2
+        c = _sigmoid(c)
+        c *= 2
+        c -= 1
+        new = h - c
+        new *= z
+        new += c
+        return new, z, r, c, un
 
     def states(self, d: str, x: np.ndarray, full: bool = False) -> list:
         """States after each position, in text order; full: with what backpropagation needs."""
@@ -102,14 +108,22 @@ class Network:
 
     def window_sums(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Sums of the position distributions of each window: (batch, classes)."""
-        ahead, n = self.states("f", x), self.h
-        h, out = np.zeros((x.shape[1], n), np.float32), np.zeros((x.shape[1], len(self.classes)), np.float32)
+        n, k, x = self.h, len(self.classes), x.astype(np.int64)
+        ahead, behind, bias = self.p["out"][:n].T.copy(), self.p["out"][n:].T.copy(), self.p["bias"][:, None]
+        h, first = np.zeros((x.shape[1], n), np.float32), []
+        for t in range(len(x)):
+            h = self.step("f", x[t], h)[0]
+            first.append(ahead @ h.T + bias)
+        h, out = np.zeros((x.shape[1], n), np.float32), np.zeros((k, x.shape[1]), np.float32)
         for t in reversed(range(len(x))):
             h = self.step("b", x[t], h)[0]
-            p = _softmax(ahead[t] @ self.p["out"][:n] + h @ self.p["out"][n:] + self.p["bias"])
-            p *= mask[t][:, None]
+            p = first[t]
+            p += behind @ h.T
+            p -= p.max(0)
+            np.exp(p, out=p)
+            p *= mask[t] / p.sum(0)
             out += p
-        return out
+        return out.T
 
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Mean distributions of whole texts; zeros for empty ones."""
@@ -129,6 +143,15 @@ class Network:
         return sums / np.maximum(size, 1)[:, None]
 
 
+def _sigmoid(v: np.ndarray) -> np.ndarray:
+    """The logistic function, in place; exponentials are several times faster here than hyperbolic tangents."""
+    np.clip(v, -40, 40, out=v)
+    np.negative(v, out=v)
+    np.exp(v, out=v)
+    v += 1
+    return np.reciprocal(v, out=v)
+
+
 def _softmax(v: np.ndarray) -> np.ndarray:
     v = np.exp(v - v.max(1, keepdims=True))
     v /= v.sum(1, keepdims=True)
@@ -136,20 +159,24 @@ def _softmax(v: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, trains: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Network | None:
-    """A network fitted on about `sample` documents of each language, chosen by a hash of the text; None without any.
+    """A network fitted on at most `sample` different texts of each language, chosen by a hash of the text; None without any.
 
-    Only rows with a language, a text and `trains` teach; the driver holds WINDOWS windows of each sampled document.
+    Only rows with a language, a text and `trains` teach. The bound of what the network learns from is `sample` texts a language, with
+    WINDOWS windows of LENGTH bytes spread over each; the driver holds no more than these. Everything else reads whole texts.
     """
     rows = docs.where(trains & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.encode(text, "UTF-8").alias("t"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, sample / n))])
-    spot = F.pmod(F.xxhash64(F.lit(5), "t"), F.lit(1 << 20)) / float(1 << 20)
+    # Of each language the `sample` different texts with the least hashes; four times as many are looked at, for copies.
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 4 * sample / n))])
+    spot = F.pmod(F.xxhash64(F.lit(5), "t"), F.lit(1 << 40))
+    near = rows.withColumn("spot", spot).where(F.col("spot") < F.try_element_at(share, F.col("lang")) * float(1 << 40))
+    once = near.groupBy("lang", "spot").agg(F.min("t").alias("t"))
+    chosen = once.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("spot"))).where(F.col("n") <= sample)
     # Evenly spaced windows of the chosen texts; a text gives WINDOWS of them at most.
     step = F.greatest(F.lit(1), (F.length("t") - LENGTH) / WINDOWS)
     starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.greatest(F.lit(0), F.least(F.length("t") - LENGTH, F.floor(i * step))).cast("int")))
-    chosen = rows.where(spot < F.try_element_at(share, F.col("lang"))).limit(3 * sample * len(counts))
     parts = chosen.select("lang", F.explode(starts).alias("s"), "t").select("lang", F.substring("t", F.col("s") + 1, LENGTH).alias("w")).collect()
     classes = sorted(counts)
     windows, lengths = np.zeros((len(parts), LENGTH), np.uint8), np.zeros(len(parts), np.int64)
@@ -164,29 +191,33 @@ def train(docs: DataFrame, trains: Column, text: str = "text", lang: str = "lang
     return net
 
 
-def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, net: Network | None, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with lang_pred and score (the mean probability of that language); other columns are kept.
 
     A null text and one without any letter get 'und' and 0.0, as does every text without a network. Input columns
-    named lang_pred or score are replaced. Repeated rows each give a row.
+    named lang_pred or score are replaced. Repeated rows each give a row. Without `keep_text` the text is left out.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*keep, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    row, _ = packed(docs, ("lang_pred", "score", text))
+    names = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text)]
+    back = lambda: [F.col("text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in names]
+    rows = docs.select(row, F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     if net is None:
-        return rows.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared, spot = docs.sparkSession.sparkContext.broadcast(vars(net)), keep.index(text)
+        return rows.select(*back(), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(net))
 
     def work(batches):
         n = Network.__new__(Network)
         n.__dict__ |= shared.value
         for batch in batches:
-            data, offsets = texts_of(batch.column(spot))
-            letter = batch.column(len(keep)).to_numpy(zero_copy_only=False).astype(bool)
+            data, offsets = texts_of(batch.column(1))
+            letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             size = np.where(letter, np.diff(offsets), 0)
             part = n.documents(data, offsets) if letter.all() else n.documents(data[np.repeat(letter, np.diff(offsets))], np.concatenate(([0], np.cumsum(size))))
             best = part.argmax(1)
-            names = [n.classes[k] if ok else "und" for k, ok in zip(best.tolist(), letter.tolist(), strict=True)]
+            found = [n.classes[k] if ok else "und" for k, ok in zip(best.tolist(), letter.tolist(), strict=True)]
             value = np.where(letter, np.clip(part[np.arange(len(best)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(value)], names=[*keep, "lang_pred", "score"])
+            given = pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(value)], names=["row", "lang_pred", "score"])
+            yield given.append_column("text", batch.column(1)) if keep_text else given
 
-    return rows.mapInArrow(work, rows.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
+    shape = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), *(["text"] if keep_text else []))
+    return rows.mapInArrow(work, shape.schema).select(*back(), "lang_pred", "score")

@@ -39,7 +39,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(remainder(4) == 2, F.lit(False))
     net = language_id.train(docs, ~held)
-    found = language_id.identify(docs.select("doc_id", held.alias("held_out"), "text"), net)
+    found = language_id.identify(docs.select("doc_id", held.alias("held_out"), "text"), net, keep_text=False)
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
