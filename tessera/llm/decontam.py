@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, key_columns
+from .common import ascii_lower, broadcast_if_small, cut, key_columns, packed
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -55,7 +55,7 @@ def rarest(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 def exact_matches(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """(k1, k2, begin, end, item_ids): word spans of documents, by content key, that equal a phrase."""
-    wanted = rarest(phrases(items, item_id, text, size), docs, text).persist()
+    wanted = cut(rarest(phrases(items, item_id, text, size), docs, text))
     index = postings(docs, text, wanted.select("term").distinct(), size - 1)
     begin = F.col("pos") - F.col("off")
     there = (begin >= F.col("from")) & (F.slice("context", F.greatest(begin - F.col("from") + 1, F.lit(1)), F.col("n")) == F.col("phrase"))
@@ -79,8 +79,7 @@ def contamination(docs: DataFrame, items: DataFrame, item_id: str = "item_id", t
         F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_list"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda s, x: F.struct((s.n + F.greatest(x.end - F.greatest(x.begin, s.to), F.lit(0))).alias("n"), F.greatest(x.end, s.to).alias("to")), lambda s: s.n)
     spans = spans.select("k1", "k2", covered.cast("long").alias("n_hit"), "item_list")
-    added = ("n_words", "n_hit", "n_items", "item_list", "contaminated", "k1", "k2")
-    rows = docs.select(*[c for c in docs.columns if c not in added], *key_columns(F.col(text)), F.size(words(F.col(text))).cast("long").alias("n_words"))
-    return (rows.join(spans, ["k1", "k2"], "left").withColumns({
-        "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "item_list": F.coalesce("item_list", F.array().cast("array<string>"))})
-        .withColumns({"n_items": F.size("item_list").cast("long"), "contaminated": F.col("n_hit") > 0}).drop("k1", "k2"))
+    row, columns = packed(docs, ("n_words", "n_hit", "n_items", "item_list", "contaminated"))
+    rows = docs.select(row, *key_columns(F.col(text)), F.size(words(F.col(text))).cast("long").alias("n_words"))
+    hit, list_ = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("item_list", F.array().cast("array<string>"))
+    return rows.join(spans, ["k1", "k2"], "left").select(*columns(), "n_words", hit.alias("n_hit"), F.size(list_).cast("long").alias("n_items"), list_.alias("item_list"), (hit > 0).alias("contaminated"))

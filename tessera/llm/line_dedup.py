@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, key_columns
+from .common import SPACE, broadcast_if_small, cut, key_columns, packed
 
 RATIO, PAGES = 0.1, 3
 
@@ -34,14 +34,16 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     text stays null, a page of boilerplate alone becomes the empty text. Hosts of fewer than `pages` pages lose
     nothing. An input column n_dropped is replaced.
     """
-    common = boilerplate(docs, host, text, ratio, pages)
-    key = key_columns(F.coalesce(F.col(host), F.lit("\0")), F.col(text))
-    lines = F.array_distinct(F.transform(F.split(text, "\n"), lambda x: F.xxhash64(_line(x))))
-    held = docs.select(*key, F.col(host).alias("h"), F.explode(lines).alias("l"))
-    found = held.join(common, F.col("h").eqNullSafe(F.col("host")) & (F.col("l") == F.col("line"))).groupBy("k1", "k2").agg(F.collect_set("line").alias("_bad"))
-    joined = docs.drop("n_dropped").select("*", *key).join(found, ["k1", "k2"], "left")
-    split = F.split(text, "\n")
-    kept = F.filter(split, lambda x: ~F.array_contains(F.col("_bad"), F.xxhash64(_line(x))))
-    out = joined.withColumn("_kept", F.when(F.col("_bad").isNotNull(), kept)).withColumn("n_dropped", F.when(F.col("_bad").isNull(), 0).otherwise(F.size(split) - F.size("_kept")))
-    out = out.withColumn(text, F.when(F.col("_bad").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")))
-    return out.select(*[c for c in docs.columns if c != "n_dropped"], "n_dropped")
+    row, columns = packed(docs, ("n_dropped",))
+    rows = docs.select(row, F.col(host).alias("host"), F.col(text).alias("text"), *key_columns(F.coalesce(F.col(host).cast("string"), F.lit("\0")), F.col(text)))
+    # A line above the ratio is on so many of its host's pages that a host has few of them; they are counted before they are broadcast.
+    common = broadcast_if_small(cut(boilerplate(docs, host, text, ratio, pages).select(F.col("host").alias("h"), "line")))
+    lines = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(_line(x))))
+    held = rows.select("k1", "k2", "host", F.explode(lines).alias("l"))
+    found = held.join(common, F.col("h").eqNullSafe(F.col("host")) & (F.col("l") == F.col("line"))).groupBy("k1", "k2").agg(F.collect_set("line").alias("bad"))
+    split = F.split("text", "\n")
+    kept = F.filter(split, lambda x: ~F.array_contains(F.col("bad"), F.xxhash64(_line(x))))
+    out = rows.join(found, ["k1", "k2"], "left").withColumn("kept", F.when(F.col("bad").isNotNull(), kept))
+    new = F.when(F.col("bad").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias(text)
+    dropped = F.when(F.col("bad").isNull(), 0).otherwise(F.size(split) - F.size("kept")).alias("n_dropped")
+    return out.select(*[new if c == text else x for c, x in zip([c for c in docs.columns if c != "n_dropped"], columns(), strict=True)], dropped)

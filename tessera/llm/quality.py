@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, broadcast_if_small, cut
+from .common import SPACE, broadcast_if_small, cut, packed
 
 BUCKETS = 1 << 14
 #: Share of the trusted documents that may score below the threshold.
@@ -103,11 +103,12 @@ def judge(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text:
     Without any trusted document with words the ratio rejects nothing. Columns in `drop` are left out of the result,
     and so of the checkpoint that holds the scored rows.
     """
-    added = ("_h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
-    rows = docs.select([c for c in docs.columns if c not in added])
+    row, columns = packed(docs, ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept", *drop))
+    rows = docs.select(row, F.col(id_col).alias("id"), F.col(text).alias("text"))
     ids = target_ids.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
     # The text stays where it is read: the ids are broadcast if they were counted to be few, else the join shuffles.
-    marked = rows.join(broadcast_if_small(ids, 2_000_000), F.col(id_col) == F.col("_id"), "left").withColumn("_trusted", F.col("_id").isNotNull()).drop("_id")
-    scored = cut(score(base(marked, text), model(marked, F.col("_trusted"), text)).drop("_h", *drop))
-    out = scored.withColumn("_limit", threshold(scored.where("_trusted")).scalar())
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= F.col("_limit"), F.lit(True))).drop("_trusted", "_limit")
+    marked = rows.join(broadcast_if_small(ids, 500_000), F.col("id") == F.col("_id"), "left").withColumn("trusted", F.col("_id").isNotNull()).drop("_id", "id")
+    scored = cut(score(base(marked, "text"), model(marked, F.col("trusted"), "text")).drop("_h", "text"))
+    out = scored.withColumn("limit", threshold(scored.where("trusted")).scalar())
+    kept = ~F.col("base_failed") & F.coalesce(F.col("llr") >= F.col("limit"), F.lit(True))
+    return out.select(*columns(), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", kept.alias("kept"))

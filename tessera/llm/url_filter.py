@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut, packed
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: '^' pads the start; every character that is not listed counts as '*'.
@@ -59,7 +59,6 @@ def model(labelled: DataFrame) -> DataFrame:
     grid = grid.join(F.broadcast(counts), "code", "left").select(
         "code", F.expr(f"code div {SIZE * SIZE}").alias("a"), F.expr(f"code div {SIZE} % {SIZE}").alias("b"), F.expr(f"code % {SIZE}").alias("c"),
         *(F.coalesce(n, F.lit(0)).alias(n) for n in ("n1", "n0")))
-    grid.createOrReplaceTempView("tessera_url_grid")
 
     def p(n: str) -> str:
         return f"""
@@ -72,10 +71,10 @@ def model(labelled: DataFrame) -> DataFrame:
         (sum({n}) over (partition by c) + 1D) / (sum({n}) over (partition by 1) + {SIZE}) p0_{n}"""
     followers = lambda n: f"sum(if(a = 0 and u_{n} > 0, 1, 0)) over (partition by b) t1_{n}"
     return spark.sql(f"""
-        with x as (select code, a, b, c, n1, n0, {per('n1')}, {per('n0')} from tessera_url_grid),
+        with x as (select code, a, b, c, n1, n0, {per('n1')}, {per('n0')} from {{grid}}),
         y as (select *, {followers('n1')}, {followers('n0')} from x),
         z as (select code, cast(round(1e6 * (ln({p('n1')}) - ln({p('n0')}))) as bigint) w from y)
-        select transform(sort_array(collect_list(struct(code, w))), x -> x.w) w from z""")
+        select transform(sort_array(collect_list(struct(code, w))), x -> x.w) w from z""", grid=grid)
 
 
 def score(df: DataFrame, weights: DataFrame, name: str = "score") -> DataFrame:
@@ -92,13 +91,14 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, held_out
     and so is every undecided url while one of the classes has no example. Extra columns are kept; input
     columns named like the added ones are replaced. Repeated urls each keep their row and count each time.
     """
+    row, columns = packed(pages, ("host", "path", "rule", "score", "verdict"))
     host, path = host_and_path(F.col("url"))
-    known = pages.withColumns({"host": host, "path": path})
+    known = pages.select(row, F.col("url").alias("url")).withColumns({"host": host, "path": path})
     rule, act = rule_of(F.col("host"), F.col("path"), rules)
-    known = known.withColumns({"rule": rule, "_act": act, "target": F.concat("host", ascii_lower(F.col("path")))})
-    labelled = known.where(F.col("_act").isNotNull()).select("target", (F.col("_act") == "allow").alias("ok"), (F.conv(F.substring(F.md5("url"), 1, 1), 16, 10).cast("int") < 16 // held_out).alias("held"))
-    weights = model(labelled.where(~F.col("held")))
+    known = known.withColumns({"rule": rule, "act": act, "target": F.concat("host", ascii_lower(F.col("path")))})
+    labelled = known.where(F.col("act").isNotNull()).select("target", (F.col("act") == "allow").alias("ok"), (F.conv(F.substring(F.md5("url"), 1, 1), 16, 10).cast("int") < 16 // held_out).alias("held"))
+    weights = cut(model(labelled.where(~F.col("held"))))
     middle = score(labelled.where("held"), weights).agg(((F.avg(F.when(F.col("ok"), F.col("score"))) + F.avg(F.when(~F.col("ok"), F.col("score")))) / 2).alias("t"))
-    scored = score(known, weights).withColumn("_limit", middle.scalar())
-    verdict = F.coalesce(F.col("_act"), F.when(F.col("score") < F.col("_limit"), "block").otherwise("allow"))
-    return scored.withColumn("verdict", verdict).drop("_act", "_limit", "target")
+    scored = score(known, weights).withColumn("limit", middle.scalar())
+    verdict = F.coalesce(F.col("act"), F.when(F.col("score") < F.col("limit"), "block").otherwise("allow"))
+    return scored.select(*columns(), "host", "path", "rule", "score", verdict.alias("verdict"))

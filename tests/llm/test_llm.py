@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontam, language_id, line_dedup, mixing, near_copies, quality, repeats, run_index_dedup, simhash, substring_dedup, toxicity, url_filter
-from tessera.llm.common import table
+from tessera.llm.common import Scratch, table
 from tessera.llm.queries import remainder
 
 D = "/root/testdata/sf0.001"
@@ -35,25 +35,35 @@ def brute(texts, words, size):
     return out
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
-def test_repeats_match_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize(("crowd", "segment"), [(1000, 1 << 17), (1, 64)])
+def test_repeats_match_brute_force(spark, monkeypatch, crowd, segment):
+    """Passages, whole copies, near copies that differ everywhere, texts of one letter; also as crowds and in segments."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "SEGMENT", segment)
     rng = random.Random(5)
     shared = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(60)) for _ in range(3)]
-    texts = [" ".join(rng.choice("ijkl") * rng.randint(1, 4) for _ in range(rng.randint(0, 90))) + " " + rng.choice([*shared, "", shared[0][:130]]) for _ in range(40)] + ["ab " * 80, "", "zz"]
+    texts = [" ".join(rng.choice("ijkl") * rng.randint(1, 4) for _ in range(rng.randint(0, 90))) + " " + rng.choice([*shared, "", shared[0][:130]]) for _ in range(40)] + ["ab " * 80, "a" * 200, "", "zz", None, shared[1], shared[1]]
+    base = [rng.choice("mnopq") * rng.randint(1, 3) for _ in range(60)]
+    texts += [" ".join([*base[:i], f"{i}x", *base[i + 1 :]]) for i in range(0, 60, 2)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = [r.text for r in substring_dedup.remove_repeats(docs, window=7).orderBy("doc_id").collect()]
-    assert [g.encode().split() for g in got] == brute(texts, True, 7)
-    got = [list(bytes(r.text)) for r in run_index_dedup.remove_long_repeats(docs, window=30).orderBy("doc_id").collect()]
+    assert [(g or "").encode().split() for g in got] == brute(texts, True, 7)
+    got = [list(bytes(r.text or b"")) for r in run_index_dedup.remove_long_repeats(docs, window=30).orderBy("doc_id").collect()]
     assert got == brute(texts, False, 30)
 
 
 def test_matching_statistics():
-    pieces = [b"banana", b"bandana", b"nab"]
+    rng = random.Random(3)
+    long = bytes(rng.choice(b"ab") for _ in range(120))
+    for pieces in ([b"banana", b"bandana", b"nab"], [b"", b"a", b"aaaaaaaaaaaaaaaaaaaaaaaaaaaa"], [long, long[5:90] + b"c", b"c" + long[:70], long[::-1]]):
+        _statistics_match(pieces)
+
+
+def _statistics_match(pieces):
     stats, at, whole = run_index_dedup.RunIndex(pieces).matching_statistics(), 0, pieces
     for p in pieces:
         for i in range(len(p)):
-            best = max(len(_prefix(p[i:], q[j:])) for q in whole for j in range(len(q)) if (q is not p or i != j))
+            best = max(len(_prefix(p[i:], q[j:])) for q in whole for j in range(len(q) + 1) if (q is not p or i != j))
             assert stats[at + i] == best
         at += len(p) + 1
 
@@ -136,6 +146,36 @@ def test_pipeline_near_dedup_keeps_one_of_each_jaccard_group(spark, monkeypatch,
     assert {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, D).collect()} == {i for i in range(len(sets)) if find(i) == i}
 
 
+def test_near_copies_recall(spark):
+    """Of all pairs of sf0.01 at similarity 0.8 or more, by brute force, nine in ten at least end in one group; nothing else does."""
+    rows = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()
+    sets, where = {}, collections.defaultdict(list)
+    for r in rows:
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        for x in sets[r.doc_id]:
+            where[x].append(r.doc_id)
+    common = collections.Counter(p for ids in where.values() for i, a in enumerate(ids) for p in ((a, b) for b in ids[:i]))
+    similar = {p for p, n in common.items() if 9 * n >= 4 * (len(sets[p[0]]) + len(sets[p[1]]))}
+    docs = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")
+    of = {r.doc_id: r.component_id for r in near_copies.groups(docs, "doc_id").collect()}
+    near = [p for p in similar if sets[p[0]] != sets[p[1]]]
+    assert len(near) >= 10 and np.mean([of[a] == of[b] for a, b in near]) >= 0.9
+    assert all(of[a] == of[b] for a, b in similar if sets[a] == sets[b])
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in similar:
+        lo, hi = sorted((find(a), find(b)))
+        root[hi] = lo
+    empty = min(i for i in sets if not sets[i]) if any(not s for s in sets.values()) else None
+    assert all(find(i) == find(c) or (not sets[i] and c == empty) for i, c in of.items())
+
+
 def test_url_rules(spark):
     urls = [None, "", "nothing", "http://A.Example.NET/en/x?q#f", "http://example.net/de/", "http://x.example.com/de/1", "https://h.org/fr/", "https://h.org/en/", "http://notnet/"]
     docs = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
@@ -205,14 +245,165 @@ def test_language_and_toxicity_held_out(spark):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
     odd = {r.text: (r.lang_pred, r.score) for r in language_id.identify(hard(spark), net).collect()}
     assert odd[None] == odd[""] == odd["-"] == ("und", 0.0) and odd["one"][0] != "und"
+    net = None
+    assert {r.lang_pred for r in language_id.identify(hard(spark), net).collect()} == {"und"}
+
+
+def _auc(good, bad):
+    return np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_held_out(spark, sf):
+    """Scores of documents that taught nothing rank toxic ones first, and clean ones are left alone."""
+    d = f"/root/testdata/{sf}"
+    docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels")
+    got = toxicity.score(docs, labels, remainder(3) != 1).join(labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").where(remainder(3) == 1).collect()
+    toxic, clean = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
+    assert _auc(toxic, clean) > 0.85 and np.mean([x >= 0.7 for x in clean]) < 0.02
+    assert all(r.predicted == (r.score >= 0.7) for r in got)
+
+
+def _plain_model(texts):
+    """Both classes' probabilities of a gram's last byte, by dictionaries."""
+    def padded(t):
+        line = " ".join("".join(chr(b) if chr(b).isalnum() and b < 128 or b > 127 else " " for b in t.lower().encode()).split(" "))
+        while "  " in line:
+            line = line.replace("  ", " ")
+        return line.lstrip(" ") if not line.startswith(" ") else line[1:]
+
+    level = {k: collections.Counter() for k in (0, 1)}
+    for t, k in texts:
+        line = " " * 5 + padded(t)
+        level[k].update(line[i : i + 6] for i in range(len(line) - 5))
+    tables = {}
+    for n in range(6, 2, -1):
+        least = min(sum(level[k].values()) for k in (0, 1))
+        for k in (0, 1):
+            d, all_, cut = toxicity.DISCOUNT * sum(level[k].values()) / least, collections.Counter(), collections.Counter()
+            for g, c in level[k].items():
+                all_[g[:-1]] += c
+                cut[g[:-1]] += min(c, d)
+            tables[n, k] = {g: max(c - d, 0) / all_[g[:-1]] for g, c in level[k].items()}, {x: cut[x] / all_[x] for x in all_}
+        level = {k: collections.Counter({g[1:] for g in level[k]} and [g[1:] for g in level[k]]) for k in (0, 1)}
+    pairs = collections.Counter()
+    for k in (0, 1):
+        pairs.update(level[k])
+    grid = np.zeros((256, 256))
+    for g, c in pairs.items():
+        grid[ord(g[0]), ord(g[1])] = c
+    shared = toxicity._pairs(grid).reshape(256, 256)
+
+    def evidence(t):
+        line, out = " " * 5 + padded(t), []
+        for i in range(len(line) - 5):
+            g = line[i : i + 6]
+            p = []
+            for k in (0, 1):
+                q = shared[ord(g[4]), ord(g[5])]
+                for n in range(3, 7):
+                    own, back = tables[n, k]
+                    q = own.get(g[-n:], 0.0) + back.get(g[-n:-1], 1.0) * q
+                p.append(q)
+            out.append(np.log(1 - toxicity.MIX + toxicity.MIX * p[1] / p[0]))
+        return np.mean(out) if out else 0.0
+
+    return evidence
+
+
+@pytest.mark.parametrize("entries", [8_000_000, 40])
+def test_toxicity_models_match_dictionaries(spark, monkeypatch, entries):
+    monkeypatch.setattr(toxicity, "ENTRIES", entries)
+    rng = random.Random(4)
+    words = ["such", "suchlike", "oaf", "oafish", "a", "and", "the", "tree", "trees", "9"]
+    texts = [(" ".join(rng.choice(words[:4] if k and rng.random() < 0.5 else words[4:] + ["oaf"]) for _ in range(30)) + ".", k) for k in (0, 1, 0, 0, 1, 0, 0, 0)]
+    plain = _plain_model(texts)
+    asked = [t for t, _ in texts] + ["", "new words, oafs", "the tree and such"]
+    with Scratch(spark) as scratch:
+        models = toxicity.Models(toxicity.gram_counts(spark.createDataFrame([(t, k, i % 2) for i, (t, k) in enumerate(texts)], "text string, toxic int, half int")), scratch)
+        assert (models.parts(toxicity.ALL) > 1) == (entries == 40)
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "row int, text string")
+        got = {r.row: r.x for r in toxicity.evidence(rows, models, toxicity.ALL, scratch).collect()}
+    assert [got[i] for i in range(len(asked))] == pytest.approx([plain(t) for t in asked], abs=1e-6)
+
+
+def test_toxicity_on_hard_inputs(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
     scored = toxicity.score(docs.select("doc_id", "text").unionByName(hard(spark).select((-F.col("doc_id") - 1).alias("doc_id"), "text")), table(spark, "/root/testdata/sf0.01", "labels"), remainder(3) != 1).collect()
     assert len(scored) == docs.count() + len(HARD) + 2 and all(0 <= r.score <= 1 for r in scored)
 
 
+CLASH = ["k1", "k2", "row", "rate", "name", "parts", "order", "host", "line", "bad", "kept_", "_key", "_id", "id", "target", "ok", "x", "toxic", "node", "least", "h", "n", "letter", "trusted", "limit", "words", "_"]
+
+
+def every_operator(labels):
+    """Each operator on documents with a page's url, giving one row for each row unless it selects rows."""
+    return {
+        "url": lambda d: url_filter.filter_urls(d), "simhash": lambda d: simhash.near_duplicates(d), "lines": lambda d: line_dedup.drop_boilerplate(d), "language": lambda d: language_id.identify(d, language_id.train(d, F.lit(True))),
+        "words": lambda d: substring_dedup.remove_repeats(d), "toxicity": lambda d: toxicity.score(d, labels, F.lit(True)), "benchmark": lambda d: decontam.contamination(d, labels.select("item_id", "text")),
+        "bytes": lambda d: run_index_dedup.remove_long_repeats(d), "quality": lambda d: quality.judge(d, labels.where("quality = 1").select("doc_id"))}
+
+
 def test_operators_take_hard_and_empty_inputs(spark):
-    docs = hard(spark)
+    """Nulls in every column, empty and long texts, repeated rows, an empty table: a row for each row, and the same again."""
+    docs = hard(spark).withColumns({"url": F.when(F.col("doc_id") % 3 == 0, "http://A.net/x").when(F.col("doc_id") % 3 == 1, F.col("text")), "lang": F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de")})
+    labels = spark.createDataFrame([(1, 0, 0, 1, "one two"), (3, 1, 1, 2, None), (None, 1, 1, None, "a b c"), (6, None, None, 3, ""), (6, 1, 1, 4, "same words again")], "doc_id long, quality int, toxic int, item_id long, text string")
     n, empty = docs.count(), docs.where("false")
-    for f in (simhash.near_duplicates, substring_dedup.remove_repeats, run_index_dedup.remove_long_repeats, line_dedup.drop_boilerplate):
-        assert f(docs).count() == n and f(empty).count() == 0
+    for name, f in every_operator(labels).items():
+        got = f(docs)
+        assert got.count() == n and f(empty).count() == 0, name
+        assert {"n_words", "source"} <= set(got.columns) or name == "simhash"
     assert mixing.mix(empty).count() == 0
+    assert mixing.mix(docs, weights={}).count() == mixing.mix(docs, weights={"nobody": 1.0}).count() == 0
     assert simhash.keep_one(docs).count() == len(simhash.near_duplicates(docs).select("component_id").distinct().collect())
+
+
+def test_no_column_clashes_or_is_lost(spark):
+    """Input columns named like any working column come back as they were."""
+    rows = [(i, f"text number {i} of several " * (i % 3 + 1), "s", "http://a.net/" + str(i), "en" if i % 2 else "de", *[f"{c}{i}" for c in CLASH]) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, url string, lang string, " + ", ".join(f"`{c}` string" for c in CLASH))
+    labels = spark.createDataFrame([(i, i % 2, i % 2, i, f"text number {i}") for i in range(4)], "doc_id long, quality int, toxic int, item_id long, text string")
+    expected = {r[0]: tuple(r[5:]) for r in rows}
+    for name, f in every_operator(labels).items():
+        if name == "simhash":
+            continue
+        added = {"url": ("host",)}.get(name, ())
+        names = [c for c in CLASH if c not in added]
+        got = {r.doc_id: tuple(r[c] for c in names) for r in f(docs).collect()}
+        assert got == {k: tuple(v for c, v in zip(CLASH, x, strict=True) if c in names) for k, x in expected.items()}, name
+    for r in [*mixing.mix(docs).collect(), *simhash.keep_one(docs).collect()]:
+        assert tuple(r[c] for c in CLASH) == expected[r.doc_id]
+
+
+def test_one_very_long_text(spark):
+    """A text of 10 MB beside small ones, whole: its repeats are found at both ends."""
+    rng = random.Random(8)
+    line = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+    long = line + " " + " ".join(f"{i}x{i * 7919 % 1000003}" for i in range(750_000)) + " " + line
+    docs = spark.createDataFrame([(1, long), (2, line[:300]), (3, None)], "doc_id int, text string")
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got[1].n_words == 750_400 and got[1].n_removed == 400 and got[3].n_words == 0
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in run_index_dedup.remove_long_repeats(docs).collect()}
+    assert got[1] == (len(long), 2 * len(line) + 1, 2) or got[1] == (len(long), 2 * len(line), 2)
+    assert language_id.identify(docs, None).count() == simhash.near_duplicates(docs).count() == 3
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage on planted rows: what it must drop goes, what is clean stays, and the columns of documents come back."""
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    make = lambda rows: spark.createDataFrame([(i, t, la, s, None if t is None else len(t)) for i, t, la, s in rows], names)
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where("doc_id < 400")
+    mixed = docs.unionByName(make([(9001, None, "en", "s"), (9002, "123 456 - 789", "en", "s"), (None, "", None, None)]))
+    kept = corpus_pipeline.keep_languages(spark, mixed, D)
+    assert kept.columns == docs.columns and not {9001, 9002, None} & {r.doc_id for r in kept.select("doc_id").collect()}
+    assert kept.count() >= 0.98 * docs.where(F.col("text").rlike(r"\p{L}")).count()
+    lines = make([(i, f"own line {i}\nSubscribe now\nmore {i * 7}", "en", "s") for i in range(12)] + [(20, None, None, None), (21, "", "en", "s")])
+    got = {r.doc_id: r for r in corpus_pipeline.drop_lines(spark, lines, D).collect()}
+    assert len(got) == 14 and all(got[i].text == f"own line {i}\nmore {i * 7}" and got[i].n_chars == len(got[i].text) for i in range(12)) and got[20].text is None
+    item = table(spark, "/root/testdata/sf0.01", "benchmark").orderBy("item_id").first().text
+    dirty = make([(1, "before it " + item + " after it", "en", "s"), (2, "nothing of the kind is here", "en", "s"), (3, None, "en", "s")])
+    assert {r.doc_id for r in corpus_pipeline.drop_contaminated(spark, dirty, "/root/testdata/sf0.01").collect()} == {2, 3}
+    out = corpus_pipeline.mix_sources(spark, lines, D)
+    assert {r.doc_id for r in out.collect()} <= set(got) and set(out.columns) >= set(docs.columns)
+    whole = corpus_pipeline.run(spark, D)
+    assert 0 < whole.count() < 3 * table(spark, D, "documents").count() and {r.doc_id for r in whole.collect()} <= {r.doc_id for r in table(spark, D, "documents").collect()}
