@@ -42,11 +42,19 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def near_duplicates(rows: DataFrame, limit: float = OVERLAP) -> DataFrame:
-    """(question_id, a, b, overlap): pairs of one question and path whose word sets overlap. Questions hold few rows."""
-    one = rows.select("question_id", "path", "chunk_id", F.array_distinct(terms(F.col("text"))).alias("w"))
-    two = one.select("question_id", "path", F.col("chunk_id").alias("b"), F.col("w").alias("v"))
-    both = one.join(two, ["question_id", "path"]).where("chunk_id < b").withColumn("overlap", F.round(overlap(F.col("w"), F.col("v")), 6))
-    return both.where(F.col("overlap") >= limit).select("question_id", F.col("chunk_id").alias("a"), "b", "overlap")
+    """(question_id, a, b, overlap): pairs of one question and path whose word sets overlap by `limit` (above 0) or more.
+
+    The smaller set of such a pair shares so many words that one of its first n - ceil(limit * n) + 1, in any one order, is among
+    them; only texts that meet so are compared, not all pairs of a path."""
+    by = ["question_id", "path"]
+    one = written(rows.select(*by, "chunk_id", F.array_distinct(terms(F.col("text"))).alias("w")).where("size(w) > 0"))
+    first = F.slice(F.transform(F.sort_array(F.transform("w", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda s: s.x), 1, (F.size("w") - F.ceil(F.lit(limit) * F.size("w") - 1e-9) + 1).cast("int"))
+    asks = one.select(*by, "chunk_id", F.size("w").alias("n"), F.explode(first).alias("x"))
+    has = one.select(*by, F.col("chunk_id").alias("other"), F.size("w").alias("m"), F.explode("w").alias("x"))
+    met = asks.join(has, [*by, "x"]).where("chunk_id <> other and n <= m").select(*by, F.least("chunk_id", "other").alias("a"), F.greatest("chunk_id", "other").alias("b")).distinct()
+    sets = lambda i, w: one.select(*by, F.col("chunk_id").alias(i), F.col("w").alias(w))
+    both = met.join(sets("a", "wa"), [*by, "a"]).join(sets("b", "wb"), [*by, "b"]).withColumn("overlap", F.round(overlap(F.col("wa"), F.col("wb")), 6))
+    return both.where(F.col("overlap") >= limit).select("question_id", "a", "b", "overlap")
 
 
 def greedy(rows: DataFrame, limit: int, group: str = "question_id", order: str = "position", most: int = 500, fill: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chunking import chunk_documents
@@ -53,20 +53,18 @@ def update_vectors(chunks: DataFrame, old: DataFrame, changed: DataFrame, remove
 
 def kb_state(events: DataFrame) -> DataFrame:
     """events(library_id, ts, seq, type) folded to revisions: library changes raise the revision, and text, chunks and
-    embeddings follow each other up to it. The log of one library is ordered once by (ts, seq)."""
-    log = events.groupBy("library_id").agg(F.sort_array(F.collect_list(F.struct("ts", "seq", "type"))).alias("log"))
-    start = F.struct(F.lit(1).alias("library"), F.lit(0).alias("text"), F.lit(0).alias("chunk"), F.lit(0).alias("embedding"))
-    def step(s: Column, e: Column) -> Column:
-        is_ = lambda name: e.type == name
-        zero = F.lit(0)
-        embed_ok = is_("embeddings_current") & (s.chunk == s.library)
-        return F.struct(
-            F.when(is_("library_changed"), s.library + 1).otherwise(s.library).alias("library"),
-            F.when(is_("text_current"), s.library).when(is_("invalidate_text"), zero).otherwise(s.text).alias("text"),
-            F.when(is_("chunks_current") & (s.text == s.library), s.library).when(is_("invalidate_text") | is_("invalidate_chunks"), zero).otherwise(s.chunk).alias("chunk"),
-            F.when(embed_ok, s.library).when(is_("invalidate_text") | is_("invalidate_chunks") | is_("invalidate_embeddings"), zero).otherwise(s.embedding).alias("embedding"))
-    state = log.select("library_id", F.aggregate("log", start, step).alias("s"))
-    return state.select("library_id", F.col("s.library").alias("library_rev"), F.col("s.text").alias("text_rev"), F.col("s.chunk").alias("chunk_rev"), F.col("s.embedding").alias("embedding_rev"), (F.col("s.embedding") != F.col("s.library")).alias("needs_update"))
+    embeddings follow each other up to it. Running sums and last values over the events of a library in the order of (ts, seq): a log is
+    sorted and streamed, never gathered."""
+    past = Window.partitionBy("library_id").orderBy("ts", "seq", "type").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_ = lambda *names: F.coalesce(F.col("type").isin(*names), F.lit(False))
+    latest = lambda value: F.coalesce(F.last(value, ignorenulls=True).over(past), F.lit(0))
+    now = F.col("library")
+    rows = events.select("library_id", "ts", "seq", "type").withColumn("library", (F.sum(F.when(is_("library_changed"), 1).otherwise(0)).over(past) + 1).cast("int"))
+    rows = rows.withColumn("text", latest(F.when(is_("text_current"), now).when(is_("invalidate_text"), 0)))
+    rows = rows.withColumn("chunk", latest(F.when(is_("chunks_current") & (F.col("text") == now), now).when(is_("invalidate_text", "invalidate_chunks"), 0)))
+    rows = rows.withColumn("embedding", latest(F.when(is_("embeddings_current") & (F.col("chunk") == now), now).when(is_("invalidate_text", "invalidate_chunks", "invalidate_embeddings"), 0)))
+    last = rows.groupBy("library_id").agg(F.max_by(F.struct("library", "text", "chunk", "embedding"), F.struct("ts", "seq", "type")).alias("s"))
+    return last.select("library_id", F.col("s.library").alias("library_rev"), F.col("s.text").alias("text_rev"), F.col("s.chunk").alias("chunk_rev"), F.col("s.embedding").alias("embedding_rev"), (F.col("s.embedding") != F.col("s.library")).alias("needs_update"))
 
 
 def corpus_status(chunks: DataFrame, vectors: DataFrame | None = None, model: str | None = None) -> DataFrame:
