@@ -72,10 +72,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python tasks over texts get ROWS rows at once from here on, if the session has left Spark's number as it is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ROWS))
+
+
 class Scratch:
     """Tables written in the shared folder for as long as a job needs them; they go when it ends or fails."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.folder, self.tables = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", []
 
     def __enter__(self) -> Scratch:
@@ -110,7 +118,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- byte kernels for Arrow batches -------------------------------------------------------------
 
 #: Bytes worked on at once in a task; a single longer text is taken whole.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
+#: Rows that a Python task is given at once, unless the session says otherwise: texts are long rows, and Spark's own 10,000 make some
+#: tens of MB, of which a task holds several copies.
+ROWS = 2000
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -119,7 +130,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column and the offsets of its rows; null counts as empty."""
-    a = column.cast(pa.large_binary()).fill_null(b"")
+    a = column.cast(pa.large_binary())
+    a = a.fill_null(b"") if a.null_count else a
     offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
     data = np.frombuffer(a.buffers()[2], np.uint8) if a.buffers()[2] is not None and a.buffers()[2].size else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, texts_of
+from .common import packed, small_batches, texts_of
 
 #: Texts of each language in the training sample, at most; windows taken from each; bytes in a window.
 SAMPLE, WINDOWS, LENGTH = 300, 12, 64
@@ -203,6 +203,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", keep_text
     rows = docs.select(row, F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     if net is None:
         return rows.select(*back(), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vars(net))
 
     def work(batches):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import blocks, cut, packed, texts_of
+from .common import blocks, cut, packed, small_batches, texts_of
 from .components import components
 
 DISTANCE = 3
@@ -44,6 +44,7 @@ def fingerprint_of(words: list[bytes], width: int) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, name: str = "fp") -> DataFrame:
     """docs with its text column replaced by the fingerprint (long); a null or empty text has fingerprint 0."""
     keep = [c for c in docs.columns if c not in (text, name)]
+    small_batches(docs.sparkSession)
 
     def work(batches):
         for batch in batches:
