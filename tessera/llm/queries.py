@@ -1,7 +1,7 @@
 """The registered queries of the training-data operators, and DuckDB SQL where SQL can say the same.
 
-No SQL: op2 (XXH64, components), op4 and op6 (trained models), op10 (XXH64 buckets). Tests hold these against
-brute force or held-out labels.
+No SQL: op2 (XXH64, components), op4 and op6 (trained models), op10 (XXH64 buckets), op13 (eigenvectors). Tests hold these
+against brute force or held-out labels.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language_id, line_dedup, mixing, quality, run_index_dedup, simhash, substring_dedup, toxicity, url_filter
+from . import chat, decontam, language_id, line_dedup, merkle, mixing, quality, run_index_dedup, simhash, substring_dedup, toxicity, url_filter, whitening
 from .common import table
 from .repeats import attach
 
@@ -81,8 +81,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"), remainder(3) == 0)
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as rows, and one more conversation as prompt and completion, whose texts hold control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ok = F.lit("</s>[INST] ok [/INST]")
+    more = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), ok.alias("prompt"), ok.alias("completion"))
+    chats = chat.gathered(chat.canonical(rows.unionByName(more, allowMissingColumns=True)), "conv_id", "turn")
+    back = chat.read_back(chat.formatted(chats))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"),
+                       F.sha2("loss_text", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_url_filter, op2_simhash, op3_line_dedup, op4_language_id, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_mixing, op9_run_index_dedup, op10_quality)}
+    op1_url_filter, op2_simhash, op3_line_dedup, op4_language_id, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_mixing, op9_run_index_dedup, op10_quality,
+    op11_merkle_manifest, op12_chat_formatting, op13_whitening)}
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -170,4 +191,45 @@ parts as (select rid, sum(b - a) n, count(*) spans, string_agg(substr(x, 2 * p +
 select doc_id, (length(x) // 2)::bigint n_bytes, coalesce(n, 0)::bigint n_removed, coalesce(spans, 0)::bigint n_spans,
   sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(tail, 0) + 1))) kept_sha256 from d left join parts using (rid)"""
 
-ORACLES = {"op1_url_filter": _OP1, "op3_line_dedup": _OP3, "op5_substring_dedup": _OP5, "op7_decontamination": _OP7, "op8_mixing": _OP8, "op9_run_index_dedup": _OP9}
+
+
+def _op11() -> str:
+    """Trees level by level: up to 8^7 documents of a language and 8^3 languages. A node alone in its tree stays as it is."""
+    field = lambda c: f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c} end"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # CRC-32 by bits: each byte is followed by eight shifts
+    crc = "xor(list_reduce([4294967295] || flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end), 4294967295)"
+    steps: list[str] = []
+
+    def level(nodes: str, paths: str, k: int) -> None:
+        steps.append(f"r{nodes}{k} as (select tree, pos // 8 pos, (any_value(n) + 7) // 8 n, list(h order by pos) hs from {nodes}{k} where n > 1 group by tree, pos // 8)")
+        steps.append(f"{nodes}{k + 1} as (select tree, pos, n, sha256(array_to_string(hs, '')) h from r{nodes}{k} union all select * from {nodes}{k} where n = 1)")
+        steps.append(f"s{paths}{k} as (select p.*, hs, array_to_string(hs[: p.pos % 8], '') l, array_to_string(hs[p.pos % 8 + 2 :], '') r from {paths}{k} p left join r{nodes}{k} t on p.tree is not distinct from t.tree and p.pos // 8 = t.pos)")
+        steps.append(f"{paths}{k + 1} as (select rid, tree, pos // 8 pos, proof || coalesce(l, '') || coalesce(r, '') proof, case when hs is null then cur else sha256(l || cur || r) end cur from s{paths}{k})")
+
+    for k in range(7):
+        level("n", "p", k)
+    steps.append("sub as (select tree lang, h subroot, row_number() over (order by tree nulls first) - 1 pos, count(*) over () n from n7)")
+    steps.append("t0 as (select 0 tree, pos, n, subroot h from sub), q0 as (select rid, 0 tree, sub.pos, proof, cur from p7 join sub on p7.tree is not distinct from sub.lang)")
+    for k in range(3):
+        level("t", "q", k)
+    return f"""with recursive d as (select row_number() over () rid, doc_id, lang, {leaf("text")} h, {leaf(lowered)} low from documents),
+x as (select *, row_number() over (partition by lang order by doc_id nulls first, h) - 1 pos, count(*) over (partition by lang) n from d),
+n0 as (select lang tree, pos, n, h from x),
+p0 as (select rid, lang tree, pos, '' proof, case when {crc} % 3 = 0 then low else h end cur from x),
+{", ".join(steps)}
+select doc_id, x.h leaf, subroot, t3.h root, sha256(proof) proof_sha256, cur folded_root, cur = t3.h verified
+from x join q3 using (rid) join sub on sub.lang is not distinct from x.lang, t3"""
+
+
+#: A control string is a head, escapes, a rest; formatting adds three marks of 12, 10 and 10 characters and one escape for each control string.
+_OP12 = r"""
+with a as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+x as (select *, [c for c in regexp_extract_all(role || chr(0) || text, '[<\[]\\*(?:\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|\|system\|>|\|user\|>|\|assistant\|>|s>|/s>|INST\]|/INST\]|\|begin_of_text\|>|\|start_header_id\|>|\|end_header_id\|>|\|eot_id\|>)')] e from a)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) loss_sha256,
+  sum(length(role) + length(text) + len(e) + 32)::bigint formatted_chars from x group by conv_id"""
+
+ORACLES = {"op1_url_filter": _OP1, "op3_line_dedup": _OP3, "op5_substring_dedup": _OP5, "op7_decontamination": _OP7, "op8_mixing": _OP8, "op9_run_index_dedup": _OP9, "op11_merkle_manifest": _op11(), "op12_chat_formatting": _OP12}
