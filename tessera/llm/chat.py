@@ -7,6 +7,7 @@ the layout, which says declaratively which paths are whose turn. Unknown fingerp
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -178,15 +179,25 @@ class Template:
         return F.regexp_replace(text, F.lit(self.pattern(re.escape(self.escape))), F.lit("$1$2"))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: what stands in a lambda is worked out again for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def running(lengths: Column) -> Column:
     """Sums of the numbers before each one. In blocks of a root of their count, as appending copies an array."""
-    n, zero = F.size(lengths), F.array(F.lit(0).cast("long"))
-    wide = F.ceil(F.sqrt(n)).cast("int")
+    zero = F.array(F.lit(0).cast("long"))
     sums = lambda of: F.aggregate(of, zero, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / wide).cast("int")), lambda b: sums(F.slice(lengths, b * wide + 1, wide)))
-    starts = sums(F.transform(blocks, lambda b: F.element_at(b, -1)))
-    each = F.transform(blocks, lambda b, i: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x: x + F.get(starts, i)))
-    return F.when(n > 0, F.flatten(each)).otherwise(F.array().cast("array<bigint>"))
+
+    def inside(every: Column) -> Column:
+        n = F.size(every)
+        wide = F.ceil(F.sqrt(n)).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / wide).cast("int")), lambda b: sums(F.slice(every, b * wide + 1, wide)))).otherwise(F.array().cast("array<array<bigint>>"))
+
+    def joined(blocks: Column) -> Column:
+        starts = F.slice(sums(F.transform(blocks, lambda b: F.element_at(b, -1))), F.lit(1), F.size(blocks))
+        return F.flatten(F.zip_with(blocks, starts, lambda b, s: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x: x + s)))
+    return bind(bind(lengths, inside), joined)
 
 
 def formatted(chats: DataFrame, template: Template = Template(), learn: tuple[str, ...] = ("assistant",)) -> DataFrame:  # noqa: B008
@@ -196,9 +207,10 @@ def formatted(chats: DataFrame, template: Template = Template(), learn: tuple[st
     turns = F.coalesce("turns", F.array().cast(TURNS))
     pieces = F.transform(turns, lambda t: F.struct(F.concat(F.lit(template.opens), template.escaped(t["role"]), F.lit(template.parts)).alias("lead"), template.escaped(t["text"]).alias("text"), t["role"].isin(*learn).alias("loss")))
     whole = lambda p: F.char_length(p["lead"]) + F.char_length(p["text"]) + len(template.closes)
-    span = lambda p, i: F.struct((F.get("_at", i) + F.char_length(p["lead"])).alias("start"), (F.get("_at", i) + F.char_length(p["lead"]) + F.char_length(p["text"])).alias("end"), p["loss"].alias("loss"))
+    start = lambda p, at: at + F.char_length(p["lead"])
+    span = lambda p, at: F.struct(start(p, at).alias("start"), (start(p, at) + F.char_length(p["text"])).alias("end"), p["loss"].alias("loss"))
     out = chats.withColumn("_pieces", pieces).withColumn("_at", running(F.transform("_pieces", lambda p: whole(p).cast("long"))))
-    return out.withColumn("formatted", F.array_join(F.transform("_pieces", lambda p: F.concat(p["lead"], p["text"], F.lit(template.closes))), "")).withColumn("spans", F.transform("_pieces", span)).drop("_pieces", "_at", "turns")
+    return out.withColumn("formatted", F.array_join(F.transform("_pieces", lambda p: F.concat(p["lead"], p["text"], F.lit(template.closes))), "")).withColumn("spans", F.zip_with("_pieces", "_at", span)).drop("_pieces", "_at", "turns")
 
 
 def read_back(chats: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
@@ -209,5 +221,5 @@ def read_back(chats: DataFrame, template: Template = Template()) -> DataFrame:
     parts = F.transform(F.filter(cut(F.col("formatted"), template.closes), lambda x: x != ""), lambda x: cut(F.substr(x, F.lit(len(template.opens) + 1)), template.parts))
     out = chats.withColumn("_parts", parts)
     turns = F.transform("_parts", lambda p: F.struct(template.restored(F.get(p, 0)).alias("role"), template.restored(F.get(p, 1)).alias("text")))
-    under = F.filter("_parts", lambda p, i: F.get("spans", i)["loss"])
-    return out.withColumn("turns", turns).withColumn("loss_text", F.array_join(F.transform(under, lambda p: template.restored(F.get(p, 1))), "")).drop("_parts")
+    under = F.zip_with("_parts", "spans", lambda p, s: F.when(s["loss"], template.restored(F.get(p, 1))))
+    return out.withColumn("turns", turns).withColumn("loss_text", F.array_join(under, "")).drop("_parts")
