@@ -167,7 +167,7 @@ def rare_tokens(spark, d):
 
 
 def lexical_top100(spark, d):
-    return retrieval.lexical_topk(retrieval.lexical_features(queries_of(spark, d), chunks_of(spark, d))).select("query_id", "chunk_id", "lexical_score", "coverage", "rare_coverage", "phrase_hits", "lexical_rank")
+    return retrieval.lexical_topk(retrieval.lexical_index(queries_of(spark, d), chunks_of(spark, d))).select("query_id", "chunk_id", "lexical_score", "coverage", "rare_coverage", "phrase_hits", "lexical_rank")
 
 
 def semantic_top100(spark, d):
@@ -175,14 +175,14 @@ def semantic_top100(spark, d):
 
 
 def rrf_fused(spark, d):
-    lexical = retrieval.lexical_topk(retrieval.lexical_features(queries_of(spark, d), chunks_of(spark, d)))
+    lexical = retrieval.lexical_topk(retrieval.lexical_index(queries_of(spark, d), chunks_of(spark, d)))
     return retrieval.rrf_fuse(lexical, retrieval.semantic_topk(*vectors_of(spark, d))).select("query_id", "chunk_id", "lexical_rank", "semantic_rank", "hybrid_score")
 
 
 def _scored(spark, d):
     q, c = queries_of(spark, d), chunks_of(spark, d)
-    features = written(retrieval.lexical_features(q, c))
-    return written(retrieval.evidence_score(retrieval.rrf_fuse(retrieval.lexical_topk(features), retrieval.semantic_topk(*vectors_of(spark, d))), features, c, q))
+    index = retrieval.lexical_index(q, c)
+    return written(retrieval.evidence_score(retrieval.rrf_fuse(retrieval.lexical_topk(index), retrieval.semantic_topk(*vectors_of(spark, d))), index, c, q))
 
 
 def evidence_ranked(spark, d):

@@ -1,5 +1,6 @@
 """Facts of the operators on small inputs, and brute-force twins of the folds that SQL cannot express."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -222,3 +223,33 @@ def test_encoding_in_batches(spark):
     rows = spark.createDataFrame([(f"c{i}", "x" * i) for i in range(1, 40)], "id string, text string")
     got = {r.chunk_id: list(r.embedding) for r in incremental.encode(rows, lambda texts: [[3.0 * len(t), 4.0 * len(t)] for t in texts], 7).collect()}
     assert len(got) == 39 and all(abs(v[0] - 0.6) < 1e-6 and abs(v[1] - 0.8) < 1e-6 for v in got.values())
+
+
+def test_lexical_candidates_are_the_best_of_all_pairs(spark):
+    """Bounds rule pairs out and lose none of the k best, ties at the end included; pairs are looked up as they are in the whole."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=rng.randint(3, 80))) for _ in range(400)]
+    texts += texts[:30] + ["Rare Term stands, alone here", "  padded   rare\tterm\n", "brarex term", "", "w1"]
+    chunks = spark.createDataFrame([(f"c{i:04d}", f"p{i // 5}", 1, i, t) for i, t in enumerate(texts)], "id string, path string, page int, ordinal int, text string")
+    queries = spark.createDataFrame([(0, "w1 w2 w3 w40"), (1, 'rare term "stands, alone"'), (2, " ".join(words)), (3, "w0"), (4, "the"), (5, '"are te" w55'), (6, texts[3])], "query_id int, query string")
+    index = retrieval.lexical_index(queries, chunks, 8)
+    every = {(r.query_id, r.chunk_id): r for r in retrieval.lexical_features(index).collect()}
+    got = retrieval.lexical_topk(index, 10).collect()
+    for q in range(7):
+        best = sorted((-r.lexical_score, c) for (x, c), r in every.items() if x == q and r.lexical_score > 0)[:10]
+        assert [(-r.lexical_score, r.chunk_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.lexical_rank)] == best
+    assert 2 * retrieval.lexical_candidates(index, 10).count() < len(every)  # single common words, whose chunks all score alike, are among the queries
+    some = spark.createDataFrame([(0, "c0003"), (2, "c0007"), (1, "c0001")], "query_id int, chunk_id string")
+    looked = {(r.query_id, r.chunk_id): r for r in retrieval.lexical_features(index, some).collect()}
+    assert looked == {k: v for k, v in every.items() if k in {(0, "c0003"), (2, "c0007"), (1, "c0001")}}
+
+
+def test_phrases_lie_where_contains_finds_them(spark):
+    """Words cut at the ends, inner ones whole, single words inside others, punctuation, white space at the ends, repeated phrases, no text."""
+    texts = ["The  Quick brown\tfox", "unquick brown foxes", "quick brownish fox", " quick brown", "aaa aa a", "a", "", None, "x-y z, quick", "brown fox quick brown fox jumps"]
+    phrases = ["quick brown", "quick brown fox", "brown fox", "a", "aa a", "x-y z", "z, q", "the quick brown fox", "rown fo", "zz", "fox quick brown fox j", "quick", ""]
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "id string, text string")
+    got = [(r.phrase, r.chunk_id) for r in retrieval.phrase_chunks(spark.createDataFrame([(p,) for p in phrases * 2], "phrase string"), chunks).collect()]
+    fold = lambda t: re.sub(r"\s+", " ", t.lower())
+    assert sorted(got) == sorted((p, f"c{i}") for p in phrases if p for i, t in enumerate(texts) if t is not None and p in fold(t))
