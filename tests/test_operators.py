@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import chunking, text
@@ -253,3 +255,26 @@ def test_phrases_lie_where_contains_finds_them(spark):
     got = [(r.phrase, r.chunk_id) for r in retrieval.phrase_chunks(spark.createDataFrame([(p,) for p in phrases * 2], "phrase string"), chunks).collect()]
     fold = lambda t: re.sub(r"\s+", " ", t.lower())
     assert sorted(got) == sorted((p, f"c{i}") for p in phrases if p for i, t in enumerate(texts) if t is not None and p in fold(t))
+
+
+@pytest.mark.parametrize(("vectors", "queries"), [(4096, 4096), (20, 3)])
+def test_vectors_match_all_scores(spark, monkeypatch, vectors, queries):
+    """Clusters of which far ones are skipped, ties, copies, nulls, fewer vectors than asked for; with parts of buckets and groups of queries."""
+    monkeypatch.setattr(retrieval, "VECTORS", vectors)
+    monkeypatch.setattr(retrieval, "QUERIES", queries)
+    rng = np.random.default_rng(1)
+    middles = rng.standard_normal((6, 12)) * 3
+    x = np.repeat(middles, 60, axis=0) + rng.standard_normal((360, 12)) * 0.1
+    x[50:90] = x[7]
+    held = spark.createDataFrame([(f"c{i:03d}", v.tolist()) for i, v in enumerate(x)] + [("none", None)], "chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([(i, x[i * 13].tolist()) for i in range(20)] + [(99, None)], "query_id int, embedding array<double>")
+    got = sorted((r.query_id, r.semantic_rank, r.chunk_id, r.semantic_score) for r in retrieval.semantic_topk(asked, held, 10).collect())
+    want = []
+    for i in range(20):
+        scores = np.round(x @ x[i * 13], 6)
+        want += [(i, n + 1, f"c{j:03d}", scores[j]) for n, j in enumerate(sorted(range(360), key=lambda j: (-scores[j], j))[:10])]
+    assert [(a, b, c) for a, b, c, _ in got] == [(a, b, c) for a, b, c, _ in want] and np.abs([a[3] - b[3] for a, b in zip(got, want, strict=True)]).max() < 2e-6
+    index = retrieval.vector_index(held)
+    floors = asked.where("query_id < 20").withColumn("floor", F.lit(20.0))
+    assert retrieval.asked_buckets(floors, index, 20, True).count() < 20 * len(index.numbers) / 2
+    assert retrieval.semantic_topk(asked, held.limit(0), 10).count() == 0 and retrieval.semantic_topk(asked.where("query_id = 3"), held.where("chunk_id < 'c005'"), 10).count() == 5
