@@ -149,6 +149,7 @@ def parse_model_json(c: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key: text runs before digit runs, digits by number, text without case."""
-    runs = F.filter(F.split(c, r"(?<=\d)(?=\D)|(?<=\D)(?=\d)"), lambda x: x != "")
-    return F.transform(runs, lambda x: F.struct(x.rlike(r"^\d").alias("is_number"), F.coalesce(F.try_to_number(F.regexp_extract(x, r"^\d{1,18}", 0), F.lit("999999999999999999")).cast("long"), F.lit(0).cast("long")).alias("number"), F.lower(x).alias("text")))
+    """Sort key: texts without case and numbers in turn, beginning with a (maybe empty) text; numbers of any length by their value."""
+    texts, digits = F.split(F.lower(c), r"\d+"), F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0))
+    plain = F.transform(digits, lambda d: F.regexp_replace(d, "^0+(?=.)", ""))
+    return F.zip_with(texts, plain, lambda t, d: F.struct(t.alias("text"), F.length(d).alias("width"), d.alias("digits")))

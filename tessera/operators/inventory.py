@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,10 +99,45 @@ def ocr_backlog(docs: DataFrame) -> DataFrame:
     return need.select("path", "type", "display_name", F.col("ocr_current").alias("ready")).orderBy("ready", F.lower("display_name"), "path")
 
 
-def upload_names(uploads: DataFrame) -> DataFrame:
-    """uploads(user, name, arrival) with safe_name: unsafe runs become '_', later equal names get ' (n)' from 2."""
-    clean = F.regexp_replace(F.regexp_replace("name", r"[^A-Za-z0-9._() \-\[\]]+", "_"), r"^[ .]+|[ .]+$", "")
-    n = F.row_number().over(Window.partitionBy("user", "clean").orderBy("arrival"))
-    rows = uploads.withColumn("clean", clean).withColumn("n", n)
-    stem, ext = F.regexp_replace("clean", r"\.[^.]*$", ""), F.regexp_extract("clean", r"\.[^.]*$", 0)
-    return rows.withColumn("safe_name", F.when(F.col("n") > 1, F.concat(stem, F.lit(" ("), F.col("n").cast("string"), F.lit(")"), ext)).otherwise(F.col("clean"))).drop("clean", "n")
+def upload_names(uploads: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """uploads(user, name, arrival) with safe_name and supported, whether its extension is of a known type.
+
+    The last part of a path counts; unsafe runs become '_', spaces and dots at the ends go, and what is left empty is named 'upload'. A name
+    that is taken, by existing(user, name) or an upload before it, gets the next free number from 2 on. Names that differ only in such
+    numbers are worked off one after the other, as each depends on those before it; of them only the names as given are remembered."""
+    last = F.regexp_extract("name", r"([^/]*)/*$", 1)
+    clean = F.regexp_replace(F.regexp_replace(last, r"[^A-Za-z0-9._() \-\[\]]+", "_"), r"^[ .]+|[ .]+$", "")
+    held = uploads.select(F.struct(*[F.col(f"`{c}`") for c in uploads.columns]).alias("row"), F.col("user").alias("u"), F.col("name"), F.lit(1).alias("new"), F.col("arrival").alias("at"))
+    if existing is not None:
+        held = held.unionByName(existing.select(F.lit(None).cast(held.schema["row"].dataType).alias("row"), F.col("user").alias("u"), "name", F.lit(0).alias("new"), F.lit(None).cast(uploads.schema["arrival"].dataType).alias("at")))
+    held = held.withColumn("clean", F.when(F.coalesce(clean, F.lit("")) == "", "upload").otherwise(clean))
+    suffix = F.regexp_extract("clean", r"\.[^.]*$", 0)
+    held = held.withColumn("suffix", suffix).withColumn("stem", F.substr("clean", F.lit(1), F.length("clean") - F.length("suffix")))
+    dealt = held.withColumn("family", F.concat(F.regexp_replace("stem", r"( \(\d+\))+$", ""), "suffix")).repartition("u", "family").sortWithinPartitions("u", "family", "new", "at", "clean")
+
+    def name_all(batches):
+        last, given, following = None, set(), {}
+
+        def taken(stem, suffix):
+            numbered = re.fullmatch(r"(.*) \(([1-9]\d*)\)", stem, re.DOTALL)
+            return stem in given or bool(numbered and 2 <= int(numbered[2]) < following.get(numbered[1], 2))
+
+        for batch in batches:
+            names = []
+            for user, family, stem, suffix in zip(*(batch.column(c).to_pylist() for c in ("u", "family", "stem", "suffix")), strict=True):
+                if (user, family) != last:
+                    last, given, following = (user, family), set(), {}
+                if taken(stem, suffix):
+                    n = following.get(stem, 2)
+                    while taken(f"{stem} ({n})", suffix):
+                        n += 1
+                    following[stem] = n + 1
+                    names.append(f"{stem} ({n}){suffix}")
+                else:
+                    given.add(stem)
+                    names.append(stem + suffix)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("new"), pa.array(names, pa.string())], names=["row", "new", "safe_name"])
+
+    out = dealt.mapInArrow(name_all, dealt.select("row", "new", F.lit("").alias("safe_name")).schema).where("new = 1")
+    known = F.lower(F.regexp_extract("safe_name", r"\.([^.]*)$", 1)).isin(*TYPES)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in uploads.columns if c not in ("safe_name", "supported")], "safe_name", known.alias("supported"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, NumericType, StringType
 
 from ..functions.text import bind, distinct_fold, fold
-from ..sources.shared import small
-from .rules import closure, nulls_for_failures, tested
+from ..sources.shared import small, written
+from .rules import nulls_for_failures, reached, tested
 
 # ---- functions for rules ---------------------------------------------------------------------------
 
@@ -189,10 +189,11 @@ def rules_in_scope(issues: DataFrame, edges: DataFrame, steps: DataFrame, step:
 
     edges(rule_id, dep) holds what calculated and validation rules read, steps(field, step) where a field is filled in; a field
     of several steps counts at the first, and is an input even if a rule calculates it. Rules without such inputs always show."""
-    first = steps.groupBy("field").agg(F.min("step").alias("step"))
-    reach = closure(edges.join(first.select(F.col("field").alias("rule_id")), "rule_id", "left_anti"))
-    need = reach.join(first, F.col("ancestor") == F.col("field")).groupBy("rule_id").agg(F.max("step").alias("_step"))
-    return issues.join(small(need), "rule_id", "left").where(F.coalesce("_step", F.lit(step)) <= step).drop("_step").select(issues.columns)
+    first = written(steps.groupBy("field").agg(F.min("step").alias("step")))
+    inner = edges.join(small(first.select(F.col("field").alias("rule_id"))), "rule_id", "left_anti")
+    need = reached(inner, first.select(F.col("field").alias("source"))).join(small(first), F.col("source") == F.col("field")).groupBy("rule_id").agg(F.max("step").alias("step"))
+    late = written(need.where(F.col("step") > step).select("rule_id"))
+    return issues.join(small(late), "rule_id", "left_anti").select(issues.columns)
 
 
 def drop_placeholder_rows(df: DataFrame, rows: str, references: tuple[str, ...], defaults: dict[str, object] | None = None, custom_name: str = "custom_name") -> Column:
@@ -317,18 +318,24 @@ def vocabulary(sources: list[DataFrame], limit: int = 280, width: int = 120) ->
 
 
 def expand_query_with_record(queries: DataFrame, hints: DataFrame, limit: int = 18) -> DataFrame:
-    """queries(query_id, record_id, query) with `expanded`: the query and the record's terms that it calls for.
-
-    hints(record_id, label, term): a term is added if its label, or the label's singular, stands in the question as a whole word, and the term does not
-    yet; distinct but for case, `limit` at most, by label and term."""
-    said = F.concat(F.lit(" "), F.trim(F.regexp_replace(fold(F.col("query")), r"[^a-z0-9]+", " ")), F.lit(" "))
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
-    one = F.regexp_replace(plain(F.col("label")), r"s$", "")
-    has = lambda w: (F.length(w) > 0) & F.col("said").contains(F.concat(F.lit(" "), w, F.lit(" ")))
-    rows = queries.withColumn("said", said).join(hints, "record_id").where((has(plain(F.col("label"))) | has(one)) & ~has(plain(F.col("term"))))
-    lists = rows.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_set(F.struct("label", "term"))), lambda x: x.term).alias("t"))
-    more = bind(F.coalesce("t", F.array().cast("array<string>")), lambda t: distinct_fold(t, limit, 120))
-    return queries.join(lists, "query_id", "left").withColumn("expanded", F.concat_ws(" ", "query", F.array_join(more, " "))).withColumn("expanded", F.trim("expanded")).drop("t")
+    """queries(query_id, record_id, query) with `expanded`: the query on one line, and below it the record's terms that it calls for.
+
+    hints(record_id, group_no, label, field_id, hint_no, term): all terms of a group are added whose label or field id, also without an s at the
+    end, stands anywhere in the question; then every term that itself stands there. In order of groups, distinct but for case, `limit` at most."""
+    line = F.trim(F.regexp_replace(F.coalesce("query", F.lit("")), r"\s+", " "))
+    asked = queries.withColumn("expanded", line)
+    low = F.lower(line)
+    within = lambda w: (w != "") & F.col("_low").contains(w)
+    label, field = F.lower(F.trim("label")), F.replace(F.lower(F.trim("field_id")), F.lit("_"), F.lit(" "))
+    called = F.lit(False)
+    for w in (label, F.rtrim(label, F.lit("s")), field, F.rtrim(field, F.lit("s"))):
+        called = called | F.coalesce(within(w), F.lit(False))
+    named = F.coalesce(within(F.lower("term")), F.lit(False))
+    rows = queries.select("query_id", "record_id", low.alias("_low")).join(hints.where("trim(term) <> ''"), "record_id").withColumn("_group", called).where(F.col("_group") | named)
+    lists = rows.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((~F.col("_group")).alias("later"), "group_no", "hint_no", "term"))), lambda x: x.term).alias("_t"))
+    more = bind(F.coalesce("_t", F.array().cast("array<string>")), lambda t: distinct_fold(t, limit, 120))
+    out = asked.join(lists, "query_id", "left").withColumn("_t", F.array_join(more, "; "))
+    return out.withColumn("expanded", F.when(F.col("_t") == "", F.col("expanded")).otherwise(F.concat("expanded", F.lit("\nRelevant selected character-sheet terms: "), "_t"))).drop("_t")
 
 
 def retrieval_diagnostics(ranked: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, NumericType
 
 from ..sources.shared import small, written
 
@@ -31,15 +33,80 @@ def rule_levels(edges: DataFrame) -> DataFrame:
         left = written(left.join(ready, "rule_id", "left_anti"))
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(rule_id, ancestor): every name that a rule depends on, directly or not; paths double in each round."""
-    reach = written(edges.where("rule_id is not null and dep is not null").select("rule_id", F.col("dep").alias("ancestor")).distinct())
-    n = -1
-    while reach.count() != n:
-        n = reach.count()
-        further = reach.join(reach.select(F.col("rule_id").alias("ancestor"), F.col("ancestor").alias("far")), "ancestor").select("rule_id", F.col("far").alias("ancestor"))
-        reach = written(reach.unionByName(further).distinct())
-    return reach
+def reached(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, rule_id): the rules of edges(rule_id, dep) that depend on a name of sources(source), directly or not.
+
+    Only pairs that the round before has found meet the edges again, and only what the sources reach is ever held."""
+    arcs = written(edges.where("rule_id is not null and dep is not null").select("rule_id", "dep").distinct())
+    new = written(sources.select("source").where("source is not null").distinct().join(arcs, F.col("source") == F.col("dep")).select("source", "rule_id"))
+    found = [new]
+    while not new.isEmpty():
+        known = found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found)
+        new = written(new.withColumnRenamed("rule_id", "dep").join(arcs, "dep").select("source", "rule_id").distinct().join(known, ["source", "rule_id"], "left_anti"))
+        found.append(new)
+        if len(found) == 32:  # a deep chain must not make a wide plan
+            found = [written(reduce(DataFrame.unionByName, found))]
+    return reduce(DataFrame.unionByName, found)
+
+
+def names_in(spark: SparkSession, texts: list[str]) -> dict[str, list[str] | None]:
+    """The names that each SQL expression reads, as Catalyst's parser finds them, sorted; None where the text is no expression.
+
+    Functions, literals and the variables of lambdas are no names; of a name with fields the first part counts."""
+    parser, found = spark._jsparkSession.sessionState().sqlParser(), {}
+    listed = lambda seq: [seq.apply(i) for i in range(seq.size())]
+
+    def read(node, bound: frozenset[str]) -> set[str]:
+        """Inside a lambda every name is a variable to the parser; those that are none of its arguments are names after all."""
+        if node.nodeName() == "LambdaFunction":
+            bound = bound | {x.nameParts().head() for x in listed(node.arguments())}
+            return read(node.function(), bound)
+        if node.nodeName() in ("UnresolvedAttribute", "UnresolvedNamedLambdaVariable"):
+            return {node.nameParts().head()} - bound
+        return set().union(*(read(x, bound) for x in listed(node.children())))
+
+    for text in texts:
+        try:
+            tree = parser.parseExpression(text)
+        except Exception as error:  # py4j hands the parser's own error on
+            if "ParseException" not in f"{type(error).__name__} {error}":
+                raise
+            found[text] = None
+            continue
+        leaves = listed(tree.collectLeaves())
+        inner = any(x.nodeName() == "UnresolvedNamedLambdaVariable" for x in leaves)
+        found[text] = sorted(read(tree, frozenset()) if inner else {x.nameParts().head() for x in leaves if x.nodeName() == "UnresolvedAttribute"})
+    return found
+
+
+def expression_edges(rules_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, unreadable) of rules(rule_id, expr): edges(rule_id, dep), dep null for a rule that reads nothing; unreadable(rule_id, expr).
+
+    Distinct texts, which are rules and not data, are parsed on the driver; the rules stay a table."""
+    spark = rules_.sparkSession
+    texts = [r.expr for r in rules_.where("expr is not null").select("expr").distinct().collect()]
+    parsed = written(spark.createDataFrame(list(names_in(spark, texts).items()), "expr string, names array<string>"))
+    read = written(rules_.select("rule_id", "expr").join(small(parsed), "expr", "left"))
+    edges = read.where("names is not null").select("rule_id", F.explode_outer("names").alias("dep")).distinct()
+    return edges, read.where("names is null").select("rule_id", "expr")
+
+
+def expression_audit(rules_: DataFrame, known: DataFrame) -> DataFrame:
+    """(kind, rule_id, problem, name) of what is wrong with rules(kind, rule_id, expr), whose kind is formula, validation, limit, usage, effect or eligibility.
+
+    bad_syntax: no SQL expression, or none at all; unknown_reference: a name that is neither in known(name) nor a formula;
+    duplicate_id: two rules of one kind with one id; name_collision: a formula named like a known field; cycle: a formula on or behind one."""
+    keyed = rules_.select(F.struct("kind", F.col("rule_id").alias("id")).alias("rule_id"), "expr")
+    edges, unreadable = expression_edges(keyed)
+    edges = written(edges.select("rule_id.kind", F.col("rule_id.id").alias("rule_id"), "dep"))
+    formulas = rules_.where("kind = 'formula'").select(F.col("rule_id").alias("name")).distinct()
+    names = known.select("name").union(formulas).distinct()
+    unknown = edges.where("dep is not null").join(small(names), F.col("dep") == F.col("name"), "left_anti").select("kind", "rule_id", F.lit("unknown_reference").alias("problem"), F.col("dep").alias("name"))
+    syntax = unreadable.select("rule_id.kind", F.col("rule_id.id").alias("rule_id"), F.lit("bad_syntax").alias("problem"), F.lit(None).cast("string").alias("name"))
+    twice = rules_.groupBy("kind", "rule_id").agg(F.count("*").alias("n")).where("n > 1").select("kind", "rule_id", F.lit("duplicate_id").alias("problem"), F.col("rule_id").alias("name"))
+    same = formulas.join(known.select("name").distinct(), "name", "left_semi").select(F.lit("formula").alias("kind"), F.col("name").alias("rule_id"), F.lit("name_collision").alias("problem"), "name")
+    loops = rule_levels(edges.where("kind = 'formula'").select("rule_id", "dep")).where("level = -1").select(F.lit("formula").alias("kind"), "rule_id", F.lit("cycle").alias("problem"), F.col("rule_id").alias("name"))
+    return unknown.unionByName(syntax).unionByName(twice).unionByName(same).unionByName(loops)
 
 
 def fill_defaults(records: DataFrame, defaults: dict[str, object]) -> DataFrame:
@@ -133,29 +200,67 @@ def eligibility(records: DataFrame, entities: DataFrame) -> DataFrame:
     return rows.select("record_id", F.col("e.entity_id").alias("entity_id"), F.coalesce(F.when(F.col("e.rule").isNull(), True).otherwise(F.try_element_at("known", F.col("e.rule"))), F.lit(False)).alias("eligible"))
 
 
-def limits(records: DataFrame, selections: DataFrame, limit_id: str, maximum: str, warn_at: int = 0, require_full: bool = False) -> DataFrame:
-    """(record_id, limit_id, count, maximum, remaining, over_by, severity): selections against a maximum; none counts as 0."""
-    counts = selections.groupBy("record_id").agg(F.count("*").alias("count"))
-    rows = records.select("record_id", F.expr(maximum).cast("long").alias("maximum")).join(counts, "record_id", "left").fillna(0, ["count"])
-    rows = rows.withColumns({"remaining": F.greatest(F.col("maximum") - F.col("count"), F.lit(0)), "over_by": F.greatest(F.col("count") - F.col("maximum"), F.lit(0))})
+def number(records: DataFrame, text: str) -> tuple[Column, bool]:
+    """A SQL text as a number over records, null where it fails in any way, and whether it is a number at all; to be used inside nulls_for_failures."""
+    try:
+        kind = records.select(F.expr(text)).schema[0].dataType
+    except (AnalysisException, ParseException):
+        return F.lit(None).cast("double"), True
+    return (F.expr(text).cast("double"), True) if isinstance(kind, NumericType) else (F.lit(None).cast("double"), False)
+
+
+def limits(records: DataFrame, selections: DataFrame | None, limit_id: str, maximum: str, warn_at: int = 0, require_full: bool = False, usage: str | None = None) -> DataFrame:
+    """(record_id, limit_id, count, maximum, remaining, over_by, severity, problem): use against a maximum.
+
+    Use is the number of selections, or the whole number that `usage` gives, 0 where it gives none. A maximum that fails, or is no whole number from 0
+    on, is null and limits nothing. `problem` says what is wrong: usage_failed, usage_not_whole, maximum_failed, maximum_not_whole, maximum_negative."""
+    with nulls_for_failures(records.sparkSession):
+        most, most_ok = number(records, maximum)
+        used, used_ok = number(records, usage) if usage is not None else (F.lit(None).cast("double"), True)
+        rows = records.select("record_id", most.alias("_m"), used.alias("_u"))
+    if usage is None:
+        counts = selections.groupBy("record_id").agg(F.count("*").alias("_n"))
+        rows = rows.join(counts, "record_id", "left")
+    else:
+        rows = rows.withColumn("_n", F.when((F.col("_u") == F.floor("_u")) & (F.col("_u") >= 0), F.col("_u").cast("long")))
+    whole = F.when((F.col("_m") == F.floor("_m")) & (F.col("_m") >= 0), F.col("_m").cast("long"))
+    wrong = F.when(F.lit(not used_ok), "usage_not_whole").when(F.lit(usage is not None) & F.col("_u").isNull(), "usage_failed").when(F.lit(usage is not None) & F.col("_n").isNull(), "usage_not_whole")
+    wrong = wrong.when(F.lit(not most_ok), "maximum_not_whole").when(F.col("_m").isNull(), "maximum_failed").when(F.col("_m") != F.floor("_m"), "maximum_not_whole").when(F.col("_m") < 0, "maximum_negative")
+    rows = rows.select("record_id", F.coalesce("_n", F.lit(0).cast("long")).alias("count"), whole.alias("maximum"), wrong.alias("problem"))
+    rows = rows.withColumns({"remaining": F.when(F.col("maximum").isNotNull(), F.greatest(F.col("maximum") - F.col("count"), F.lit(0))), "over_by": F.coalesce(F.greatest(F.col("maximum") - F.col("maximum"), F.col("count") - F.col("maximum")), F.lit(0).cast("long"))})
     warn = (F.col("remaining") > 0) & (F.lit(require_full) | (F.col("remaining") <= warn_at))
-    return rows.select("record_id", F.lit(limit_id).alias("limit_id"), "count", "maximum", "remaining", "over_by", F.when(F.col("over_by") > 0, "error").when(warn, "warning").alias("severity"))
+    return rows.select("record_id", F.lit(limit_id).alias("limit_id"), "count", "maximum", "remaining", "over_by", F.when(F.col("over_by") > 0, "error").when(warn, "warning").alias("severity"), "problem")
+
+
+#: Messages of limits that have none of their own. Fixed values.
+OVER, LEFT = "{label}: {count} selected, maximum {maximum}.", "{label}: {count} of {maximum} selected; {remaining} remaining."
+
+
+def limit_messages(found: DataFrame, label: str, message: str = OVER, warning: str = LEFT) -> DataFrame:
+    """Rows of limits with their message: the template's {label}, {count}, {maximum}, {remaining} and {over_by} filled in; other names stay as they are."""
+    def filled(template: str) -> Column:
+        parts = re.split(r"(\{(?:label|count|maximum|remaining|over_by)\})", template)
+        return F.concat(F.lit(""), *[F.lit(label) if x == "{label}" else F.col(x[1:-1]).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+    return found.withColumn("message", F.when(F.col("severity") == "error", filled(message)).when(F.col("severity") == "warning", filled(warning)))
 
 
-def influence_map(effects: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """(record_id, field, sources): the directly affected fields that a field depends on, itself included."""
-    own = effects.select("record_id", F.col("field").alias("source")).distinct()
-    reach = ancestors.select(F.col("rule_id").alias("field"), F.col("ancestor").alias("source"))
-    far = own.join(small(reach), "source").select("record_id", "field", "source")
+def influence_map(effects: DataFrame, edges: DataFrame) -> DataFrame:
+    """(record_id, field, sources): the fields of effects(record_id, field) that a field depends on by edges(rule_id, dep), itself included."""
+    own = written(effects.select("record_id", F.col("field").alias("source")).distinct())
+    far = own.join(small(reached(edges, own)), "source").select("record_id", F.col("rule_id").alias("field"), "source")
     return far.unionByName(own.select("record_id", F.col("source").alias("field"), "source")).groupBy("record_id", "field").agg(F.sort_array(F.collect_set("source")).alias("sources"))
 
 
 def advance(records: DataFrame, available_when: str, changes: list[tuple[str, str]]) -> DataFrame:
-    """Records after an action: changes see the ones before them; records the action is not open to stay as they are."""
-    out = records.withColumn("_open", F.coalesce(F.expr(available_when), F.lit(False)))
-    for name, e in changes:
-        out = out.withColumn(name, F.when(F.col("_open"), F.expr(e)).otherwise(F.col(name)))
-    return out.withColumnRenamed("_open", "advanced")
+    """Records after an action, and `advanced`: changes see the ones before them; records the action is not open to stay as they are.
+
+    A condition that is null or fails in any way does not open it, as in `tested`; a change that fails gives null."""
+    kept = [c for c in records.columns if c not in ("known", "advanced")]
+    out = tested(records.select(kept), [available_when]).withColumn("advanced", F.try_element_at("known", F.lit(available_when))).drop("known")
+    with nulls_for_failures(records.sparkSession):
+        for name, e in changes:
+            out = out.withColumn(name, F.when(F.col("advanced"), F.expr(e)).otherwise(F.col(name)) if name in out.columns else F.when(F.col("advanced"), F.expr(e)))
+        return out
 
 
 def apply_drafts(records: DataFrame, drafts: DataFrame) -> DataFrame:

@@ -125,6 +125,10 @@ parts_ as (select fused.*, coalesce(ts.passage_score, 0) passage_score, coalesce
 scored as (select *, round(hybrid + 0.0045::double * strength + 0.0050::double * coverage + 0.0090::double * phrase_anchor + 0.0060::double * rare_coverage + 0.0100::double * passage_score + 0.0110::double * label, 6) evidence_score from parts_)"""
 _FINAL = f"""{_SCORED}, final_ as (select *, row_number() over (partition by query_id order by evidence_score desc, coalesce(semantic_rank, 9999), coalesce(lexical_rank, 9999), chunk_id)::int rank from scored qualify rank <= 8)"""
 
+#: The expressions of queries._expressions and the names that each reads.
+_EXPRESSIONS = """x as (select p_partkey k, 'p' || p_partkey rule_id, 'p' || (p_partkey // 2) half, case when p_partkey = 1 then 'formula' else (['formula', 'formula', 'formula', 'limit', 'eligibility'])[p_size % 5 + 1] end kind from part),
+e as (select kind, rule_id, unnest(case when k % 7 = 0 then [half, 'missing'] when k % 5 = 0 then ['sizes', half] when k = 1 then ['size'] else ['size', half, 'stats'] end) dep from x where k % 50 <> 0)"""
+
 ORACLES: dict[str, str] = {
     "visible_documents": f"with {_PAGES} select doc_id, path, folder_name, visibility from seen",
     "scoped_documents": f"with {_PAGES} select doc_id, path, folder_name from pages_ where folder_name = 'src1' and doc_id in (select doc_id from labels where quality = 1)",
@@ -151,10 +155,12 @@ ORACLES: dict[str, str] = {
     "semantic_top100": f"with {_SEMANTIC} select * from stop",
     "rrf_fused": f"""with {_LEXICAL}, {_SEMANTIC} select query_id, chunk_id, lexical_rank, semantic_rank, round(coalesce(0.48::double / (60 + lexical_rank), 0) + coalesce(0.52::double / (60 + semantic_rank), 0), 9) hybrid_score from ltop full join stop using (query_id, chunk_id)""",
     "vocabulary": """with e as (select 0 s, p_partkey ord, trim(p_brand) v from part union all select 1, p_partkey, trim(p_type) from part), n as (select *, row_number() over (partition by lower(v) order by s, ord, v) n from e) select s, ord, v as "value" from n where n = 1 order by s, ord limit 280""",
-    "expand_queries": """with q as (select conv_id * 1000 + turn query_id, conv_id % 25 record_id, text q, ' ' || trim(regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) || ' ' said from conversations),
-        h as (select n_nationkey record_id, l, n_name || ' ' || l term, trim(regexp_replace(lower(n_name || ' ' || l), '[^a-z0-9]+', ' ', 'g')) plain from nation, (values ('the'), ('and'), ('of'), ('ing'), ('to')) v(l)),
-        m as (select query_id, string_agg(term, ' ' order by l, term) t from q join h using (record_id) where contains(said, ' ' || l || ' ') and not contains(said, ' ' || plain || ' ') group by 1)
-        select query_id, trim(q || coalesce(' ' || t, '')) expanded from q left join m using (query_id)""",
+    "expand_queries": r"""with q as (select conv_id * 1000 + turn query_id, conv_id % 25 record_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) q from conversations),
+        h as (select n_nationkey record_id, g, i, label, field, case when i = 2 then w else upper(n_name[1]) || lower(n_name[2:]) || ' ' || w end term from nation, (values (0, 'thes', 'x the'), (1, 'and', 'no field'), (2, '', 'of the'), (3, 'ingss', 'z'), (4, 'zz', 'to')) v(g, label, field), (values (0, 'the'), (1, 'la'), (2, 'der')) u(i, w)),
+        m as (select query_id, g, i, term, (label <> '' and contains(lower(q), label)) or (rtrim(label, 's') <> '' and contains(lower(q), rtrim(label, 's'))) or contains(lower(q), field) or contains(lower(q), rtrim(field, 's')) called, contains(lower(q), lower(term)) named from q join h using (record_id)),
+        f as (select query_id, arg_min(term, o) term, min(o) o from (select query_id, term, (not called)::int * 100 + g * 10 + i o from m where called or named) group by query_id, lower(term)),
+        t as (select query_id, string_agg(term, '; ' order by o) t from f group by 1)
+        select query_id, q || coalesce(chr(10) || 'Relevant selected character-sheet terms: ' || t, '') expanded from q left join t using (query_id)""",
     "document_records": f"""with f as (select source, lower((['pdf', 'TXT', 'md', 'exe', 'cbz', 'webp'])[doc_id % 6 + 1]) ext, 'file ' || doc_id || '.' || (['pdf', 'TXT', 'md', 'exe', 'cbz', 'webp'])[doc_id % 6 + 1] filename, 'file ' || doc_id display_name from documents), p as (select *, 'lib/' || source || '/' || filename path, {_CASE_TYPES} kind from f)
         select source folder, path, filename, display_name, kind as type, substr(sha256(path), 1, 24) doc_key, case when path = 'lib/src2/file 2.md' then 'players' when source = 'src2' then 'gm' else 'players' end visibility, case when path = 'lib/src2/file 2.md' then 'players' else 'inherit' end visibility_override from p where kind is not null""",
     "dedupe_documents": """with d as (select 'Folder' || (doc_id % 7) folder, 'p' || (doc_id // 3) path, doc_id source_ord from documents), a as (select * from d qualify row_number() over (partition by folder, path order by source_ord desc) = 1)
@@ -169,8 +175,8 @@ ORACLES: dict[str, str] = {
         s as (select distinct path, round_even(i * (n - 1)::double / greatest(k - 1, 1), 0)::bigint spot from (select path, n, k, unnest(range(0, k)) i from n)), a as (select path, count(*) sampled, count(*) filter (where words >= 5) with_words, sum(words)::bigint total from w join s using (path, spot) group by 1)
         select *, case when case when sampled <= 2 then total >= 25 else with_words >= greatest(2, round_even(sampled * 0.25::double, 0)) and total >= 50 end then 'searchable' else 'scanned' end status from a""",
     "ocr_backlog": f"with {_FILES} select path, type, display_name, ocr_current ready from files where type = 'CBZ' or (type = 'PDF' and scanned)",
-    "upload_names": r"""with u as (select page_id % 20 as user_, page_id arrival, regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://|[0-9]+', '', 'g') || ' é.txt', '[^A-Za-z0-9._() \-\[\]]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') c from pages), n as (select *, row_number() over (partition by user_, c order by arrival) n from u)
-        select user_ as "user", arrival, case when n > 1 then regexp_replace(c, '\.[^.]*$', '') || ' (' || n || ')' || regexp_extract(c, '\.[^.]*$') else c end safe_name from n""",
+    "upload_names": r"""with u as (select page_id % 20 as user_, page_id arrival, regexp_extract(regexp_replace(url, '^[a-z]+://|[0-9]+', '', 'g') || ' é.txt', '([^/]*)/*$', 1) l from pages), k as (select *, regexp_replace(regexp_replace(l, '[^A-Za-z0-9._() \-\[\]]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') c from u), n as (select *, row_number() over (partition by user_, c order by arrival) n from k)
+        select user_ as "user", arrival, case when n > 1 then regexp_replace(c, '\.[^.]*$', '') || ' (' || n || ')' || regexp_extract(c, '\.[^.]*$') else c end safe_name, true supported from n""",
     "natural_sort": """select p_partkey, 'Page' || (p_partkey % 120) || 'a' || (p_size % 5) || '.jpg' as name, row_number() over (partition by p_partkey % 10 order by p_partkey % 120, p_size % 5, p_partkey)::int pos from part""",
     "vector_reuse": f"""with {_CHUNKS}, e as (select *, list_sum(list_transform(string_split(text, ''), lambda x: ord(x)))::bigint s from chunks_), v as (select *, sqrt(((s % 97 + 1) ** 2 + (s % 89 + 2) ** 2 + (s % 83 + 3) ** 2 + (s % 79 + 4) ** 2)::double) r from e), ch as (select distinct path from chunks_ where ordinal % 70 = 0)
         select id chunk_id, ordinal % 4 <> 0 and ordinal % 15 <> 0 and path not in (select path from ch) reused, round((s % 97 + 1) / r, 6) e0, round((s % 79 + 4) / r, 6) e3 from v""",
@@ -198,6 +204,17 @@ ORACLES: dict[str, str] = {
     "calculated": f"""with {_MODIFIERS}, c as (select record_id, level * 2 + power power_score, level * 2 + power + floor(balance / 1000) rank_score from records join mods using (record_id)) select record_id, round(power_score, 6) power_score, round(rank_score, 6) rank_score, case when rank_score > 100 then 'high' else 'low' end tier from c""",
     "limits": f"""with {_RECORDS}, c as (select record_id, count(*) n from sel group by 1), m as (select record_id, coalesce(n, 0) n, (2 + floor(level / 3))::bigint m from records left join c using (record_id))
         select record_id, 'skills' limit_id, n as count, m maximum, greatest(m - n, 0) remaining, greatest(n - m, 0) over_by, case when n > m then 'error' when m - n between 1 and 1 then 'warning' end severity from m""",
+    "limit_usage": f"""with {_RECORDS}, x as (select record_id, level = 7 or 3000 % nullif(level - 2, 0) <> 0 broken, case when level = 7 then 3.5::double else 3000::double / nullif(level - 2, 0) end m, case when nation = 3 then balance else floor(balance) end u from records),
+        y as (select *, case when u = floor(u) and u >= 0 then u::bigint end n, case when m = floor(m) and m >= 0 then m::bigint end mx from x), z as (select *, coalesce(n, 0) c from y)
+        select record_id, 'account' limit_id, c "count", mx maximum, case when mx is not null then greatest(mx - c, 0) end remaining, coalesce(greatest(c - mx, 0), 0) over_by, case when c > mx then 'error' when mx - c between 1 and 500 then 'warning' end severity,
+        case when n is null then 'usage_not_whole' when m is null then 'maximum_failed' when m <> floor(m) then 'maximum_not_whole' when m < 0 then 'maximum_negative' end problem,
+        case when c > mx then 'Account: ' || c || ' of ' || mx || ', ' || (c - mx) || ' over {{nothing}}' when mx - c between 1 and 500 then 'Account: ' || c || ' of ' || mx || ' selected; ' || (mx - c) || ' remaining.' end message from z""",
+    "expression_levels": f"""with recursive {_EXPRESSIONS}, w as (select rule_id, dep, 1 depth from e union all select w.rule_id, e.dep, depth + 1 from w join e on w.dep = e.rule_id)
+        select rule_id, coalesce(max(depth) filter (where dep is not null), 0)::int as level from w group by 1""",
+    "expression_audit": f"""with {_EXPRESSIONS}, known as (select unnest(['size', 'sizes', 'stats', 'p4']) as name)
+        select kind, rule_id, 'unknown_reference' problem, dep as name from e join x using (kind, rule_id) where dep is not null and dep not in (select name from known) and dep not in (select rule_id from x where kind = 'formula')
+        union all select kind, rule_id, 'bad_syntax', null from x where k % 50 = 0
+        union all select kind, rule_id, 'name_collision', rule_id from x where kind = 'formula' and rule_id in (select name from known)""",
     "eligibility": f"""with {_RECORDS} select record_id, count(*) filter (where coalesce(case n_regionkey when 0 then level >= 3 and archetype = 'BUILDING' when 1 then balance > 5000 else true end, false)) as open, count(*) all_entities from records, nation group by 1""",
     "temporary_effects": """with recursive r as (select l_orderkey, l_linenumber, (['add', 'subtract', 'multiply', 'override'])[l_linenumber % 4 + 1] op, l_quantity % 5 v, row_number() over (partition by l_orderkey order by l_linenumber, (['add', 'subtract', 'multiply', 'override'])[l_linenumber % 4 + 1], l_quantity % 5) n from lineitem),
         f as (select o_orderkey, 0::bigint n, floor(o_totalprice)::double x from orders union all select o_orderkey, r.n, case op when 'add' then x + v when 'subtract' then x - v when 'multiply' then x * v else v end from f join r on l_orderkey = o_orderkey and r.n = f.n + 1)
@@ -271,11 +288,11 @@ ORACLES: dict[str, str] = {
     "limits_where": f"""with {_ROWS}, {_ENTITIES}, c as (select record_id, count(*) n from picks join ents using (entity_id) where field = 'inventory' and list_contains(tags, 'BRASS') and brand = 'Brand#11' group by 1), m as (select record_id, coalesce(n, 0) n, (1 + floor(level / 4))::bigint m from chars left join c using (record_id))
         select record_id, 'brass' limit_id, n as count, m maximum, greatest(m - n, 0) remaining, greatest(n - m, 0) over_by, case when n > m then 'error' when m - n between 1 and 1 then 'warning' end severity from m""",
     "final_changes": f"with {_RECORDS}, a as (select record_id, balance, case when level % 2 = 0 then level // 2 + 1 end as level from records) select record_id, level, round(balance + level, 2) balance from a",
-    "rules_in_scope": """with recursive e as (select p_partkey k, case when p_partkey > 1 then p_partkey // 2 end dep from part), st as (select p_partkey k, p_size % 6 step from part where p_partkey between 8 and 64), c as (select * from e where dep is not null and k not in (select k from st)),
+    "rules_in_scope": """with recursive e as (select p_partkey k, case when p_partkey > 1 then p_partkey // 2 end dep from part), st as (select p_partkey k, p_size % 6 step from part where p_size % 3 = 0), c as (select * from e where dep is not null and k not in (select k from st)),
         w as (select k, dep from c union select w.k, c.dep from w join c on w.dep = c.k), n as (select w.k, max(step) s from w join st on st.k = w.dep group by 1)
         select p_partkey % 10 record_id, cast(p_partkey as varchar) rule_id, p_name message from part left join n on n.k = p_partkey where coalesce(s, 2) <= 2""",
     "placeholder_rows": f"""with {_ROWS}, l as (select record_id, count(*) n, count(*) filter (where coalesce(item, '') <> '' or coalesce(trim(custom_name), '') <> '' or not coalesce(quantity = 1, true) or coalesce(equipped, false) or coalesce(notes, '') <> '') k from inv group by 1) select record_id, coalesce(k, -1)::int "left", coalesce(n, -1)::int all_rows from chars left join l using (record_id)""",
-    "effective_values": """with recursive o as (select o_custkey r, (['add', 'multiply', 'subtract'])[o_orderkey % 3 + 1] op, (o_orderkey % 4)::double v, row_number() over (partition by o_custkey order by o_orderkey) n from orders qualify n <= 3),
+    "effective_values": """with recursive o as (select o_custkey r, (['add', 'multiply', 'subtract'])[o_orderkey % 3 + 1] op, (o_orderkey % 4)::double v, row_number() over (partition by o_custkey order by o_orderkey) n from orders),
         f as (select c_custkey r, 0::bigint n, (c_custkey % 12 * 2)::double x from customer union all select f.r, o.n, case op when 'add' then x + v when 'subtract' then x - v else x * v end from f join o on o.r = f.r and o.n = f.n + 1)
         select r record_id, x base, x + 10 total from f qualify row_number() over (partition by r order by n desc) = 1""",
     "migrate_references": """with c as (select c_custkey k, cast(c_custkey % 190 + 1 as varchar) a, cast(c_custkey * 7 % 230 + 1 as varchar) b, cast(c_nationkey as varchar) home, c_mktsegment seg from customer), p as (select cast(p_partkey as varchar) id from part where p_size % 5 <> 0), n as (select cast(n_nationkey as varchar) id from nation where n_regionkey <> 1),

@@ -208,11 +208,12 @@ def vocabulary(spark, d):
 
 
 def expand_queries(spark, d):
-    """Conversations as questions of a record: the source's documents lend their languages as terms."""
+    """Conversations as questions of a record: a nation's names with short words are its terms, grouped by the word."""
     q = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), (F.col("conv_id") % 25).alias("record_id"), F.col("text").alias("query"))
-    n = table(spark, d, "nation")
-    words = F.array(*[F.lit(w) for w in ("the", "and", "of", "ing", "to")])
-    hints = n.select(F.col("n_nationkey").alias("record_id"), F.explode(F.transform(words, lambda w: F.struct(w.alias("label"), F.concat(F.col("n_name"), F.lit(" "), w).alias("term")))).alias("x")).select("record_id", "x.*")
+    groups = spark.createDataFrame([(0, "Thes", "x_the"), (1, "And", "no_field"), (2, "", "of_the"), (3, "ingss", "z"), (4, "zz", "to")], "group_no int, label string, field_id string")
+    words = F.posexplode(F.array(*[F.lit(w) for w in ("the", "la", "der")])).alias("hint_no", "word")
+    hints = table(spark, d, "nation").select(F.col("n_nationkey").alias("record_id"), "n_name").crossJoin(F.broadcast(groups)).select("record_id", "group_no", "label", "field_id", "n_name", words)  # five groups
+    hints = hints.withColumn("term", F.when(F.col("hint_no") == 2, F.col("word")).otherwise(F.concat(F.initcap("n_name"), F.lit(" "), "word")))
     return records.expand_query_with_record(q, hints).select("query_id", "expanded")
 
 
@@ -268,7 +269,7 @@ def ocr_backlog(spark, d):
 
 def upload_names(spark, d):
     u = table(spark, d, "pages").select((F.col("page_id") % 20).alias("user"), F.concat(F.regexp_replace("url", r"^[a-z]+://|[0-9]+", ""), F.lit(" é.txt")).alias("name"), F.col("page_id").alias("arrival"))
-    return inventory.upload_names(u).select("user", "arrival", "safe_name")
+    return inventory.upload_names(u).select("user", "arrival", "safe_name", "supported")
 
 
 def natural_sort(spark, d):
@@ -381,7 +382,32 @@ def calculated(spark, d):
 
 
 def limits(spark, d):
-    return rules.limits(records_of(spark, d), selections_of(spark, d), "skills", "2 + floor(level / 3)", 1)
+    return rules.limits(records_of(spark, d), selections_of(spark, d), "skills", "2 + floor(level / 3)", 1).drop("problem")
+
+
+def limit_usage(spark, d):
+    """What a record has in its account against a maximum of its level; both fail for some records."""
+    found = rules.limits(records_of(spark, d), None, "account", "if(level = 7, level / 2, 3000 / (level - 2))", 500, usage="if(nation = 3, balance, floor(balance))")
+    return rules.limit_messages(found, "Account", "{label}: {count} of {maximum}, {over_by} over {nothing}")
+
+
+def _expressions(spark, d):
+    """parts as rules over the part of half the number, their size and more; some refer to nothing that is there, some are no expressions."""
+    p, key = table(spark, d, "part"), F.col("p_partkey")
+    half = F.concat(F.lit("p"), F.expr("p_partkey div 2").cast("string"))
+    expr = (F.when(key % 50 == 0, F.concat(half, F.lit(" +"))).when(key % 7 == 0, F.concat(half, F.lit(" * missing + len('p1')"))).when(key % 5 == 0, F.concat(F.lit("aggregate(sizes, 0, (a, x) -> a + x) + "), half))
+            .when(key == 1, "size").otherwise(F.concat(F.lit("case when size > 3 then "), half, F.lit(" else stats.base + "), half, F.lit(" end"))))
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("formula", "formula", "formula", "limit", "eligibility")]), (F.col("p_size") % 5 + 1).cast("int"))
+    return p.select(F.when(key == 1, "formula").otherwise(kind).alias("kind"), F.concat(F.lit("p"), key.cast("string")).alias("rule_id"), expr.alias("expr"))
+
+
+def expression_levels(spark, d):
+    return rules.rule_levels(rules.expression_edges(_expressions(spark, d))[0])
+
+
+def expression_audit(spark, d):
+    known = spark.createDataFrame([("size",), ("sizes",), ("stats",), ("p4",)], "name string")
+    return rules.expression_audit(_expressions(spark, d), known)
 
 
 def eligibility(spark, d):
@@ -407,7 +433,7 @@ def rule_levels(spark, d):
 def influence_map(spark, d):
     parts = table(spark, d, "part").agg(F.count("*").alias("n"))
     effects = table(spark, d, "events").withColumn("n", parts.scalar()).select(F.col("user_id").alias("record_id"), (F.col("event_id") * 7919 % F.col("n") + 1).cast("string").alias("field")).distinct()
-    return rules.influence_map(effects, rules.closure(_edges(spark, d))).select("record_id", "field", F.array_join("sources", ",").alias("sources"))
+    return rules.influence_map(effects, _edges(spark, d)).select("record_id", "field", F.array_join("sources", ",").alias("sources"))
 
 
 def advancement(spark, d):
@@ -525,7 +551,7 @@ def selected_ineligible(spark, d):
 
 def limits_where(spark, d):
     c = characters_of(spark, d)
-    return records.limits_where(c.select("record_id", "level"), records.selections(c.select("record_id", "inventory"), SLOTS[2:]), _entities(spark, d), "brass", "1 + floor(level / 4)", ("BRASS",), {"brand": "Brand#11"}, 1)
+    return records.limits_where(c.select("record_id", "level"), records.selections(c.select("record_id", "inventory"), SLOTS[2:]), _entities(spark, d), "brass", "1 + floor(level / 4)", ("BRASS",), {"brand": "Brand#11"}, 1).drop("problem")
 
 
 def final_changes(spark, d):
@@ -533,10 +559,10 @@ def final_changes(spark, d):
 
 
 def rules_in_scope(spark, d):
-    """Issues of parts as rules, where the parts up to number 64 are filled in at the step of their size."""
+    """Issues of parts as rules, where the parts of every third size are filled in at the step of their size."""
     p = table(spark, d, "part")
     issues = p.select((F.col("p_partkey") % 10).alias("record_id"), F.col("p_partkey").cast("string").alias("rule_id"), F.col("p_name").alias("message"))
-    steps = p.where("p_partkey between 8 and 64").select(F.col("p_partkey").cast("string").alias("field"), (F.col("p_size") % 6).alias("step"))
+    steps = p.where("p_size % 3 = 0").select(F.col("p_partkey").cast("string").alias("field"), (F.col("p_size") % 6).alias("step"))
     return records.rules_in_scope(issues, _edges(spark, d), steps, 2)
 
 
@@ -550,7 +576,7 @@ def effective_values(spark, d):
     """A calculated value and the one above it after temporary effects on both."""
     ops = F.element_at(F.array(*[F.lit(x) for x in ("add", "multiply", "subtract")]), (F.col("o_orderkey") % 3 + 1).cast("int"))
     rows = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("record_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", ops.alias("op"), (F.col("o_orderkey") % 4).cast("double").alias("value")))), lambda x: F.struct(x.op.alias("op"), x.value.alias("value"))).alias("effects"))
-    r = records_of(spark, d).select("record_id", "level").join(rows.withColumn("effects", F.slice("effects", 1, 3)), "record_id", "left")
+    r = records_of(spark, d).select("record_id", "level").join(rows, "record_id", "left")
     out = rules.calculate(r, [("base", "level * 2", 0), ("total", "base + 10", 1)], {"base": F.col("effects")})
     return out.select("record_id", F.col("base").cast("double").alias("base"), F.col("total").cast("double").alias("total"))
 
@@ -594,4 +620,4 @@ QUERIES = {f.__name__: f for f in (
     doc_frequency, rare_tokens, lexical_top100, semantic_top100, rrf_fused, evidence_ranked, neighbor_rescue, retrieve, retrieval_report, vocabulary, expand_queries, document_records, dedupe_documents, snapshot_diff,
     confirm_removed, extraction_status, artifact_gc, prune_text, text_status, ocr_backlog, upload_names, natural_sort, incremental_chunks, vector_reuse, kb_state, batch_merge, evidence_rank, near_duplicates,
     evidence_select, query_aware_rank, procedural_anchor, decisions, answer_claims, citation_excerpts, numbered_sources, record_defaults, record_issues, dangling_references, modifiers, modifier_provenance, calculated,
-    limits, eligibility, temporary_effects, rule_levels, influence_map, advancement, apply_conflicts, migrate_records, rule_audit, coerced, coerce_issues, html_pages, selections, record_functions, explanations, explanation_inputs, selected_ineligible, limits_where, final_changes, rules_in_scope, placeholder_rows, effective_values, migrate_references, audit_effects, corpus_totals, envelope_checks, entities_issues, import_records, records_for, autofill, search_hints, rendered_records)}
+    limits, limit_usage, expression_levels, expression_audit, eligibility, temporary_effects, rule_levels, influence_map, advancement, apply_conflicts, migrate_records, rule_audit, coerced, coerce_issues, html_pages, selections, record_functions, explanations, explanation_inputs, selected_ineligible, limits_where, final_changes, rules_in_scope, placeholder_rows, effective_values, migrate_references, audit_effects, corpus_totals, envelope_checks, entities_issues, import_records, records_for, autofill, search_hints, rendered_records)}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import chunking, text
-from tessera.operators import evidence, incremental, inventory, retrieval, rules
+from tessera.operators import evidence, incremental, inventory, records, retrieval, rules
 from tessera.sources import corpus
 from tessera.streaming.state import after, kb_state_stream
 
@@ -278,3 +278,73 @@ def test_vectors_match_all_scores(spark, monkeypatch, vectors, queries):
     floors = asked.where("query_id < 20").withColumn("floor", F.lit(20.0))
     assert retrieval.asked_buckets(floors, index, 20, True).count() < 20 * len(index.numbers) / 2
     assert retrieval.semantic_topk(asked, held.limit(0), 10).count() == 0 and retrieval.semantic_topk(asked.where("query_id = 3"), held.where("chunk_id < 'c005'"), 10).count() == 5
+
+
+def test_upload_names_are_free_ones(spark):
+    """Numbers that names already have, existing files, paths, names without a letter, unknown types; as a plain loop names them."""
+    def looped(existing, uploads):
+        taken, out = set(existing), []
+        for name in uploads:
+            clean = re.sub(r"[^A-Za-z0-9._() \-\[\]]+", "_", name.rstrip("/").rpartition("/")[2]).strip(" .") or "upload"
+            stem, dot, ext = clean.rpartition(".")
+            stem, ext = (stem, dot + ext) if dot else (clean, "")
+            free, n = clean, 2
+            while free in taken:
+                free, n = f"{stem} ({n}){ext}", n + 1
+            taken.add(free)
+            out.append(free)
+        return out
+
+    rng = random.Random(2)
+    names = ["a.txt", "a.txt", "a (2).txt", "...", "dir/x.exe", "...", "", "a (2).txt", "b", "b (2)", "b", "a (2) (2).txt", "a (02).txt", "é.md"] + [rng.choice(["c.pdf", "c (2).pdf", "c (3).pdf", "c (2) (2).pdf", "c (7).pdf"]) for _ in range(60)]
+    uploads = spark.createDataFrame([(u, n, i, "clash") for u in (1, 2) for i, n in enumerate(names)], "user int, name string, arrival long, safe_name string").repartition(3)
+    existing = spark.createDataFrame([(1, "a.txt"), (1, "c (3).pdf"), (3, "b")], "user int, name string")
+    got = inventory.upload_names(uploads, existing).orderBy("user", "arrival").collect()
+    assert [r.safe_name for r in got if r.user == 1] == looped(["a.txt", "c (3).pdf"], names) and [r.safe_name for r in got if r.user == 2] == looped([], names)
+    assert {r.name: r.supported for r in got if r.name in ("dir/x.exe", "a.txt", "b")} == {"dir/x.exe": False, "a.txt": True, "b": False}
+
+
+def test_natural_keys_compare_like_numbers(spark):
+    names = ["p1234567890123456780", "p1234567890123456789", "p2", "p10", "P010a", "p10b", "10", "2", "002", "a", "", "a1b2", "a1b10", "é5"]
+    key = lambda v: [(1, int(x)) if x.isdigit() else (0, x.lower()) for x in re.split(r"([0-9]+)", v)]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in names], "v string").orderBy(text.natural_key(F.col("v")), "v").collect()]
+    assert got == sorted(names, key=lambda v: (key(v), v.encode()))
+
+
+def test_questions_call_for_groups_and_named_terms(spark):
+    hints = spark.createDataFrame([(1, 0, "Weapons", "gear", 0, "Silver Sword"), (1, 0, "Weapons", "gear", 1, "Axe"), (1, 1, "Skills", "known_tricks", 0, "Juggling"), (1, 1, "Skills", "known_tricks", 1, "axe"), (1, 2, None, None, 0, " ")], "record_id int, group_no int, label string, field_id string, hint_no int, term string")
+    ask = {1: "How does the  Silver Sword work?", 2: "which weapon is best", 3: "my KNOWN TRICK and the axe", 4: "nothing", 5: None}
+    queries = spark.createDataFrame([(i, 1, q) for i, q in ask.items()] + [(6, 2, "weapons")], "query_id int, record_id int, query string")
+    got = {r.query_id: r.expanded for r in records.expand_query_with_record(queries, hints).collect()}
+    tail = "\nRelevant selected character-sheet terms: "
+    assert got == {1: "How does the Silver Sword work?" + tail + "Silver Sword", 2: "which weapon is best" + tail + "Silver Sword; Axe", 3: "my KNOWN TRICK and the axe" + tail + "Juggling; axe", 4: "nothing", 5: "", 6: "weapons"}
+
+
+def test_conditions_and_limits_that_fail(spark):
+    """Division by zero and unknown names close an action and void a maximum; use may be an expression."""
+    rows = spark.createDataFrame([(1, 0, "x"), (2, 3, "x"), (3, 20, "x")], "record_id int, level int, advanced string")
+    assert [(r.level, r.advanced) for r in rules.advance(rows, "10 / level > 2", [("level", "level + 1")]).orderBy("record_id").collect()] == [(0, False), (4, True), (20, False)]
+    assert [r.advanced for r in rules.advance(rows, "nobody = 1", [("level", "1 / 0")]).collect()] == [False] * 3
+    chosen = spark.createDataFrame([(1,), (1,), (2,)], "record_id int")
+    for maximum, want in {"12 div level": ("maximum_failed", None, None), "nobody": ("maximum_failed",) * 3, "level / 3": (None, None, "maximum_not_whole"), "-level": (None, "maximum_negative", "maximum_negative"), "'x'": ("maximum_not_whole",) * 3}.items():
+        got = rules.limits(rows, chosen, "l", maximum).orderBy("record_id").collect()
+        assert tuple(r.problem for r in got) == want and all((r.maximum is None) == (r.problem is not None) and r["count"] == n for r, n in zip(got, (2, 1, 0), strict=True))
+    got = rules.limit_messages(rules.limits(rows, None, "l", "4", usage="level"), "Load", "{label} {count}/{maximum}: {over_by} over, {odd}", "{remaining} left").orderBy("record_id").collect()
+    assert [(r["count"], r.message) for r in got] == [(0, None), (3, None), (20, "Load 20/4: 16 over, {odd}")]
+    assert [(r["count"], r.problem) for r in rules.limits(rows, None, "l", "4", usage="6 / level").orderBy("record_id").collect()] == [(0, "usage_failed"), (2, None), (0, "usage_not_whole")]
+    assert [r.severity for r in rules.limits(rows, chosen, "l", "3", 1).orderBy("record_id").collect()] == ["warning", None, None]
+
+
+def test_names_are_read_by_the_parser(spark):
+    texts = ["a + f(b.c, 'd') * `e f`", "aggregate(xs, 0, (s, x) -> s + x + y)", "1 + 2", "a +", "case when level >= 2 then a end", "interval 1 day + d"]
+    assert rules.names_in(spark, texts) == {texts[0]: ["a", "b", "e f"], texts[1]: ["xs", "y"], texts[2]: [], texts[3]: None, texts[4]: ["a", "level"], texts[5]: ["d"]}
+    found = rules.expression_audit(spark.createDataFrame([("formula", "a", "b + 1"), ("formula", "b", "a"), ("formula", "level", "1"), ("limit", "m", "2 + nobody"), ("usage", "u", None), ("effect", "e", "level)"), ("eligibility", "g", "a > 1"), ("validation", "v", "1"), ("validation", "v", "2")], "kind string, rule_id string, expr string"), spark.createDataFrame([("level",)], "name string"))
+    assert sorted((r.kind, r.rule_id, r.problem, r.name or "") for r in found.collect()) == sorted([("formula", "a", "cycle", "a"), ("formula", "b", "cycle", "b"), ("formula", "level", "name_collision", "level"), ("limit", "m", "unknown_reference", "nobody"), ("usage", "u", "bad_syntax", ""), ("effect", "e", "bad_syntax", ""), ("validation", "v", "duplicate_id", "v")])
+
+
+def test_reach_of_deep_and_wide_graphs(spark):
+    """A chain of 40, a star of 3,000, a cycle, and a source that nothing depends on; only what the sources reach is held."""
+    edges = [(f"c{i + 1}", f"c{i}") for i in range(40)] + [(f"s{i}", "hub") for i in range(3000)] + [("x", "y"), ("y", "x"), ("z", None)]
+    sources = spark.createDataFrame([("c30",), ("hub",), ("x",), ("lone",), (None,)], "source string")
+    got = {(r.source, r.rule_id) for r in rules.reached(spark.createDataFrame(edges, "rule_id string, dep string"), sources).collect()}
+    assert got == {("c30", f"c{i}") for i in range(31, 41)} | {("hub", f"s{i}") for i in range(3000)} | {("x", "y"), ("x", "x")}
