@@ -178,6 +178,22 @@ ORACLES: dict[str, str] = {
     "upload_names": r"""with u as (select page_id % 20 as user_, page_id arrival, regexp_extract(regexp_replace(url, '^[a-z]+://|[0-9]+', '', 'g') || ' é.txt', '([^/]*)/*$', 1) l from pages), k as (select *, regexp_replace(regexp_replace(l, '[^A-Za-z0-9._() \-\[\]]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') c from u), n as (select *, row_number() over (partition by user_, c order by arrival) n from k)
         select user_ as "user", arrival, case when n > 1 then regexp_replace(c, '\.[^.]*$', '') || ' (' || n || ')' || regexp_extract(c, '\.[^.]*$') else c end safe_name, true supported from n""",
     "natural_sort": """select p_partkey, 'Page' || (p_partkey % 120) || 'a' || (p_size % 5) || '.jpg' as name, row_number() over (partition by p_partkey % 10 order by p_partkey % 120, p_size % 5, p_partkey)::int pos from part""",
+    "corpus_versions": """select doc_id, source, length(text) n, 1 as version from documents union all select doc_id, source, length(text) + 1, 2 from documents where doc_id % 3 <> 0""",
+    "streamed_vectors": """with e as (select 'conv/' || conv_id || '/' || turn chunk_id, list_sum(list_transform(string_split(coalesce(text, '') || case when conv_id % 5 = 0 and conv_id % 35 <> 0 then '!' else '' end, ''), lambda x: ord(x)))::bigint s from conversations where conv_id % 7 <> 0 or conv_id % 35 = 0),
+        v as (select *, sqrt(((s % 97 + 1) ** 2 + (s % 89 + 2) ** 2 + (s % 83 + 3) ** 2 + (s % 79 + 4) ** 2)::double) r from e) select chunk_id, round((s % 97 + 1) / r, 6) e0, round((s % 79 + 4) / r, 6) e3 from v""",
+    "declared_issues": """with o as (select o_orderkey n, o_custkey k, row_number() over (partition by o_custkey order by o_orderkey) - 1 i, o_orderpriority p from orders), c as (select c_custkey k, * from customer), ok as (select * from c where k % 23 <> 0),
+        inv as (select o.* from o join ok using (k) where k % 19 <> 0), r as (select * from inv where n % 15 <> 0)
+        select k record_id, null as path, 'Character data must be a mapping/object.' message from c where k % 23 = 0
+        union all select k, 'name', 'Required field is missing.' from ok where k % 6 = 0
+        union all select k, 'level', case when k % 11 = 0 then 'Value does not match field type ''integer''.' when k % 14 < 1 then 'Value must be >= 1.' else 'Value must be <= 10.' end from ok where k % 11 = 0 or (k % 13 <> 0 and k % 14 not between 1 and 10)
+        union all select k, 'archetype', 'Value is not one of the allowed enum options.' from ok where c_mktsegment not in ('BUILDING', 'MACHINERY')
+        union all select k, 'active', 'Value does not match field type ''boolean''.' from ok where k % 17 = 0
+        union all select k, 'nobody', 'Unknown character field.' from ok where k % 10 = 0
+        union all select k, 'inventory', case when k % 19 = 0 then 'Value does not match field type ''collection''.' else 'Required field is missing.' end from ok where k % 19 = 0 or k not in (select k from o)
+        union all select k, 'inventory[' || i || ']', 'Collection row must be a mapping/object.' from inv where n % 15 = 0
+        union all select k, 'inventory[' || i || '].quantity', case when n % 9 = 0 then 'Required field is missing.' else 'Value must be >= 2.' end from r where n % 9 = 0 or n % 7 < 2
+        union all select k, 'inventory[' || i || '].extra', 'Unknown collection item field.' from r where n % 10 = 0
+        union all select k, 'inventory[' || i || ']', 'Collection row requires a compendium selection or custom name.' from r where n % 4 = 0 and (n % 8 = 0 or n % 12 <> 0)""",
     "vector_reuse": f"""with {_CHUNKS}, e as (select *, list_sum(list_transform(string_split(text, ''), lambda x: ord(x)))::bigint s from chunks_), v as (select *, sqrt(((s % 97 + 1) ** 2 + (s % 89 + 2) ** 2 + (s % 83 + 3) ** 2 + (s % 79 + 4) ** 2)::double) r from e), ch as (select distinct path from chunks_ where ordinal % 70 = 0)
         select id chunk_id, ordinal % 4 <> 0 and ordinal % 15 <> 0 and path not in (select path from ch) reused, round((s % 97 + 1) / r, 6) e0, round((s % 79 + 4) / r, 6) e3 from v""",
     "kb_state": """with recursive ev as (select user_id, event_type k, row_number() over (partition by user_id order by ts, event_id) n from events),

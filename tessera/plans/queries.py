@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunking, text
-from ..operators import citations, evidence, incremental, inventory, records, retrieval, rules, search
+from ..operators import citations, evidence, incremental, inventory, records, retrieval, rules, schema, search
+from ..operators.schema import Field
 from ..sources import corpus
-from ..sources.shared import written
+from ..sources.shared import shared_folder, written
+from ..streaming import corpus as streams
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -293,6 +295,35 @@ def vector_reuse(spark, d):
     return out.select("chunk_id", "reused", F.round(F.get("embedding", F.lit(0)), 6).alias("e0"), F.round(F.get("embedding", F.lit(3)), 6).alias("e3"))
 
 
+def corpus_versions(spark, d):
+    """documents as two versions of a corpus, of which the first is written twice; what a reader finds of each."""
+    docs, path = table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("n")), shared_folder(spark, "corpus")
+    corpus.write_corpus(docs.limit(1), path, 1)
+    corpus.write_corpus(docs.where("doc_id % 3 <> 0").withColumn("n", F.col("n") + 1), path, 2)
+    corpus.write_corpus(docs, path, 1)
+    corpus.vacuum_corpus(spark, path)
+    found = [corpus.read_corpus(spark, path, v).withColumn("version", F.lit(v)) for v in (1, 2, 3)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _page_chunks(pages):
+    return pages.select(F.concat_ws("/", "path", F.col("page").cast("string")).alias("id"), "path", "page", F.lit(0).alias("ordinal"), "text")
+
+
+def streamed_vectors(spark, d):
+    """conversations as documents of a page for each turn that come, change and go in three batches of a stream."""
+    t = table(spark, d, "conversations").select(F.col("conv_id").alias("k"), F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("path"), F.col("turn").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    folder = shared_folder(spark, "stream")
+    later = F.when(F.col("k") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    drops = [t.withColumns({"seq": F.lit(0), "removed": F.lit(False)}), t.where("k % 5 = 0 or k % 7 = 0").withColumns({"text": later, "seq": F.lit(1), "removed": F.col("k") % 7 == 0}), t.where("k % 35 = 0").withColumns({"seq": F.lit(2), "removed": F.lit(False)})]
+    for rows in drops:
+        rows.drop("k").coalesce(1).write.mode("append").parquet(f"{folder}/in")  # a file is a batch here
+    changes = spark.readStream.schema(drops[0].drop("k").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    encoder = lambda rows: rows.select(F.col("id").alias("chunk_id"), incremental.char_sum_vector(F.col("text")).alias("embedding"))
+    streams.follow(changes, f"{folder}/store", f"{folder}/progress", encoder, _page_chunks).awaitTermination()
+    return streams.current(spark, f"{folder}/store").select("chunk_id", F.round(F.get("embedding", F.lit(0)), 6).alias("e0"), F.round(F.get("embedding", F.lit(3)), 6).alias("e3"))
+
+
 def kb_state(spark, d):
     kinds = F.create_map(*[F.lit(x) for kv in {"signup": "library_changed", "view": "text_current", "click": "chunks_current", "purchase": "embeddings_current", "error": "invalidate_text"}.items() for x in kv])
     e = table(spark, d, "events").select(F.col("user_id").alias("library_id"), "ts", F.col("event_id").alias("seq"), F.try_element_at(kinds, F.col("event_type")).alias("type"))
@@ -363,6 +394,23 @@ def record_issues(spark, d):
     return rules.issues(records_of(spark, d), "record_id", checks)
 
 
+DECLARED = [Field("name", "text", required=True), Field("level", "integer", minimum=1, maximum=10), Field("balance", "decimal", minimum=0), Field("archetype", "enum", options=("BUILDING", "MACHINERY")), Field("active", "boolean"),
+            Field("inventory", "collection", required=True, items=(Field("item", "reference"), Field("quantity", "integer", required=True, minimum=2), Field("custom_name", "text")), custom=True)]
+
+
+def declared_issues(spark, d):
+    """customers as JSON with their orders as rows; some keys are unknown, missing, null or of another type."""
+    key, o = F.col("c_custkey"), table(spark, d, "orders")
+    n = F.col("o_orderkey")
+    row = F.to_json(F.struct(F.when(n % 4 != 0, F.col("o_orderpriority")).alias("item"), F.when(n % 9 != 0, n % 7).alias("quantity"), F.when(n % 8 == 0, F.lit(" ")).when(n % 12 == 0, F.lit("own")).alias("custom_name"), F.when(n % 10 == 0, 1).alias("extra")))
+    rows = o.groupBy(F.col("o_custkey").alias("record_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", F.when(n % 15 == 0, F.lit("5")).otherwise(row).alias("r")))), lambda x: x.r), ",").alias("rows"))
+    c = table(spark, d, "customer").join(rows, key == F.col("record_id"), "left")
+    level = F.when(key % 11 == 0, F.lit('"x"')).when(key % 13 == 0, F.lit("null")).otherwise((key % 14).cast("string"))
+    whole = F.concat(F.lit('{"name":"'), F.when(key % 6 == 0, "").otherwise(F.col("c_name")), F.lit('","level":'), level, F.lit(',"balance":'), F.col("c_nationkey").cast("string"), F.lit(".5"), F.when(key % 10 == 0, ',"nobody":1').otherwise(""), F.lit(',"archetype":"'), "c_mktsegment", F.lit('"'),
+                     F.when(key % 17 == 0, ',"active":"yes"').otherwise(',"active":true'), F.when(key % 19 == 0, ',"inventory":{}').when(F.col("rows").isNull(), "").otherwise(F.concat(F.lit(',"inventory":['), "rows", F.lit("]"))), F.when(key % 23 == 0, "").otherwise("}"))
+    return schema.declared_issues(c.select(key.alias("record_id"), whole.alias("data")), DECLARED)
+
+
 def dangling_references(spark, d):
     return rules.dangling(selections_of(spark, d), entities_of(spark, d)).groupBy("record_id").agg(F.count("*").alias("n"), F.min("entity_id").alias("first_id"))
 
@@ -618,6 +666,6 @@ def envelope_checks(spark, d):
 QUERIES = {f.__name__: f for f in (
     visible_documents, scoped_documents, keyword_search, snippet_search, doc_terms_top, stem_frequency, token_frequency, query_phrases, passages, revision_signals, chunk_documents, chunk_stats, corpus_status,
     doc_frequency, rare_tokens, lexical_top100, semantic_top100, rrf_fused, evidence_ranked, neighbor_rescue, retrieve, retrieval_report, vocabulary, expand_queries, document_records, dedupe_documents, snapshot_diff,
-    confirm_removed, extraction_status, artifact_gc, prune_text, text_status, ocr_backlog, upload_names, natural_sort, incremental_chunks, vector_reuse, kb_state, batch_merge, evidence_rank, near_duplicates,
-    evidence_select, query_aware_rank, procedural_anchor, decisions, answer_claims, citation_excerpts, numbered_sources, record_defaults, record_issues, dangling_references, modifiers, modifier_provenance, calculated,
+    confirm_removed, extraction_status, artifact_gc, prune_text, text_status, ocr_backlog, upload_names, natural_sort, incremental_chunks, vector_reuse, corpus_versions, streamed_vectors, kb_state, batch_merge, evidence_rank, near_duplicates,
+    evidence_select, query_aware_rank, procedural_anchor, decisions, answer_claims, citation_excerpts, numbered_sources, record_defaults, record_issues, declared_issues, dangling_references, modifiers, modifier_provenance, calculated,
     limits, limit_usage, expression_levels, expression_audit, eligibility, temporary_effects, rule_levels, influence_map, advancement, apply_conflicts, migrate_records, rule_audit, coerced, coerce_issues, html_pages, selections, record_functions, explanations, explanation_inputs, selected_ineligible, limits_where, final_changes, rules_in_scope, placeholder_rows, effective_values, migrate_references, audit_effects, corpus_totals, envelope_checks, entities_issues, import_records, records_for, autofill, search_hints, rendered_records)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +31,69 @@ def html_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r"\s*\n\s*", "\n"))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and its path type."""
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    return kind(path).getFileSystem(spark._jsc.hadoopConfiguration()), kind
+
+
+def commits(spark: SparkSession, path: str) -> dict[int, str]:
+    """The folder of each version that is whole."""
+    fs, at = _hadoop(spark, path)
+    if not fs.exists(at(f"{path}/commits")):
+        return {}
+    names = [f.getPath().getName() for f in fs.listStatus(at(f"{path}/commits"))]
+    found = {}
+    for name in names:
+        if name.isdigit():
+            stream = fs.open(at(f"{path}/commits/{name}"))
+            try:
+                found[int(name)] = stream.readUTF()
+            finally:
+                stream.close()
+    return found
+
+
 def write_corpus(df: DataFrame, path: str, version: int) -> None:
-    df.withColumn("corpus_version", F.lit(version)).write.mode("append").partitionBy("corpus_version").parquet(path)
+    """Writes df as a version: rows go to a folder of their own, and a commit record that names it is renamed into place when they are whole.
+
+    Until then readers see the version as it was before, or not at all. Writing a version again replaces it; the rows before stay until
+    vacuum_corpus, so that readers who have begun can end."""
+    spark, folder = df.sparkSession, f"data/{version}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    fs, at = _hadoop(spark, path)
+    record = at(f"{path}/commits/.{uuid.uuid4().hex}")
+    stream = fs.create(record, True)
+    try:
+        stream.writeUTF(folder)
+    finally:
+        stream.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(options, 1)
+    how[0] = options.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(record), fs.makeQualified(at(f"{path}/commits/{version}")), how)
 
 
 def read_corpus(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """Rows of one version; another version counts as missing and is not read (partition pruning)."""
-    return spark.read.parquet(path).where(F.col("corpus_version") == version).drop("corpus_version")
+    """Rows of one version; one that is not committed counts as missing and has none. Without any version there is nothing to read."""
+    known = commits(spark, path)
+    if version in known:
+        return spark.read.parquet(f"{path}/{known[version]}")
+    if not known:
+        raise FileNotFoundError(f"{path} holds no committed version")
+    return spark.read.parquet(f"{path}/{known[max(known)]}").where("false")
+
+
+def vacuum_corpus(spark: SparkSession, path: str) -> int:
+    """Deletes the folders that no commit record names: replaced versions and writes that did not end. Not to be run beside a writer."""
+    fs, at = _hadoop(spark, path)
+    kept = {x.rpartition("/")[2] for x in commits(spark, path).values()}
+    gone = [f.getPath() for f in fs.listStatus(at(f"{path}/data"))] if fs.exists(at(f"{path}/data")) else []
+    gone = [x for x in gone if x.getName() not in kept]
+    for x in gone:
+        fs.delete(x, True)
+    return len(gone)
 
 
 def entities_from(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,21 +6,24 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written as Parquet and read again: what follows plans from its columns alone, and lost executors cost no recomputation.
-
-    The folder is the one spark.checkpoint.dir names; only a local session without that setting gets one of its own."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; only a local session without that setting gets a folder of its own."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.match(r"local(\[|$)", context.master or ""):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/written-{uuid.uuid4().hex}"
+    return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: what follows plans from its columns alone, and lost executors cost no recomputation."""
+    path = shared_folder(df.sparkSession, "written")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import chunking, text
-from tessera.operators import evidence, incremental, inventory, records, retrieval, rules
+from tessera.operators import evidence, incremental, inventory, records, retrieval, rules, schema
 from tessera.sources import corpus
+from tessera.streaming import corpus as follow_corpus
 from tessera.streaming.state import after, kb_state_stream
 
 
@@ -348,3 +349,70 @@ def test_reach_of_deep_and_wide_graphs(spark):
     sources = spark.createDataFrame([("c30",), ("hub",), ("x",), ("lone",), (None,)], "source string")
     got = {(r.source, r.rule_id) for r in rules.reached(spark.createDataFrame(edges, "rule_id string, dep string"), sources).collect()}
     assert got == {("c30", f"c{i}") for i in range(31, 41)} | {("hub", f"s{i}") for i in range(3000)} | {("x", "y"), ("x", "x")}
+
+
+def test_versions_are_seen_whole(spark, tmp_path):
+    """A write that fails leaves the version as it was, a repeated one replaces it, and vacuuming keeps what is committed."""
+    path = str(tmp_path / "corpus")
+    rows = spark.range(6).withColumn("x", F.lit("a"))
+    with pytest.raises(FileNotFoundError):
+        corpus.read_corpus(spark, path, 1)
+    corpus.write_corpus(rows, path, 1)
+    corpus.write_corpus(rows, path, 1)
+    before = corpus.read_corpus(spark, path, 1)
+    with pytest.raises(Exception, match="stop"):
+        corpus.write_corpus(rows.withColumn("x", F.when(F.col("id") == 5, F.raise_error(F.lit("stop"))).otherwise(F.lit("b"))), path, 1)
+    assert [r.x for r in corpus.read_corpus(spark, path, 1).collect()] == ["a"] * 6 and corpus.read_corpus(spark, path, 7).count() == 0
+    corpus.write_corpus(rows.limit(2), path, 1)
+    assert corpus.read_corpus(spark, path, 1).count() == 2 and before.count() == 6
+    assert corpus.vacuum_corpus(spark, path) == 3 and corpus.vacuum_corpus(spark, path) == 0 and corpus.read_corpus(spark, path, 1).count() == 2 and set(corpus.commits(spark, path)) == {1}
+
+
+def test_a_stream_of_pages_equals_the_batch(spark, tmp_path):
+    """Pages come, change twice in one batch, go and come back; a batch that is run again changes nothing, nor does starting again."""
+    page = lambda n, word: f"{word} rules text. " * n
+    drops = [[("a", 0, False, 1, page(20, "Alpha")), ("a", 0, False, 2, page(9, "Two")), ("b", 0, False, 1, page(400, "Beta"))],
+             [("a", 1, False, 1, page(20, "Old")), ("a", 2, False, 1, page(21, "CHANGED")), ("c", 1, False, 1, page(30, "Gamma"))],
+             [("b", 3, True, None, None), ("c", 2, True, None, None), ("c", 3, False, 1, page(31, "Back"))]]
+    kind = "path string, seq int, removed boolean, page int, text string"
+    store, source = str(tmp_path / "store"), str(tmp_path / "in")
+    encoder = lambda rows: rows.select(F.col("id").alias("chunk_id"), incremental.char_sum_vector(F.col("text")).alias("embedding"))
+
+    def follow():
+        changes = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
+        follow_corpus.follow(changes, store, str(tmp_path / "progress"), encoder).awaitTermination()
+        return sorted((r.chunk_id, tuple(r.embedding)) for r in follow_corpus.current(spark, store).collect())
+
+    seen = []
+    for rows in drops:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+        seen.append(follow())
+    final = spark.createDataFrame([("a", 1, page(21, "CHANGED")), ("c", 1, page(31, "Back"))], "path string, page int, text string")
+    batch = encoder(chunking.chunk_documents(final).select("id", "text"))
+    assert seen[-1] == sorted((r.chunk_id, tuple(r.embedding)) for r in batch.collect()) == follow()
+    assert len(seen[0]) == chunking.chunk_documents(spark.createDataFrame([(p, n, t) for p, _, _, n, t in drops[0]], "path string, page int, text string")).count()
+    reused = {r.reused for r in corpus.read_corpus(spark, f"{store}/vectors", 1).join(corpus.read_corpus(spark, f"{store}/chunks", 1).where("path = 'b'"), F.col("chunk_id") == F.col("id")).collect()}
+    assert reused == {True}
+    follow_corpus.apply_changes(spark.createDataFrame(drops[2], kind), store, 2, encoder)
+    assert follow() == seen[-1] and corpus.read_corpus(spark, f"{store}/vectors", 0).count() == len(seen[0])
+    with pytest.raises(FileNotFoundError):
+        follow_corpus.apply_changes(spark.createDataFrame(drops[2], kind), store, 9, encoder)
+
+
+def test_declared_fields_find_every_issue(spark):
+    fields = [schema.Field("name", "text", required=True), schema.Field("level", "integer", minimum=1, maximum=100), schema.Field("share", "decimal"), schema.Field("kind", "enum", options=("a", "2")), schema.Field("it's", "boolean"), schema.Field("skills", "multi_reference"),
+              schema.Field("points", "resource"), schema.Field("inventory", "collection", items=(schema.Field("item", "reference"), schema.Field("quantity", "integer", minimum=1)), custom=True)]
+    cases = {
+        '{"name": "x", "level": 5, "share": 1, "kind": 2, "it\'s": true, "skills": [], "points": {"current": 1}, "inventory": [{"item": "rope", "quantity": 1}, {"custom_name": "own"}]}': {("inventory[1].custom_name", "Unknown collection item field.")},
+        '{"name": "", "level": 999, "share": "1", "kind": "b", "it\'s": 0, "skills": "s", "points": true}': {("name", "Required field is missing."), ("level", "Value must be <= 100."), ("share", "Value does not match field type 'decimal'."), ("kind", "Value is not one of the allowed enum options."),
+                                                                                                    ("it's", "Value does not match field type 'boolean'."), ("skills", "Value does not match field type 'multi_reference'."), ("points", "Value does not match field type 'resource'.")},
+        '{"name": null, "level": 1.5, "x.y": 1, "inventory": null}': {("name", "Required field is missing."), ("level", "Value does not match field type 'integer'."), ("x.y", "Unknown character field."), ("inventory", "Value does not match field type 'collection'.")},
+        '{"name": "x", "level": null, "inventory": [5, {}, {"item": "", "quantity": 0}, null]}': {("inventory[0]", "Collection row must be a mapping/object."), ("inventory[1]", "Collection row requires a compendium selection or custom name."), ("inventory[2]", "Collection row requires a compendium selection or custom name."), ("inventory[2].quantity", "Value must be >= 1."), ("inventory[3]", "Collection row must be a mapping/object.")},
+        "[1]": {(None, "Character data must be a mapping/object.")}, "{": {(None, "Character data must be a mapping/object.")}, None: {(None, "Character data must be a mapping/object.")},
+    }
+    got = schema.declared_issues(spark.createDataFrame(list(enumerate(cases)), "record_id int, data string"), fields).collect()
+    for i, want in enumerate(cases.values()):
+        found = [(r.path, r.message) for r in got if r.record_id == i]
+        assert set(found) == want and len(found) == len(want)
+    with pytest.raises(ValueError):
+        schema.Field("x", "enum")
