@@ -171,10 +171,11 @@ def evidence(rows: DataFrame, models: Models, model: int, scratch: Scratch) -> D
     spark, parts = rows.sparkSession, models.parts(model)
     out = rows.withColumn("x", F.lit(0.0))
     for k in range(parts):
-        shared = spark.sparkContext.broadcast(models.part(model, k))
+        shared = spark.sparkContext.broadcast(vars(models.part(model, k)))  # arrays alone: workers need no copy of the class
 
         def work(batches, shared=shared):
-            tables = shared.value
+            tables = Tables.__new__(Tables)
+            vars(tables).update(shared.value)
             for batch in batches:
                 data, offsets = texts_of(batch.column(1))
                 x = batch.column(2).to_numpy(zero_copy_only=False).copy()
