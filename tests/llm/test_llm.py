@@ -146,6 +146,35 @@ def test_pipeline_near_dedup_keeps_one_of_each_jaccard_group(spark, monkeypatch,
     assert {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, D).collect()} == {i for i in range(len(sets)) if find(i) == i}
 
 
+def test_nodes_around_one_meet_by_what_differs(spark):
+    """Edited copies around several nodes: every similar pair is linked to the middle one, or meets; few others do."""
+    rng = random.Random(23)
+    sets, base = {}, list(range(200))
+    for i in range(240):
+        words = list(base[: rng.choice((200, 190, 170))])
+        for _ in range(rng.choice((0, 1, 3, 8, 12, 15))):
+            words[rng.randrange(len(words))] = rng.randrange(1000, 1400)
+        sets[i] = {hash(tuple(words[k : k + 5])) for k in range(len(words) - 4)}
+        if i % 6 == 1:
+            sets[i] = set(sets[i - 1]) ^ {rng.randrange(10**6) for _ in range(rng.randint(1, 30))}
+    sets[500], sets[501] = {1}, {1, 2}
+    sets = {i: x for i, x in sets.items() if i == min(j for j in sets if sets[j] == x)}
+    assert {0, 7} <= set(sets)
+    alike = lambda a, b: 9 * len(a & b) >= 4 * (len(a) + len(b))
+    similar = {(i, j) for i in sets for j in sets if i < j and alike(sets[i], sets[j])}
+    held = spark.createDataFrame([(i, list(x)) for i, x in sets.items()], "node long, hashes array<long>")
+    for known in ({}, {i: 0 for i in sets if i < 240 and alike(sets[i], sets[0])} | {i: 3 for i in (3, 4)}):
+        members = spark.createDataFrame([(p, i, 0, known.get(i, i)) for p in (0, 7) for i in sets], "p long, node long, check long, root long")
+        with Scratch(spark) as scratch:
+            direct, pairs = (sorted(map(tuple, x.collect())) for x in near_copies.differing(members, lambda wanted: held.join(wanted.distinct(), "node"), scratch))
+        assert set(direct) == {(p, i) for p in (0, 7) for i in sets if i != p and alike(sets[p], sets[i])}
+        for p in (0, 7):
+            near = {i for i in sets if alike(sets[p], sets[i]) or known.get(i, i) == p}
+            missing = {(i, j) for i, j in similar if not {i, j} <= near and known.get(i, i) != known.get(j, j) and p not in (i, j)} - set(pairs)
+            assert not missing
+        assert len(set(pairs) - similar) < len(sets) ** 2 / 20
+
+
 def test_near_copies_recall(spark):
     """Of all pairs of sf0.01 at similarity 0.8 or more, by brute force, nine in ten at least end in one group; nothing else does."""
     rows = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()
