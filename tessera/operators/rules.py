@@ -157,6 +157,8 @@ def resolve_modifiers(records: DataFrame, selections: DataFrame, effects: DataFr
     that fails or is null switches the effect off. Effects are joined, broadcast only if counted to be few; their distinct
     condition texts, part of the rules and not of the data, are compiled into the plan. Partial sums combine before the shuffle; the
     default takes part in every aggregate."""
+    if not modifiers:
+        return records.select("record_id")
     own = [c for c in records.columns if c == "record_id" or c not in {*selections.columns, *effects.columns}]
     joined = selections.join(small(effects), ["entity_type", "entity_id"]).join(records.select(own), "record_id")
     texts = [r.when for r in effects.where("when is not null").select("when").distinct().orderBy("when").collect()]
@@ -183,6 +185,28 @@ def calculate(records: DataFrame, rules: list[tuple[str, str, int]], effects: di
     return records
 
 
+def effective(records: DataFrame, selections: DataFrame, effects: DataFrame, modifiers: list[tuple[str, float, str]], formulas: list[tuple[str, str, int]], temporary: DataFrame, inputs: list[str]) -> DataFrame:
+    """records as temporary(record_id, target, seq, op, value) leaves them: inputs, the modifiers and the formulas (name, SQL, level), and `modified`.
+
+    In stages: effects on inputs come first, in the order of seq; then modifiers are resolved on the changed inputs, so that an effect
+    may switch a conditional modifier on or off; then formulas a level at a time, each with its effects before the next level reads it.
+    An input that is no number, or null, stays; a target that is neither input nor formula has no effect; `modified` lists the inputs whose value
+    is another one than before. A record's effects are gathered once, in one list for each target; its columns of these names are replaced."""
+    names = [*inputs, *(n for n, _, _ in formulas)]
+    at = "lists"
+    while at in {*records.columns, *names, *(m for m, _, _ in modifiers)}:
+        at = f"_{at}"
+    of = lambda n: F.transform(F.sort_array(F.collect_list(F.when(F.col("target") == n, F.struct("seq", "op", "value")))), lambda x: F.struct(x.op.alias("op"), x.value.alias("value")))
+    lists = temporary.where(F.col("target").isin(names)).groupBy("record_id").agg(F.struct(*[of(n).alias(f"{i}") for i, n in enumerate(names)]).alias(at))
+    own = {n: F.col(at).getField(f"{i}") for i, n in enumerate(names)}
+    numbers = {n: apply_effects(F.col(n), own[n]) for n in inputs if isinstance(records.schema[n].dataType, NumericType)}
+    changed = F.array(*[F.when(~F.col(n).cast("double").eqNullSafe(v), F.lit(n)) for n, v in numbers.items()]).cast("array<string>")
+    adjusted = records.join(lists, "record_id", "left").withColumns({**numbers, "modified": F.array_compact(changed)})
+    resolved = resolve_modifiers(adjusted.drop(at, "modified"), selections, effects, modifiers)
+    rows = adjusted.drop(*(m for m, _, _ in modifiers)).join(resolved, "record_id")
+    return calculate(rows, formulas, {n: own[n] for n, _, _ in formulas}).drop(at)
+
+
 def apply_effects(value: Column, rows: Column) -> Column:
     """A number after its effects (op, value) in order: add, subtract, multiply, override; null stays null."""
     def step(v: Column, e: Column) -> Column:

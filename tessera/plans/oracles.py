@@ -311,6 +311,10 @@ ORACLES: dict[str, str] = {
     "effective_values": """with recursive o as (select o_custkey r, (['add', 'multiply', 'subtract'])[o_orderkey % 3 + 1] op, (o_orderkey % 4)::double v, row_number() over (partition by o_custkey order by o_orderkey) n from orders),
         f as (select c_custkey r, 0::bigint n, (c_custkey % 12 * 2)::double x from customer union all select f.r, o.n, case op when 'add' then x + v when 'subtract' then x - v else x * v end from f join o on o.r = f.r and o.n = f.n + 1)
         select r record_id, x base, x + 10 total from f qualify row_number() over (partition by r order by n desc) = 1""",
+    "staged_effects": f"""with {_RECORDS}, t as (select o_custkey record_id, sum(case o_orderkey % 5 when 0 then o_orderkey % 3 when 1 then -(o_orderkey % 3) end) dl, count(*) filter (o_orderkey % 5 = 2) nb, sum(o_orderkey % 3) filter (o_orderkey % 5 = 3) ds from orders group by 1),
+        adj as (select c_custkey record_id, c_custkey % 12 old, (c_custkey % 12 + coalesce(dl, 0))::double lv, c_acctbal was, c_acctbal * power(2, coalesce(nb, 0)) bal, coalesce(ds, 0)::double ds from customer left join t on c_custkey = record_id),
+        pw as (select record_id, sum(size % 7) p from sel join ent using (entity_id) join adj using (record_id) where size % 3 = 2 or (size % 3 = 0 and equipped) or (size % 3 = 1 and lv >= 5) group by 1)
+        select record_id, lv as level, bal balance, 1.0 + coalesce(p, 0)::double as power, lv * 2 + 1.0 + coalesce(p, 0) + ds power_score, lv * 2 + 1.0 + coalesce(p, 0) + ds + 10 tier, concat_ws(',', case when lv <> old then 'level' end, case when bal <> was then 'balance' end) modified from adj left join pw using (record_id)""",
     "migrate_references": """with c as (select c_custkey k, cast(c_custkey % 190 + 1 as varchar) a, cast(c_custkey * 7 % 230 + 1 as varchar) b, cast(c_nationkey as varchar) home, c_mktsegment seg from customer), p as (select cast(p_partkey as varchar) id from part where p_size % 5 <> 0), n as (select cast(n_nationkey as varchar) id from nation where n_regionkey <> 1),
         x as (select *, list_filter([case when a in (select id from p) then a end, case when b in (select id from p) then b end], lambda v: v is not null) l, home in (select id from n) ok from c)
         select k record_id, array_to_string(l, ',') skills, case when ok then home end home, case when seg in ('BUILDING', 'MACHINERY') then seg else 'OTHER' end archetype,

@@ -629,6 +629,18 @@ def effective_values(spark, d):
     return out.select("record_id", F.col("base").cast("double").alias("base"), F.col("total").cast("double").alias("total"))
 
 
+def staged_effects(spark, d):
+    """orders as temporary effects on a record's level, balance and score; a changed level switches modifiers on and off."""
+    n = F.col("o_orderkey")
+    target = F.element_at(F.array(*[F.lit(x) for x in ("level", "level", "balance", "power_score", "nobody")]), (n % 5 + 1).cast("int"))
+    op = F.element_at(F.array(*[F.lit(x) for x in ("add", "subtract", "multiply", "add", "override")]), (n % 5 + 1).cast("int"))
+    temporary = table(spark, d, "orders").select(F.col("o_custkey").alias("record_id"), target.alias("target"), n.alias("seq"), op.alias("op"), F.when(n % 5 == 2, 2).otherwise(n % 3).cast("double").alias("value"))
+    r = records_of(spark, d).select("record_id", "name", "level", "balance")
+    formulas = [("power_score", "level * 2 + power", 0), ("tier", "power_score + 10", 1)]
+    out = rules.effective(r, selections_of(spark, d), effects_of(spark, d), [("power", 1.0, "sum")], formulas, temporary, ["name", "level", "balance"])
+    return out.select("record_id", "level", "balance", "power", "power_score", "tier", F.array_join("modified", ",").alias("modified"))
+
+
 def migrate_references(spark, d):
     """Customers whose list of parts, home and segment are checked against what the new system has."""
     c = table(spark, d, "customer")
@@ -668,4 +680,4 @@ QUERIES = {f.__name__: f for f in (
     doc_frequency, rare_tokens, lexical_top100, semantic_top100, rrf_fused, evidence_ranked, neighbor_rescue, retrieve, retrieval_report, vocabulary, expand_queries, document_records, dedupe_documents, snapshot_diff,
     confirm_removed, extraction_status, artifact_gc, prune_text, text_status, ocr_backlog, upload_names, natural_sort, incremental_chunks, vector_reuse, corpus_versions, streamed_vectors, kb_state, batch_merge, evidence_rank, near_duplicates,
     evidence_select, query_aware_rank, procedural_anchor, decisions, answer_claims, citation_excerpts, numbered_sources, record_defaults, record_issues, declared_issues, dangling_references, modifiers, modifier_provenance, calculated,
-    limits, limit_usage, expression_levels, expression_audit, eligibility, temporary_effects, rule_levels, influence_map, advancement, apply_conflicts, migrate_records, rule_audit, coerced, coerce_issues, html_pages, selections, record_functions, explanations, explanation_inputs, selected_ineligible, limits_where, final_changes, rules_in_scope, placeholder_rows, effective_values, migrate_references, audit_effects, corpus_totals, envelope_checks, entities_issues, import_records, records_for, autofill, search_hints, rendered_records)}
+    limits, limit_usage, expression_levels, expression_audit, eligibility, temporary_effects, rule_levels, influence_map, advancement, apply_conflicts, migrate_records, rule_audit, coerced, coerce_issues, html_pages, selections, record_functions, explanations, explanation_inputs, selected_ineligible, limits_where, final_changes, rules_in_scope, placeholder_rows, effective_values, staged_effects, migrate_references, audit_effects, corpus_totals, envelope_checks, entities_issues, import_records, records_for, autofill, search_hints, rendered_records)}

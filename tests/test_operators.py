@@ -153,6 +153,20 @@ def test_effects_limits_and_modifiers(spark):
     assert over == {1: (1, 1, "error"), 2: (2, 0, None)}
 
 
+def test_effects_on_inputs_reach_modifiers_and_formulas(spark):
+    """An effect on an input switches a conditional modifier on; levels read what effects left; other kinds of values stay."""
+    records = spark.createDataFrame([(1, 2, "a", True, 7), (2, 2, None, None, 7), (3, None, "c", False, 7)], "record_id int, level int, name string, ready boolean, lists int")
+    chosen = spark.createDataFrame([(i, "skill", "lore") for i in (1, 2, 3)], "record_id int, entity_type string, entity_id string")
+    effects = spark.createDataFrame([("skill", "lore", "power", 4.0, "level >= 5"), ("skill", "lore", "power", 1.0, None)], "entity_type string, entity_id string, modifier string, value double, when string")
+    rows = [(1, "level", 2, "multiply", 2.0), (1, "level", 1, "add", 1.0), (1, "base", 1, "subtract", 1.0), (1, "name", 1, "override", 9.0), (1, "ready", 1, "override", 9.0), (1, "nothing", 1, "add", 5.0), (2, "level", 1, "add", 0.0), (3, "level", 1, "override", 9.0)]
+    temporary = spark.createDataFrame(rows, "record_id int, target string, seq int, op string, value double")
+    out = rules.effective(records, chosen, effects, [("power", 0.0, "sum")], [("base", "level + power", 0), ("total", "base * 10", 1)], temporary, ["level", "name", "ready"])
+    got = {r.record_id: (r.level, r.name, r.ready, r.lists, r.power, r.base, r.total, r.modified) for r in out.collect()}
+    assert got == {1: (6.0, "a", True, 7, 5.0, 10.0, 100.0, ["level"]), 2: (2.0, None, None, 7, 1.0, 3.0, 30.0, []), 3: (None, "c", False, 7, 1.0, None, None, [])}
+    assert rules.effective(records, chosen, effects, [], [], temporary.where("false"), ["level"]).count() == 3
+    assert rules.effective(records.where("false"), chosen, effects, [("power", 0.0, "sum")], [("base", "level", 0)], temporary, ["level"]).count() == 0
+
+
 def test_cycle_is_reported(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "rule_id string, dep string")
     assert {r.rule_id: r.level for r in rules.rule_levels(edges).collect()} == {"a": -1, "b": -1, "c": 0}
