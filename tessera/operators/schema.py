@@ -16,7 +16,9 @@ ISSUE = "array<struct<path:string,message:string>>"
 
 @dataclass(frozen=True)
 class Field:
-    """One declared field; `items` are the fields of a collection's rows, which with `custom` need a reference or a filled `custom_name`."""
+    """One declared field; `items` are the fields of a collection's rows, which with `custom` need a reference or a filled `custom_name`.
+
+    `entity` is what a reference refers to, `default` a new record's value as JSON."""
 
     name: str
     kind: str
@@ -27,6 +29,8 @@ class Field:
     items: tuple[Field, ...] = ()
     custom: bool = False
     custom_name: str = "custom_name"
+    entity: str | None = None
+    default: str | None = None
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS or (self.kind == "enum") != bool(self.options) or (self.items and self.kind != "collection") or any(x.kind == "collection" for x in self.items) or {"'", '"'} <= set(self.name):
@@ -84,22 +88,25 @@ def collection_issues(field: Field, value: Column) -> Column:
     return F.flatten(F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda r, i: row_issues(field, r, i)))
 
 
+def issues_of(v: Column, fields: tuple[Field, ...]) -> Column:
+    """All (path, message) of one record, a variant, by the declared fields."""
+    singles = F.array(*[F.struct(F.lit(f.name).alias("path"), message(f, at(v, f.name)).alias("message")) for f in fields if f.kind != "collection"])
+    parts = [F.filter(singles, lambda x: x["message"].isNotNull()), unknown(v, fields, F.lit(""), "Unknown character field.")]
+    for f in fields:
+        if f.kind == "collection":
+            value = at(v, f.name)
+            void = value.isNull() | (F.schema_of_variant(value) == "VOID")
+            missing, other = (F.array(F.struct(F.lit(f.name).alias("path"), F.lit(said).alias("message"))) for said in ("Required field is missing.", f"Value does not match field type '{f.kind}'."))
+            absent = F.when(void, missing) if f.required else F.when(value.isNull(), F.array().cast(ISSUE))
+            parts.append(absent.when(~F.schema_of_variant(value).startswith("ARRAY<"), other).otherwise(collection_issues(f, value)))
+    whole = F.when(F.schema_of_variant(v).startswith("OBJECT<"), F.concat(*parts)).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit("Character data must be a mapping/object.").alias("message"))))
+    return F.coalesce(whole, F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit("Character data must be a mapping/object.").alias("message"))))
+
+
 def declared_issues(records: DataFrame, fields: list[Field], key: str = "record_id", data: str = "data") -> DataFrame:
     """(key, path, message) of what is wrong with records(key, data: a JSON object as text) by the declared fields.
 
     Unknown keys, missing required values, values of a wrong type, outside an enum or a range, in the record and in each row of its collections.
     What is no JSON object is one issue without a path. A null fits every kind but a collection, and counts as missing."""
-    declared = tuple(fields)
     rows = records.select(key, F.try_parse_json(data).alias("v"))
-    singles = F.array(*[F.struct(F.lit(f.name).alias("path"), message(f, at(F.col("v"), f.name)).alias("message")) for f in declared if f.kind != "collection"])
-    parts = [F.filter(singles, lambda x: x["message"].isNotNull()), unknown(F.col("v"), declared, F.lit(""), "Unknown character field.")]
-    for f in declared:
-        if f.kind == "collection":
-            value = at(F.col("v"), f.name)
-            void = value.isNull() | (F.schema_of_variant(value) == "VOID")
-            missing, other = (F.array(F.struct(F.lit(f.name).alias("path"), F.lit(said).alias("message"))) for said in ("Required field is missing.", f"Value does not match field type '{f.kind}'."))
-            absent = F.when(void, missing) if f.required else F.when(value.isNull(), F.array().cast(ISSUE))
-            parts.append(absent.when(~F.schema_of_variant(value).startswith("ARRAY<"), other).otherwise(collection_issues(f, value)))
-    whole = F.when(F.schema_of_variant("v").startswith("OBJECT<"), F.concat(*parts)).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit("Character data must be a mapping/object.").alias("message"))))
-    whole = F.coalesce(whole, F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit("Character data must be a mapping/object.").alias("message"))))
-    return rows.select(key, F.explode(whole).alias("i")).select(key, "i.*")
+    return rows.select(key, F.explode(issues_of(F.col("v"), tuple(fields))).alias("i")).select(key, "i.*")

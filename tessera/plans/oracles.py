@@ -315,6 +315,22 @@ ORACLES: dict[str, str] = {
         adj as (select c_custkey record_id, c_custkey % 12 old, (c_custkey % 12 + coalesce(dl, 0))::double lv, c_acctbal was, c_acctbal * power(2, coalesce(nb, 0)) bal, coalesce(ds, 0)::double ds from customer left join t on c_custkey = record_id),
         pw as (select record_id, sum(size % 7) p from sel join ent using (entity_id) join adj using (record_id) where size % 3 = 2 or (size % 3 = 0 and equipped) or (size % 3 = 1 and lv >= 5) group by 1)
         select record_id, lv as level, bal balance, 1.0 + coalesce(p, 0)::double as power, lv * 2 + 1.0 + coalesce(p, 0) + ds power_score, lv * 2 + 1.0 + coalesce(p, 0) + ds + 10 tier, concat_ws(',', case when lv <> old then 'level' end, case when bal <> was then 'balance' end) modified from adj left join pw using (record_id)""",
+    "migrate_nested": """with p as (select cast(p_partkey as varchar) id from part where p_size % 5 <> 0), h as (select cast(n_nationkey as varchar) id from nation where n_regionkey <> 1),
+        c as (select c_custkey k, c_name nm, c_nationkey nk, c_mktsegment seg, cast(c_custkey % 190 + 1 as varchar) a, cast(c_custkey * 7 % 230 + 1 as varchar) b from customer),
+        o as (select o_orderkey n, o_custkey k, o_orderpriority l, cast(o_orderkey % 230 as varchar) item, row_number() over (partition by o_custkey order by o_orderkey) - 1 i, count(*) filter (o_orderkey % 15 <> 0) over (partition by o_custkey order by o_orderkey) - 1 j from orders),
+        r as (select *, item in (select id from p) ok from o),
+        g as (select k, string_agg('{' || case when ok then '"item":"' || item || '",' else '' end || '"label":"' || l || '","own":false' || case when n % 4 <> 0 then ',"quantity":' || (n % 7) else '' end || '}', ',' order by n) filter (n % 15 <> 0) inv,
+            string_agg('|inventory[' || i || ']' || case when n % 15 = 0 then ': invalid collection row was dropped.' else '.quantity: decimal value ' || (n % 7) || '.5 cannot be represented as an integer and was reset.' end, '' order by n) filter (n % 15 = 0 or n % 4 = 0) w1,
+            string_agg('|inventory[' || j || '].item: obsolete reference ''' || item || ''' was reset.', '' order by n) filter (n % 15 <> 0 and not ok) w2,
+            string_agg('; ERROR: inventory[' || j || '].quantity: Value must be >= 2.', '' order by n) filter (n % 15 <> 0 and n % 4 <> 0 and n % 7 < 2) w3 from r group by k),
+        x as (select c.*, inv, w1, w2, w3, c.a in (select id from p) as ha, c.b in (select id from p) as hb, cast(nk as varchar) in (select id from h) as hn from c left join g using (k)),
+        y as (select *, (not ha)::int + (not hb)::int lost, case when k % 14 > 10 then '; ERROR: level: Value must be <= 10.' else '' end || coalesce(w3, '') bad from x)
+        select k record_id, case when k % 23 <> 0 then '{"active":false,"balance":' || case when k % 2 = 1 then 0 else nk end || case when hn then ',"home":"' || nk || '"' else '' end || ',"inventory":[' || coalesce(inv, '') || '],"level":' || (k % 14) || ',"name":"' || nm || '","segment":"' || case when seg = 'MACHINERY' then seg else 'BUILDING' end || '","skills":[' || concat_ws(',', case when ha then '"' || a || '"' end, case when hb then '"' || b || '"' end) || ']}' end as data,
+            case when k % 3 = 0 then '{"level":[{"op":"add","value":' || (k % 5) || '}]}' end effects,
+            case when k % 23 = 0 then '' else substr(case when k % 2 = 1 then '|balance: decimal value ' || nk || '.5 cannot be represented as an integer and was reset.' else '' end || case when seg not in ('BUILDING', 'MACHINERY') then '|segment: old value ''' || seg || ''' is not valid in the new enum and was reset.' else '' end || coalesce(w1, '') || '|Removed field(s) not carried forward: archetype'
+                || case when hn then '' else '|home: reference ''' || nk || ''' no longer exists and was reset.' end || case when lost > 0 then '|skills: ' || lost || ' obsolete reference(s) were removed.' else '' end || coalesce(w2, ''), 2) end
+            || case when k % 3 <> 0 then '' when k % 23 = 0 then 'Temporary effect(s) for removed field(s) were discarded: archetype|' else '|Temporary effect(s) for removed field(s) were discarded: archetype' end
+            || case when k % 23 = 0 then 'Character needs manual review under the new schema: ERROR: Character data must be a mapping/object.' when bad <> '' then '|Character needs manual review under the new schema: ' || substr(bad, 3) else '' end warnings from y""",
     "migrate_references": """with c as (select c_custkey k, cast(c_custkey % 190 + 1 as varchar) a, cast(c_custkey * 7 % 230 + 1 as varchar) b, cast(c_nationkey as varchar) home, c_mktsegment seg from customer), p as (select cast(p_partkey as varchar) id from part where p_size % 5 <> 0), n as (select cast(n_nationkey as varchar) id from nation where n_regionkey <> 1),
         x as (select *, list_filter([case when a in (select id from p) then a end, case when b in (select id from p) then b end], lambda v: v is not null) l, home in (select id from n) ok from c)
         select k record_id, array_to_string(l, ',') skills, case when ok then home end home, case when seg in ('BUILDING', 'MACHINERY') then seg else 'OTHER' end archetype,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunking, text
-from ..operators import citations, evidence, incremental, inventory, records, retrieval, rules, schema, search
+from ..operators import citations, evidence, incremental, inventory, migration, records, retrieval, rules, schema, search
 from ..operators.schema import Field
 from ..sources import corpus
 from ..sources.shared import shared_folder, written
@@ -652,6 +652,27 @@ def migrate_references(spark, d):
     return out.select("record_id", F.array_join("skills", ",").alias("skills"), "home", "archetype", F.array_join("warnings", "|").alias("warnings"))
 
 
+OLD_FIELDS = [Field("name", "text"), Field("level", "integer"), Field("balance", "decimal"), Field("segment", "enum", options=("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")), Field("home", "reference", entity="nation"), Field("skills", "multi_reference", entity="part"), Field("archetype", "text"),
+              Field("inventory", "collection", items=(Field("item", "reference", entity="part"), Field("quantity", "decimal"), Field("label", "text"), Field("gone", "text")))]
+NEW_FIELDS = [Field("name", "notes", required=True), Field("level", "decimal", maximum=10), Field("balance", "integer", default="0"), Field("segment", "enum", options=("BUILDING", "MACHINERY"), default='"BUILDING"'), Field("home", "reference", entity="nation"), Field("skills", "multi_reference", entity="part"), Field("active", "boolean"),
+              Field("inventory", "collection", items=(Field("item", "reference", entity="part"), Field("quantity", "integer", minimum=2), Field("label", "notes"), Field("own", "boolean")))]
+
+
+def migrate_nested(spark, d):
+    """customers as JSON, with their orders as rows and effects on two fields, on a new system whose parts and nations are fewer."""
+    key, n = F.col("c_custkey"), F.col("o_orderkey")
+    row = F.concat(F.lit('{"item":"'), (n % 230).cast("string"), F.lit('","quantity":'), (n % 7).cast("string"), F.when(n % 4 == 0, ".5").otherwise(""), F.lit(',"label":"'), "o_orderpriority", F.lit('","gone":"x"}'))
+    rows = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", F.when(n % 15 == 0, "5").otherwise(row).alias("r")))), lambda x: x.r), ",").alias("rows"))
+    data = F.concat(F.lit('{"name":"'), "c_name", F.lit('","level":'), (key % 14).cast("string"), F.lit(',"balance":'), F.col("c_nationkey").cast("string"), F.when(key % 2 == 1, ".5").otherwise(".0"), F.lit(',"segment":"'), "c_mktsegment", F.lit('","home":"'), F.col("c_nationkey").cast("string"),
+                    F.lit('","skills":["'), (key % 190 + 1).cast("string"), F.lit('","'), (key * 7 % 230 + 1).cast("string"), F.lit('"],"archetype":"a","inventory":['), F.coalesce("rows", F.lit("")), F.lit("]"), F.when(key % 23 == 0, "").otherwise("}"))
+    effects = F.when(key % 3 == 0, F.concat(F.lit('{"level":[{"op":"add","value":'), (key % 5).cast("string"), F.lit('}],"archetype":[]}')))
+    r = table(spark, d, "customer").join(rows, key == F.col("k"), "left").select(key.alias("record_id"), data.alias("data"), effects.alias("effects"))
+    parts = table(spark, d, "part").where("p_size % 5 <> 0").select(F.lit("part").alias("entity_type"), F.col("p_partkey").cast("string").alias("entity_id"))
+    homes = table(spark, d, "nation").where("n_regionkey <> 1").select(F.lit("nation").alias("entity_type"), F.col("n_nationkey").cast("string").alias("entity_id"))
+    out = migration.migrate_declared(r, OLD_FIELDS, NEW_FIELDS, parts.unionByName(homes), effects="effects")
+    return out.select("record_id", F.when(F.col("record_id") % 23 != 0, F.col("data")).alias("data"), "effects", F.array_join("warnings", "|").alias("warnings"))
+
+
 def audit_effects(spark, d):
     """Rules that loop, effects of unknown parts and modifiers, modifiers with odd aggregates."""
     p = table(spark, d, "part")
@@ -680,4 +701,4 @@ QUERIES = {f.__name__: f for f in (
     doc_frequency, rare_tokens, lexical_top100, semantic_top100, rrf_fused, evidence_ranked, neighbor_rescue, retrieve, retrieval_report, vocabulary, expand_queries, document_records, dedupe_documents, snapshot_diff,
     confirm_removed, extraction_status, artifact_gc, prune_text, text_status, ocr_backlog, upload_names, natural_sort, incremental_chunks, vector_reuse, corpus_versions, streamed_vectors, kb_state, batch_merge, evidence_rank, near_duplicates,
     evidence_select, query_aware_rank, procedural_anchor, decisions, answer_claims, citation_excerpts, numbered_sources, record_defaults, record_issues, declared_issues, dangling_references, modifiers, modifier_provenance, calculated,
-    limits, limit_usage, expression_levels, expression_audit, eligibility, temporary_effects, rule_levels, influence_map, advancement, apply_conflicts, migrate_records, rule_audit, coerced, coerce_issues, html_pages, selections, record_functions, explanations, explanation_inputs, selected_ineligible, limits_where, final_changes, rules_in_scope, placeholder_rows, effective_values, staged_effects, migrate_references, audit_effects, corpus_totals, envelope_checks, entities_issues, import_records, records_for, autofill, search_hints, rendered_records)}
+    limits, limit_usage, expression_levels, expression_audit, eligibility, temporary_effects, rule_levels, influence_map, advancement, apply_conflicts, migrate_records, rule_audit, coerced, coerce_issues, html_pages, selections, record_functions, explanations, explanation_inputs, selected_ineligible, limits_where, final_changes, rules_in_scope, placeholder_rows, effective_values, staged_effects, migrate_references, migrate_nested, audit_effects, corpus_totals, envelope_checks, entities_issues, import_records, records_for, autofill, search_hints, rendered_records)}

@@ -1,5 +1,6 @@
 """Facts of the operators on small inputs, and brute-force twins of the folds that SQL cannot express."""
 
+import json
 import random
 import re
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import chunking, text
-from tessera.operators import evidence, incremental, inventory, records, retrieval, rules, schema
+from tessera.operators import evidence, incremental, inventory, migration, records, retrieval, rules, schema
 from tessera.sources import corpus
 from tessera.streaming import corpus as follow_corpus
 from tessera.streaming.state import after, kb_state_stream
@@ -430,3 +431,39 @@ def test_declared_fields_find_every_issue(spark):
         assert set(found) == want and len(found) == len(want)
     with pytest.raises(ValueError):
         schema.Field("x", "enum")
+
+
+def test_records_move_to_a_new_schema(spark):
+    item = schema.Field("item", "reference", entity="item")
+    old = [schema.Field("name", "text"), schema.Field("age", "integer"), schema.Field("rank", "decimal"), schema.Field("kind", "enum", options=("a", "b")), schema.Field("home", "reference", entity="place"), schema.Field("skills", "multi_reference", entity="skill"), schema.Field("old", "text"),
+           schema.Field("bag", "collection", items=(item, schema.Field("n", "decimal"), schema.Field("mark", "boolean")))]
+    new = [schema.Field("name", "notes", required=True), schema.Field("age", "decimal"), schema.Field("rank", "integer", default="1"), schema.Field("kind", "enum", options=("b",)), schema.Field("home", "reference", entity="place"), schema.Field("skills", "multi_reference", entity="skill"), schema.Field("sum", "calculated"),
+           schema.Field("bag", "collection", items=(item, schema.Field("n", "integer", minimum=1, default="1"), schema.Field("mark", "text"), schema.Field("own", "boolean")))]
+    entities = spark.createDataFrame([("place", "p"), ("skill", "s"), ("item", "rope"), ("place", "x"), (None, "q")], "entity_type string, entity_id string")
+    review = "Character needs manual review under the new schema: ERROR: "
+    cases = [
+        (1, '{"name": "n", "age": 3, "rank": 2.0, "kind": "b", "home": "p", "skills": ["s", "t", null], "sum": 9, "bag": [{"item": "rope", "n": 2.0}, 7, {"item": "axe", "n": 0.5, "mark": true}]}', '{"age": [1], "old": [2], "a": []}',
+         {"name": "n", "age": 3, "rank": 2, "kind": "b", "home": "p", "skills": ["s"], "bag": [{"item": "rope", "n": 2, "own": False}, {"n": 1, "own": False}]}, '{"age":[1]}',
+         ["bag[1]: invalid collection row was dropped.", "bag[2].n: decimal value 0.5 cannot be represented as an integer and was reset.", "bag[2].mark: field type changed from boolean to text; old value was not converted.", "skills: 2 obsolete reference(s) were removed.",
+          "bag[1].item: obsolete reference 'axe' was reset.", "Temporary effect(s) for removed field(s) were discarded: a, old"]),
+        (2, '{"name": "", "age": "3", "rank": 2.5, "kind": "a", "home": "it\'s", "skills": null, "old": 1, "more": 2, "bag": {}}', "[1]", {"name": "", "rank": 1, "skills": None, "bag": []}, "[1]",
+         ["age: field type changed from integer to decimal; old value was not converted.", "rank: decimal value 2.5 cannot be represented as an integer and was reset.", "kind: old value 'a' is not valid in the new enum and was reset.", "Removed field(s) not carried forward: more, old",
+          'home: reference "it\'s" no longer exists and was reset.', f"{review}name: Required field is missing."]),
+        (2, '{"home": "", "name": null, "kind": null, "bag": [{"item": "x"}, {"item": ""}]}', None, {"home": "", "name": None, "kind": None, "rank": 1, "skills": [], "bag": [{"n": 1, "own": False}, {"item": "", "n": 1, "own": False}]}, None,
+         ["bag[0].item: obsolete reference 'x' was reset.", f"{review}name: Required field is missing."]),
+        (None, '{"name": "z", "home": "q"}', None, {"name": "z", "rank": 1, "skills": [], "bag": []}, None, ["home: reference 'q' no longer exists and was reset."]),
+        (4, "{", "{", "{", "{", [f"{review}Character data must be a mapping/object."]),
+        (5, None, None, None, None, [f"{review}Character data must be a mapping/object."]),
+    ]
+    rows = spark.createDataFrame([(k, t, e, str(i)) for i, (k, t, e, *_) in enumerate(cases)], "record_id int, data string, effects string, v string")
+    out = migration.migrate_declared(rows, old, new, entities, effects="effects")
+    assert out.columns == ["record_id", "data", "effects", "v", "warnings"]
+    got = {int(r.v): r for r in out.collect()}
+    assert len(got) == len(cases)
+    for i, (k, _, _, data, effects, warnings) in enumerate(cases):
+        r = got[i]
+        assert (json.loads(r.data) if isinstance(data, dict) else r.data) == data and (r.record_id, r.effects) == (k, effects)
+        assert r.warnings == warnings
+    copied = migration.migrate_declared(rows.where("v = '2'"), None, [schema.Field("home", "text"), schema.Field("flag", "boolean")]).first()
+    assert json.loads(copied.data) == {"home": "", "flag": False} and copied.warnings == ["Old System Pack schema was unavailable; migration used matching field IDs only."]
+    assert migration.migrate_declared(rows.limit(0), old, new, entities).count() == 0
