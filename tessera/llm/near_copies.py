@@ -198,26 +198,28 @@ def links(nodes: DataFrame, bits: int, verify, sets, scratch: Scratch) -> DataFr
             return df.withColumn("root", F.col("node"))
         return df.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").drop("of").withColumn("root", F.coalesce("root", "node"))
 
-    found = roots = None
-    for k in range(ROUNDS):
-        state = rooted(own, roots)
-        crowds = state.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("r"), F.max("root").alias("s"), F.min_by(F.struct("node", "check", "root"), F.xxhash64("node", F.lit(k))).alias("p"))
-        pivots = scratch.keep(crowds.where((F.col("c") > CROWD) & (F.col("r") != F.col("s"))).select("h", "p.node", "p.check", "p.root"))
+    # How many nodes share a place never changes, so it is counted once, and only the rows of crowded places go through the rounds.
+    places = scratch.keep(own.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("h"))
+    crowds, found, roots = not places.isEmpty(), None, None
+    crowd = scratch.keep(own.join(broadcast_if_small(places), "h")) if crowds else None
+    for k in range(ROUNDS if crowds else 0):
+        state = rooted(crowd, roots)
+        chosen = state.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min_by(F.struct("node", "check", "root"), F.xxhash64("node", F.lit(k))).alias("p"))
+        pivots = scratch.keep(chosen.where(F.col("r") != F.col("s")).select("h", "p.node", "p.check", "p.root"))
         if pivots.isEmpty():
             break
         new = verify(state.join(other(pivots), "h").where(apart).select(*pair))
         found = new if found is None else found.unionByName(new)
         roots = scratch.keep(components(found))
     # The ball: each 0 of a segment set to 1. A crowd's place stands for the root that most of its nodes have.
-    table = scratch.keep(rooted(own, roots))
-    crowded = table.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("c"), F.max_by("root", F.struct("c", "root")).alias("p"))
-    crowded = scratch.keep(crowded.where(F.col("c") > CROWD).select("h", "p"))
+    table = rooted(own.join(broadcast_if_small(places), "h", "left_anti") if crowds else own, roots)
     flipped = lambda i, v: F.transform(F.filter(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda k: F.call_function("shiftleft", F.lit(1), k)), lambda b: v.bitwiseAND(b) == 0), lambda b: place(i, v.bitwiseOR(b)))
     ball = F.flatten(F.transform("segments", lambda v, i: F.concat(F.array(place(i, v)), flipped(i, v))))
     probes = rooted(nodes, roots).select("node", "check", "root", F.explode(ball).alias("h"))
-    pairs = probes.join(other(table.join(crowded, "h", "left_anti")), "h").where(apart).select(*pair)
-    members = scratch.keep(probes.join(broadcast_if_small(crowded), "h").select("p", "node", "check", "root").distinct())
-    if not members.isEmpty():
+    pairs = probes.join(other(table), "h").where(apart).select(*pair)
+    if crowds:
+        held = rooted(crowd, roots).groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("p"))
+        members = scratch.keep(probes.join(broadcast_if_small(scratch.keep(held)), "h").select("p", "node", "check", "root").distinct())
         direct, meeting = differing(members, sets, scratch)
         pairs, found = pairs.unionByName(meeting), direct if found is None else found.unionByName(direct)
     new = verify(pairs)
