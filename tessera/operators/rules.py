@@ -17,20 +17,34 @@ from ..sources.shared import small, written
 def rule_levels(edges: DataFrame) -> DataFrame:
     """(rule_id, level) from edges(rule_id, dep): dependency depth; level -1 marks rules on or behind a cycle.
 
-    A rule gets its level when all it depends on have one, so there are as many rounds as levels, whatever the
-    number of rules. A null dep is none; one that no rule defines is an input of level 0."""
-    rules_ = written(edges.select("rule_id").where("rule_id is not null").distinct())
-    known = rules_.select(F.col("rule_id").alias("dep"), F.lit(True).alias("inside"))
-    left = written(edges.where("rule_id is not null and dep is not null").distinct().join(known, "dep", "left").select("rule_id", "dep", "inside"))
-    done = written(rules_.join(left, "rule_id", "left_anti").withColumn("level", F.lit(0)))
+    A null dep is none; one that no rule defines is an input of level 0. In a round, what a rule depends on is replaced: by a number where
+    its level is known, and by what stands behind it where that is one rule. So chains halve and take as many rounds as the logarithm
+    of their length; only a depth of rules with several open dependencies each takes a round a level. A path as long as there are rules is a cycle's."""
+    pairs = edges.where("rule_id is not null").select(F.col("rule_id").alias("id"), "dep").distinct()
+    known = pairs.select(F.col("id").alias("dep"), F.lit(True).alias("inside")).distinct()
+    state = pairs.join(known, "dep", "left").withColumns({"open": F.col("inside") & F.col("dep").isNotNull(), "loops": F.coalesce(F.col("dep") == F.col("id"), F.lit(False))})
+    deps = F.collect_list(F.when(F.col("open"), F.struct("dep", F.lit(1).cast("long").alias("far"))))
+    rows = written(state.groupBy("id").agg(F.max(F.when(F.col("dep").isNotNull() & F.col("inside").isNull(), 1).otherwise(0)).cast("long").alias("least"), deps.alias("deps"), F.max("loops").alias("loops"), F.lit(True).alias("moved")))
+    n, parts = rows.count(), []
     while True:
-        level = F.when(F.col("inside"), F.col("level")).otherwise(0)
-        deps = left.join(done.withColumnRenamed("rule_id", "dep"), "dep", "left").withColumn("level", level)
-        ready = written(deps.groupBy("rule_id").agg(F.count("*").alias("n"), F.count("level").alias("m"), (F.max("level") + 1).alias("level")).where("n = m").select("rule_id", "level"))
-        if ready.isEmpty():
-            return rules_.join(done, "rule_id", "left").select("rule_id", F.coalesce("level", F.lit(-1)).alias("level"))
-        done = written(done.unionByName(ready))
-        left = written(left.join(ready, "rule_id", "left_anti"))
+        ready = F.col("loops") | (F.size("deps") == 0)
+        parts.append(rows.where(ready).select(F.col("id").alias("rule_id"), F.when(F.col("loops"), -1).otherwise(F.col("least")).cast("int").alias("level")))
+        if len(parts) == 32:  # a deep graph must not make a wide plan
+            parts = [written(reduce(DataFrame.unionByName, parts))]
+        some = rows.agg(F.count_if(~ready).alias("open"), F.count_if(ready | F.col("moved")).alias("news")).first()
+        if not some.open or not some.news:  # without news every open rule waits for another one
+            return reduce(DataFrame.unionByName, [*parts, rows.where(~ready).select(F.col("id").alias("rule_id"), F.lit(-1).alias("level"))])
+        there = reduce(DataFrame.unionByName, parts).select(F.col("rule_id").alias("dep"), F.col("level").cast("long").alias("b_least"), (F.col("level") == -1).alias("b_loops"), F.lit(0).alias("n"))
+        behind = rows.where(~ready).select(F.col("id").alias("dep"), F.col("least").alias("b_least"), "loops", F.size("deps").alias("n"), F.get("deps", F.lit(0)).alias("next")).withColumnRenamed("loops", "b_loops").unionByName(there, allowMissingColumns=True)
+        arcs = rows.where(~ready).select("id", "least", F.explode("deps").alias("d")).select("id", "least", "d.dep", "d.far").join(behind, "dep")
+        short, chain = F.col("n") < 2, F.col("n") == 1
+        further = F.when(chain, F.struct(F.col("next.dep").alias("dep"), (F.col("far") + F.col("next.far")).alias("far"))).when(F.col("n") > 1, F.struct("dep", "far"))
+        arcs = arcs.select("id", F.when(short, F.greatest("least", F.col("far") + F.col("b_least"))).otherwise(F.col("least")).alias("least"), further.alias("to"), "b_loops", short.alias("short"))
+        loops = F.max(F.col("b_loops") | F.coalesce((F.col("to.dep") == F.col("id")) | (F.col("to.far") > n), F.lit(False)))
+        met = arcs.groupBy("id").agg(F.max("least").alias("least"), F.collect_set("to").alias("deps"), loops.alias("loops"), F.max("short").alias("moved"))
+        last = F.sort_array("deps")
+        furthest = F.filter(last, lambda x, i: ~F.coalesce(F.get(last, i + 1).dep == x.dep, F.lit(False)))
+        rows = written(met.withColumn("deps", furthest))
 
 
 def reached(edges: DataFrame, sources: DataFrame) -> DataFrame:

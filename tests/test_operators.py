@@ -467,3 +467,33 @@ def test_records_move_to_a_new_schema(spark):
     copied = migration.migrate_declared(rows.where("v = '2'"), None, [schema.Field("home", "text"), schema.Field("flag", "boolean")]).first()
     assert json.loads(copied.data) == {"home": "", "flag": False} and copied.warnings == ["Old System Pack schema was unavailable; migration used matching field IDs only."]
     assert migration.migrate_declared(rows.limit(0), old, new, entities).count() == 0
+
+
+def test_rule_levels_of_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = rules.written
+    monkeypatch.setattr(rules, "written", lambda df: rounds.append(1) or real(df))
+    n = 300
+    chain = [(f"r{i}", f"r{i + 1}" if i + 1 < n else "input") for i in range(n)] + [("top", "r0"), ("top", "r7"), ("top", None), ("alone", None)]
+    chain += [(f"o{i}", f"o{(i + 1) % 7}") for i in range(7)] + [("behind", "o3"), ("behind", "r5"), ("self", "self"), ("x", "y"), ("x", "z"), ("y", "x"), ("y", "z"), ("z", "x"), ("z", "y"), ("on", "x")]
+    got = {r.rule_id: r.level for r in rules.rule_levels(spark.createDataFrame(chain, "rule_id string, dep string")).collect()}
+    want = {f"r{i}": n - i for i in range(n)} | {"top": n + 1, "alone": 0} | {f"o{i}": -1 for i in range(7)} | {k: -1 for k in ("behind", "self", "x", "y", "z", "on")}
+    assert got == want and len(rounds) < 20
+
+
+def test_rule_levels_match_a_loop(spark):
+    import random
+
+    rnd = random.Random(5)
+    edges = [(f"n{i}", f"n{rnd.randrange(i + 1, 90)}") for i in range(89) for _ in range(rnd.choice((1, 1, 1, 2, 3)))] + [("n89", None), ("n40", "n12"), ("n3", "field")]
+    deps = {}
+    for r, d in edges:
+        deps.setdefault(r, set()).update({d} - {None})
+    level = {}
+    while True:
+        new = {r: max((level.get(x, 0) + 1 for x in ds), default=0) for r, ds in deps.items() if r not in level and all(x in level or x not in deps for x in ds)}
+        if not new:
+            break
+        level |= new
+    got = {r.rule_id: r.level for r in rules.rule_levels(spark.createDataFrame(edges, "rule_id string, dep string")).collect()}
+    assert got == {r: level.get(r, -1) for r in deps} and -1 in got.values()
