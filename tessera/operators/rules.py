@@ -83,7 +83,7 @@ def names_in(spark: SparkSession, texts: list[str]) -> dict[str, list[str] | Non
         try:
             tree = parser.parseExpression(text)
         except Exception as error:  # py4j hands the parser's own error on
-            if "ParseException" not in f"{type(error).__name__} {error}":
+            if not re.search("ParseException|ArithmeticException", f"{type(error).__name__} {error}"):  # the latter for a precision beyond 38
                 raise
             found[text] = None
             continue
@@ -93,14 +93,37 @@ def names_in(spark: SparkSession, texts: list[str]) -> dict[str, list[str] | Non
     return found
 
 
+#: What shaped() puts for a numbered word. Fixed value.
+MARK = "tessera_v"
+#: Quoted texts and names of a SQL text, and outside them words that hold a digit and call no function. Fixed values.
+QUOTED = r"""'[^']*'|"[^"]*"|`[^`]*`"""
+NUMBERED = r"(?<![\p{L}\p{N}_.])[A-Za-z_]+[0-9][A-Za-z0-9_]*+(?![\p{L}\p{N}]|\s*\()"
+
+
+def shaped(rows: DataFrame) -> DataFrame:
+    """rows(expr, ...) with shape and words: words with a digit, like p17, become tessera_v1, tessera_v2 and so on, words lists what they stand for.
+
+    No keyword, type or literal of Spark's SQL is such a word, only names are, and functions' names stay, so texts of one shape parse alike.
+    A text with a comment, a backslash, a variable or the mark itself is its own shape. The list is a column first, as lambdas work out what they hold for each element."""
+    parts, own = F.lit(f"({QUOTED})|({NUMBERED})"), F.col("expr").rlike(f"--|/\\*|[\\\\$\x01]|{MARK}")
+    rows = rows.withColumn("words", F.when(own, F.array().cast("array<string>")).otherwise(F.regexp_extract_all("expr", parts, F.lit(2))))
+    put = F.transform("words", lambda w: F.when(w == "", "").otherwise(F.concat(F.lit(MARK), F.array_position("words", w).cast("string"))))
+    apart = F.split(F.regexp_replace("expr", parts, F.lit("$1\x01")), "\x01", -1)
+    joined = F.array_join(F.zip_with(apart, put, lambda a, w: F.concat(a, F.coalesce(w, F.lit("")))), "")
+    return rows.withColumn("shape", F.when(own, F.col("expr")).otherwise(joined))
+
+
 def expression_edges(rules_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, unreadable) of rules(rule_id, expr): edges(rule_id, dep), dep null for a rule that reads nothing; unreadable(rule_id, expr).
 
-    Distinct texts, which are rules and not data, are parsed on the driver; the rules stay a table."""
+    Distinct shapes of texts are parsed on the driver, one of each however many rules differ in numbered names alone; the rules stay a table."""
     spark = rules_.sparkSession
-    texts = [r.expr for r in rules_.where("expr is not null").select("expr").distinct().collect()]
-    parsed = written(spark.createDataFrame(list(names_in(spark, texts).items()), "expr string, names array<string>"))
-    read = written(rules_.select("rule_id", "expr").join(small(parsed), "expr", "left"))
+    dealt = rules_.select("rule_id", "expr").repartition(spark.sparkContext.defaultParallelism, "expr")  # a small file is one task otherwise
+    rows = written(shaped(dealt))
+    shapes = [r.shape for r in rows.where("shape is not null").select("shape").distinct().collect()]
+    parsed = written(spark.createDataFrame(list(names_in(spark, shapes).items()), "shape string, found array<string>"))
+    stands = lambda x: F.coalesce(F.when(x.startswith(MARK), F.get("words", F.try_subtract(F.substring(x, len(MARK) + 1, 9).try_cast("int"), F.lit(1)))), x)
+    read = rows.join(small(parsed), "shape", "left").select("rule_id", "expr", F.transform("found", stands).alias("names"))
     edges = read.where("names is not null").select("rule_id", F.explode_outer("names").alias("dep")).distinct()
     return edges, read.where("names is null").select("rule_id", "expr")
 

@@ -497,3 +497,20 @@ def test_rule_levels_match_a_loop(spark):
         level |= new
     got = {r.rule_id: r.level for r in rules.rule_levels(spark.createDataFrame(edges, "rule_id string, dep string")).collect()}
     assert got == {r: level.get(r, -1) for r in deps} and -1 in got.values()
+
+
+def test_names_of_texts_that_differ_in_numbers_are_read_from_one_shape(spark, monkeypatch):
+    asked = []
+    real = rules.names_in
+    monkeypatch.setattr(rules, "names_in", lambda s, texts: asked.extend(texts) or real(s, texts))
+    texts = [f"p{i} + log2(p{i + 1}) + len('p{i % 2}') * 1e5" for i in range(200)] + [f"aggregate(xs, 0, (a1, b2) -> a1 + b2 + r{i})" for i in range(50)]
+    texts += ["p1 + -- p2\n p3", "`p 7` + p8.f9 + s.p4", "'p1' || p2 || '", "p5 +", "'it''s p1' = p6", "'\\' p1' = p7", "tessera_v1 + p2", "cast(p1 as decimal(50, 1))", "p1 'x'", "x'1F' + p9", "nope", "1.5e3", "zähler1 + p3", None, "p1 (2)"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rule_id int, expr string")
+    edges, unreadable = rules.expression_edges(rows)
+    got = {}
+    for r in edges.collect():
+        got.setdefault(r.rule_id, set()).update({r.dep} - {None})
+    plain = real(spark, [t for t in texts if t is not None])
+    assert got == {i: set(plain[t]) for i, t in enumerate(texts) if t is not None and plain[t] is not None}
+    assert {r.rule_id for r in unreadable.collect()} == {i for i, t in enumerate(texts) if t is None or plain[t] is None}
+    assert len(asked) < 20
