@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, MapType, NumericType, StringType
 
 from ..functions.text import bind, distinct_fold, fold
 from ..sources.shared import small, written
-from .rules import nulls_for_failures, reached, tested
+from .rules import behind_any, nulls_for_failures, tested
 
 # ---- functions for rules ---------------------------------------------------------------------------
 
@@ -191,8 +191,7 @@ def rules_in_scope(issues: DataFrame, edges: DataFrame, steps: DataFrame, step:
     of several steps counts at the first, and is an input even if a rule calculates it. Rules without such inputs always show."""
     first = written(steps.groupBy("field").agg(F.min("step").alias("step")))
     inner = edges.join(small(first.select(F.col("field").alias("rule_id"))), "rule_id", "left_anti")
-    need = reached(inner, first.select(F.col("field").alias("source"))).join(small(first), F.col("source") == F.col("field")).groupBy("rule_id").agg(F.max("step").alias("step"))
-    late = written(need.where(F.col("step") > step).select("rule_id"))
+    late = behind_any(inner, first.where(F.col("step") > step).select(F.col("field").alias("name")))
     return issues.join(small(late), "rule_id", "left_anti").select(issues.columns)
 
 

@@ -50,19 +50,40 @@ def rule_levels(edges: DataFrame) -> DataFrame:
 def reached(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, rule_id): the rules of edges(rule_id, dep) that depend on a name of sources(source), directly or not.
 
-    Only pairs that the round before has found meet the edges again, and only what the sources reach is ever held."""
+    Only pairs that the round before has found meet the edges again, and only what the sources reach is ever held. Where every rule has one
+    dep, a pair has one path if paths end where they come back to their source, so no pair is looked up among those found before."""
     arcs = written(edges.where("rule_id is not null and dep is not null").select("rule_id", "dep").distinct())
+    single = arcs.groupBy("rule_id").count().where("count > 1").isEmpty()
     new = written(sources.select("source").where("source is not null").distinct().join(arcs, F.col("source") == F.col("dep")).select("source", "rule_id"))
     found = [new]
     while not new.isEmpty():
-        known = found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found)
-        new = written(new.withColumnRenamed("rule_id", "dep").join(arcs, "dep").select("source", "rule_id").distinct().join(known, ["source", "rule_id"], "left_anti"))
+        if single:
+            new = written(new.where("source <> rule_id").withColumnRenamed("rule_id", "dep").join(arcs, "dep").select("source", "rule_id"))
+        else:
+            known = found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found)
+            new = written(new.withColumnRenamed("rule_id", "dep").join(arcs, "dep").select("source", "rule_id").distinct().join(known, ["source", "rule_id"], "left_anti"))
         found.append(new)
         if len(found) == 32:  # a deep chain must not make a wide plan
             found = [written(reduce(DataFrame.unionByName, found))]
     return reduce(DataFrame.unionByName, found)
 
 
+def behind_any(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(rule_id): the rules of edges(rule_id, dep) that depend on any of names(name), directly or not; every rule is met once, whatever the number of names."""
+    arcs = written(edges.where("rule_id is not null and dep is not null").select("rule_id", "dep").distinct())
+    new, left = names.select(F.col("name").alias("dep")).where("dep is not null").distinct(), arcs
+    found = []
+    while True:
+        new = written(left.join(new, "dep", "left_semi").select("rule_id").distinct())
+        found.append(new)
+        if new.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        left = written(left.join(new, "rule_id", "left_anti"))  # rules that are found need not be met again
+        if len(found) == 32:
+            found = [written(reduce(DataFrame.unionByName, found))]
+        new = new.select(F.col("rule_id").alias("dep"))
+
+
 def names_in(spark: SparkSession, texts: list[str]) -> dict[str, list[str] | None]:
     """The names that each SQL expression reads, as Catalyst's parser finds them, sorted; None where the text is no expression.
 

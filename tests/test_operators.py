@@ -514,3 +514,25 @@ def test_names_of_texts_that_differ_in_numbers_are_read_from_one_shape(spark, mo
     assert got == {i: set(plain[t]) for i, t in enumerate(texts) if t is not None and plain[t] is not None}
     assert {r.rule_id for r in unreadable.collect()} == {i for i, t in enumerate(texts) if t is None or plain[t] is None}
     assert len(asked) < 20
+
+
+def test_paths_of_single_deps_look_nothing_up_and_end_on_cycles(spark, monkeypatch):
+    edges = [(f"n{i}", f"n{i // 2}") for i in range(2, 64)] + [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "d"), ("s", "s")]
+    deps = dict(edges)
+    def names(r):
+        seen = []
+        while r in deps and deps[r] not in seen:
+            r = deps[r]
+            seen.append(r)
+        return seen
+    frame = spark.createDataFrame(edges, "rule_id string, dep string")
+    wanted = ["n1", "n3", "n40", "a", "c", "s", None]
+    want = sorted((s, r) for r in deps for s in names(r) if s in wanted)
+    plans = []
+    real = rules.written
+    monkeypatch.setattr(rules, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    got = rules.reached(frame, spark.createDataFrame([(s,) for s in wanted], "source string"))
+    assert sorted((r.source, r.rule_id) for r in got.collect()) == want
+    assert not any("LeftAnti" in p for p in plans)
+    any_ = rules.behind_any(frame, spark.createDataFrame([(s,) for s in wanted], "name string"))
+    assert sorted(r.rule_id for r in any_.collect()) == sorted({r for _, r in want})
