@@ -157,7 +157,8 @@ def explain_terms(records: DataFrame, terms: list[tuple[str, int, int, str, str]
         rows = records.select("record_id", F.explode(F.array(*each)).alias("t")).select("record_id", "t.*")
     if sources is None:
         return rows.drop("modifier").withColumn("sources", F.array().cast("array<struct<source_name:string,value:double>>"))
-    lists = sources.groupBy("record_id", "modifier").agg(F.sort_array(F.collect_list(F.struct("seq", "source_name", F.col("value").cast("double").alias("value")))).alias("l"))
+    asked = sources.where(F.col("modifier").isin(sorted({e.strip() for _, _, _, e, _ in terms})))  # before numbering and shuffles, as modifiers are their keys
+    lists = asked.groupBy("record_id", "modifier").agg(F.sort_array(F.collect_list(F.struct("seq", "source_name", F.col("value").cast("double").alias("value")))).alias("l"))
     found = F.coalesce(F.transform("l", lambda x: F.struct(x.source_name.alias("source_name"), x.value.alias("value"))), F.array().cast("array<struct<source_name:string,value:double>>"))
     return rows.join(lists, ["record_id", "modifier"], "left").withColumn("sources", found).drop("modifier", "l")
 

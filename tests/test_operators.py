@@ -536,3 +536,16 @@ def test_paths_of_single_deps_look_nothing_up_and_end_on_cycles(spark, monkeypat
     assert not any("LeftAnti" in p for p in plans)
     any_ = rules.behind_any(frame, spark.createDataFrame([(s,) for s in wanted], "name string"))
     assert sorted(r.rule_id for r in any_.collect()) == sorted({r for _, r in want})
+
+
+def test_sources_of_modifiers_that_are_no_terms_are_dropped_before_shuffles(spark):
+    from tessera.operators import records
+
+    rows = spark.createDataFrame([(1, 2.0), (2, 3.0)], "record_id int, power double")
+    picks = spark.createDataFrame([(1, "t", "a", "f", 0), (1, "t", "b", "f", 1), (2, "t", "b", "f", 0)], "record_id int, entity_type string, entity_id string, field string, row_no int")
+    effects = spark.createDataFrame([("t", "a", "power", 1.0, None), ("t", "b", "power", 2.0, None), ("t", "b", "best", 3.0, None)], "entity_type string, entity_id string, modifier string, value double, `when` string")
+    entities = spark.createDataFrame([("t", "a", "A", None), ("t", "b", "B", None)], "entity_type string, entity_id string, name string, label string")
+    out = records.explain_terms(rows, [("r", 0, 1, " power", "P"), ("r", 1, 1, "power * 2", "Q")], rules.modifier_sources(picks, effects, entities))
+    assert sorted((r.record_id, r.term_no, [(s.source_name, s.value) for s in r.sources]) for r in out.collect()) == [(1, 0, [("A", 1.0), ("B", 2.0)]), (1, 1, []), (2, 0, [("B", 2.0)]), (2, 1, [])]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "IN (power,power * 2)" in plan[plan.index("Window"):]
