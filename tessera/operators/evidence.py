@@ -57,32 +57,41 @@ def near_duplicates(rows: DataFrame, limit: float = OVERLAP) -> DataFrame:
     return both.where(F.col("overlap") >= limit).select("question_id", "a", "b", "overlap")
 
 
-def greedy(rows: DataFrame, limit: int, group: str = "question_id", order: str = "position", most: int = 500, fill: bool = True) -> DataFrame:
+def greedy(rows: DataFrame, limit: int, group: str = "question_id", order: str = "position", most: int = 500, fill: bool = True, texts: DataFrame | None = None) -> DataFrame:
     """Takes rows of each group in order, skips near-duplicates of taken ones, and fills up with skipped ones if asked to.
 
-    rows(group, order, chunk_id, path, words). A list is walked in blocks of `most` orders; what is kept goes on to
-    the next block, until the limit is filled or the group ends."""
+    rows(group, order, chunk_id, path, words). A list is walked in blocks of orders; what is kept goes on to
+    the next block, until the limit is filled or the group ends. With texts(chunk_id, path, text) rows come without path and words, which
+    are fetched for a block's rows of unfilled groups alone, and a filled group's words are dropped; blocks start at half more than the limit
+    and double up to `most`, as few groups need more."""
+    at = [] if texts is not None else ["path", "words"]
     kind = "array<struct<o:int,chunk_id:string,path:string,words:array<string>>>"
     none = F.array().cast(kind)
     def step(s: Column, x: Column) -> Column:
         same = F.exists(s.kept, lambda k: (k.path == x.path) & (overlap(k.words, x.words) >= OVERLAP))
         room = F.size(s.kept) < limit
         return F.struct(F.when(room & ~same, F.concat(s.kept, F.array(x))).otherwise(s.kept).alias("kept"), F.when(room & same & (F.size(s.late) < limit), F.concat(s.late, F.array(x))).otherwise(s.late).alias("late"))
+    def filled_up(s: Column) -> Column:
+        bare = lambda l: F.transform(l, lambda x: x.withField("words", F.array().cast("array<string>")))
+        return F.when(F.size(s.kept) >= limit, F.struct(bare(s.kept).alias("kept"), bare(s.late).alias("late"))).otherwise(s)
     def walked(part: DataFrame, state: DataFrame | None) -> DataFrame:
         lists = part.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("int").alias("o"), "chunk_id", "path", "words"))).cast(kind).alias("l"))
         before = lists.select(group, "l", F.struct(none.alias("kept"), none.alias("late")).alias("s")) if state is None else state.join(lists, group, "full").select(group, F.coalesce("l", none).alias("l"), F.coalesce("s", F.struct(none.alias("kept"), none.alias("late"))).alias("s"))
-        return written(before.select(group, F.aggregate("l", "s", step).alias("s")))
-    rows = written(rows.select(group, order, "chunk_id", "path", "words"))
+        return written(before.select(group, F.aggregate("l", "s", step, filled_up).alias("s")))
+    rows = written(rows.select(group, order, "chunk_id", *at))
     edges = rows.agg(F.min(order), F.max(order)).first()
-    start, state = edges[0] or 0, None
+    start, state, block = edges[0] or 0, None, most if texts is None else min(limit + limit // 2 + 1, most)
     while state is None or start <= edges[1]:
+        left = rows.where(F.col(order) >= start)
         if state is not None:
-            least = rows.where(F.col(order) >= start).join(state.where(F.size("s.kept") >= limit).select(group), group, "left_anti").agg(F.min(order)).first()[0]
+            left = left.join(state.where(F.size("s.kept") >= limit).select(group), group, "left_anti")
+            least = left.agg(F.min(order)).first()[0]
             if least is None:
                 break
             start = least
-        state = walked(rows.where((F.col(order) >= start) & (F.col(order) < start + most)), state)
-        start += most
+        part = left.where((F.col(order) >= start) & (F.col(order) < start + block))
+        state = walked(part if texts is None else _worded(part, texts), state)
+        start, block = start + block, min(block * 2, most)
     if not fill:
         return state.select(group, F.explode("s.kept").alias("x")).select(group, F.col("x.chunk_id").alias("chunk_id"), F.col("x.o").alias(order))
     filled = state.select(group, F.concat("s.kept", F.slice("s.late", F.lit(1), F.greatest(F.lit(limit) - F.size("s.kept"), F.lit(0)))).alias("l"))
@@ -101,16 +110,16 @@ def select_evidence(ranked: DataFrame, texts: DataFrame, limit: int = 12, reserv
     The original hits are walked until `reserve` distinct ones are found; those passed over on the way are the first to fill up."""
     by = ["question_id", "chunk_id"]
     own = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("original_score"), "original_rank", "chunk_id"))
-    rows = written(_worded(ranked.select(*by, "position", "original_hit", "original_score", "original_rank"), texts))
+    rows = written(ranked.select(*by, "position", "original_hit", "original_score", "original_rank"))
     hits = written(rows.where("original_hit").withColumn("o", own))
-    first = greedy(hits, min(reserve, limit), order="o", fill=False).select(*by, F.lit(True).alias("kept"))
+    first = greedy(hits, min(reserve, limit), order="o", fill=False, texts=texts).select(*by, F.lit(True).alias("kept"))
     walk = hits.select(*by, "o").join(first, by, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     whole = Window.partitionBy("question_id")
     walk = walk.withColumns({"n": F.count_if("kept").over(whole), "last": F.max(F.when(F.col("kept"), F.col("o"))).over(whole)})
     walk = walk.select(*by, "o", F.when(F.col("kept"), 0).when((F.col("n") < min(reserve, limit)) | (F.col("o") < F.col("last")), 1).otherwise(2).alias("part"))
     turn = F.row_number().over(Window.partitionBy("question_id").orderBy("part", F.when(F.col("part") < 2, F.col("o")), "position"))
     every = rows.join(walk, by, "left").withColumn("part", F.coalesce("part", F.lit(2))).withColumn("turn", turn)
-    return ranked.join(greedy(every, limit, order="turn").select(*by), by, "left_semi")
+    return ranked.join(greedy(every, limit, order="turn", texts=texts).select(*by), by, "left_semi")
 
 
 def content_terms(c: Column, stop=()) -> Column:
@@ -133,7 +142,7 @@ def guarded_select(ranked: DataFrame, batches: DataFrame, chosen: DataFrame, tex
     best = batches.where(F.col("query_ord") <= anchors).groupBy("question_id", "query_ord").agg(F.min_by("chunk_id", F.struct("rank", "chunk_id")).alias("chunk_id")).groupBy("question_id", "chunk_id").agg(F.min("query_ord").alias("_a"))
     rows = ranked.join(best, ["question_id", "chunk_id"], "left").join(chosen.select("question_id", "chunk_id", F.col("ord").alias("_c")), ["question_id", "chunk_id"], "left")
     turn = F.row_number().over(Window.partitionBy("question_id").orderBy(F.coalesce("_a", F.lit(1000)), F.coalesce("_c", F.lit(1000)), "position"))
-    return greedy(_worded(rows.withColumn("turn", turn), texts), limit, order="turn")
+    return greedy(rows.withColumn("turn", turn), limit, order="turn", texts=texts)
 
 
 def procedural_anchor(candidates: DataFrame) -> DataFrame:
@@ -157,4 +166,4 @@ def rescue_merge(selected: DataFrame, rescue: DataFrame, decisions: DataFrame, t
     new = rescue.where(F.col("position") <= most).join(open_, "question_id", "left_semi").select("question_id", "chunk_id", "position")
     rows = new.unionByName(late).groupBy("question_id", "chunk_id").agg(F.min("position").alias("p"))
     turn = F.row_number().over(Window.partitionBy("question_id").orderBy("p", "chunk_id"))
-    return greedy(_worded(rows.withColumn("turn", turn), texts), limit, order="turn")
+    return greedy(rows.withColumn("turn", turn), limit, order="turn", texts=texts)

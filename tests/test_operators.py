@@ -549,3 +549,27 @@ def test_sources_of_modifiers_that_are_no_terms_are_dropped_before_shuffles(spar
     assert sorted((r.record_id, r.term_no, [(s.source_name, s.value) for s in r.sources]) for r in out.collect()) == [(1, 0, [("A", 1.0), ("B", 2.0)]), (1, 1, []), (2, 0, [("B", 2.0)]), (2, 1, [])]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "IN (power,power * 2)" in plan[plan.index("Window"):]
+
+
+def test_words_are_fetched_for_unfilled_groups_alone(spark, monkeypatch):
+    texts = [(f"c{i}", "p", f"alpha{i} beta{i} gamma{i}" if i % 3 else "same words again") for i in range(60)]
+    rows = [(q, i + 1, f"c{(q * 7 + i * (3 if q == 2 else 1)) % 60 if q else i * 3 % 60}") for q in range(4) for i in range(20)]
+    words = {c: set(t.split()) for c, _, t in texts}
+    frame = spark.createDataFrame(rows, "question_id int, position int, chunk_id string")
+    held = spark.createDataFrame(texts, "chunk_id string, path string, text string")
+    fetched = []
+    real = evidence._worded
+    monkeypatch.setattr(evidence, "_worded", lambda part, texts: fetched.append(part.count()) or real(part, texts))
+    got = {}
+    for r in evidence.greedy(frame, 4, texts=held).collect():
+        got.setdefault(r.question_id, set()).add(r.chunk_id)
+    want = {}
+    for q in range(4):
+        kept, late = [], []
+        for c in (c for g, _, c in sorted(rows) if g == q):
+            same = any(len(words[c] & words[k]) / 3 >= 0.82 for k in kept)
+            if len(kept) < 4:
+                (late if same else kept).append(c)
+        want[q] = set(kept + late[:4 - len(kept)])
+    assert got == want
+    assert fetched[0] == 4 * 7 and sum(fetched) < len(rows)
