@@ -35,7 +35,8 @@ def words_array(words) -> Column:
 
 
 def fold(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), r"\s+", " ")
+    """Lower case, white space collapsed; single spaces, most of it, are not replaced by themselves."""
+    return F.regexp_replace(F.lower(c), r"[\t\n\x0B\f\r]\s*| \s+", " ")
 
 
 def terms(c: Column) -> Column:

@@ -146,10 +146,12 @@ def guarded_select(ranked: DataFrame, batches: DataFrame, chosen: DataFrame, tex
 
 
 def procedural_anchor(candidates: DataFrame) -> DataFrame:
-    """The candidate of each question with most procedural wording."""
-    low = fold(F.col("text"))
-    has = lambda ps: sum((F.when(low.contains(p), 1).otherwise(0) for p in ps), F.lit(0))
-    rows = candidates.withColumns({"strong": has(STRONG), "medium": has(MEDIUM)}).where("strong + medium > 0").withColumn("total", F.col("strong") * 4 + F.col("medium"))
+    """The candidate of each question with most procedural wording.
+
+    A generator counts the wording: a text is folded once, where a filter over columns would fold it anew for each phrase."""
+    has = lambda low, ps: sum((F.when(low.contains(p), 1).otherwise(0) for p in ps), F.lit(0))
+    counted = F.transform(F.array(fold(F.col("text"))), lambda low: F.struct(has(low, STRONG).alias("strong"), has(low, MEDIUM).alias("medium")))
+    rows = candidates.select("*", F.inline(counted)).where("strong + medium > 0").withColumn("total", F.col("strong") * 4 + F.col("medium"))
     order = Window.partitionBy("question_id").orderBy(F.desc("total"), F.desc("strong"), F.desc("medium"), F.desc("score"), "chunk_id")
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "text")
 

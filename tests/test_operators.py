@@ -573,3 +573,20 @@ def test_words_are_fetched_for_unfilled_groups_alone(spark, monkeypatch):
         want[q] = set(kept + late[:4 - len(kept)])
     assert got == want
     assert fetched[0] == 4 * 7 and sum(fetched) < len(rows)
+
+
+def folds_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+
+
+def test_procedural_anchor_folds_a_text_once(spark):
+    rows = spark.createDataFrame([("q", "a", 1, "It  MUST\n not, a player\t may"), ("q", "b", 2, "must"), ("q", "c", 3, "nothing"), ("q", "d", 4, None)], "question_id string, chunk_id string, score int, text string")
+    found = evidence.procedural_anchor(rows)
+    assert [tuple(r) for r in found.select("chunk_id", "total", "strong", "medium").collect()] == [("a", 8, 2, 0)]
+    assert folds_of(found) == 1
+
+
+def test_fold_collapses_every_run_of_white_space(spark):
+    texts = ["a b", "a  b", " a\tb ", "\n\na \x0b\f\r\n b", "a\t", "  ", "", "A  B"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.fold(F.col("t")).alias("f")).collect()
+    assert [r.f for r in found] == [re.sub(r"[ \t\n\x0b\f\r]+", " ", r.t.lower()) for r in found]
