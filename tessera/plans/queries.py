@@ -131,7 +131,7 @@ def stem_frequency(spark, d):
 
 
 def token_frequency(spark, d):
-    return retrieval.chunk_tokens(chunks_of(spark, d)).groupBy("token").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    return retrieval.token_totals(chunks_of(spark, d))
 
 
 def query_phrases(spark, d):

@@ -590,3 +590,46 @@ def test_fold_collapses_every_run_of_white_space(spark):
     texts = ["a b", "a  b", " a\tb ", "\n\na \x0b\f\r\n b", "a\t", "  ", "", "A  B"]
     found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.fold(F.col("t")).alias("f")).collect()
     assert [r.f for r in found] == [re.sub(r"[ \t\n\x0b\f\r]+", " ", r.t.lower()) for r in found]
+
+
+ODD = ["Two-handed two-handed  TESTING's\ttests a", "", None, "-x' carried_on--based 9's buses s' ed ied", "the The THE thing's\x1cboxes\x85 Kelvin K", "_a a_ 'b' b'' c-'-c", "Éd rules. (Rules) rules-rules"]
+
+
+def counts_of(spark, chunks):
+    """(chunk, token): occurrences of raw terms with that form, by the Column functions."""
+    rows = chunks.select("id", F.explode(F.regexp_extract_all("text", F.lit(text.TOKEN), F.lit(0))).alias("r")).select("id", F.explode(text.variants(F.lower("r"))).alias("token"))
+    return {(r.id, r.token): r["count"] for r in rows.groupBy("id", "token").count().collect()}
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_tokens_are_counted_where_texts_are_read(spark, twice):
+    chunks = spark.createDataFrame([(f"c{i % 5 if twice else i}" if i != 1 else None, t) for i, t in enumerate(ODD)], "id string, text string")
+    every = counts_of(spark, chunks)
+    assert {(r.chunk_id, r.token): r.tf for r in retrieval.chunk_tokens(chunks).collect()} == every
+    totals = {r.token: (r.tf, r.df) for r in retrieval.token_totals(chunks).collect()}
+    assert totals == {t: (sum(n for (_, x), n in every.items() if x == t), sum(x == t for _, x in every)) for t in {t for _, t in every}}
+    wanted = spark.createDataFrame([("test",), ("rul",), ("none",), (None,)], "token string")
+    assert {(r.chunk_id, r.token) for r in retrieval.chunk_tokens(chunks, wanted).collect()} == {k for k in every if k[1] in ("test", "rul")}
+
+
+def test_token_totals_shuffle_no_chunks(spark):
+    chunks = spark.createDataFrame([(f"c{i}", f"same words {i % 3}") for i in range(400)], "id string, text string").coalesce(2)
+    plan = retrieval.token_totals(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(token" in plan and "hashpartitioning(chunk_id" not in plan
+    assert {(r.token, r.tf, r.df) for r in retrieval.token_totals(chunks).where("token = 'same'").collect()} == {("same", 400, 400)}
+
+
+def test_lexical_candidates_in_steps_and_groups(spark, monkeypatch):
+    """The k best stay, whatever is scored at once; a query without a match or with a null id asks nothing."""
+    monkeypatch.setattr(retrieval, "CELLS", 7)
+    monkeypatch.setattr(retrieval, "ASKED", 2)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    chunks = spark.createDataFrame([(f"c{i:03d}", " ".join(rng.choices(words[: rng.randint(1, 30)], k=rng.randint(0, 25)))) for i in range(120)], "id string, text string")
+    queries = spark.createDataFrame([(i, " ".join(rng.choices(words, k=3))) for i in range(9)] + [(9, "nowhere"), (None, "w1")], "query_id int, query string")
+    index = retrieval.lexical_index(queries, chunks, 16)
+    every = retrieval.lexical_features(index).collect()
+    got = {q: [] for q in range(10)}
+    for r in sorted(retrieval.lexical_topk(index, 5).collect(), key=lambda r: r.lexical_rank):
+        got[r.query_id].append(r.chunk_id)
+    assert got == {q: [c for _, c in sorted((-r.lexical_score, r.chunk_id) for r in every if r.query_id == q)[:5]] for q in range(10)}
