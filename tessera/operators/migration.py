@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bind
-from ..sources.shared import small
-from .schema import NUMBER, WHOLE, Field, at, issues_of
+from ..sources.shared import small, written
+from .schema import NUMBER, WHOLE, Field, at, is_object, issues_of
 
 TEXTS = {"text", "notes", "reference"}
 CELL, PART, REFERENCE = "struct<json:string,warning:string>", "struct<json:string,warnings:array<string>>", "struct<entity:string,id:string>"
@@ -104,9 +104,10 @@ def part(old: Field, new: Field, x: Column) -> Column:
     single = lambda c: F.struct(c["json"].alias("json"), F.filter(F.array(c["warning"]), lambda w: w.isNotNull()).alias("warnings")).cast(PART)
     if not old.kind == new.kind == "collection":
         return bind(x, lambda v: bind(carried(old, new, v, F.lit(new.name)), single))
-    rows = F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda r, i: carried_row(old, new, r, F.concat(F.lit(f"{new.name}["), i.cast("string"), F.lit("]"))))
-    listed = bind(rows, lambda a: F.struct(F.concat(F.lit("["), F.array_join(F.transform(a, lambda r: r["json"]), ","), F.lit("]")).alias("json"), F.flatten(F.transform(a, lambda r: r["warnings"])).alias("warnings")).cast(PART))
-    return F.when(F.schema_of_variant(x) == "VOID", single(cell(F.lit("null")))).when(F.schema_of_variant(x).startswith("ARRAY<"), listed).otherwise(single(cell()))
+    rows = lambda a: F.transform(a, lambda r, i: carried_row(old, new, r, F.concat(F.lit(f"{new.name}["), i.cast("string"), F.lit("]"))))
+    listed = lambda rows: bind(rows, lambda a: F.struct(F.concat(F.lit("["), F.array_join(F.transform(a, lambda r: r["json"]), ","), F.lit("]")).alias("json"), F.flatten(F.transform(a, lambda r: r["warnings"])).alias("warnings")).cast(PART))
+    other = F.when(F.schema_of_variant(x) == "VOID", single(cell(F.lit("null")))).otherwise(single(cell()))
+    return bind(F.try_variant_get(x, "$", "array<variant>"), lambda a: F.when(a.isNotNull(), listed(rows(a))).otherwise(other))
 
 
 def joined(entries: list[Column]) -> Column:
@@ -115,7 +116,7 @@ def joined(entries: list[Column]) -> Column:
 
 def removed_keys(row: Column, fields: tuple[Field, ...], text: str) -> Column:
     """The warning about keys of an object that no field has, in a list of one or none."""
-    keys = F.array_sort(F.array_except(F.coalesce(F.json_object_keys(F.to_json(row)), F.array().cast("array<string>")), F.array(*[F.lit(f.name) for f in fields]).cast("array<string>")))
+    keys = F.array_sort(F.array_except(F.coalesce(F.map_keys(F.try_variant_get(row, "$", "map<string,variant>")), F.array().cast("array<string>")), F.array(*[F.lit(f.name) for f in fields]).cast("array<string>")))
     return F.when(F.size(keys) > 0, F.array(F.concat(F.lit(text), F.array_join(keys, ", ")))).otherwise(F.array().cast("array<string>"))
 
 
@@ -170,19 +171,20 @@ def migrate_declared(records: DataFrame, old: list[Field] | None, new: list[Fiel
     names = {f.name for f in fields}
     none = F.array().cast("array<string>")
     rows = records.select(F.struct(*records.columns).alias("own"), F.col(key).alias("key"), F.try_parse_json(data).alias("v"), (F.col(effects) if effects else F.lit(None)).cast("string").alias("e"))
-    v, is_object = F.col("v"), F.coalesce(F.schema_of_variant("v").startswith("OBJECT<"), F.lit(False))
+    v = F.col("v")
     if was is None:
         parts = [F.struct(F.to_json(at(v, f.name)).alias("json"), none.alias("warnings")).cast(PART) for f in fields]
         last = F.array(F.lit(NO_SCHEMA))
     else:
         parts = [part(was[f.name], f, at(v, f.name)) if f.name in was else F.struct(F.lit(None).alias("json"), none.alias("warnings")).cast(PART) for f in fields]
         last = removed_keys(v, fields, REMOVED)
-    rows = rows.withColumn("parts", F.when(is_object, F.array(*parts).cast(f"array<{PART}>")))
+    rows = rows.withColumn("parts", F.when(is_object(v), F.array(*parts).cast(f"array<{PART}>")))
     found = F.flatten(F.transform("parts", lambda p: p["warnings"]))
     whole = joined([entry_of(f, F.coalesce(F.get("parts", F.lit(i))["json"], default_of(f))) for i, f in enumerate(fields)])
     rows = rows.select("own", "key", "e", F.try_parse_json(F.when(F.col("parts").isNotNull(), whole)).alias("v"), F.when(F.col("parts").isNotNull(), F.concat(found, last)).otherwise(none).alias("w"))
     checked = [f for f in fields if refers(f)]
     if entities is not None and checked:
+        rows = written(rows)  # read twice, for what it refers to and for what stays
         asked = rows.select("key", F.explode(F.array_distinct(F.flatten(F.array(*[ids_of(f, at(v, f.name)) for f in checked])))).alias("r")).where("r.id is not null")
         known = small(entities.select(F.col("entity_type").alias("t"), F.col("entity_id").cast("string").alias("i")).where("t is not null and i is not null").distinct())
         gone = asked.join(known, (F.col("r.entity") == F.col("t")) & (F.col("r.id") == F.col("i")), "left_anti").groupBy(F.col("key").alias("k")).agg(F.collect_set("r").cast(f"array<{REFERENCE}>").alias("gone"))
@@ -194,13 +196,13 @@ def migrate_declared(records: DataFrame, old: list[Field] | None, new: list[Fiel
     columns = {}
     if effects:
         e = F.try_parse_json("e")
-        is_map = F.coalesce(F.schema_of_variant(e).startswith("OBJECT<"), F.lit(False))
+        is_map = is_object(e)
         left = joined([entry_of(f, F.to_json(at(e, f.name))) for f in fields])
         rows = rows.withColumns({"w": F.when(is_map, F.concat("w", removed_keys(e, fields, EFFECTS_REMOVED))).otherwise(F.col("w")), "e": F.when(is_map, left).otherwise(F.col("e"))})
         columns[effects] = F.col("e")
     # A record that was no JSON object has no migrated one; its own text is checked instead.
-    issues = issues_of(F.coalesce("v", F.try_parse_json(F.col("own")[data])), fields)
-    errors = F.transform(issues, lambda i: F.concat(F.lit("ERROR: "), F.coalesce(F.concat(i["path"], F.lit(": ")), F.lit("")), i["message"]))
-    review = F.when(F.size(errors) > 0, F.array(F.concat(F.lit(REVIEW), F.array_join(errors, "; ")))).otherwise(none)
+    errors = lambda v: F.transform(issues_of(v, fields), lambda i: F.concat(F.lit("ERROR: "), F.coalesce(F.concat(i["path"], F.lit(": ")), F.lit("")), i["message"]))
+    said_of = lambda e: F.when(F.size(e) > 0, F.array(F.concat(F.lit(REVIEW), F.array_join(e, "; ")))).otherwise(none)
+    review = bind(F.coalesce("v", F.try_parse_json(F.col("own")[data])), lambda v: bind(errors(v), said_of))
     columns |= {data: F.coalesce(F.to_json("v"), F.col("own")[data]), "warnings": F.concat("w", review)}
     return rows.select(*[columns.pop(c).alias(c) if c in columns else F.col("own")[c].alias(c) for c in records.columns], *[c.alias(n) for n, c in columns.items()])

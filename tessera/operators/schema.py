@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
+
 #: Types, as schema_of_variant names them, that a value of each kind may have; a null fits every kind.
 TEXT, WHOLE, NUMBER = "STRING", r"BIGINT|DECIMAL\(\d+,0\)", r"BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\)"
 KINDS = {"text": TEXT, "notes": TEXT, "reference": TEXT, "enum": f"{TEXT}|{NUMBER}|BOOLEAN", "integer": WHOLE, "decimal": NUMBER, "boolean": "BOOLEAN", "multi_reference": "ARRAY<.*>",
@@ -43,16 +45,26 @@ def at(row: Column, name: str) -> Column:
     return F.try_variant_get(row, f"$[{quote}{name}{quote}]", "variant")
 
 
-def fits(value: Column, kind: str) -> Column:
-    return F.schema_of_variant(value).rlike(f"^(?:VOID|{KINDS[kind]})$")
+def is_object(value: Column) -> Column:
+    """Whether a variant is an object; unlike schema_of_variant, without looking into its values."""
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+
+
+def is_array(value: Column) -> Column:
+    """Whether a variant is an array; its elements are not looked into."""
+    return F.try_variant_get(value, "$", "array<variant>").isNotNull()
 
 
 def message(field: Field, value: Column) -> Column:
-    """What is wrong with one value, null if nothing is."""
-    text, kind = F.try_variant_get(value, "$", "string"), F.schema_of_variant(value)
+    """What is wrong with one value, null if nothing is. The value and its type are worked out once."""
+    return bind(value, lambda v: bind(F.schema_of_variant(v), lambda kind: _message(field, v, kind)))
+
+
+def _message(field: Field, value: Column, kind: Column) -> Column:
+    text = F.try_variant_get(value, "$", "string")
     missing = value.isNull() | (kind == "VOID") | ((kind == "STRING") & (text == ""))
     out = F.when(missing, "Required field is missing.") if field.required else F.when(F.lit(False), "")
-    out = out.when(value.isNull() | (kind == "VOID"), F.lit(None)).when(~fits(value, field.kind), f"Value does not match field type '{field.kind}'.")
+    out = out.when(value.isNull() | (kind == "VOID"), F.lit(None)).when(~kind.rlike(f"^(?:VOID|{KINDS[field.kind]})$"), f"Value does not match field type '{field.kind}'.")
     if field.options:
         out = out.when(~text.isin(*field.options), "Value is not one of the allowed enum options.")
     number = F.try_variant_get(value, "$", "double")
@@ -98,8 +110,8 @@ def issues_of(v: Column, fields: tuple[Field, ...]) -> Column:
             void = value.isNull() | (F.schema_of_variant(value) == "VOID")
             missing, other = (F.array(F.struct(F.lit(f.name).alias("path"), F.lit(said).alias("message"))) for said in ("Required field is missing.", f"Value does not match field type '{f.kind}'."))
             absent = F.when(void, missing) if f.required else F.when(value.isNull(), F.array().cast(ISSUE))
-            parts.append(absent.when(~F.schema_of_variant(value).startswith("ARRAY<"), other).otherwise(collection_issues(f, value)))
-    whole = F.when(F.schema_of_variant(v).startswith("OBJECT<"), F.concat(*parts)).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit("Character data must be a mapping/object.").alias("message"))))
+            parts.append(absent.when(~is_array(value), other).otherwise(collection_issues(f, value)))
+    whole = F.when(is_object(v), F.concat(*parts)).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit("Character data must be a mapping/object.").alias("message"))))
     return F.coalesce(whole, F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit("Character data must be a mapping/object.").alias("message"))))
 
 

@@ -633,3 +633,15 @@ def test_lexical_candidates_in_steps_and_groups(spark, monkeypatch):
     for r in sorted(retrieval.lexical_topk(index, 5).collect(), key=lambda r: r.lexical_rank):
         got[r.query_id].append(r.chunk_id)
     assert got == {q: [c for _, c in sorted((-r.lexical_score, r.chunk_id) for r in every if r.query_id == q)[:5]] for q in range(10)}
+
+
+def test_migration_reads_records_once(spark):
+    rows = spark.createDataFrame([(1, '{"home":"a","gone":1}'), (2, '{"home":"b"}'), (3, "[1]"), (4, None)], "record_id int, data string")
+    entities = spark.createDataFrame([("place", "a")], "entity_type string, entity_id string")
+    fields = [schema.Field("home", "reference", entity="place")]
+    out = migration.migrate_declared(rows, fields, fields, entities)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1  # the entities
+    got = {r.record_id: (r.data, r.warnings) for r in out.collect()}
+    assert got[1] == ('{"home":"a"}', ["Removed field(s) not carried forward: gone"])
+    assert got[2] == ("{}", ["home: reference 'b' no longer exists and was reset."])
+    assert got[3][0] == "[1]" and got[4][0] is None
