@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Links that a task works on, about: few links in many partitions are mostly tasks and files without rows.
+LINKS = 1 << 16
+
 
 def _stars(arcs: DataFrame) -> DataFrame:
     """(u, v, m) for each arc: m is the smallest of u and its neighbours."""
@@ -21,13 +24,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     checkpoint folder; the driver sees one checksum a round. Null ends and self-links are ignored.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct())
-    state = None
+    state, count = None, edges.count()
     while True:
+        parts = max(1, -(-count // LINKS))
+        edges = edges.coalesce(parts)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _stars(large)
-        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct())
+        large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts).distinct().coalesce(parts)
+        small = _stars(large).coalesce(parts)
+        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        state = now
+        state, count = now, now[0]

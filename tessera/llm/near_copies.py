@@ -11,7 +11,8 @@ the distance of 64 bits is verified in the join, that of all bits after it, and
 Equal sets are one node. A large group of near copies is not paired with itself: where many nodes share a segment they
 are compared with one of them first, which joins most of them. All nodes that probe such a place then meet by what differs from the set
 of one node there (`differing`): two similar ones must share some of the rarest of these shingles, at places early enough, while
-unlike copies of one text share little of what they changed, however alike their fingerprints are. This loses no pair.
+unlike copies of one text share little of what they changed, however alike their fingerprints are. This loses no pair. Nodes that have
+met this way around the same node are not paired in the smaller places that they share as well.
 """
 
 from __future__ import annotations
@@ -191,7 +192,7 @@ def links(nodes: DataFrame, bits: int, verify, sets, scratch: Scratch) -> DataFr
     own = scratch.keep(nodes.select("node", "check", F.posexplode("segments").alias("i", "v")).select("node", "check", place(F.col("i"), F.col("v")).alias("h")))
     apart = (F.col("root") != F.col("root_b")) & (F.bit_count(F.col("check").bitwiseXOR(F.col("check_b"))) <= FAR)
     pair = [F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")]
-    other = lambda df: df.select("h", *[F.col(c).alias(f"{c}_b") for c in ("node", "check", "root")])
+    other = lambda df, *more: df.select("h", *[F.col(c).alias(f"{c}_b") for c in ("node", "check", "root", *more)])
 
     def rooted(df: DataFrame, roots: DataFrame | None) -> DataFrame:
         if roots is None:
@@ -211,19 +212,26 @@ def links(nodes: DataFrame, bits: int, verify, sets, scratch: Scratch) -> DataFr
         new = verify(state.join(other(pivots), "h").where(apart).select(*pair))
         found = new if found is None else found.unionByName(new)
         roots = scratch.keep(components(found))
-    # The ball: each 0 of a segment set to 1. A crowd's place stands for the root that most of its nodes have.
-    table = rooted(own.join(broadcast_if_small(places), "h", "left_anti") if crowds else own, roots)
+    # The ball: each 0 of a segment set to 1.
     flipped = lambda i, v: F.transform(F.filter(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda k: F.call_function("shiftleft", F.lit(1), k)), lambda b: v.bitwiseAND(b) == 0), lambda b: place(i, v.bitwiseOR(b)))
     ball = F.flatten(F.transform("segments", lambda v, i: F.concat(F.array(place(i, v)), flipped(i, v))))
-    probes = rooted(nodes, roots).select("node", "check", "root", F.explode(ball).alias("h"))
-    pairs = probes.join(other(table), "h").where(apart).select(*pair)
-    if crowds:
-        held = rooted(crowd, roots).groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("p"))
-        members = scratch.keep(probes.join(broadcast_if_small(scratch.keep(held)), "h").select("p", "node", "check", "root").distinct())
-        direct, meeting = differing(members, sets, scratch)
-        pairs, found = pairs.unionByName(meeting), direct if found is None else found.unionByName(direct)
-    new = verify(pairs)
-    return components(new if found is None else found.unionByName(new))
+    rows = rooted(nodes, roots)
+    if not crowds:
+        pairs = rows.select("node", "check", "root", F.explode(ball).alias("h")).join(other(rooted(own, roots)), "h").where(apart).select(*pair)
+        return components(verify(pairs))
+    # A crowd's place stands for the root that most of its nodes have.
+    held = rooted(crowd, roots).groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("p"))
+    members = scratch.keep(rows.select("node", "check", "root", F.explode(ball).alias("h")).join(broadcast_if_small(scratch.keep(held)), "h").select("p", "node", "check", "root").distinct())
+    direct, meeting = differing(members, sets, scratch)
+    # Two nodes around the same one have met by what differs from it, whichever other places they share, so these are not paired again.
+    around = broadcast_if_small(scratch.keep(members.groupBy("node").agg(F.collect_set("p").alias("around"))).withColumnRenamed("node", "of"))
+    known = lambda df: df.join(around, F.col("node") == F.col("of"), "left").drop("of")
+    probes = known(rows).select("node", "check", "root", "around", F.explode(ball).alias("h"))
+    table = known(rooted(own.join(broadcast_if_small(places), "h", "left_anti"), roots))
+    met = F.coalesce(F.arrays_overlap("around", "around_b"), F.lit(False))
+    pairs = probes.join(other(table, "around"), "h").where(apart & ~met).select(*pair)
+    new, found = verify(pairs.unionByName(meeting)), direct if found is None else found.unionByName(direct)
+    return components(found.unionByName(new))
 
 
 def groups(docs: DataFrame, id_col: str, text: str = "text", width: int = 5) -> DataFrame:

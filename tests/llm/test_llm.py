@@ -175,6 +175,37 @@ def test_nodes_around_one_meet_by_what_differs(spark):
         assert len(set(pairs) - similar) < len(sets) ** 2 / 20
 
 
+def test_nodes_that_met_around_one_are_not_paired_again(spark, monkeypatch):
+    """Unlike copies of one text share many small places; two around the same node are compared only if what differs from it says so."""
+    monkeypatch.setattr(near_copies, "CROWD", 4)
+    rng, texts = random.Random(5), []
+    base = [f"w{rng.randrange(3000)}" for _ in range(100)]
+    for _ in range(250):
+        w = list(base)
+        for k in rng.sample(range(100), rng.choice((2, 3, 4))):
+            w[k] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    around, meeting, compared = collections.defaultdict(set), set(), []
+    differing, verified = near_copies.differing, near_copies.verified
+
+    def met(members, *rest):
+        direct, pairs = differing(members, *rest)
+        for r in members.collect():
+            around[r.node].add(r.p)
+        meeting.update(tuple(sorted(r)) for r in pairs.collect())
+        return direct, pairs
+
+    def counted(pairs, *rest):
+        compared.append({tuple(sorted(r)) for r in pairs.collect()})
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "differing", met)
+    monkeypatch.setattr(near_copies, "verified", counted)
+    near_copies.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "doc_id").collect()
+    assert len(around) > 200
+    assert not {(a, b) for a, b in compared[-1] - meeting if around[a] & around[b]}
+
+
 def test_near_copies_recall(spark):
     """Of all pairs of sf0.01 at similarity 0.8 or more, by brute force, nine in ten at least end in one group; nothing else does."""
     rows = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()
