@@ -50,7 +50,7 @@ def files_of(spark: SparkSession, d: str) -> DataFrame:
 def batches_of(spark: SparkSession, d: str) -> DataFrame:
     """lineitem as retrieval batches: a customer's question, line numbers as its queries, two parts to a chunk."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("question_id"))
-    li = table(spark, d, "lineitem").join(o, "l_orderkey").select("question_id", F.col("l_linenumber").alias("query_ord"), F.concat(F.lit("c"), F.expr("l_partkey div 2").cast("string")).alias("chunk_id"), F.round(F.col("l_discount") * F.col("l_quantity"), 4).alias("evidence_score"), "l_orderkey", "l_extendedprice")
+    li = table(spark, d, "lineitem").join(o, "l_orderkey").select("question_id", F.col("l_linenumber").alias("query_ord"), F.concat(F.lit("c"), F.expr("l_partkey div 2").cast("string")).alias("chunk_id"), F.round(F.col("l_discount") * F.col("l_quantity"), 4).alias("evidence_score"), "l_orderkey", "l_extendedprice").repartition("question_id")  # all that follows goes by question: dealt out once
     rank = F.row_number().over(Window.partitionBy("question_id", "query_ord").orderBy(F.desc("l_extendedprice"), "l_orderkey", "chunk_id"))
     return li.withColumn("rank", rank).select("question_id", "query_ord", (F.col("query_ord") == 1).alias("is_original"), "rank", "chunk_id", "evidence_score")
 
@@ -343,7 +343,7 @@ def near_duplicates(spark, d):
 
 
 def evidence_select(spark, d):
-    ranked = evidence.evidence_rank(evidence.merge_batches(batches_of(spark, d)))
+    ranked = evidence.evidence_rank(evidence.merge_batches(batches_of(spark, d))).select("question_id", "chunk_id", "position", "original_hit", "original_score", "original_rank", "rank_score")
     return evidence.select_evidence(ranked, texts_of(spark, d)).select("question_id", "chunk_id", "rank_score")
 
 

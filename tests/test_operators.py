@@ -645,3 +645,34 @@ def test_migration_reads_records_once(spark):
     assert got[1] == ('{"home":"a"}', ["Removed field(s) not carried forward: gone"])
     assert got[2] == ("{}", ["home: reference 'b' no longer exists and was reset."])
     assert got[3][0] == "[1]" and got[4][0] is None
+
+
+def test_selection_moves_words_once_for_a_part_and_not_for_rows(spark):
+    """Many questions share a few texts; two texts of one chunk, one that is missing and an empty one are told apart as a loop does."""
+    rng = random.Random(5)
+    texts = [(f"c{i}", rng.choice("pq"), " ".join(sorted({rng.choice("abcdefgh") for _ in range(4)})) if i % 9 else "") for i in range(40)] + [("c3", "p", "z y"), ("c5", "q", "a b c d"), ("c5", "q", "a b c d")]
+    rows = [(q, o + 1, f"c{c}") for q in range(300) for o, c in enumerate(rng.sample(range(43), 14))]
+    want = set()
+    for q in range(300):
+        kept, late = [], []
+        every = [(o, c, *t) for g, o, c in rows if g == q for t in sorted((p, sorted(x.split(), key=x.split().index)) for k, p, x in texts if k == c) or [(None, [])]]
+        for r in every:
+            same = any(k[2] == r[2] and len(set(k[3]) & set(r[3])) / min(len(k[3]), len(r[3])) >= evidence.OVERLAP for k in kept if k[3] and r[3])
+            if len(kept) < 5:
+                (late if same else kept).append(r)
+        want |= {(q, r[0], r[1]) for r in kept + late[:5 - len(kept)]}
+    frame = spark.createDataFrame(rows, "question_id int, position int, chunk_id string")
+    held = spark.createDataFrame(texts, "chunk_id string, path string, text string")
+    out = evidence.greedy(frame, 5, texts=held)
+    assert {tuple(r) for r in out.select("question_id", "position", "chunk_id").collect()} == want
+    single = held.where("chunk_id not in ('c3', 'c5')")
+    assert "regexp_extract_all" not in evidence._worded(frame, evidence._named(single))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_a_question_are_dealt_out_once(spark):
+    from tessera.sources.shared import bucketed
+
+    rows = bucketed(spark.createDataFrame([(i % 7, i) for i in range(50)] + [(None, 1)], "question_id int, n int"), "question_id")
+    plan = rows.groupBy("question_id").agg(F.sum("n").alias("n"))
+    assert "Exchange" not in plan._jdf.queryExecution().sparkPlan().toString() + plan._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in plan.collect()} == {(None, 1)} | {(k, sum(i for i in range(50) if i % 7 == k)) for k in range(7)}
