@@ -204,13 +204,13 @@ def select_evidence(ranked: DataFrame, texts: DataFrame, limit: int = 12, reserv
     The original hits are walked until `reserve` distinct ones are found; those passed over on the way are the first to fill up."""
     by = ["question_id", "chunk_id"]
     own = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("original_score"), "original_rank", "chunk_id"))
-    ranked = bucketed(ranked, "question_id")
+    ranked = bucketed(ranked.where("question_id is not null"), "question_id")  # rows of no question were never selected
     hits = ranked.where("original_hit").withColumn("o", own).select(*by, "position", "o")
     first = greedy(hits, min(reserve, limit), order="o", fill=False, texts=texts).groupBy("question_id").agg(F.collect_list("chunk_id").alias("taken"))
     walk = hits.join(first, "question_id", "left").select(*by, "position", "o", F.coalesce(F.array_contains("taken", F.col("chunk_id")), F.lit(False)).alias("kept"))
     whole = Window.partitionBy("question_id")
     walk = walk.withColumns({"n": F.count_if("kept").over(whole), "last": F.max(F.when(F.col("kept"), F.col("o"))).over(whole)})
-    walk = walk.select(*by, "position", "o", F.when(F.col("kept"), 0).when((F.col("n") < min(reserve, limit)) | (F.col("o") < F.col("last")), 1).otherwise(2).alias("part"))
+    walk = walk.select(*by, "position", "o", F.when(F.col("kept"), 0).when(F.col("chunk_id").isNotNull() & ((F.col("n") < min(reserve, limit)) | (F.col("o") < F.col("last"))), 1).otherwise(2).alias("part"))  # a null id has no turn of its own
     rest = ranked.where("original_hit is null or not original_hit").select(*by, "position", F.lit(None).cast("int").alias("o"), F.lit(2).alias("part"))
     turn = F.row_number().over(Window.partitionBy("question_id").orderBy("part", F.when(F.col("part") < 2, F.col("o")), "position"))
     every = walk.unionByName(rest).withColumn("turn", turn)

@@ -709,3 +709,10 @@ def test_far_buckets_give_what_reaches_the_floor(spark):
     asked = vectors.limit(9).select(F.expr("int(substring(chunk_id, 2))").alias("query_id"), "embedding", F.when(F.col("chunk_id") != "c003", 2.5).alias("floor"))
     found = retrieval.scored_buckets(retrieval.asked_buckets(asked, index, 4, True), index, 1, 300).collect()
     assert all(r.semantic_score >= 2.5 - 1e-5 for r in found if r.query_id != 3) and any(r.semantic_score < 0 for r in found if r.query_id == 3)
+
+
+def test_a_null_id_takes_no_turn_before_the_hits(spark):
+    rows = [(1, None, 1, True, 0.9, 1), (1, "a", 2, True, 0.8, 2), (1, "b", 3, False, None, None), (None, "a", 1, True, 0.9, 1)]
+    ranked = spark.createDataFrame(rows, "question_id int, chunk_id string, position int, original_hit boolean, original_score double, original_rank int")
+    texts = spark.createDataFrame([("a", "p", "red dragon"), ("b", "p", "old oak")], "chunk_id string, path string, text string")
+    assert [(r.question_id, r.chunk_id) for r in evidence.select_evidence(ranked, texts, 1).collect()] == [(1, "a")]
